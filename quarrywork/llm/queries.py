@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from quarrywork.llm import sharding
+from quarrywork.llm import sharding, token_output
 
 MODULES = {
     "op1_extendible_sharding": sharding,
+    "op7_rans_token_output": token_output,
 }
 
 

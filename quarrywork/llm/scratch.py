@@ -44,10 +44,10 @@ class Scratch:
         self.path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}-{name}-{uuid.uuid4().hex[:12]}"
         atexit.register(_delete, spark, self.path)
 
-    def write(self, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-        """Writes df as Parquet and returns the written table."""
+    def write(self, df: DataFrame, name: str, codec: str = "zstd", group_mb: int = 128) -> DataFrame:
+        """Writes df as Parquet and returns the written table. group_mb: the row groups, smaller for rows of large values."""
         path = f"{self.path}/{name}"
-        df.write.mode("overwrite").option("compression", codec).parquet(path)
+        df.write.mode("overwrite").option("compression", codec).option("parquet.block.size", str(group_mb << 20)).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str = "") -> None:
