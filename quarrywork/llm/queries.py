@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from quarrywork.llm import sharding, token_output
+from quarrywork.llm import chat, sharding, token_output
 
 MODULES = {
     "op1_extendible_sharding": sharding,
     "op7_rans_token_output": token_output,
+    "op9_chat_formatting": chat,
 }
 
 
