@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from quarrywork.llm import chat, decontamination, mixing, sharding, token_output
+from quarrywork.llm import chat, decontamination, mixing, outliers, sharding, token_output
 
 MODULES = {
     "op1_extendible_sharding": sharding,
     "op4_decontamination": decontamination,
+    "op5_robust_outliers": outliers,
     "op6_source_mixing": mixing,
     "op7_rans_token_output": token_output,
     "op9_chat_formatting": chat,
