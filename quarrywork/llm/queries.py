@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarrywork.llm import chat, decontamination, mixing, outliers, sharding, token_output
+from quarrywork.llm import chat, decontamination, mixing, near_dedup, outliers, sharding, token_output
 
 MODULES = {
     "op1_extendible_sharding": sharding,
@@ -11,6 +11,7 @@ MODULES = {
     "op6_source_mixing": mixing,
     "op7_rans_token_output": token_output,
     "op9_chat_formatting": chat,
+    "op10_lsh_forest": near_dedup,
 }
 
 
