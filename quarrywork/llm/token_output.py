@@ -19,6 +19,8 @@ Defined results
 
 from __future__ import annotations
 
+import itertools
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -32,85 +34,195 @@ from quarrywork.llm import rans
 from quarrywork.llm.scratch import Scratch
 
 BLOCK_TOKENS = 1 << 17
-CACHE_CHUNKS, CACHE_CHARS = 250_000, 8_000_000
-_encoders: dict[str, ChunkEncoder] = {}
-
-
-class ChunkEncoder:
-    """Encodes texts by the white-space-free chunks they consist of, each chunk once while it is in the cache.
+#: Distinct words a worker remembers, bits of its hash table, and bytes of text encoded at a time.
+CACHE_WORDS, TABLE_BITS, STEP_BYTES = 1_500_000, 22, 1 << 20
+_encoders: dict[str, WordEncoder] = {}
+#: Letters under it are as normalisation leaves them and have one-letter lower-case forms.
+_PLAIN = "\u0130"
+
+
+class _HashTable:
+    """From 64-bit hashes to numbers, open addressing, many at a time."""
+
+    def __init__(self, bits: int):
+        self.keys, self.values = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.int32)
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+
+    def _slot(self, h: np.ndarray) -> np.ndarray:
+        return ((h * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The numbers; -1 for what isn't there."""
+        out, todo, slot = np.full(len(h), -1, np.int32), np.arange(len(h)), self._slot(h)
+        while len(todo):
+            k = self.keys[slot]
+            hit = k == h[todo]
+            out[todo[hit]] = self.values[slot[hit]]
+            on = ~hit & (k != 0)
+            todo, slot = todo[on], (slot[on] + 1) & self.mask
+        return out
+
+    def add(self, h: np.ndarray, values: np.ndarray) -> None:
+        """Distinct hashes that aren't there yet."""
+        slot = self._slot(h)
+        while len(h):
+            free = self.keys[slot] == 0
+            self.keys[slot[free]] = h[free]  # of two for one slot, the last gets it
+            own = self.keys[slot] == h
+            self.values[slot[own]] = values[own]
+            h, values, slot = h[~own], values[~own], (slot[~own] + 1) & self.mask
+
+
+class WordEncoder:
+    """Encodes texts by their words, each by the library once while it is remembered.
 
     The tokenizer drops white space and no token, contraction or composition
-    spans it, so a text's ids are its chunks' ids in order.
+    spans it, so a text's ids are its words' ids in order. It lower-cases, and
+    parts letters from punctuation, so A-Z are lower-cased first and a full
+    stop or comma at a word's end behind a letter is a word of its own. New
+    words of plain letters go to the library many at a time and are told apart
+    by their last tokens, which alone bear the end-of-word mark.
+
+    Words are found by 64-bit hashes, computed for all words of a step at once
+    from prefix sums over its bytes.
     """
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.vocab = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self._reset()
-
-    def _reset(self) -> None:
-        self.index: dict[str, int] = {"": 0}
-        self.starts, self.lens, self.flat, self.chars = np.zeros(1, np.int64), np.zeros(1, np.int64), np.empty(0, np.uint32), 0
-
-    def _learn(self, chunks: list[str]) -> None:
-        ids = [x.ids for x in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
-        lens = np.fromiter(map(len, ids), np.int64, len(ids))
-        base = len(self.flat)
-        self.flat = np.concatenate([self.flat, np.fromiter((i for x in ids for i in x), np.uint32, int(lens.sum()))])
-        self.starts = np.concatenate([self.starts, base + np.cumsum(lens) - lens])
-        self.lens = np.concatenate([self.lens, lens])
-        self.index.update(zip(chunks, range(len(self.index), len(self.index) + len(chunks)), strict=True))
-        self.chars += sum(map(len, chunks))
+        vocab = self.tokenizer.get_vocab(with_added_tokens=True)
+        size = max(vocab.values()) + 1
+        self.kind = np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.ends = np.zeros(size, bool)
+        if suffix:
+            self.ends[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
+        one, two, three, four, five, six = self._raw(["ab cd", "ab", "cd", "Ab,", ",", "\u00c9,"])
+        parted = [*two, *three] == [*one] and [*two, *five] == [*four] and six[-1] == five[0]
+        if not (suffix and parted):
+            raise ValueError(f"{path} doesn't part words and lower-case letters as this encoder needs")
+        rng = np.random.default_rng(7)
+        self.code = rng.integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
+        self.lower = np.arange(256, dtype=np.uint8)
+        self.lower[65:91] += 32
+        self.gap = np.isin(np.arange(256), [9, 10, 13, 32])
+        self.letter = np.isin(np.arange(256), [*range(65, 91), *range(97, 123)])
+        self.base = 0xD1342543DE82EF95
+        self.inverse = pow(self.base, -1, 1 << 64)
+        self.powers = self.inverses = np.ones(0, np.uint64)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.table, self.n, self.used = _HashTable(TABLE_BITS), 0, 0
+        self.starts, self.lens, self.flat = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), np.zeros(1 << 14, self.kind)
+
+    def _raw(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, self.kind) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _remember(self, ids: np.ndarray, lens: np.ndarray) -> None:
+        def grown(a: np.ndarray, n: int) -> np.ndarray:
+            return a if n <= len(a) else np.concatenate([a, np.zeros(max(n, 2 * len(a)) - len(a), a.dtype)])
+
+        n, used = self.n + len(lens), self.used + len(ids)
+        self.starts, self.lens, self.flat = grown(self.starts, n), grown(self.lens, n), grown(self.flat, used)
+        self.flat[self.used : used] = ids
+        self.lens[self.n : n] = lens
+        self.starts[self.n : n] = self.used + np.cumsum(lens) - lens
+        self.n, self.used = n, used
+
+    def _learn(self, words: list[str], hashes: np.ndarray) -> None:
+        plain = np.fromiter((w.isalpha() and max(w) < _PLAIN for w in words), bool, len(words))
+        rows = np.flatnonzero(plain)
+        for k in range(0, len(rows), 1000):
+            some = rows[k : k + 1000]
+            ids = np.array(self.tokenizer.encode(" ".join([words[i] for i in some]), add_special_tokens=False).ids, self.kind)
+            lens = np.diff(np.flatnonzero(self.ends[ids]) + 1, prepend=0)
+            if len(lens) != len(some):  # not parted as expected: one by one
+                plain[some] = False
+                continue
+            self.table.add(hashes[some], np.arange(self.n, self.n + len(some), dtype=np.int32))
+            self._remember(ids, lens)
+        rows = np.flatnonzero(~plain)
+        if len(rows):
+            each = self._raw([words[i] for i in rows])
+            self.table.add(hashes[rows], np.arange(self.n, self.n + len(rows), dtype=np.int32))
+            self._remember(np.concatenate(each), np.fromiter(map(len, each), np.int64, len(each)))
 
     def encode(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
-        """All ids, an end id after each text, and the texts' numbers of ids."""
-        if len(self.index) > CACHE_CHUNKS or self.chars > CACHE_CHARS:
-            self._reset()
-        parts = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        chunks = [c for p in parts for c in p]
-        new = list(set(chunks) - self.index.keys())
-        for k in range(0, len(new), 50_000):
-            self._learn(new[k : k + 50_000])
-        at = np.fromiter(map(self.index.__getitem__, chunks), np.int64, len(chunks))
+        """All ids, with the end id after each text, and the texts' numbers of ids."""
+        raw = [t.encode() for t in texts]
+        data = b"\n".join(raw) + b"\n"
+        sizes = np.fromiter(map(len, raw), np.int64, len(raw)) + 1
+        plain = np.frombuffer(data, np.uint8)
+        text = plain if b"<|" in data else self.lower[plain]  # special tokens keep their case
+        n = len(text)
+        if n > len(self.powers):
+            with np.errstate(over="ignore"):
+                self.powers = np.cumprod(np.full(n + 1, self.base, np.uint64)) * np.uint64(self.inverse)
+                self.inverses = np.cumprod(np.full(n + 1, self.inverse, np.uint64)) * np.uint64(self.base)
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(self.code[text] * self.powers[:n], out=sums[1:])
+        edge = np.diff(self.gap[text].view(np.int8), prepend=np.int8(1))
+        starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge[1:] == 1) + 1
+        if edge[0] == 1:
+            raise AssertionError
+        last, before, second = text[ends - 1], text[ends - 2], text[np.maximum(ends - 3, 0)]
+        latin = (second == 0xC3) & (before >= 0x80) & (before != 0x97) & (before != 0xB7) & (ends - starts >= 3)
+        marked = np.flatnonzero(((last == 44) | (last == 46)) & (ends - starts >= 2) & (self.letter[before] | latin))
+        starts, ends = np.insert(starts, marked + 1, ends[marked] - 1), np.insert(ends, marked, ends[marked] - 1)
+        hashes = (sums[ends] - sums[starts]) * self.inverses[starts]
+        hashes[hashes == 0] = 1
+        if self.n > CACHE_WORDS:
+            self._forget()
+        at = self.table.find(hashes)
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            some, first = np.unique(hashes[new], return_index=True)
+            lowered, spots = text.tobytes(), new[first]
+            self._learn([lowered[a:b].decode() for a, b in zip(starts[spots].tolist(), ends[spots].tolist(), strict=True)], some)
+            at[new] = self.table.find(hashes[new])
         lens = self.lens[at]
-        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-        firsts = np.cumsum(sizes) - sizes
-        counts = np.add.reduceat(lens, firsts) if len(parts) else np.empty(0, np.int64)
-        n = int(lens.sum())
-        ids = self.flat[np.repeat(self.starts[at] - (np.cumsum(lens) - lens), lens) + np.arange(n)] if n else np.empty(0, np.uint32)
-        return np.insert(ids, np.cumsum(counts), end_id), counts + 1
+        upto = np.concatenate([[0], np.cumsum(lens)])
+        ids = self.flat[np.repeat(self.starts[at] - upto[:-1], lens) + np.arange(upto[-1])]
+        cuts = upto[np.searchsorted(starts, np.cumsum(sizes))]
+        return np.insert(ids, cuts, end_id), np.diff(cuts, prepend=0) + 1
 
 
-def _encoder(path: str) -> ChunkEncoder:
+def _encoder(path: str) -> WordEncoder:
     if path not in _encoders:
-        _encoders[path] = ChunkEncoder(path)
+        _encoders[path] = WordEncoder(path)
     return _encoders[path]
 
 
+def _steps(texts: list[str]) -> Iterator[tuple[int, int]]:
+    """Ranges of about STEP_BYTES characters each."""
+    first = held = 0
+    for k, t in enumerate(texts):
+        held += len(t)
+        if held >= STEP_BYTES:
+            yield first, k + 1
+            first, held = k + 1, 0
+    if first < len(texts):
+        yield first, len(texts)
+
+
 def _tokenise(path: str, end_id: int, key: str, text: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
         shard, seq = TaskContext.get().partitionId(), 0
         enc = _encoder(path)
-        kind = np.dtype("<u2") if max(enc.vocab, end_id + 1) <= 1 << 16 else np.dtype("<u4")
-        for whole in batches:
-            for k in range(0, len(whole), 2000):
-                batch = whole.iloc[k : k + 2000]
-                ids, n = enc.encode([t if isinstance(t, str) else "" for t in batch[text]], end_id)
-                ends, raw, w = np.cumsum(n), ids.astype(kind).tobytes(), kind.itemsize
-                yield pd.DataFrame(
-                    {
-                        "shard": np.int32(shard),
-                        "seq": np.arange(seq, seq + len(batch)),
-                        "doc_id": batch[key].array,
-                        "width": np.int32(w),
-                        "ids": [raw[(e - m) * w : e * w] for e, m in zip(ends.tolist(), n.tolist(), strict=True)],
-                    }
-                )
-                seq += len(batch)
+        for batch in batches:
+            texts = [t if isinstance(t, str) else "" for t in batch[text]]
+            for a, b in _steps(texts):
+                ids, n = enc.encode(texts[a:b], end_id)
+                raw, w = ids.tobytes(), ids.itemsize
+                cuts = np.concatenate([[0], np.cumsum(n)]) * w
+                rows = [raw[i:j] for i, j in itertools.pairwise(cuts.tolist())]
+                yield pd.DataFrame({"shard": np.int32(shard), "seq": np.arange(seq, seq + b - a), "doc_id": batch[key].array[a:b], "width": np.int32(w), "ids": rows})
+                seq += b - a
 
     return run
 
