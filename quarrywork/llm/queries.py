@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from quarrywork.llm import chat, decontamination, mixing, near_dedup, outliers, sharding, token_output, warc
+from quarrywork.llm import chat, decontamination, language_id, mixing, near_dedup, outliers, sharding, token_output, warc
 
 MODULES = {
     "op1_extendible_sharding": sharding,
+    "op2_language_masks": language_id,
     "op3_warc_salvage": warc,
     "op4_decontamination": decontamination,
     "op5_robust_outliers": outliers,
