@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarrywork.llm import chat, decontamination, language_id, mixing, near_dedup, outliers, sharding, token_output, warc
+from quarrywork.llm import chat, decontamination, language_id, mixing, near_dedup, outliers, sharding, suffix_dedup, token_output, warc
 
 MODULES = {
     "op1_extendible_sharding": sharding,
@@ -12,6 +12,7 @@ MODULES = {
     "op5_robust_outliers": outliers,
     "op6_source_mixing": mixing,
     "op7_rans_token_output": token_output,
+    "op8_suffix_repeats": suffix_dedup,
     "op9_chat_formatting": chat,
     "op10_lsh_forest": near_dedup,
 }
