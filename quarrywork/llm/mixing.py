@@ -135,8 +135,14 @@ def block_size(total: int, smallest: int, finest: int = 1 << 24) -> int:
     return max(1, min(1024, smallest // 1000), -(-total // finest))
 
 
-def mix(docs: DataFrame, seed: int = 17, block_words: int | None = None, shards: int = 16, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """The rows of docs with size, source_size, target and taken: the words of the document that the mix takes, repeats counted."""
+def _chosen(b: Column, p: Column) -> Column:
+    """Whether a source's last round takes its block b: a seeded permutation of the blocks puts it among the first."""
+    # step * b stays under 2 ** 63, as a source has at most 2 ** 31 blocks.
+    return F.pmod(b * p["step"] + p["shift"], p["blocks"]) < p["rest"]
+
+
+def _place(docs: DataFrame, seed: int, block_words: int | None, shards: int, key: str, text: str, source: str) -> tuple[DataFrame, int]:
+    """docs with size, _start (the document's place in its source's stream) and _p (its source's plan); and the block size."""
     spark = docs.sparkSession
     docs = docs.drop(*ADDED).withColumn("size", n_words(text))
     found = docs.groupBy(source).agg(F.sum("size").alias("n")).orderBy(F.col(source).asc_nulls_last()).limit(MAX_SOURCES + 1).collect()
@@ -153,7 +159,7 @@ def mix(docs: DataFrame, seed: int = 17, block_words: int | None = None, shards:
     salts = docs.groupBy(source, "_salt").agg(F.sum("size").alias("n"))
     before = F.coalesce(F.sum("n").over(W.partitionBy(source).orderBy("_salt").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     salts = salts.select(F.col(source).alias("_s"), F.col("_salt").alias("_k"), before.alias("_before"))
-    # One row for each source and salt: 512 times the sources, which MAX_SOURCES bounds.
+    # One row for each source and salt: at most SALTS times the sources.
     salts = F.broadcast(salts) if len(sources) <= 200 else salts
     per_source = F.broadcast(per_source) if len(sources) <= 100_000 else per_source
     within = W.partitionBy(source, "_salt").orderBy("_o", key, "size").rowsBetween(W.unboundedPreceding, -1)
@@ -161,21 +167,41 @@ def mix(docs: DataFrame, seed: int = 17, block_words: int | None = None, shards:
         docs.withColumn("_within", F.coalesce(F.sum("size").over(within), F.lit(0)))
         .join(salts, F.col(source).eqNullSafe(F.col("_s")) & (F.col("_salt") == F.col("_k")))
         .join(per_source, F.col(source).eqNullSafe(F.col("_source")))
+        .withColumn("_start", F.col("_before") + F.col("_within"))
     )
-    start = F.col("_before") + F.col("_within")
-    p = F.col("_p")
-    first, last = F.floor(start / block).cast("bigint"), F.floor((start + F.col("size") - 1) / block).cast("bigint")
+    return placed.drop("_o", "_salt", "_within", "_s", "_k", "_before", "_source"), block
+
+
+def mix(docs: DataFrame, seed: int = 17, block_words: int | None = None, shards: int = 16, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """The rows of docs with size, source_size, target and taken: the words of the document that the mix takes, repeats counted."""
+    placed, block = _place(docs, seed, block_words, shards, key, text, source)
+    p, start, end = F.col("_p"), F.col("_start"), F.col("_end")
 
     def words(b: Column) -> Column:
         """Of the document in block b, if the last round takes it."""
-        # step * b stays under 2 ** 63: both are under finest, or the blocks of one source.
-        chosen = F.pmod(b * p["step"] + p["shift"], p["blocks"]) < p["rest"]
-        return F.when(chosen, F.least(F.col("_end"), (b + 1) * block) - F.greatest(F.col("_start"), b * block)).otherwise(F.lit(0).cast("bigint"))
+        return F.when(_chosen(b, p), F.least(end, (b + 1) * block) - F.greatest(start, b * block)).otherwise(F.lit(0).cast("bigint"))
 
-    spanned = placed.withColumns({"_start": start, "_end": start + F.col("size"), "_blocks": F.when((F.col("size") > 0) & (p["rest"] > 0), F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))})
+    first, last = F.floor(start / block).cast("bigint"), F.floor((start + F.col("size") - 1) / block).cast("bigint")
+    blocks = F.when((F.col("size") > 0) & (p["rest"] > 0), F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))
+    spanned = placed.withColumns({"_end": start + F.col("size"), "_blocks": blocks})
     rest = F.aggregate("_blocks", F.lit(0).cast("bigint"), lambda acc, b: acc + words(b))
     out = spanned.withColumns({"source_size": p["source_size"], "target": p["target"], "taken": p["rounds"] * F.col("size") + rest})
-    return out.drop("_o", "_salt", "_within", "_s", "_k", "_before", "_source", "_p", "_start", "_end", "_blocks")
+    return out.drop("_p", "_start", "_end", "_blocks")
+
+
+def draw(docs: DataFrame, seed: int = 17, block_words: int | None = None, shards: int = 16, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """The mix itself, in the columns of docs: a row for each full round, and one with the words of the last round's blocks, if it has any of the document. n_chars, where docs has it, is the text's length."""
+    placed, block = _place(docs, seed, block_words, shards, key, text, source)
+    p = F.col("_p")
+    pieces = F.regexp_extract_all(F.col(text), F.lit(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0))
+    part = F.array_join(F.filter(pieces, lambda _, i: _chosen(F.floor((F.col("_start") + i) / block).cast("bigint"), p)), "")
+    # Full rounds are 0 in the list of copies, the part of the last round is 1.
+    copies = F.concat(F.array_repeat(F.lit(0), p["rounds"].cast("int")), F.when(p["rest"] > 0, F.array(F.lit(1))).otherwise(F.array().cast("array<int>")))
+    rows = placed.filter(F.col("size") > 0).withColumn("_copy", F.explode(copies))
+    rows = rows.withColumn(text, F.when(F.col("_copy") == 0, F.col(text)).otherwise(part)).filter(F.col(text) != "")
+    if "n_chars" in docs.columns:
+        rows = rows.withColumn("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType))
+    return rows.select(*docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
