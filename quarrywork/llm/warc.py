@@ -29,7 +29,7 @@ import zlib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrywork.llm.scratch import Scratch
@@ -37,58 +37,62 @@ from quarrywork.llm.scratch import Scratch
 FILE_BYTES = 16 << 20
 #: Payloads under so many bytes are never revisits.
 REVISIT_BYTES = 0
+#: More revisits are joined by a shuffle.
+BROADCAST_REVISITS = 200_000
 DATE = "2020-01-01T00:00:00Z"
 _END = b"\r\n\r\n"
 _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 _START = re.compile(rb"WARC/1\.[01]\r\n|\x1f\x8b\x08")
 _HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 RECORD = "file string, offset bigint, length bigint, kind string, reason string, record_type string, record_id string, page_id bigint, uri string, payload_bytes bigint, payload_digest string, refers_to bigint, payload binary"
+_ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 _FIELDS = [c.split()[0] for c in RECORD.split(", ")]
 
 
-def _record_id(page: int | None) -> str:
-    return f"<urn:page:{'' if page is None else page}>"
-
-
 def _page_of(record_id: str | None) -> int | None:
     found = re.fullmatch(r"<urn:page:(-?\d+)>", record_id or "")
     return int(found[1]) if found else None
 
 
-def _clean(value: str) -> str:
-    return re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", value)
-
-
-def record_text(page: int | None, url: str | None, payload: str, sha1: str, refers: int | None) -> str:
-    """A whole record without the line ends that close it."""
-    digest = base64.b32encode(bytes.fromhex(sha1)).decode()
-    n = len(payload.encode())
-    block = _HTTP if refers is not None else _HTTP + payload
-    lines = [
-        "WARC/1.1",
-        f"WARC-Type: {'response' if refers is None else 'revisit'}",
-        f"WARC-Record-ID: {_record_id(page)}",
-        f"WARC-Date: {DATE}",
-        *([f"WARC-Target-URI: {_clean(url)}"] if url else []),
-        *([f"WARC-Refers-To: {_record_id(refers)}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"] if refers is not None else []),
-        f"WARC-Payload-Digest: sha1:{digest}",
-        f"WARC-Payload-Length: {n}",
-        "Content-Type: application/http; msgtype=response",
-        f"Content-Length: {len(block.encode())}",
-    ]
-    return "\r\n".join(lines) + "\r\n\r\n" + block
-
-
-def _records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        yield pd.DataFrame(
-            {
-                "value": [
-                    record_text(None if pd.isna(p) else int(p), u if isinstance(u, str) else None, h if isinstance(h, str) else "", d, None if pd.isna(r) else int(r))
-                    for p, u, h, d, r in zip(b["page_id"], b["url"], b["html"], b["sha1"], b["refers_to"], strict=True)
-                ]
-            }
-        )
+def base32(hexadecimal: Column) -> Column:
+    """Of 40 hexadecimal digits: five digits are four letters."""
+
+    def letters(group: Column) -> Column:
+        at = [F.shiftright(group, 5 * (3 - k)).bitwiseAND(F.lit(31)) + 1 for k in range(4)]
+        return F.concat(*[F.substring(F.lit(_ALPHABET), x, F.lit(1)) for x in at])
+
+    groups = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.conv(F.substring(hexadecimal, k * 5 + 1, F.lit(5)), 16, 10).cast("int"))
+    return F.array_join(F.transform(groups, letters), "")
+
+
+def _clean(url: Column) -> Column:
+    """Without the characters that would end a header line."""
+    out = url
+    for c in ("\r", "\n", " ", "\t", "\0"):
+        out = F.replace(out, F.lit(c), F.lit(f"%{ord(c):02X}"))
+    return out
+
+
+def record_text() -> Column:
+    """A whole record of a row (page_id, url, html, sha1, n, refers_to), without the line ends that close it."""
+    line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
+    page = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit(">"))
+    revisit = F.col("refers_to").isNotNull()
+    length = F.when(revisit, F.lit(0)).otherwise(F.col("n")) + len(_HTTP)
+    return F.concat(
+        F.lit("WARC/1.1\r\n"),
+        line("WARC-Type", F.when(revisit, F.lit("revisit")).otherwise(F.lit("response"))),
+        line("WARC-Record-ID", page("page_id")),
+        line("WARC-Date", F.lit(DATE)),
+        F.when(F.coalesce(F.col("url"), F.lit("")) == "", F.lit("")).otherwise(line("WARC-Target-URI", _clean(F.col("url")))),
+        F.when(revisit, F.concat(line("WARC-Refers-To", page("refers_to")), line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")))).otherwise(F.lit("")),
+        line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), base32(F.col("sha1")))),
+        line("WARC-Payload-Length", F.col("n").cast("string")),
+        line("Content-Type", F.lit("application/http; msgtype=response")),
+        line("Content-Length", length.cast("string")),
+        F.lit(f"\r\n{_HTTP}"),
+        F.when(revisit, F.lit("")).otherwise(F.col("html")),
+    )
 
 
 def write_warc(pages: DataFrame, path: str, file_bytes: int = FILE_BYTES, revisit_bytes: int = REVISIT_BYTES) -> None:
@@ -97,11 +101,15 @@ def write_warc(pages: DataFrame, path: str, file_bytes: int = FILE_BYTES, revisi
     rows = pages.select("page_id", "url", html.alias("html"), F.sha1(html.cast("binary")).alias("sha1"), F.octet_length(html).alias("n"))
     known = rows.select("page_id", "sha1", "n")
     latest = known.filter(F.col("n") >= revisit_bytes).groupBy("sha1", "n").agg(F.max("page_id").alias("latest"), F.count("*").alias("k")).filter("k > 1").drop("k")
-    named = rows.join(latest, ["sha1", "n"], "left").withColumn("refers_to", F.when(F.col("page_id") < F.col("latest"), F.col("latest")))
+    # Only revisits are joined, so that payloads needn't move: broadcast while they are few.
+    scratch = Scratch(pages.sparkSession, "revisits")
+    again = known.join(latest, ["sha1", "n"]).filter("page_id < latest").select("page_id", "sha1", "n", F.col("latest").alias("refers_to")).distinct()
+    again = scratch.write(again, "revisits")
+    again = F.broadcast(again) if again.limit(BROADCAST_REVISITS + 1).count() <= BROADCAST_REVISITS else again
+    named = rows.join(again, ["page_id", "sha1", "n"], "left")
     total, count = known.agg(F.sum("n"), F.count("*")).first()
     per_file = max(1, min(1_000_000, int(file_bytes / (max(1, total or 0) / max(1, count) + 600))))
-    text = named.select("page_id", "url", "html", "sha1", "refers_to").mapInPandas(_records, "value string")
-    text.write.mode("overwrite").option("lineSep", _END.decode()).option("maxRecordsPerFile", per_file).text(path)
+    named.select(record_text().alias("value")).write.mode("overwrite").option("lineSep", _END.decode()).option("maxRecordsPerFile", per_file).text(path)
 
 
 def _parse_plain(data: bytes, at: int) -> tuple[dict, int] | str:
@@ -197,11 +205,13 @@ def _read(with_payload: bool):
         for b in batches:
             for path, content in zip(b["path"], b["content"], strict=True):
                 found = []
+                held = 0
                 for r in salvage(content):
                     found.append({**r, "file": path} | ({} if with_payload else {"payload": None}))
-                    if len(found) >= 1000:
+                    held += r["length"] if with_payload else 0
+                    if len(found) >= 1000 or held >= 1 << 20:
                         yield _frame(found)
-                        found = []
+                        found, held = [], 0
                 if found:
                     yield _frame(found)
 
