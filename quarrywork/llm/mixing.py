@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from quarrywork.llm.exprs import text_or_empty
+from quarrywork.llm.exprs import space_words, text_or_empty
 
 MAX_SOURCES = 1_000_000
 MAX_REPEATS = 3
@@ -41,7 +41,7 @@ ADDED = ("size", "source_size", "target", "taken")
 
 def n_words(text: str) -> Column:
     """Runs of anything but ASCII white space."""
-    return F.regexp_count(text_or_empty(text), F.lit(r"[^\x20\x09-\x0D]+")).cast("bigint")
+    return F.size(space_words(text_or_empty(text))).cast("bigint")
 
 
 def weights(n: int) -> list[int]:
@@ -51,7 +51,7 @@ def weights(n: int) -> list[int]:
 
 def targets(sizes: list[int], shares: list[float], limit: float = MAX_REPEATS) -> list[float]:
     """Shares of the sizes' sum; no more than limit times a source's size, the excess shared again by weight until none is above."""
-    total, caps = float(sum(sizes)), [limit * s for s in sizes]
+    total, caps = float(sum(sizes)), [float(limit * s) for s in sizes]
     out, open_ = [0.0] * len(sizes), [k for k in range(len(sizes)) if caps[k] > 0]
     left = min(total, float(sum(caps)))
     while open_:
