@@ -207,9 +207,11 @@ def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     own = mcd_distances(passing, STATISTICS, ["_g"], scratch, small)
     pooled = mcd_distances(passing.withColumn("_g", F.lit("")), STATISTICS, ["_g"], Scratch(docs.sparkSession, "pooled"), True)
     own = own.filter(F.col("n") >= MIN_GROUP).select("_g", "g", "scale")
-    one = pooled.select(F.col("g").alias("_pg"), F.col("scale").alias("_ps"))
-    joined = rows.join(F.broadcast(own) if small else own, "_g", "left").join(F.broadcast(one), F.lit(True), "left")
-    joined = joined.withColumns({"g": F.coalesce("g", "_pg"), "scale": F.coalesce("scale", "_ps")}).drop("_pg", "_ps")
+    one = pooled.select("g", "scale").first()  # one row: the estimate of all
+    joined = rows.join(F.broadcast(own) if small else own, "_g", "left")
+    if one:
+        whole = F.struct(*[F.lit(v).alias(k) for k, v in one.g.asDict().items()])
+        joined = joined.withColumns({"g": F.coalesce("g", whole), "scale": F.coalesce("scale", F.lit(one.scale))})
     far = _distance(joined, STATISTICS).withColumn("distance", F.col("dist2") * F.col("scale"))
     return far.select(
         F.col("_key").alias(key),
