@@ -108,7 +108,7 @@ def _sample(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _repeated(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Of rows sorted by h, those whose h another row has; a task's first and last h always, as it may go on elsewhere."""
-    held, first = None, True
+    held, known = None, True
     for b in batches:
         if held is not None:
             b = pd.concat([held, b], ignore_index=True)
@@ -119,16 +119,14 @@ def _repeated(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         same = h[1:] == h[:-1]
         keep[1:] |= same
         keep[:-1] |= same
-        if first:
-            keep |= h == h[0]
-            first = False
+        keep[0] |= known  # the first of all, or held back from a group that is to stay
         tail = int(np.searchsorted(h, h[-1]))
         yield b.iloc[:tail][keep[:tail]]
         held = b.iloc[tail:]
-        if len(held) > 1:  # repeated for certain
+        known = len(held) > 1 or (known and tail == 0)
+        if len(held) > 1:
             yield held.iloc[:-1]
             held = held.iloc[-1:]
-            first = False
     if held is not None:
         yield held
 

@@ -73,3 +73,17 @@ def test_every_window_has_one_anchor(seed, letters):
     covered = sorted(q for a, b in zip(first.tolist(), last.tolist(), strict=True) for q in range(a, b + 1))
     assert covered == [q for e, t in zip(ends.tolist(), texts, strict=True) for q in range(e - len(t), e - S.LENGTH + 1)]
     assert all(a <= p <= a + S.WINDOW - 1 and p >= b for p, a, b in zip(pos.tolist(), first.tolist(), last.tolist(), strict=True)) or all(b <= p for p, b in zip(pos.tolist(), last.tolist(), strict=True))
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(0, 6), max_size=40), st.integers(1, 7))
+def test_repeated_rows_survive_batch_borders(values, size):
+    """In any cut into batches: rows of values that occur twice, and those of the first and the last value."""
+    import pandas as pd
+
+    h = sorted(values)
+    df = pd.DataFrame({"h": np.array(h, np.int64), "t": np.arange(len(h)), "p": np.arange(len(h))})
+    out = list(S._repeated(iter([df.iloc[k : k + size] for k in range(0, len(h), size)])))
+    got = sorted(t for o in out for t in o["t"])
+    n = Counter(h)
+    assert got == [k for k, x in enumerate(h) if n[x] > 1 or x in (h[0], h[-1])]
