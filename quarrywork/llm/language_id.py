@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from quarrywork.llm.wordhash import mix, steps
+from quarrywork.llm.workers import lean
 
 SAMPLE_TEXTS = 4000
 TOP_GRAMS = 50_000
@@ -101,7 +102,7 @@ def _count(languages: list[str]):
         for batch in batches:
             for name, part in batch.groupby("lang"):
                 texts = part["text"].tolist()
-                for a, b in steps([len(t) for t in texts], 4 << 20):
+                for a, b in steps([len(t) for t in texts], 1 << 20):
                     keys, n = np.unique(_grams(texts[a:b])[0], return_counts=True)
                     yield pd.DataFrame({"lang": np.int32(at[name]), "gram": keys.view(np.int64), "n": n.astype(np.int64)})
 
@@ -123,7 +124,7 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str
     for name, n in counts:
         chosen = chosen | ((F.col(lang) == name) & (part < int(1_000_000 * min(1.0, sample_texts / n))))
     sample = rows.filter(chosen).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
-    grams = sample.mapInPandas(_count(names), "lang int, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    grams = sample.mapInPandas(lean(_count(names)), "lang int, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     rate = F.col("n") / F.sum("n").over(W.partitionBy("lang"))
     rated = grams.withColumn("rate", rate).filter(F.col("n") >= MIN_COUNT)
     common = rated.withColumn("top", F.max("rate").over(W.partitionBy("gram"))).filter(F.col("rate") >= SHARE * F.col("top"))
@@ -158,7 +159,7 @@ def held_out(key: Column) -> Column:
 def predict(docs: DataFrame, filters: Filters, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, lang_pred, score)."""
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias(key), F.col(text).alias("_text")).mapInPandas(_predict(filters), f"`{key}` {kind}, lang_pred string, score double")
+    return docs.select(F.col(key).alias(key), F.col(text).alias("_text")).mapInPandas(lean(_predict(filters)), f"`{key}` {kind}, lang_pred string, score double")
 
 
 #: Least share of a text's n-grams that its language must contain, for keep_known.
@@ -175,7 +176,7 @@ def keep_known(docs: DataFrame, least_score: float = LEAST_SCORE, key: str = "do
             names, scores = filters.predict([t if isinstance(t, str) else "" for t in batch[text]])
             yield batch[[n != UNKNOWN and s >= least_score for n, s in zip(names, scores, strict=True)]]
 
-    return docs.mapInPandas(run, schema)
+    return docs.mapInPandas(lean(run), schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

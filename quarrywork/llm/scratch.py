@@ -12,6 +12,7 @@ import atexit
 import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,6 +37,22 @@ def _delete(spark: SparkSession, path: str) -> None:
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: Rows of texts or sets are large; Spark's default of 10,000 in a batch would be held several times over.
+BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+@contextlib.contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    """Smaller Arrow batches for one action; the session's own setting after it."""
+    before = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, str(min(BATCH_ROWS, int(before)) if int(before) > 0 else BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH, before)
+
+
 class Scratch:
     """A folder for one run of an operator."""
 
@@ -47,8 +64,12 @@ class Scratch:
     def write(self, df: DataFrame, name: str, codec: str = "zstd", group_mb: int = 128) -> DataFrame:
         """Writes df as Parquet and returns the written table. group_mb: the row groups, smaller for rows of large values."""
         path = f"{self.path}/{name}"
-        df.write.mode("overwrite").option("compression", codec).option("parquet.block.size", str(group_mb << 20)).parquet(path)
+        with _small_batches(self.spark):
+            self._save(df, path, codec, group_mb)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def _save(self, df: DataFrame, path: str, codec: str, group_mb: int) -> None:
+        df.write.mode("overwrite").option("compression", codec).option("parquet.block.size", str(group_mb << 20)).parquet(path)
+
     def drop(self, name: str = "") -> None:
         _delete(self.spark, f"{self.path}/{name}" if name else self.path)

@@ -46,6 +46,7 @@ from pyspark.sql import functions as F
 
 from quarrywork.llm.scratch import Scratch
 from quarrywork.llm.wordhash import _CODE, mix, powers, steps
+from quarrywork.llm.workers import lean
 
 LENGTH, GRAM = 200, 32
 WINDOW = LENGTH - GRAM + 1
@@ -95,7 +96,7 @@ def _pieces(text: bytes) -> Iterator[tuple[int, bytes]]:
 def _sample(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         pieces = [(t, at, p) for t, text in zip(batch["t"], batch["text"], strict=True) for at, p in _pieces(text.encode())]
-        for i, j in steps([len(p) for _, _, p in pieces], PIECE):
+        for i, j in steps([len(p) for _, _, p in pieces]):
             part = pieces[i:j]
             ends = np.cumsum([len(p) for _, _, p in part])
             pos, gram, a, b = anchors(b"".join(p for _, _, p in part), ends)
@@ -278,17 +279,17 @@ def _compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def find_repeats(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """(t, n, spans): for each text with repeated windows, by its hash and length, the byte ranges to remove, in no order. docs: (doc_id, t, n, text) of LENGTH bytes or more."""
-    sampled = scratch.write(docs.select("t", "text").mapInPandas(_sample, "h bigint, t bigint, p bigint"), "anchors")
+    sampled = scratch.write(docs.select("t", "text").mapInPandas(lean(_sample), "h bigint, t bigint, p bigint"), "anchors")
     ordered = sampled.distinct().repartitionByRange("h", "t", "p").sortWithinPartitions("h")
-    again = scratch.write(ordered.mapInPandas(_repeated, "h bigint, t bigint, p bigint"), "repeated")
+    again = scratch.write(ordered.mapInPandas(lean(_repeated), "h bigint, t bigint, p bigint"), "repeated")
     scratch.drop("anchors")
     by_text = again.groupBy("t").agg(F.collect_list(F.struct("h", "p")).alias("found"))
     one = docs.groupBy("t").agg(F.min(F.struct("n", "doc_id")).alias("one")).select("t", "one.n", "one.doc_id")
     chosen = by_text.join(one, "t").withColumnsRenamed({"t": "_t", "n": "_n", "doc_id": "_d"})
     texts = docs.join(chosen, (docs["t"] == chosen["_t"]) & docs["doc_id"].eqNullSafe(chosen["_d"])).select("t", "text", "found")
-    cut = scratch.write(texts.mapInPandas(_cut, "h bigint, suffix binary, before binary, t bigint, p bigint"), "suffixes")
+    cut = scratch.write(texts.mapInPandas(lean(_cut), "h bigint, suffix binary, before binary, t bigint, p bigint"), "suffixes")
     bucketed = cut.repartitionByRange("h", "suffix", "before", "t").sortWithinPartitions("h")
-    found = scratch.write(bucketed.mapInPandas(_compare, "w bigint, n bigint, t bigint, s bigint, e bigint"), "spans")
+    found = scratch.write(bucketed.mapInPandas(lean(_compare), "w bigint, n bigint, t bigint, s bigint, e bigint"), "spans")
     scratch.drop("suffixes")
     opened = found.filter("w IS NOT NULL")
     shared = opened.groupBy("w").agg(F.sum("n").alias("all")).filter("all > 1")
@@ -344,8 +345,8 @@ def remove_repeats(docs: DataFrame, digest: bool = False, key: str = "doc_id", t
     per_text = copies.join(spans, "t", "left").filter("copies > 1 OR spans IS NOT NULL")
     joined = named.join(per_text, ["t", "n"], "left").select("doc_id", "text", "n", F.coalesce("copies", F.lit(1)).alias("copies"), F.when(F.col("copies") > 1, None).otherwise(F.col("spans")).alias("spans"))
     name = "kept_sha256" if digest else "kept_text"
-    out = joined.mapInPandas(_finish(digest), f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, last string")
-    return out.withColumnsRenamed({"doc_id": key, "last": name})
+    out = joined.mapInPandas(lean(_finish(digest)), f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, last string")
+    return scratch.write(out.withColumnsRenamed({"doc_id": key, "last": name}), "result")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -32,10 +32,11 @@ from pyspark.sql import Window as W
 
 from quarrywork.llm import rans
 from quarrywork.llm.scratch import Scratch
+from quarrywork.llm.workers import lean
 
 BLOCK_TOKENS = 1 << 17
 #: Distinct words a worker remembers, bits of its hash table, and bytes of text encoded at a time.
-CACHE_WORDS, TABLE_BITS, STEP_BYTES = 1_500_000, 22, 1 << 20
+CACHE_WORDS, TABLE_BITS, STEP_BYTES = 750_000, 21, 1 << 19
 _encoders: dict[str, WordEncoder] = {}
 #: Letters under it are as normalisation leaves them and have one-letter lower-case forms.
 _PLAIN = "\u0130"
@@ -279,15 +280,15 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
     scratch = Scratch(spark, "tokens")
     kind = docs.schema[key].dataType.simpleString()
     ordered = docs.select(key, text).repartitionByRange(F.col(key).asc_nulls_first()).sortWithinPartitions(F.col(key).asc_nulls_first(), F.col(text).asc_nulls_first())
-    tokens = scratch.write(ordered.mapInPandas(_tokenise(tokenizer_path, end_id, key, text), f"shard int, seq bigint, doc_id {kind}, width int, ids binary"), "ids", group_mb=32)
-    counted = tokens.select("width", "ids").mapInPandas(_count, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
+    tokens = scratch.write(ordered.mapInPandas(lean(_tokenise(tokenizer_path, end_id, key, text)), f"shard int, seq bigint, doc_id {kind}, width int, ids binary"), "ids", group_mb=32)
+    counted = tokens.select("width", "ids").mapInPandas(lean(_count), "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
     found = counted.collect()  # at most a row for each id of the vocabulary
     counts = np.zeros(max([0, *(r.id + 1 for r in found)]), np.int64)
     for r in found:
         counts[r.id] = r.n
     freqs = rans.quantise(counts).astype("<u4").tobytes()
     spark.createDataFrame([(bytearray(freqs),)], "freqs binary").coalesce(1).write.mode("overwrite").parquet(f"{path}/table")
-    blocks = tokens.mapInPandas(_block(freqs), f"shard int, seq bigint, n_tokens bigint, doc_ids array<{kind}>, lengths array<int>, block binary")
+    blocks = tokens.mapInPandas(lean(_block(freqs)), f"shard int, seq bigint, n_tokens bigint, doc_ids array<{kind}>, lengths array<int>, block binary")
     blocks.write.mode("overwrite").option("compression", "none").option("parquet.block.size", str(16 << 20)).parquet(f"{path}/blocks")
     scratch.drop()
 
@@ -314,9 +315,9 @@ def read_tokens(spark: SparkSession, path: str, digest: bool = False) -> DataFra
     within = F.coalesce(F.sum("n_tokens").over(W.partitionBy("shard").orderBy("seq").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     offsets = sizes.withColumn("within", within).join(shards.select("shard", "before"), "shard").select("shard", "seq", (F.col("before") + F.col("within")).alias("base"))
     if digest:
-        docs = blocks.mapInPandas(_digest(freqs), f"shard int, seq bigint, doc_id {kind}, at bigint, n_tokens bigint, ids_crc32 bigint")
+        docs = blocks.mapInPandas(lean(_digest(freqs)), f"shard int, seq bigint, doc_id {kind}, at bigint, n_tokens bigint, ids_crc32 bigint")
     else:
-        docs = blocks.mapInPandas(_read(freqs), f"shard int, seq bigint, doc_id {kind}, at bigint, ids binary").withColumn("n_tokens", (F.octet_length("ids") / 4).cast("bigint"))
+        docs = blocks.mapInPandas(lean(_read(freqs)), f"shard int, seq bigint, doc_id {kind}, at bigint, ids binary").withColumn("n_tokens", (F.octet_length("ids") / 4).cast("bigint"))
     return docs.join(offsets, ["shard", "seq"]).select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32" if digest else "ids")
 
 

@@ -33,6 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrywork.llm.scratch import Scratch
+from quarrywork.llm.workers import lean
 
 FILE_BYTES = 16 << 20
 #: Payloads under so many bytes are never revisits.
@@ -228,7 +229,7 @@ def _frame(records: list[dict]) -> pd.DataFrame:
 def read_warc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
     """Records (kind "record") and quarantined byte ranges (kind "gap") of the archives under path. An archive is one row on its way, so of 2 GB at most."""
     files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInPandas(_read(payload), RECORD)
+    return files.mapInPandas(lean(_read(payload)), RECORD)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

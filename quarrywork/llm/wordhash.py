@@ -31,7 +31,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def steps(sizes: list[int], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def steps(sizes: list[int], most: int = 1 << 19) -> Iterator[tuple[int, int]]:
     """Ranges of neighbours with about that size together."""
     first = held = 0
     for k, n in enumerate(sizes):
