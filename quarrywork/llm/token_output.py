@@ -36,7 +36,7 @@ from quarrywork.llm.workers import lean
 
 BLOCK_TOKENS = 1 << 17
 #: Distinct words a worker remembers, bits of its hash table, and bytes of text encoded at a time.
-CACHE_WORDS, TABLE_BITS, STEP_BYTES = 750_000, 21, 1 << 19
+CACHE_WORDS, TABLE_BITS, STEP_BYTES = 1_500_000, 22, 1 << 19
 _encoders: dict[str, WordEncoder] = {}
 #: Letters under it are as normalisation leaves them and have one-letter lower-case forms.
 _PLAIN = "\u0130"
