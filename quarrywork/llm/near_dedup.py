@@ -16,7 +16,9 @@
    class's most similar and its first likely one are verified on the full sets;
    their links make components. Then, in each region, every two components meet
    once more, all members against all on the full sets, so that nothing hangs on
-   which candidates were chosen. Neither step makes a row for each pair.
+   which candidates were chosen: a region of any size is dealt into cells, in
+   which every block of rows outside its largest component meets every block of
+   all its rows. Neither step makes a row for each pair.
    Components are built with star contractions.
 
 A pair at similarity 0.8 misses all TREES regions with probability
@@ -51,6 +53,8 @@ TREES, DEPTH = 24, 4
 HASHES = TREES * DEPTH
 LEAST_EQUAL = 58
 SMALL, LEADERS, CHUNK = 16, 64, 2048
+#: Rows, and bytes of sets, in a block of the last comparison.
+BLOCK_ROWS, BLOCK_BYTES = 8192, 16 << 20
 #: Equal hashes of 96 at which a class joins a leader's flock and leads none itself.
 FLOCK = 80
 #: And at which a pair is likely to pass.
@@ -282,77 +286,98 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b").join(a, "a").join(b, "b").select("a", "b", "sa", "sb").mapInPandas(lean(_verify(percent)), "a bigint, b bigint")
 
 
-def _whole_regions(batches: Iterator[pd.DataFrame], most: int, weight: str | None = None) -> Iterator[pd.DataFrame]:
-    """Regions of two rows or more, from rows sorted by region; one of over most rows (or bytes of the column weight) in parts."""
+def _cells(rows: DataFrame, weight: str, most: int) -> DataFrame:
+    """rows (region, node, component and more) with the columns cell and side: each copied to the cells in which its region's components meet.
+
+    A region's rows fall into blocks of about most in the column weight, and those
+    outside its most frequent component (minor ones) into blocks of their own. Each
+    block of minor rows meets each block of all rows in a cell: side has bit 1 for
+    the former and bit 2 for the latter. So any two rows of different components
+    meet, wherever they lie, and a cell doesn't grow with its region.
+    """
+    sums = rows.groupBy("region", "component").agg(F.count("*").alias("k"), F.sum(weight).alias("w"))
+    regions = sums.groupBy("region").agg(F.count("*").alias("parts"), F.sum("w").alias("w"), F.max(F.struct("k", "component", "w")).alias("top")).filter("parts > 1")
+    blocks = lambda w: F.greatest(F.ceil(w / most), F.lit(1)).cast("int")
+    sizes = regions.select("region", F.col("top.component").alias("_top"), blocks(F.col("w") - F.col("top.w")).alias("_minors"), blocks(F.col("w")).alias("_all"))
+    minor, h = F.col("component") != F.col("_top"), F.xxhash64("node")
+    i, j = F.pmod(h, F.col("_minors")).cast("int"), F.pmod(h, F.col("_all")).cast("int")
+    cell = lambda i, j, side: F.struct(F.xxhash64("region", i, j).alias("cell"), side.alias("side"))
+    right = F.transform(F.sequence(F.lit(0), F.col("_minors") - 1), lambda x: cell(x, j, F.when(minor & (x == i), 3).otherwise(2)))
+    left = F.transform(F.filter(F.sequence(F.lit(0), F.col("_all") - 1), lambda x: minor & (x != j)), lambda x: cell(i, x, F.lit(1)))
+    return rows.join(sizes, "region").select(*rows.columns, F.explode(F.concat(right, left)).alias("_c")).select(*rows.columns, "_c.cell", "_c.side")
+
+
+def _dealt(cells: DataFrame) -> DataFrame:
+    """A cell's rows side by side in one task."""
+    return cells.repartition("cell").sortWithinPartitions("cell")
+
+
+def _whole_cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Cells of two rows or more, the rows of their right side first, from rows sorted by cell."""
+
+    def whole(parts: list[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        if sum(map(len, parts)) > 1:
+            rows = pd.concat(parts, ignore_index=True) if len(parts) > 1 else parts[0]
+            yield rows.iloc[np.argsort(rows["side"].to_numpy() == 1, kind="stable")]
+
     held: list[pd.DataFrame] = []
-    size = 0
     for b in batches:
-        r = b["region"].to_numpy()
+        r = b["cell"].to_numpy()
         cuts = [0, *(np.flatnonzero(np.diff(r)) + 1).tolist(), len(r)] if len(r) else []
         for i, j in zip(cuts[:-1], cuts[1:], strict=True):
-            part = b.iloc[i:j]
-            if held and (held[0]["region"].iloc[0] != r[i] or size >= most):
-                if sum(map(len, held)) > 1:
-                    yield pd.concat(held, ignore_index=True) if len(held) > 1 else held[0]
-                held, size = [], 0
-            held.append(part)
-            size += int(part[weight].map(len).sum()) if weight else len(part)
-    if sum(map(len, held)) > 1:
-        yield pd.concat(held, ignore_index=True) if len(held) > 1 else held[0]
-
-
-def _minor(component: np.ndarray) -> np.ndarray:
-    """Rows outside the most frequent component."""
-    _, inverse, counts = np.unique(component, return_inverse=True, return_counts=True)
-    return np.flatnonzero(inverse != counts.argmax())
+            if held and held[0]["cell"].iloc[0] != r[i]:
+                yield from whole(held)
+                held = []
+            held.append(b.iloc[i:j])
+    yield from whole(held)
 
 
 def _live(percent: int):
-    """Of rows sorted by region: those with a partner of another component that sizes and signatures allow."""
+    """Of rows sorted by cell: those with a partner of another component that sizes and signatures allow."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in _whole_regions(batches, CHUNK * 4):
-            component, size = rows["component"].to_numpy(), rows["n"].to_numpy()
-            minor = _minor(component)
-            if not len(minor):
-                continue
+        for rows in _whole_cells(batches):
+            component, size, side = (rows[c].to_numpy() for c in ("component", "n", "side"))
+            right = int((side != 1).sum())
             sig = np.frombuffer(b"".join(rows["sig"]), np.uint8).reshape(len(rows), HASHES)
             live = np.zeros(len(rows), bool)
-            for x in minor.tolist():
-                ok = (component != component[x]) & (np.minimum(size, size[x]) * 100 >= percent * np.maximum(size, size[x]))
+            for x in np.flatnonzero(side != 2).tolist():
+                n = size[:right]
+                ok = (component[:right] != component[x]) & (np.minimum(n, size[x]) * 100 >= percent * np.maximum(n, size[x]))
                 at = np.flatnonzero(ok)
                 at = at[(sig[at] == sig[x]).sum(axis=1) >= LEAST_EQUAL]
                 if len(at):
                     live[x] = True
                     live[at] = True
             if live.any():
-                yield rows.loc[live, ["region", "node", "component"]]
+                yield rows.loc[live, ["region", "node", "component", "n"]]
 
     return run
 
 
 def _exact(percent: int):
-    """Links (u, v) between components, from rows sorted by region: the full sets of every two of a region's components meet."""
+    """Links (u, v) between components, from rows sorted by cell: the full sets of its two sides meet."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in _whole_regions(batches, 32 << 20, "s"):
-            node, component = rows["node"].to_numpy(), rows["component"].to_numpy().copy()
-            minor = _minor(component)
-            if not len(minor):
+        for rows in _whole_cells(batches):
+            node, component, side = rows["node"].to_numpy(), rows["component"].to_numpy().copy(), rows["side"].to_numpy()
+            right, left = int((side != 1).sum()), np.flatnonzero(side != 2)
+            if not right or not len(left):
                 continue
             sets = [np.frombuffer(x, np.uint64) for x in rows["s"]]
             size = np.fromiter(map(len, sets), np.int64, len(sets))
             _, code = np.unique(np.concatenate(sets), return_inverse=True)
             ends = np.cumsum(size)
+            met, starts, n = code[: ends[right - 1]], (ends - size)[:right], size[:right]
             mark, found = np.zeros(int(code.max()) + 1, bool), []
-            for x in minor.tolist():
+            for x in left.tolist():
                 own = code[ends[x] - size[x] : ends[x]]
                 mark[own] = True
-                both = np.add.reduceat(mark[code], ends - size)
+                both = np.add.reduceat(mark[met], starts)
                 mark[own] = False
-                good = (component != component[x]) & (100 * both >= percent * (size + size[x] - both))
-                for c in np.unique(component[good]).tolist():
-                    y = int(np.flatnonzero(good & (component == c))[0])
+                good = (component[:right] != component[x]) & (100 * both >= percent * (n + size[x] - both))
+                for c in np.unique(component[:right][good]).tolist():
+                    y = int(np.flatnonzero(good & (component[:right] == c))[0])
                     found.append((node[x], node[y]))
                     component[component == c] = component[x]
             if found:
@@ -361,6 +386,17 @@ def _exact(percent: int):
     return run
 
 
+def _bridges(labels: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """Links (u, v) between the components of a region. labels: (region, node, tree, component)."""
+    mixed = labels.groupBy("region").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("region")
+    sig = F.concat(F.expr(f"substring(sig, tree * {DEPTH} + 1)"), F.expr(f"substring(sig, 1, tree * {DEPTH})"))
+    rows = scratch.write(labels.join(mixed, "region").withColumn("one", F.lit(1)), "mixed")
+    cells = _cells(rows, "one", BLOCK_ROWS).join(nodes.select("node", "n", "sig"), "node").select("cell", "side", "region", sig.alias("sig"), "node", "n", "component")
+    live = scratch.write(_dealt(cells).mapInPandas(lean(_live(percent)), "region bigint, node bigint, component bigint, n int").distinct(), "live")
+    full = _cells(live.withColumn("bytes", F.col("n").cast("bigint") * 8), "bytes", BLOCK_BYTES).join(sets, "node").select("cell", "side", "node", "component", "s")
+    return scratch.write(_dealt(full).mapInPandas(lean(_exact(percent)), "u bigint, v bigint").distinct(), "bridges")
+
+
 def _strong(pairs: DataFrame) -> DataFrame:
     """For each class its most similar partner, and the first of the likely ones: the links that join components soonest."""
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "equal"))
@@ -388,7 +424,9 @@ def find_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, key: s
     trees = crowded.select("region", "tree").distinct()
     again = _regions_to_pairs(edge.join(lone, "region").join(trees, "region").select("region", "node", "tree").distinct(), nodes, percent)
     pairs = scratch.write(found.filter("b IS NOT NULL").unionByName(again.filter("b IS NOT NULL")).groupBy("a", "b").agg(F.max("equal").alias("equal")), "pairs")
-    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(found.filter("equal = -1").select(F.col("a").alias("node"))).distinct()
+    # The sets of all that may be compared: ends of pairs, and members of large regions and of those that lie across tasks.
+    open_ = found.filter("equal = -1").select(F.col("a").alias("node")).unionByName(crowded.join(lone, "region").select("node"))
+    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(open_).distinct()
     wanted = nodes.join(ends, "node", "left_semi").select(F.col("rep").alias("doc_id"), "node", "c")
     texts = source.join(wanted, "doc_id").select("node", "c", "text")
     sets = scratch.write(texts.mapInPandas(lean(_set_rows(shingle)), "node bigint, s binary"), "sets", group_mb=32)
@@ -396,13 +434,7 @@ def find_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, key: s
     stars = components(links, scratch, "first")
     # What is left between two components of a region.
     labels = crowded.join(stars.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").select("region", "node", "tree", F.coalesce("root", "node").alias("component"))
-    mixed = labels.groupBy("region").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("region")
-    sig = F.concat(F.expr(f"substring(sig, tree * {DEPTH} + 1)"), F.expr(f"substring(sig, 1, tree * {DEPTH})"))
-    rows = labels.join(mixed, "region").join(nodes.select("node", "n", "sig"), "node").select("region", sig.alias("sig"), "node", "n", "component")
-    ordered = rows.repartitionByRange("region", "sig", "node").sortWithinPartitions("region")
-    live = scratch.write(ordered.mapInPandas(lean(_live(percent)), "region bigint, node bigint, component bigint"), "live")
-    full = live.join(sets, "node").select("region", "node", "component", "s")
-    bridges = scratch.write(full.repartitionByRange("region", "node").sortWithinPartitions("region").mapInPandas(lean(_exact(percent)), "u bigint, v bigint").distinct(), "bridges")
+    bridges = _bridges(labels, nodes, sets, percent, scratch)
     scratch.drop("sets")
     final = components(stars.unionByName(bridges), scratch, "second")
     rooted = nodes.select("c", "node", "rep").join(final.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").withColumn("root", F.coalesce("root", "node"))

@@ -60,6 +60,46 @@ def test_large_group_of_near_copies(spark, monkeypatch):
     check(spark, rows, 2)
 
 
+def test_last_step_alone_joins_a_region_across_blocks_and_tasks(spark, monkeypatch):
+    rng = random.Random(12)
+    base = [f"w{rng.randint(0, 10**6)}" for _ in range(90)]
+    rows = []
+    for d in range(120):
+        w = list(base)
+        for _ in range(rng.randint(1, 4)):
+            w[rng.randrange(len(w))] = f"x{rng.randint(0, 10**6)}"
+        rows.append((d, " ".join(w)))
+    whole = N._regions_to_pairs
+    monkeypatch.setattr(N, "_regions_to_pairs", lambda *x: whole(*x).filter("b IS NULL"))  # no candidates
+    monkeypatch.setattr(N, "BLOCK_ROWS", 7, raising=False)
+    monkeypatch.setattr(N, "BLOCK_BYTES", 3000, raising=False)
+    check(spark, rows, 2)
+
+
+def test_ends_of_a_region_of_12000_rows_meet(spark):
+    import numpy as np
+
+    rng, m = np.random.default_rng(3), 12000
+    sig, near = rng.integers(0, 256, (m, N.HASHES)).astype(np.uint8), np.arange(50, dtype=np.uint64)
+    sig[-1] = sig[0]  # the one likely pair: the first row and the last, of two components
+    rows = [(1, k, 0, 0 if k else 1, 50, sig[k].tobytes()) for k in range(m)]
+    df = spark.createDataFrame(rows, "region bigint, node bigint, tree int, component bigint, n int, sig binary").repartition(3)
+    sets = spark.createDataFrame([(k, (near if k in (0, m - 1) else near + np.uint64(100 * k)).tobytes()) for k in range(m)], "node bigint, s binary")
+    got = N._bridges(df.select("region", "node", "tree", "component"), df.select("node", "n", "sig"), sets, 80, Scratch(spark, "ends")).collect()
+    assert {frozenset((r.u, r.v)) for r in got} == {frozenset((0, m - 1))}
+
+
+def test_components_meet_in_a_cell_whatever_the_blocks(spark):
+    rows = [(region, node, node % 5 if node % 3 else 0) for region in (1, 2) for node in range(40)] + [(3, 50, 1), (3, 51, 1)]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "region bigint, node bigint, component bigint, one int")
+    cells = {}
+    for r in N._cells(df, "one", 4).collect():
+        cells.setdefault(r.cell, []).append(r)
+    met = {(x.region, *sorted((x.node, y.node))) for c in cells.values() for x in c for y in c if x.side & 1 and y.side & 2}
+    want = {(p, *sorted((x, y))) for p, x, a in rows for q, y, b in rows if p == q and a != b}
+    assert want <= met and max(map(len, cells.values())) < 30
+
+
 def test_stage_keeps_columns_and_one_of_each_group(docs):
     kept = N.deduplicate(docs)
     ids = [r.doc_id for r in kept.collect()]
