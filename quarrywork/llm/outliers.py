@@ -2,11 +2,14 @@ r"""Quality rules with robust multivariate outliers.
 
 Base rules come first. The documents that pass them are judged by language and
 source: a minimum-covariance-determinant estimate of the transformed statistic
-vector, by concentration steps from the coordinates' medians, and rejection by
+vector, by concentration steps from several starts, and rejection by
 Mahalanobis distance. All of it is SQL functions.
 
-A concentration step keeps, in each group, the share SUPPORT of rows nearest
-the last centre, and takes their mean and covariance. The nearest rows come
+A concentration step keeps, in each group, the (n + p + 1) / 2 rows nearest
+the last centre, and takes their mean and covariance; so up to half of a group
+may be anything. The starts are the coordinates' medians, their shortest
+halves, and their lower and their upper halves; each group takes the one that
+ends with the least determinant. The nearest rows come
 from a histogram of distances (counts by group and bin, summed before the
 shuffle), so no group gathers in one task, and the result doesn't depend on
 how rows are dealt. Sums for mean and covariance are partial aggregates too.
@@ -30,6 +33,7 @@ Defined results
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,13 +45,14 @@ from quarrywork.llm.scratch import Scratch
 #: Documents' own statistics, transformed to near-symmetric ones: name, expression, least standard deviation.
 STATISTICS = ("log_words", "word_length", "symbols", "dup_lines", "repeats")
 FLOORS = {"log_words": 0.75, "word_length": 0.5, "symbols": 0.3, "dup_lines": 0.5, "repeats": 0.5}
-SUPPORT = 0.75
 STEPS = 4
 MIN_GROUP = 100
 #: The upper 1e-9 quantile of the chi-squared distribution of 5 degrees of freedom, and its median.
 CUTOFF, MEDIAN = 52.0, 4.3515
 #: Distance bins: so many for each doubling.
 BINS = 32
+#: Where the halves of a coordinate begin, among which a start takes the shortest.
+HALVES = tuple(k / 20 for k in range(11))
 BROADCAST_GROUPS = 20_000
 
 
@@ -147,30 +152,52 @@ def _bin(d2: Column) -> Column:
     return F.floor(F.log2(d2 + 1e-6) * BINS).cast("int")
 
 
-def _quantile_bins(rows: DataFrame, keys: list[str], share: float) -> DataFrame:
-    """(keys, cut): the least bin up to which that share of a group's rows lies."""
+def _half(n: Column, p: int) -> Column:
+    """The rows of n that an estimate of p coordinates rests on."""
+    return F.least(n, F.floor((n + p + 1) / 2))
+
+
+def _quantile_bins(rows: DataFrame, keys: list[str], need: Callable[[Column], Column]) -> DataFrame:
+    """(keys, cut): the least bin up to which need(n) of a group's n rows lie."""
     counts = rows.groupBy(*keys, "bin").agg(F.count("*").alias("n"))
     total, below = W.partitionBy(*keys), W.partitionBy(*keys).orderBy("bin")
     marked = counts.withColumns({"all": F.sum("n").over(total), "upto": F.sum("n").over(below)})
-    return marked.filter(F.col("upto") >= F.ceil(F.col("all") * share)).groupBy(*keys).agg(F.min("bin").alias("cut"))
+    return marked.filter(F.col("upto") >= need(F.col("all"))).groupBy(*keys).agg(F.min("bin").alias("cut"))
 
 
 def _start(rows: DataFrame, names: tuple[str, ...], keys: list[str]) -> DataFrame:
-    """Medians by a histogram of each coordinate, and a diagonal factor of the median absolute deviations by halves of the quartiles."""
+    """(keys, _start, g): centres and diagonal factors by a histogram of each coordinate.
+
+    Start 0 is the median and the quartiles' distance, start 1 the shortest half, starts 2 and 3 the lower and the upper half.
+    """
     step = {n: FLOORS[n] / 4 for n in names}
     kinds = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.floor(F.col(n) / step[n]).cast("int").alias("bin")) for i, n in enumerate(names)]))
     flat = rows.select(*keys, kinds.alias("x")).select(*keys, "x.i", "x.bin")
-    q = {share: _quantile_bins(flat, [*keys, "i"], share).withColumnRenamed("cut", f"q{int(share * 100)}") for share in (0.25, 0.5, 0.75)}
-    on = [*keys, "i"]
-    both = q[0.25].join(q[0.5], on).join(q[0.75], on)
+    counts = flat.groupBy(*keys, "i", "bin").agg(F.count("*").alias("n"))
+    total, below = W.partitionBy(*keys, "i"), W.partitionBy(*keys, "i").orderBy("bin")
+    marked = counts.withColumns({"all": F.sum("n").over(total), "upto": F.sum("n").over(below)})
+    quantile = lambda share: F.min(F.when(F.col("upto") >= F.greatest(F.ceil(F.round(F.col("all") * share, 6)), F.lit(1)), F.col("bin")))
+    shares = sorted({*HALVES, *(h + 0.5 for h in HALVES)})
+    q = marked.groupBy(*keys, "i").agg(*[quantile(x).alias(f"q{round(x * 100)}") for x in shares])
+    half = lambda h: F.struct((F.col(f"q{round(h * 100) + 50}") - F.col(f"q{round(h * 100)}")).alias("width"), F.col(f"q{round(h * 100)}").alias("low"))
+    # (centre, spread) in bins; half of a normal distribution, at its middle, is 1.349 deviations wide
+    of = lambda x: F.struct((x["low"] + x["width"] / 2 + 0.5).alias("c"), (x["width"] / 1.349).alias("l"))
+    medians = F.struct((F.col("q50") + 0.5).cast("double").alias("c"), ((F.col("q75") - F.col("q25")) / 1.349).alias("l"))
+    starts = F.array(medians, of(F.least(*[half(h) for h in HALVES])), of(half(0.0)), of(half(0.5)))
     p = range(len(names))
     width = F.element_at(F.array(*[F.lit(step[n]) for n in names]), F.col("i") + 1)
     floor = F.element_at(F.array(*[F.lit(FLOORS[n]) for n in names]), F.col("i") + 1)
-    both = both.select(*keys, "i", ((F.col("q50") + 0.5) * width).alias("c"), F.greatest(floor, (F.col("q75") - F.col("q25")) * width / 1.349).alias("l"))
+    both = q.select(*keys, "i", F.posexplode(starts).alias("_start", "x")).select(*keys, "_start", "i", (F.col("x.c") * width).alias("c"), F.greatest(floor, F.col("x.l") * width).alias("l"))
     one = lambda i, c: F.max(F.when(F.col("i") == i, F.col(c)))
-    wide = both.groupBy(*keys).agg(*[one(i, "c").alias(f"c_{i}") for i in p], *[one(i, "l").alias(f"l_{i}_{i}") for i in p])
+    wide = both.groupBy(*keys, "_start").agg(*[one(i, "c").alias(f"c_{i}") for i in p], *[one(i, "l").alias(f"l_{i}_{i}") for i in p])
     parts = [f"c_{i}" for i in p] + [(F.col(f"l_{i}_{i}") if i == j else F.lit(0.0)).alias(f"l_{i}_{j}") for i in p for j in range(i + 1)]
-    return wide.select(*keys, F.struct(*parts).alias("g"))
+    return wide.select(*keys, "_start", F.struct(*parts).alias("g"))
+
+
+def _least_determinant(groups: DataFrame, p: int, keys: list[str]) -> DataFrame:
+    """(keys, g): of a group's starts the one with the least covariance determinant."""
+    size = sum((F.log(F.col(f"g.l_{i}_{i}")) for i in range(p)), F.lit(0.0))
+    return groups.groupBy(*keys).agg(F.min(F.struct(size.alias("size"), "_start", "g")).alias("x")).select(*keys, "x.g")
 
 
 def _with_groups(rows: DataFrame, groups: DataFrame, keys: list[str], small: bool) -> DataFrame:
@@ -179,14 +206,16 @@ def _with_groups(rows: DataFrame, groups: DataFrame, keys: list[str], small: boo
 
 def mcd_distances(vectors: DataFrame, names: tuple[str, ...], keys: list[str], scratch: Scratch, small: bool) -> DataFrame:
     """(keys, g, scale, n): each group's estimate and the factor that brings its median distance to the chi-squared one."""
-    groups = scratch.write(_start(vectors, names, keys), "start")
+    groups, runs = scratch.write(_start(vectors, names, keys), "start"), [*keys, "_start"]
     for step in range(STEPS):
+        # a group has a row for each start, so the join gives each vector to every start
         near = _distance(_with_groups(vectors, groups, keys, small), names).withColumn("bin", _bin(F.col("dist2"))).drop("g")
-        cut = _quantile_bins(near, keys, SUPPORT)
-        kept = _with_groups(near, cut, keys, small).filter(F.col("bin") <= F.col("cut"))
-        groups = scratch.write(_estimate(kept.groupBy(*keys).agg(*_moments(names)), names, keys), f"step{step}").drop("n")
+        cut = _quantile_bins(near, runs, lambda n: _half(n, len(names)))
+        kept = _with_groups(near, cut, runs, small).filter(F.col("bin") <= F.col("cut"))
+        groups = scratch.write(_estimate(kept.groupBy(*runs).agg(*_moments(names)), names, runs), f"step{step}").drop("n")
+    groups = scratch.write(_least_determinant(groups, len(names), keys), "least")
     final = _distance(_with_groups(vectors, groups, keys, small), names).withColumn("bin", _bin(F.col("dist2")))
-    median = _quantile_bins(final, keys, 0.5).withColumn("scale", MEDIAN / F.pow(F.lit(2.0), (F.col("cut") + 0.5) / BINS))
+    median = _quantile_bins(final, keys, lambda n: F.ceil(n * 0.5)).withColumn("scale", MEDIAN / F.pow(F.lit(2.0), (F.col("cut") + 0.5) / BINS))
     sizes = vectors.groupBy(*keys).agg(F.count("*").alias("n"))
     return scratch.write(groups.join(median.select(*keys, F.least(F.col("scale"), F.lit(1.0)).alias("scale")), keys).join(sizes, keys), "estimates")
 

@@ -35,6 +35,14 @@ def test_outliers_go_and_clean_documents_stay(spark):
     assert kept == set(range(400))
 
 
+def test_copies_of_junk_that_are_over_a_third_of_a_group_go(spark):
+    rng = np.random.default_rng(4)
+    clean = [(k, " ".join("w" * int(x) + str(k % 7) + str(j) for j, x in enumerate(rng.integers(2, 7, 120 + k % 60))), "aa", "s", 0) for k in range(260)]
+    junk = " ".join("|##$$%%" + str(j) for j in range(150))
+    df = spark.createDataFrame(clean + [(1000 + k, junk, "aa", "s", 0) for k in range(140)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    assert {r.doc_id for r in O.judge(df).filter("kept").collect()} == set(range(260))
+
+
 def test_distance_is_the_mahalanobis_distance(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(50, 2)) @ np.array([[1.0, 0.4], [0.0, 0.7]])
