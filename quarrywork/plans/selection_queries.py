@@ -85,9 +85,11 @@ def line_diff_stats(spark, d):
 
 
 def similarity_ratio(spark, d):
-    message = F.concat(F.lit("expected:<"), F.left("before", F.lit(60)), F.lit("> but was:<"), F.left("text", F.lit(60)), F.lit(">"))
+    """The whole texts' ratio; extracted: whether a failure message of the two gives both back."""
+    message = F.concat(F.lit("expected:<"), F.col("before"), F.lit("> but was:<"), F.col("text"), F.lit(">"))
     expected, actual = diffs.expected_actual(message)
-    return _turns(spark, d).select("conv_id", "turn", F.round(diffs.similarity(expected, actual), 6).alias("ratio"))
+    extracted = F.coalesce((expected == F.col("before")) & (actual == F.col("text")), F.lit(False))
+    return _turns(spark, d).select("conv_id", "turn", F.round(diffs.similarity("before", "text"), 6).alias("ratio"), extracted.alias("extracted"))
 
 
 def python_structure(spark, d):

@@ -137,3 +137,16 @@ def test_keep_first_and_stagnation(spark):
     assert sorted((r.ord, r.code) for r in selection.keep_first(rows, F.col("code"), "ord").collect()) == [(1, "a"), (2, "b")]
     log = spark.createDataFrame([(1, k, c) for k, c in enumerate(["x", "x", "", "", "x"])], "bug int, ord int, mark string")
     assert [r.stagnant for r in selection.stagnant(log, "bug", "ord", F.col("mark")).orderBy("ord").collect()] == [False, True, False, False, False]
+
+
+def test_similarity_ratio_compares_whole_turns(spark, tmp_path):
+    from difflib import SequenceMatcher
+
+    from quarrywork.plans.selection_queries import similarity_ratio
+
+    same = "the same opening of both turns, which is longer than sixty characters, "
+    texts = [same + "then one", same + "and another > end", "[x] short", "", None]
+    spark.createDataFrame([(1, k, "user", t) for k, t in enumerate(texts)], "conv_id bigint, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r.turn: r.ratio for r in similarity_ratio(spark, str(tmp_path)).collect()}
+    want = {k: round(SequenceMatcher(None, texts[k - 1], texts[k]).ratio(), 6) for k in (1, 2, 3)}
+    assert got == {**want, 4: -1.0}
