@@ -29,7 +29,10 @@ Defined results
   null or empty text, no words   empty set, linked with nothing, kept
   fewer words than a shingle     the whole sequence is the one shingle
   null doc_id                    linked with nothing, kept, component_id null
-  repeated doc_ids               each row has its own text's component
+  repeated doc_ids               each row has its own text's component; deduplicate
+                                 tells rows of one doc_id apart by their texts, and
+                                 of a group's rows with the least doc_id keeps one
+  very long texts                whole, in batches bounded by bytes
   ties                           the smallest doc_id is kept
   empty table                    no rows
   extra columns                  ignored by find_duplicates, kept by deduplicate
@@ -106,7 +109,7 @@ def _sign(n: int):
                 for d in range(DEPTH):
                     regions = mix(regions * np.uint64(0x9E3779B97F4A7C15) + full[:, :, d])
                 low = np.array(sigs, np.uint32).astype(np.uint8)
-                yield pd.DataFrame({"doc_id": part["doc_id"].array, "n": sizes, "c": keys, "regions": list(regions.view(np.int64)), "sig": [x.tobytes() if k else None for x, k in zip(low, keys, strict=True)]})
+                yield pd.DataFrame({"doc_id": part["doc_id"].array, "t": part["t"].array, "n": sizes, "c": keys, "regions": list(regions.view(np.int64)), "sig": [x.tobytes() if k else None for x, k in zip(low, keys, strict=True)]})
 
     return run
 
@@ -405,14 +408,14 @@ def _strong(pairs: DataFrame) -> DataFrame:
     return ends.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def find_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_shingles, component_id, kept): a row for each document. percent: the least similarity, in hundredths; under 80 the trees' recall sinks."""
+def _labelled(docs: DataFrame, shingle: int, percent: int, key: str, text: str) -> DataFrame:
+    """(doc_id, t, n, c, component): a row for each document; t is a hash of its text, c its set's key, null where it is linked with nothing."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "neardup")
     kind = docs.schema[key].dataType.simpleString()
-    source = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
-    signed = scratch.write(source.mapInPandas(lean(_sign(shingle)), f"doc_id {kind}, n int, c binary, regions array<bigint>, sig binary"), "signed")
-    classes = signed.filter("c IS NOT NULL AND doc_id IS NOT NULL").groupBy("c").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("regions").alias("regions"), F.first("sig").alias("sig"))
+    source = docs.select(F.col(key).alias("doc_id"), F.xxhash64(text).alias("t"), F.col(text).alias("text"))
+    signed = scratch.write(source.mapInPandas(lean(_sign(shingle)), f"doc_id {kind}, t bigint, n int, c binary, regions array<bigint>, sig binary"), "signed")
+    classes = signed.filter("c IS NOT NULL AND doc_id IS NOT NULL").groupBy("c").agg(F.min(F.struct("doc_id", "t")).alias("rep"), F.first("n").alias("n"), F.first("regions").alias("regions"), F.first("sig").alias("sig"))
     nodes = scratch.write(classes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     grown = nodes.select("node", F.posexplode("regions").alias("tree", "region")).select("region", "node", "tree")
     ordered = grown.repartitionByRange("region", "node").sortWithinPartitions("region", "node")
@@ -427,8 +430,9 @@ def find_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, key: s
     # The sets of all that may be compared: ends of pairs, and members of large regions and of those that lie across tasks.
     open_ = found.filter("equal = -1").select(F.col("a").alias("node")).unionByName(crowded.join(lone, "region").select("node"))
     ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(open_).distinct()
-    wanted = nodes.join(ends, "node", "left_semi").select(F.col("rep").alias("doc_id"), "node", "c")
-    texts = source.join(wanted, "doc_id").select("node", "c", "text")
+    wanted = nodes.join(ends, "node", "left_semi").select("rep.doc_id", "rep.t", "node", "c")
+    # One text for each, also where its row is repeated.
+    texts = source.join(wanted, ["doc_id", "t"]).groupBy("doc_id", "t").agg(*[F.first(x).alias(x) for x in ("node", "c", "text")]).select("node", "c", "text")
     sets = scratch.write(texts.mapInPandas(lean(_set_rows(shingle)), "node bigint, s binary"), "sets", group_mb=32)
     links = scratch.write(_links(_strong(pairs), sets, percent), "links").select(F.col("a").alias("u"), F.col("b").alias("v"))
     stars = components(links, scratch, "first")
@@ -438,17 +442,38 @@ def find_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, key: s
     scratch.drop("sets")
     final = components(stars.unionByName(bridges), scratch, "second")
     rooted = nodes.select("c", "node", "rep").join(final.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = rooted.groupBy("root").agg(F.min("rep").alias("component"))
+    least = rooted.groupBy("root").agg(F.min("rep.doc_id").alias("component"))
     labelled = rooted.join(least, "root").select("c", "component")
-    rows = signed.select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("c")).alias("c")).join(labelled, "c", "left")
-    component = F.coalesce("component", "doc_id")
-    return rows.select(F.col("doc_id").alias(key), F.col("n").cast("bigint").alias("n_shingles"), component.alias("component_id"), (component.isNull() | (component == F.col("doc_id"))).alias("kept"))
+    rows = signed.select("doc_id", "t", "n", F.when(F.col("doc_id").isNotNull(), F.col("c")).alias("c")).join(labelled, "c", "left")
+    return rows.select("doc_id", "t", "n", "c", F.coalesce("component", "doc_id").alias("component"))
+
+
+def find_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, n_shingles, component_id, kept): a row for each document. percent: the least similarity, in hundredths; under 80 the trees' recall sinks."""
+    component = F.col("component")
+    kept = component.isNull() | (component == F.col("doc_id"))
+    return _labelled(docs, shingle, percent, key, text).select(F.col("doc_id").alias(key), F.col("n").cast("bigint").alias("n_shingles"), component.alias("component_id"), kept.alias("kept"))
 
 
 def deduplicate(docs: DataFrame, shingle: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of their component."""
-    gone = find_duplicates(docs, shingle, percent, key, text).filter("NOT kept").select(F.col(key).alias("_gone")).distinct()
-    return docs.join(gone, docs[key] == gone["_gone"], "left_anti")
+    """One row of docs for each component, of those with its smallest doc_id; and all rows that are linked with nothing."""
+    scratch = Scratch(docs.sparkSession, "dedup")
+    linked = _labelled(docs, shingle, percent, key, text).filter("c IS NOT NULL")
+    # Of a component's texts under its least doc_id the one with the least hash stays; every other (doc_id, text) goes.
+    texts = scratch.write(linked.groupBy("component", "doc_id", "t").agg(F.count("*").alias("k")), "texts")
+    first = texts.filter("doc_id = component").groupBy("component").agg(F.min("t").alias("t"))
+    stays = first.select(F.col("component").alias("_k"), F.col("t").alias("_t"))
+    gone = texts.select(F.col("doc_id").alias("_k"), F.col("t").alias("_t")).join(stays, ["_k", "_t"], "left_anti")
+    same = lambda other: (docs[key] == other["_k"]) & (F.xxhash64(docs[text]) == other["_t"])
+    rest = docs.join(gone, same(gone), "left_anti")
+    again = scratch.write(texts.filter("k > 1").select(F.col("doc_id").alias("_k"), F.col("t").alias("_t")).join(stays, ["_k", "_t"], "left_semi"), "again")
+    if again.isEmpty():
+        return rest
+    # Repeated rows: the one whose values have the least hash.
+    once = rest.join(again, same(again), "left_semi")
+    hashed = [c for c in docs.columns if "map<" not in docs.schema[c].dataType.simpleString()]
+    one = once.groupBy(F.col(key).alias("_k"), F.xxhash64(text).alias("_t")).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*hashed)).alias("_row")).select("_row.*")
+    return rest.join(again, same(again), "left_anti").unionByName(one)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -107,6 +107,19 @@ def test_stage_keeps_columns_and_one_of_each_group(docs):
     assert set(range(60)) <= set(ids) and not set(ids) & set(range(101, 112)) and 100 in ids and 200 not in ids and 201 not in ids
 
 
+def test_stage_with_repeated_doc_ids(spark):
+    a, other = (" ".join(f"{x}{k}" for k in range(60)) for x in "ab")
+    near = a + " more"
+    one_of = [(3, a, 1), (3, a, 1), (3, near, 2)]
+    gone = [(7, a, 3), (9, other, 5)]
+    stay = [(7, other, 4), (9, "", 6), (9, "", 6), (None, a, 7), (3, None, 8)]
+    kept = N.deduplicate(spark.createDataFrame(one_of + gone + stay, "doc_id bigint, text string, component int").repartition(3))
+    got = [tuple(r) for r in kept.collect()]
+    assert kept.columns == ["doc_id", "text", "component"]
+    left = [x for x in got if x not in stay]
+    assert sorted(map(str, (x for x in got if x in stay))) == sorted(map(str, stay)) and len(left) == 1 and left[0] in one_of
+
+
 def test_empty(empty):
     assert N.find_duplicates(empty).count() == 0
 
