@@ -1,7 +1,8 @@
 """Written intermediate tables in the folder that all executors share.
 
-``spark.checkpoint.dir`` names the folder on a cluster. Only where it is unset
-(tests, one machine) a local temporary folder is made. A written table cuts
+``spark.checkpoint.dir`` names the folder on a cluster. Where it is unset, a
+local temporary folder is made on a local master (tests, one machine); any other
+master raises, as executors would each write to a disk of their own. A written table cuts
 lineage and survives lost executors; the tables of an application go when the
 driver ends, or earlier through :meth:`Scratch.drop`.
 """
@@ -24,6 +25,8 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _local:
         _local[app] = "file://" + tempfile.mkdtemp(prefix="quarrywork-")
@@ -37,20 +40,24 @@ def _delete(spark: SparkSession, path: str) -> None:
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-#: Rows of texts or sets are large; Spark's default of 10,000 in a batch would be held several times over.
-BATCH_ROWS = 1000
-_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows of texts or sets are large; Spark's default of 10,000 in a batch would be held several times over. A batch ends at either bound.
+BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
+_BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": BATCH_ROWS, "spark.sql.execution.arrow.maxBytesPerBatch": BATCH_BYTES}
 
 
 @contextlib.contextmanager
 def _small_batches(spark: SparkSession) -> Iterator[None]:
     """Smaller Arrow batches for one action; the session's own setting after it."""
-    before = spark.conf.get(_BATCH)
-    spark.conf.set(_BATCH, str(min(BATCH_ROWS, int(before)) if int(before) > 0 else BATCH_ROWS))
+    before = {name: spark.conf.get(name) for name in _BATCH}
+    for name, most in _BATCH.items():
+        digits = before[name].rstrip("b")
+        now = int(digits) if digits.isdigit() else 0
+        spark.conf.set(name, str(min(most, now) if now > 0 else most))
     try:
         yield
     finally:
-        spark.conf.set(_BATCH, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
 
 
 class Scratch:
