@@ -9,6 +9,8 @@ from pyspark.sql import SparkSession
 
 
 def work_folder(spark: SparkSession, name: str) -> str:
-    """A new folder where all executors can write: under spark.checkpoint.dir, or a local one where that is unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    """A new folder where all executors can write: under spark.checkpoint.dir, or, on a local master, a local one where that is unset."""
+    named, master = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.master
+    if not named and (not master.startswith("local") or master.startswith("local-cluster")):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return f"{named.rstrip('/') if named else 'file://' + tempfile.mkdtemp(prefix='quarrywork-')}/{name}-{uuid.uuid4().hex[:12]}"
