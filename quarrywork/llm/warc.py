@@ -18,6 +18,9 @@ Defined results
   null url           no target header; line ends in a url are percent-encoded
   empty table        an archive without records
   extra columns      ignored
+  very long html     one record; archives of over 2 GB can't be read
+  damaged headers    lengths and ids are up to 18 ASCII digits; a record with
+                     any other is quarantined, one with another id has none
 """
 
 from __future__ import annotations
@@ -51,8 +54,12 @@ _FIELDS = [c.split()[0] for c in RECORD.split(", ")]
 
 
 def _page_of(record_id: str | None) -> int | None:
-    found = re.fullmatch(r"<urn:page:(-?\d+)>", record_id or "")
-    return int(found[1]) if found else None
+    found = re.fullmatch(r"<urn:page:(-?[0-9]{1,19})>", record_id or "")
+    return int(found[1]) if found and -(1 << 63) <= int(found[1]) < 1 << 63 else None
+
+
+def _length_of(value: str) -> int | None:
+    return int(value) if re.fullmatch("[0-9]{1,18}", value) else None
 
 
 def base32(hexadecimal: Column) -> Column:
@@ -117,19 +124,19 @@ def _parse_plain(data: bytes, at: int) -> tuple[dict, int] | str:
     """The record that begins at a place, and where the next begins; or why there is none."""
     if not _VERSION.match(data, at):
         return "version line"
-    head = data.find(_END, at)
-    if head < 0:
-        return "headers"
+    # Line by line, as the next version line has no colon: noise is scanned once, however many such lines it has.
     fields: dict[str, str] = {}
-    for line in data[at:head].split(b"\r\n")[1:]:
-        name, colon, value = line.partition(b":")
+    here = data.find(b"\r\n", at) + 2
+    while (stop := data.find(b"\r\n", here)) > here:
+        name, colon, value = data[here:stop].partition(b":")
         if not colon:
             return "headers"
         fields[name.decode("latin-1").strip().lower()] = value.decode("utf-8", "replace").strip()
-    size = fields.get("content-length", "")
-    if not size.isdigit() or not fields.get("warc-type"):
+        here = stop + 2
+    size = _length_of(fields.get("content-length", ""))
+    if stop < 0 or size is None or not fields.get("warc-type"):
         return "headers"
-    begin, end = head + len(_END), head + len(_END) + int(size)
+    begin, end = here + 2, here + 2 + size
     if data[end : end + len(_END)] != _END:
         return "record end"
     block = data[begin:end]
@@ -138,7 +145,9 @@ def _parse_plain(data: bytes, at: int) -> tuple[dict, int] | str:
     digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
     said = fields.get("warc-payload-digest", "").removeprefix("sha1:")
     if kind == "revisit":
-        n, digest, payload = int(fields.get("warc-payload-length", 0) or 0), said, None
+        n, digest, payload = _length_of(fields.get("warc-payload-length") or "0"), said, None
+        if n is None:
+            return "headers"
     elif said and said != digest:
         return "payload digest"
     else:

@@ -1,7 +1,10 @@
 import base64
 import gzip
 import hashlib
+import random
 
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quarrywork.llm import warc
@@ -83,3 +86,43 @@ def test_no_pages(spark):
 def test_base32(spark):
     row = spark.range(1).select(warc.base32(F.sha1(F.lit("abc").cast("binary"))).alias("x")).first()
     assert row.x == base64.b32encode(hashlib.sha1(b"abc").digest()).decode()
+
+
+def _revisit(page, length=b"12"):
+    return b"WARC/1.1\r\nWARC-Type: revisit\r\nWARC-Record-ID: <urn:page:%d>\r\nWARC-Payload-Length: %s\r\nContent-Length: 0\r\n\r\n\r\n\r\n" % (page, length)
+
+
+def test_lengths_that_are_no_number_are_quarantined():
+    good = [_record(k, b"payload %d" % k) for k in range(2)]
+    odd = ["abc", "²", "9" * 5000, "-1", "1_0", "+3", "٣"]
+    bad = [_revisit(7, x.encode()) for x in odd]
+    bad += [good[1].replace(b"Content-Length: ", b"Content-Length: " + x.encode()) for x in odd]
+    for record in bad:
+        data = good[0] + record + good[1]
+        found = list(warc.salvage(data))
+        _covers(data, found)
+        assert [r["page_id"] for r in found if r["kind"] == "record"] == [0, 1] and sum(r["kind"] == "gap" for r in found) == 1
+    assert warc._page_of(f"<urn:page:{1 << 63}>") is None and warc._page_of(f"<urn:page:-{1 << 63}>") == -(1 << 63)
+    assert warc._page_of("<urn:page:" + "9" * 5000 + ">") is None
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.integers(0, 2**32), st.lists(st.tuples(st.integers(0, 400), st.binary(max_size=6)), min_size=1, max_size=4))
+def test_random_damage_never_stops_the_reader(seed, damage):
+    rng = random.Random(seed)
+    records = [_record(k, b"payload %d" % k) if k % 2 else _revisit(k) for k in range(5)]
+    hurt = bytearray(records[2])
+    for at, put in damage:
+        at %= len(hurt)
+        hurt[at : at + rng.randint(0, 6)] = put
+        hurt = hurt or bytearray(b"x")
+    data = b"".join([*records[:2], bytes(hurt), *records[3:]])
+    found = list(warc.salvage(data))
+    _covers(data, found)
+    pages = [r["page_id"] for r in found if r["kind"] == "record"]
+    assert pages[:2] == [0, 1] and pages[-1:] == [4]
+
+
+def test_many_version_lines_are_scanned_once():
+    data = b"WARC/1.1\r\n" * 200_000 + _record(1, b"x")
+    assert [r["kind"] for r in warc.salvage(data)] == ["gap", "record"]
