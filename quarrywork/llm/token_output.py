@@ -11,6 +11,7 @@ executor leaves no half-written one.
 Defined results
   null or empty text   the end id alone
   null doc_id          before all others
+  doc_id               of any type that has an order; whole numbers exact
   repeated doc_ids     kept, in the order of their ids' bytes
   very long text       one block of its own at most; never cut
   empty table          no blocks
@@ -22,13 +23,14 @@ from __future__ import annotations
 import itertools
 import os
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.types import IntegralType
 
 from quarrywork.llm import rans
 from quarrywork.llm.scratch import Scratch
@@ -242,7 +244,9 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame({"id": seen.astype(np.int64), "n": total[seen].astype(np.int64)})
 
 
-def _block(freqs: bytes):
+def _block(freqs: bytes, whole: Callable):
+    """whole makes a key of a doc_id of the token table."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table = rans.Table(np.frombuffer(freqs, "<u4"))
         held: list[tuple] = []
@@ -254,7 +258,7 @@ def _block(freqs: bytes):
                     "shard": [np.int32(held[0][0])],
                     "seq": [held[0][1]],
                     "n_tokens": [len(ids)],
-                    "doc_ids": [[None if pd.isna(x[2]) else int(x[2]) for x in held]],
+                    "doc_ids": [[None if pd.isna(x[2]) else whole(x[2]) for x in held]],
                     "lengths": [[len(x[3]) for x in held]],
                     "block": [rans.encode(ids, table)],
                 }
@@ -278,9 +282,12 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
     """Encodes the texts and writes them in the file format above to the folder path."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "tokens")
-    kind = docs.schema[key].dataType.simpleString()
+    kind, integral = docs.schema[key].dataType.simpleString(), isinstance(docs.schema[key].dataType, IntegralType)
     ordered = docs.select(key, text).repartitionByRange(F.col(key).asc_nulls_first()).sortWithinPartitions(F.col(key).asc_nulls_first(), F.col(text).asc_nulls_first())
-    tokens = scratch.write(ordered.mapInPandas(lean(_tokenise(tokenizer_path, end_id, key, text)), f"shard int, seq bigint, doc_id {kind}, width int, ids binary"), "ids", group_mb=32)
+    # Whole numbers travel as text: beside nulls, pandas would make them floats.
+    ordered = ordered.withColumn(key, F.col(key).cast("string")) if integral else ordered
+    tokens = scratch.write(ordered.mapInPandas(lean(_tokenise(tokenizer_path, end_id, key, text)), f"shard int, seq bigint, doc_id {'string' if integral else kind}, width int, ids binary"), "ids", group_mb=32)
+    whole = int if integral else (lambda x: x)
     counted = tokens.select("width", "ids").mapInPandas(lean(_count), "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
     found = counted.collect()  # at most a row for each id of the vocabulary
     counts = np.zeros(max([0, *(r.id + 1 for r in found)]), np.int64)
@@ -288,7 +295,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
         counts[r.id] = r.n
     freqs = rans.quantise(counts).astype("<u4").tobytes()
     spark.createDataFrame([(bytearray(freqs),)], "freqs binary").coalesce(1).write.mode("overwrite").parquet(f"{path}/table")
-    blocks = tokens.mapInPandas(lean(_block(freqs)), f"shard int, seq bigint, n_tokens bigint, doc_ids array<{kind}>, lengths array<int>, block binary")
+    blocks = tokens.mapInPandas(lean(_block(freqs, whole)), f"shard int, seq bigint, n_tokens bigint, doc_ids array<{kind}>, lengths array<int>, block binary")
     blocks.write.mode("overwrite").option("compression", "none").option("parquet.block.size", str(16 << 20)).parquet(f"{path}/blocks")
     scratch.drop()
 
@@ -309,16 +316,18 @@ def read_tokens(spark: SparkSession, path: str, digest: bool = False) -> DataFra
     """(doc_id, start, n_tokens, ids) of a written folder; with digest, ids_crc32 in place of ids (4 bytes each, little-endian)."""
     freqs = bytes(spark.read.parquet(f"{path}/table").first().freqs)
     blocks = spark.read.parquet(f"{path}/blocks")
-    kind = blocks.schema["doc_ids"].dataType.elementType.simpleString()
+    key = blocks.schema["doc_ids"].dataType.elementType
+    kind = "string" if isinstance(key, IntegralType) else key.simpleString()  # whole numbers as text, see write_tokens
     sizes = blocks.select("shard", "seq", "n_tokens")
     shards = sizes.groupBy("shard").agg(F.sum("n_tokens").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     within = F.coalesce(F.sum("n_tokens").over(W.partitionBy("shard").orderBy("seq").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     offsets = sizes.withColumn("within", within).join(shards.select("shard", "before"), "shard").select("shard", "seq", (F.col("before") + F.col("within")).alias("base"))
+    coded = blocks.withColumn("doc_ids", F.col("doc_ids").cast(f"array<{kind}>"))
     if digest:
-        docs = blocks.mapInPandas(lean(_digest(freqs)), f"shard int, seq bigint, doc_id {kind}, at bigint, n_tokens bigint, ids_crc32 bigint")
+        docs = coded.mapInPandas(lean(_digest(freqs)), f"shard int, seq bigint, doc_id {kind}, at bigint, n_tokens bigint, ids_crc32 bigint")
     else:
-        docs = blocks.mapInPandas(lean(_read(freqs)), f"shard int, seq bigint, doc_id {kind}, at bigint, ids binary").withColumn("n_tokens", (F.octet_length("ids") / 4).cast("bigint"))
-    return docs.join(offsets, ["shard", "seq"]).select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32" if digest else "ids")
+        docs = coded.mapInPandas(lean(_read(freqs)), f"shard int, seq bigint, doc_id {kind}, at bigint, ids binary").withColumn("n_tokens", (F.octet_length("ids") / 4).cast("bigint"))
+    return docs.join(offsets, ["shard", "seq"]).select(F.col("doc_id").cast(key).alias("doc_id"), (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32" if digest else "ids")
 
 
 def _digest(freqs: bytes):

@@ -60,3 +60,11 @@ def test_ids_read_back(spark, docs):
 
 def test_empty(empty):
     assert T.encode_documents(empty).count() == 0
+
+
+def test_keys_of_any_type_come_back(spark):
+    big = (1 << 62) + 1
+    for kind, keys in (("string", ["b", "a", None]), ("bigint", [big, 3, None]), ("int", [7, None, 2])):
+        df = spark.createDataFrame([(k, f"text {k}", k) for k in keys], f"doc_id {kind}, text string, start {kind}").coalesce(1)
+        rows = sorted(T.encode_documents(df).collect(), key=lambda r: r.start)
+        assert [r.doc_id for r in rows] == [None, *sorted(k for k in keys if k is not None)]
