@@ -3,20 +3,25 @@
 Training counts letter trigrams (word edges count as a letter) in a bounded,
 hash-chosen sample of labelled texts and gives each n-gram the languages in
 which it is common. The filters are bit-sliced Bloom filters: one table whose
-slots are bitmasks over languages, so that ANDing an n-gram's slots returns all
-languages that contain it at once. A text's popcounts per language, corrected
-for each slice's false-positive rate, decide.
+slots are bitmasks over languages (64 to a machine word, as many words as the
+languages need), so that ANDing an n-gram's slots returns all languages that
+contain it at once. A text's popcounts per language, corrected for each slice's
+false-positive rate, decide.
 
-SAMPLE_TEXTS texts a language and TOP_GRAMS n-grams a language bound the
-training; the table of SLOTS * 8 bytes is all that workers get. Prediction
-reads whole texts and nothing else.
+What is fitted is bounded: the MAX_LANGUAGES languages with most labelled texts,
+about SAMPLE_TEXTS texts of each, and up to TOP_GRAMS n-grams of each and
+ALL_GRAMS together (the most frequent; those that tie at the bound go together).
+The table, 12 to 24 slots for each n-gram of the largest language, is all that
+workers get. Prediction reads whole texts and nothing else.
 
 Defined results
   null text, text without a letter   lang_pred "und", score 0
   no n-gram known                    the language with most training texts, score 0
   ties                               the language with more training texts, then the smaller name
   no labelled text                   "und", score 0, for all
+  very long text                     whole, in steps that are bounded by batches
   repeated rows                      each gets its result
+  null key                           gets its result; held out as the empty text is
   empty table                        no rows
   extra columns                      kept by keep_known; ignored by predict
 """
@@ -28,19 +33,21 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from quarrywork.llm.scratch import Scratch
 from quarrywork.llm.wordhash import mix, steps
 from quarrywork.llm.workers import lean
 
 SAMPLE_TEXTS = 4000
-TOP_GRAMS = 50_000
+TOP_GRAMS, ALL_GRAMS = 50_000, 3_000_000
 MIN_COUNT = 5
 #: A language contains an n-gram if it is this share as frequent there as where it is most frequent.
 SHARE = 0.25
-MAX_LANGUAGES = 64
+MAX_LANGUAGES = 1024
 UNKNOWN = "und"
 _letters: list[np.ndarray] = []
 
@@ -75,9 +82,10 @@ class Filters:
     false_rate: np.ndarray
 
     def masks(self, keys: np.ndarray) -> np.ndarray:
-        """For each n-gram, the bitmask of the languages that contain it."""
+        """For each n-gram, the words of the bitmask of the languages that contain it: language k has bit k % 64 of word k // 64."""
         h, low = mix(keys), np.uint64(len(self.table) - 1)
-        return self.table[h & low] & self.table[(h >> np.uint64(21)) & low] & self.table[(h >> np.uint64(42)) & low]
+        table = self.table[:, 0] if self.table.shape[1] == 1 else self.table  # numpy looks up single words faster than rows
+        return (table[h & low] & table[(h >> np.uint64(21)) & low] & table[(h >> np.uint64(42)) & low]).reshape(len(keys), -1)
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
         names, scores = [], []
@@ -86,7 +94,7 @@ class Filters:
             masks, n = self.masks(keys), np.maximum(np.diff(cuts), 1)
             share = np.zeros((b - a, len(self.languages)))
             for k, rate in enumerate(self.false_rate):
-                hits = np.concatenate([[0], np.cumsum((masks >> np.uint64(k)) & np.uint64(1), dtype=np.int64)])
+                hits = np.concatenate([[0], np.cumsum((masks[:, k // 64] >> np.uint64(k % 64)) & np.uint64(1), dtype=np.int64)])
                 share[:, k] = ((hits[cuts[1:]] - hits[cuts[:-1]]) / n - rate) / (1 - rate)
             best = share.argmax(axis=1) if self.languages else np.zeros(b - a, int)
             good = lettered & bool(self.languages)
@@ -109,44 +117,66 @@ def _count(languages: list[str]):
     return run
 
 
+def _at(values: list, index: str) -> Column:
+    """The value of a short list at an index column."""
+    return F.element_at(F.array(*map(F.lit, values)), F.col(index) + 1)
+
+
+def _thresholds(counts: list[tuple[int, int, int]], languages: int, most: int) -> list[int]:
+    """For each language the least count whose n-grams, with all more frequent ones, are at most most. counts: (language, count, n-grams that have it)."""
+    least, held, shut = [1 << 62] * languages, [0] * languages, [False] * languages
+    for k, n, grams in sorted(counts, key=lambda x: -x[1]):
+        held[k] += grams
+        shut[k] = shut[k] or held[k] > most
+        least[k] = least[k] if shut[k] else n
+    return least
+
+
+def build(languages: list[str], of: np.ndarray, grams: np.ndarray) -> Filters:
+    """Filters that hold grams[i] for language of[i]."""
+    most = int(np.bincount(of).max()) if len(of) else 1
+    slots, words = 1 << max(12, int(np.ceil(np.log2(12 * most)))), -(-len(languages) // 64)
+    table = np.zeros((slots, words), np.uint64)
+    h, low = mix(grams), np.uint64(slots - 1)
+    bits = np.uint64(1) << (of % 64).astype(np.uint64)
+    for shift in (0, 21, 42):
+        np.bitwise_or.at(table, (((h >> np.uint64(shift)) & low).astype(np.int64), of // 64), bits)
+    fill = np.array([((table[:, k // 64] >> np.uint64(k % 64)) & np.uint64(1)).mean() for k in range(len(languages))])
+    return Filters(languages, table, fill**3)
+
+
 def train(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", sample_texts: int = SAMPLE_TEXTS) -> Filters:
     """Filters from the non-null texts and languages of labelled."""
-    spark = labelled.sparkSession
     rows = labelled.filter(F.col(text).isNotNull() & F.col(lang).isNotNull())
-    counts = sorted(((r[0], r["n"]) for r in rows.groupBy(lang).agg(F.count("*").alias("n")).orderBy(F.desc("n"), lang).limit(MAX_LANGUAGES + 1).collect()), key=lambda x: (-x[1], x[0]))
-    if len(counts) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    names = [name for name, _ in counts]
+    counts = rows.groupBy(lang).agg(F.count("*").alias("n")).orderBy(F.desc("n"), lang).limit(MAX_LANGUAGES).collect()
+    names = [r[0] for r in sorted(counts, key=lambda r: (-r["n"], r[0]))]
     if not names:
-        return Filters([], np.zeros(1, np.uint64), np.zeros(0))
+        return Filters([], np.zeros((1, 1), np.uint64), np.zeros(0))
+    share = {r[0]: int(1_000_000 * min(1.0, sample_texts / r["n"])) for r in counts}
     part = F.pmod(F.xxhash64(F.col(key), F.lit(3)), F.lit(1_000_000))
-    chosen = F.lit(False)
-    for name, n in counts:
-        chosen = chosen | ((F.col(lang) == name) & (part < int(1_000_000 * min(1.0, sample_texts / n))))
-    sample = rows.filter(chosen).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
-    grams = sample.mapInPandas(lean(_count(names)), "lang int, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    rate = F.col("n") / F.sum("n").over(W.partitionBy("lang"))
-    rated = grams.withColumn("rate", rate).filter(F.col("n") >= MIN_COUNT)
+    shares = F.create_map(*[F.lit(x) for pair in share.items() for x in pair])
+    sample = rows.filter(part < F.coalesce(F.try_element_at(shares, F.col(lang)), F.lit(0))).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
+    scratch = Scratch(labelled.sparkSession, "langs")
+    grams = scratch.write(sample.mapInPandas(lean(_count(names)), "lang int, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
+    # Sums and counts by language, a few rows, come from partial aggregates: no language gathers in one task.
+    totals = {r["lang"]: r["n"] for r in grams.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+    rated = grams.withColumn("rate", F.col("n") / _at([totals.get(k, 1) for k in range(len(names))], "lang")).filter(F.col("n") >= MIN_COUNT)
     common = rated.withColumn("top", F.max("rate").over(W.partitionBy("gram"))).filter(F.col("rate") >= SHARE * F.col("top"))
-    ranked = common.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "gram"))).filter(F.col("rank") <= TOP_GRAMS)
-    found = ranked.select("lang", "gram").toPandas()  # at most TOP_GRAMS a language
-    most = int(found.groupby("lang").size().max()) if len(found) else 1
-    slots = 1 << max(12, int(np.ceil(np.log2(12 * most))))
-    table = np.zeros(slots, np.uint64)
-    h, low = mix(found["gram"].to_numpy().astype(np.int64).view(np.uint64)), np.uint64(slots - 1)
-    bits = np.uint64(1) << found["lang"].to_numpy().astype(np.uint64)
-    for shift in (0, 21, 42):
-        np.bitwise_or.at(table, (h >> np.uint64(shift)) & low, bits)
-    fill = np.array([((table >> np.uint64(k)) & np.uint64(1)).mean() for k in range(len(names))])
-    return Filters(names, table, fill**3)
+    common = scratch.write(common.select("lang", "gram", "n"), "common")
+    how_many = [tuple(r) for r in common.groupBy("lang", "n").agg(F.count("*").alias("grams")).collect()]
+    least = _thresholds(how_many, len(names), min(TOP_GRAMS, ALL_GRAMS // len(names)))
+    found = common.filter(F.col("n") >= _at(least, "lang")).select("lang", "gram").toPandas()  # at most ALL_GRAMS
+    scratch.drop()
+    return build(names, found["lang"].to_numpy().astype(np.int64), found["gram"].to_numpy().astype(np.int64).view(np.uint64))
 
 
 def _predict(filters: Filters):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Arrow batches (key, text): the key goes through as it is."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, scores = filters.predict([t if isinstance(t, str) else "" for t in batch["_text"]])
-            out = batch.drop(columns="_text")
-            yield out.assign(lang_pred=names, score=scores)
+            names, scores = filters.predict([t or "" for t in batch.column(1).to_pylist()])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], [batch.schema.names[0], "lang_pred", "score"])
 
     return run
 
@@ -159,7 +189,7 @@ def held_out(key: Column) -> Column:
 def predict(docs: DataFrame, filters: Filters, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, lang_pred, score)."""
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias(key), F.col(text).alias("_text")).mapInPandas(lean(_predict(filters)), f"`{key}` {kind}, lang_pred string, score double")
+    return docs.select(F.col(key).alias(key), F.col(text).alias("_text")).mapInArrow(lean(_predict(filters)), f"`{key}` {kind}, lang_pred string, score double")
 
 
 #: Least share of a text's n-grams that its language must contain, for keep_known.
@@ -169,14 +199,14 @@ LEAST_SCORE = 0.2
 def keep_known(docs: DataFrame, least_score: float = LEAST_SCORE, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """The rows of docs whose text is in a learned language; texts in none, or without a letter, go."""
     filters = train(docs.filter(~held_out(F.col(key))), text, lang, key)
-    schema = docs.schema
+    place = docs.columns.index(text)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, scores = filters.predict([t if isinstance(t, str) else "" for t in batch[text]])
-            yield batch[[n != UNKNOWN and s >= least_score for n, s in zip(names, scores, strict=True)]]
+            names, scores = filters.predict([t or "" for t in batch.column(place).to_pylist()])
+            yield batch.filter(pa.array([n != UNKNOWN and s >= least_score for n, s in zip(names, scores, strict=True)], pa.bool_()))
 
-    return docs.mapInPandas(lean(run), schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -5,10 +5,9 @@ from __future__ import annotations
 import ctypes
 import ctypes.util
 from collections.abc import Callable, Iterator
+from typing import Any
 
-import pandas as pd
-
-Step = Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
+Step = Callable[[Iterator[Any]], Iterator[Any]]
 
 
 def _release() -> None:
@@ -23,9 +22,9 @@ def _release() -> None:
 
 
 def lean(step: Step) -> Step:
-    """The step for mapInPandas, with freed memory returned to the system when it ends."""
+    """The step for mapInPandas or mapInArrow, with freed memory returned to the system when it ends."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[Any]) -> Iterator[Any]:
         try:
             yield from step(batches)
         finally:
