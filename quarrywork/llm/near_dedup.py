@@ -44,6 +44,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -95,12 +96,14 @@ def _texts(column: pd.Series) -> list[str]:
 
 
 def _sign(n: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Arrow batches, so that keys stay as they are: beside nulls, pandas would make whole numbers floats."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, len(batch), 2000):
-                part = batch.iloc[at : at + 2000]
+                part = batch.slice(at, 2000)
                 sizes, keys, sigs = [], [], []
-                for s in shingle_sets(_texts(part["text"]), n):
+                for s in shingle_sets([t or "" for t in part["text"].to_pylist()], n):
                     sizes.append(len(s))
                     keys.append(class_key(s) if len(s) else None)
                     sigs.append(signature(s) if len(s) else np.zeros(HASHES, np.uint32))
@@ -109,7 +112,10 @@ def _sign(n: int):
                 for d in range(DEPTH):
                     regions = mix(regions * np.uint64(0x9E3779B97F4A7C15) + full[:, :, d])
                 low = np.array(sigs, np.uint32).astype(np.uint8)
-                yield pd.DataFrame({"doc_id": part["doc_id"].array, "t": part["t"].array, "n": sizes, "c": keys, "regions": list(regions.view(np.int64)), "sig": [x.tobytes() if k else None for x, k in zip(low, keys, strict=True)]})
+                places = pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1, dtype=np.int32) * TREES), pa.array(regions.view(np.int64).ravel()))
+                sig = [x.tobytes() if k else None for x, k in zip(low.reshape(-1, HASHES), keys, strict=True)]
+                columns = [part["doc_id"], part["t"], pa.array(sizes, pa.int32()), pa.array(keys, pa.binary()), places, pa.array(sig, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "t", "n", "c", "regions", "sig"])
 
     return run
 
@@ -414,7 +420,7 @@ def _labelled(docs: DataFrame, shingle: int, percent: int, key: str, text: str)
     scratch = Scratch(spark, "neardup")
     kind = docs.schema[key].dataType.simpleString()
     source = docs.select(F.col(key).alias("doc_id"), F.xxhash64(text).alias("t"), F.col(text).alias("text"))
-    signed = scratch.write(source.mapInPandas(lean(_sign(shingle)), f"doc_id {kind}, t bigint, n int, c binary, regions array<bigint>, sig binary"), "signed")
+    signed = scratch.write(source.mapInArrow(lean(_sign(shingle)), f"doc_id {kind}, t bigint, n int, c binary, regions array<bigint>, sig binary"), "signed")
     classes = signed.filter("c IS NOT NULL AND doc_id IS NOT NULL").groupBy("c").agg(F.min(F.struct("doc_id", "t")).alias("rep"), F.first("n").alias("n"), F.first("regions").alias("regions"), F.first("sig").alias("sig"))
     nodes = scratch.write(classes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     grown = nodes.select("node", F.posexplode("regions").alias("tree", "region")).select("region", "node", "tree")
