@@ -5,25 +5,30 @@ blocks of equally many words. The mix consists of shards of equally many
 blocks, and each source's quota in a shard is an integer: the seats that the
 highest quotients target / (2 * seats + 1) give it. The method is
 house-monotone, so a shard's quotas are the difference of two apportionments.
-A source's blocks are then taken round by round: each full round takes every
-block once, and the last round those that a seeded permutation puts first.
+A source's blocks come in a seeded permutation, round after round (all but the
+last take every block). The first shard gets as many of them as its quota says,
+the second the next ones, and so on; the shard of each taken block follows from
+its place in that order and the sums of the quotas, without a shuffle.
 
 Only one row for each source reaches the driver (MAX_SOURCES bounds it; a
 larger table raises). Documents find their place in the stream by prefix sums
 in two levels, salts of the order's hash and rows within a salt, so a source
-that holds most rows is spread over tasks.
+that holds most rows is spread over tasks; there are so many salts that one
+holds about SALT_WORDS words of the largest source.
 
 Defined results
   null or empty text   size 0, nothing taken
+  very long text       spans many blocks, which may go to several shards
   null source          a source of its own, last in order
   repeated rows        placed one by one, ties in any order of equal rows
   empty table          no rows
-  extra columns        kept; the added names are size, source_size, target, taken
+  extra columns        kept; the added names are size, source_size, target, taken, shards
 """
 
 from __future__ import annotations
 
 import heapq
+import itertools
 import math
 import random
 
@@ -31,12 +36,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from quarrywork.llm.exprs import space_words, text_or_empty
+from quarrywork.llm.exprs import let, space_words, text_or_empty
 
 MAX_SOURCES = 1_000_000
 MAX_REPEATS = 3
-SALTS = 512
-ADDED = ("size", "source_size", "target", "taken")
+SHARDS = 16
+SALT_WORDS, LEAST_SALTS, MOST_SALTS = 1 << 24, 512, 1 << 22
+BROADCAST_SALTS = 100_000
+ADDED = ("size", "source_size", "target", "taken", "shards")
 
 
 def n_words(text: str) -> Column:
@@ -64,7 +71,8 @@ def targets(sizes: list[int], shares: list[float], limit: float = MAX_REPEATS) -
         for k in full:
             out[k] = caps[k]
             left -= caps[k]
-        open_ = [k for k in open_ if k not in set(full)]
+        closed = set(full)
+        open_ = [k for k in open_ if k not in closed]
     return out
 
 
@@ -114,7 +122,7 @@ def _stride(n: int, rng: random.Random) -> tuple[int, int]:
 
 
 def plan(sources: list[tuple[str | None, int]], block_words: int, seed: int, shards: int = 1) -> list[dict]:
-    """For each source in order: target, rounds, and the permutation's step, shift and how many blocks of the last round it takes."""
+    """For each source in order: target, rounds, the permutation's step and shift, how many blocks of the last round it takes, and its quotas in the shards."""
     sizes = [s for _, s in sources]
     aims = targets(sizes, weights(len(sizes)))
     blocks = [-(-s // block_words) for s in sizes]
@@ -126,7 +134,7 @@ def plan(sources: list[tuple[str | None, int]], block_words: int, seed: int, sha
     for (name, size), aim, n, q in zip(sources, aims, blocks, quotas, strict=True):
         step, shift = _stride(max(1, n), random.Random(f"{seed}:{name}"))
         rounds, rest = divmod(sum(q), n) if n else (0, 0)
-        out.append({"source": name, "source_size": size, "target": aim, "blocks": n, "rounds": rounds, "rest": rest, "step": step, "shift": shift, "quotas": q})
+        out.append({"source": name, "source_size": size, "target": aim, "blocks": n, "rounds": rounds, "rest": rest, "step": step, "shift": shift, "quotas": q, "ends": list(itertools.accumulate(q))})
     return out
 
 
@@ -135,10 +143,37 @@ def block_size(total: int, smallest: int, finest: int = 1 << 24) -> int:
     return max(1, min(1024, smallest // 1000), -(-total // finest))
 
 
-def _chosen(b: Column, p: Column) -> Column:
-    """Whether a source's last round takes its block b: a seeded permutation of the blocks puts it among the first."""
+def _turn(b: Column, p: Column) -> Column:
+    """The place of a source's block b in its permutation."""
     # step * b stays under 2 ** 63, as a source has at most 2 ** 31 blocks.
-    return F.pmod(b * p["step"] + p["shift"], p["blocks"]) < p["rest"]
+    return F.pmod(b * p["step"] + p["shift"], p["blocks"])
+
+
+def _chosen(b: Column, p: Column) -> Column:
+    """Whether a source's last round takes its block b: the permutation puts it among the first."""
+    return _turn(b, p) < p["rest"]
+
+
+def _shard(b: Column, turn: Column, p: Column) -> Column:
+    """The shard that gets block b in a round: the first whose quota, with those before it, reaches over the block's place."""
+    place = turn * p["blocks"] + _turn(b, p)
+    return F.aggregate(p["ends"], F.lit(0), lambda n, end: n + (end <= place).cast("int"))
+
+
+def _rounds(b: Column, p: Column) -> Column:
+    """How often block b is taken."""
+    return (p["rounds"] + _chosen(b, p).cast("bigint")).cast("int")
+
+
+def _blocks(size: Column, block: int) -> Column:
+    """The blocks in which a document's words lie; none without words."""
+    first, last = F.floor(F.col("_start") / block).cast("bigint"), F.floor((F.col("_start") + size - 1) / block).cast("bigint")
+    return F.when(size > 0, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))
+
+
+def n_salts(largest: int) -> int:
+    """A power of two, for the words of the largest source."""
+    return min(MOST_SALTS, max(LEAST_SALTS, 1 << (max(1, largest // SALT_WORDS) - 1).bit_length()))
 
 
 def _place(docs: DataFrame, seed: int, block_words: int | None, shards: int, key: str, text: str, source: str) -> tuple[DataFrame, int]:
@@ -151,16 +186,16 @@ def _place(docs: DataFrame, seed: int, block_words: int | None, shards: int, key
     sources = [(r[0], r["n"]) for r in found]
     block = block_words or block_size(sum(n for _, n in sources), min([n for _, n in sources if n], default=1))
     plans = plan(sources, block, seed, shards)
-    fields = "source string, source_size bigint, target double, blocks bigint, rounds bigint, rest bigint, step bigint, shift bigint"
+    fields = "source string, source_size bigint, target double, blocks bigint, rounds bigint, rest bigint, step bigint, shift bigint, ends array<bigint>"
     rows = [tuple(p[c.split()[0]] for c in fields.split(", ")) for p in plans]
-    per_source = spark.createDataFrame(rows, fields).select(F.col("source").alias("_source"), F.struct("source_size", "target", "blocks", "rounds", "rest", "step", "shift").alias("_p"))
-    order = F.xxhash64(F.col(key), F.lit(seed))
-    docs = docs.withColumns({"_o": order, "_salt": F.shiftrightunsigned(order, 64 - int(math.log2(SALTS)))})
+    per_source = spark.createDataFrame(rows, fields).select(F.col("source").alias("_source"), F.struct(*[c.split()[0] for c in fields.split(", ")[1:]]).alias("_p"))
+    order, salted = F.xxhash64(F.col(key), F.lit(seed)), n_salts(max([n for _, n in sources], default=0))
+    docs = docs.withColumns({"_o": order, "_salt": F.shiftrightunsigned(order, 64 - int(math.log2(salted)))})
     salts = docs.groupBy(source, "_salt").agg(F.sum("size").alias("n"))
     before = F.coalesce(F.sum("n").over(W.partitionBy(source).orderBy("_salt").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     salts = salts.select(F.col(source).alias("_s"), F.col("_salt").alias("_k"), before.alias("_before"))
-    # One row for each source and salt: at most SALTS times the sources.
-    salts = F.broadcast(salts) if len(sources) <= 200 else salts
+    # One row for each source and salt.
+    salts = F.broadcast(salts) if len(sources) * salted <= BROADCAST_SALTS else salts
     per_source = F.broadcast(per_source) if len(sources) <= 100_000 else per_source
     within = W.partitionBy(source, "_salt").orderBy("_o", key, "size").rowsBetween(W.unboundedPreceding, -1)
     placed = (
@@ -172,38 +207,50 @@ def _place(docs: DataFrame, seed: int, block_words: int | None, shards: int, key
     return placed.drop("_o", "_salt", "_within", "_s", "_k", "_before", "_source"), block
 
 
-def mix(docs: DataFrame, seed: int = 17, block_words: int | None = None, shards: int = 16, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """The rows of docs with size, source_size, target and taken: the words of the document that the mix takes, repeats counted."""
+def mix(docs: DataFrame, seed: int = 17, block_words: int | None = None, shards: int = SHARDS, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """The rows of docs with size, source_size, target, taken (the words of the document that the mix takes, repeats counted) and shards (how many of them each shard gets)."""
     placed, block = _place(docs, seed, block_words, shards, key, text, source)
-    p, start, end = F.col("_p"), F.col("_start"), F.col("_end")
+    p, start, size = F.col("_p"), F.col("_start"), F.col("size")
+
+    def pieces(b: Column) -> Column:
+        """(shard, words) for each time that block b is taken."""
+        words = F.least(start + size, (b + 1) * block) - F.greatest(start, b * block)
+        turns = F.sequence(F.lit(0), _rounds(b, p) - 1)
+        return F.when(_rounds(b, p) > 0, F.transform(turns, lambda k: F.struct(_shard(b, k, p).alias("shard"), words.alias("words"))))
 
-    def words(b: Column) -> Column:
-        """Of the document in block b, if the last round takes it."""
-        return F.when(_chosen(b, p), F.least(end, (b + 1) * block) - F.greatest(start, b * block)).otherwise(F.lit(0).cast("bigint"))
+    taken = F.flatten(F.filter(F.transform(_blocks(size, block), pieces), lambda x: x.isNotNull()))
+    total = lambda some: F.aggregate(some, F.lit(0).cast("bigint"), lambda n, x: n + x["words"])
+    by_shard = lambda some: F.transform(F.array_sort(F.array_distinct(F.transform(some, lambda x: x["shard"]))), lambda k: F.struct(k.alias("shard"), total(F.filter(some, lambda x: x["shard"] == k)).alias("words")))
+    out = placed.withColumn("shards", let(taken, by_shard))
+    return out.withColumns({"source_size": p["source_size"], "target": p["target"], "taken": total(F.col("shards"))}).drop("_p", "_start")
 
-    first, last = F.floor(start / block).cast("bigint"), F.floor((start + F.col("size") - 1) / block).cast("bigint")
-    blocks = F.when((F.col("size") > 0) & (p["rest"] > 0), F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))
-    spanned = placed.withColumns({"_end": start + F.col("size"), "_blocks": blocks})
-    rest = F.aggregate("_blocks", F.lit(0).cast("bigint"), lambda acc, b: acc + words(b))
-    out = spanned.withColumns({"source_size": p["source_size"], "target": p["target"], "taken": p["rounds"] * F.col("size") + rest})
-    return out.drop("_p", "_start", "_end", "_blocks")
 
+def draw(docs: DataFrame, seed: int = 17, block_words: int | None = None, shards: int = SHARDS, key: str = "doc_id", text: str = "text", source: str = "source", shard: str | None = None) -> DataFrame:
+    """The mix itself, in the columns of docs: a row for each full round, and one with the words of the last round's blocks, if it has any of the document. n_chars, where docs has it, is the text's length.
 
-def draw(docs: DataFrame, seed: int = 17, block_words: int | None = None, shards: int = 16, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """The mix itself, in the columns of docs: a row for each full round, and one with the words of the last round's blocks, if it has any of the document. n_chars, where docs has it, is the text's length."""
+    With shard, a name for an added column, a row for each round and shard, with the words that the shard gets.
+    """
     placed, block = _place(docs, seed, block_words, shards, key, text, source)
-    p = F.col("_p")
+    p, size = F.col("_p"), F.col("size")
     pieces = F.regexp_extract_all(F.col(text), F.lit(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0))
-    part = F.array_join(F.filter(pieces, lambda _, i: _chosen(F.floor((F.col("_start") + i) / block).cast("bigint"), p)), "")
-    # Full rounds are 0 in the list of copies, the part of the last round is 1.
-    copies = F.concat(F.array_repeat(F.lit(0), p["rounds"].cast("int")), F.when(p["rest"] > 0, F.array(F.lit(1))).otherwise(F.array().cast("array<int>")))
-    rows = placed.filter(F.col("size") > 0).withColumn("_copy", F.explode(copies))
-    rows = rows.withColumn(text, F.when(F.col("_copy") == 0, F.col(text)).otherwise(part)).filter(F.col(text) != "")
+    copies = F.sequence(F.lit(0), p["rounds"].cast("int") - F.when(p["rest"] > 0, 0).otherwise(1))
+    rows = placed.filter((size > 0) & ((p["rounds"] > 0) | (p["rest"] > 0))).withColumn("_copy", F.explode(copies))
+    if shard:
+        # Each block's shard in this round; -1 for one that isn't taken.
+        of = F.transform(_blocks(size, block), lambda b: F.when(_rounds(b, p) > F.col("_copy"), _shard(b, F.col("_copy"), p)).otherwise(-1))
+        rows = rows.withColumn("_of", of).withColumn("_shard", F.explode(F.array_remove(F.array_distinct("_of"), -1)))
+        place = lambda i: F.floor((F.col("_start") + i) / block) - F.floor(F.col("_start") / block)
+        part = F.array_join(F.filter(pieces, lambda _, i: F.get(F.col("_of"), place(i).cast("int")) == F.col("_shard")), "")
+        rows = rows.withColumn(text, F.when(F.array_size(F.array_distinct("_of")) == 1, F.col(text)).otherwise(part))
+    else:
+        part = F.array_join(F.filter(pieces, lambda _, i: _chosen(F.floor((F.col("_start") + i) / block).cast("bigint"), p)), "")
+        rows = rows.withColumn(text, F.when(F.col("_copy") < p["rounds"], F.col(text)).otherwise(part))
+    rows = rows.filter(F.col(text) != "")
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType))
-    return rows.select(*docs.columns)
+    return rows.select(*docs.columns, *([F.col("_shard").alias(shard)] if shard else []))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
-    return mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+    return mix(docs).select("doc_id", "size", "source_size", "target", "taken", "shards")

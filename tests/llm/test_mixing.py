@@ -69,5 +69,45 @@ def test_draw_has_the_words_that_mix_takes(docs):
     assert {r.source: r.n for r in took if r.n} == got
 
 
+@pytest.mark.parametrize(("block", "shards"), [(7, 5), (40, 3), (1, 16)])
+def test_taken_words_by_shard_against_brute_force(docs, block, shards):
+    rows = M.mix(docs, block_words=block, shards=shards).withColumn("_o", F.xxhash64("doc_id", F.lit(17))).collect()
+    names = sorted({r.source for r in rows} - {None}, key=lambda s: s.encode()) + [None]
+    sizes = [sum(r.size for r in rows if r.source == s) for s in names]
+    plans = {p["source"]: p for p in M.plan(list(zip(names, sizes, strict=True)), block, 17, shards)}
+    most, seats = [3 * -(-n // block) for n in sizes], round(sum(p["target"] for p in plans.values()) / block)
+    wanted = [plans[s]["target"] for s in names]
+    marks = [highest_quotients(wanted, seats * k // shards, most) for k in range(shards + 1)]
+    for at, s in enumerate(names):
+        quotas = [b[at] - a[at] for a, b in zip(marks, marks[1:])]
+        p = plans[s]
+        assert p["quotas"] == quotas
+        turns = sorted(range(p["blocks"]), key=lambda b: (b * p["step"] + p["shift"]) % p["blocks"])
+        taken = (turns * 4)[: sum(quotas)]  # (block, shard) in order
+        shard = [k for k, q in enumerate(quotas) for _ in range(q)]
+        # -2 ** 63 and up as unsigned, as salts order them
+        stream = sorted((r for r in rows if r.source == s), key=lambda r: (r._o % (1 << 64), r.doc_id is not None, r.doc_id or 0, r.size))
+        start = 0
+        for r in stream:
+            want = {}
+            for b, k in zip(taken, shard, strict=True):
+                n = min(start + r.size, (b + 1) * block) - max(start, b * block)
+                if n > 0:
+                    want[k] = want.get(k, 0) + n
+            assert {x.shard: x.words for x in r.shards} == want and r.taken == sum(want.values())
+            start += r.size
+
+
+def test_draw_by_shard_has_the_words_that_mix_gives_each(docs):
+    took = M.mix(docs, block_words=11, shards=4).select("source", F.explode("shards").alias("x")).groupBy("source", "x.shard").agg(F.sum("x.words").alias("n")).collect()
+    drawn = M.draw(docs, block_words=11, shards=4, shard="part")
+    got = drawn.groupBy("source", "part").agg(F.sum(M.n_words("text")).alias("n")).collect()
+    assert {(r.source, r.shard): r.n for r in took} == {(r.source, r.part): r.n for r in got}
+
+
+def test_salts_grow_with_the_largest_source():
+    assert [M.n_salts(n) for n in (0, 1 << 33, 1 << 40, 1 << 60)] == [512, 512, 1 << 16, 1 << 22]
+
+
 def test_empty(empty):
     assert M.mix(empty).count() == 0 and M.draw(empty).count() == 0
