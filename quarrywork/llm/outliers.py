@@ -8,8 +8,9 @@ Mahalanobis distance. All of it is SQL functions.
 A concentration step keeps, in each group, the (n + p + 1) / 2 rows nearest
 the last centre, and takes their mean and covariance; so up to half of a group
 may be anything. The starts are the coordinates' medians, their shortest
-halves, and their lower and their upper halves; each group takes the one that
-ends with the least determinant. The nearest rows come
+halves, and their lower and their upper halves. After FIRST_STEPS steps each
+group goes on from the start with the least determinant of its covariance,
+until no group's determinant changes (MOST_STEPS at most). The nearest rows come
 from a histogram of distances (counts by group and bin, summed before the
 shuffle), so no group gathers in one task, and the result doesn't depend on
 how rows are dealt. Sums for mean and covariance are partial aggregates too.
@@ -17,13 +18,16 @@ The p x p inverse is an unrolled Cholesky factorisation in column expressions.
 
 Distances are scaled so that each group's median is that of the chi-squared
 distribution. Each coordinate's variance has a floor (FLOORS), as many
-statistics are constant in clean text. A document is rejected over the
-chi-squared quantile CUTOFF, in a group of MIN_GROUP rows or more; smaller
-groups are judged by the estimate of all rows.
+statistics are constant in clean text. A group's final estimate counts the
+estimate of all rows, made in the same passes, as PRIOR rows besides its own
+(and so does the logarithm of its scale): one rule for groups of every size,
+under which a few rows are judged by all others and many by themselves. A
+document is rejected over the chi-squared quantile CUTOFF.
 
 Defined results
   null, empty or word-free text   all statistics 0; fails the base rules
   null language or source         a group of its own
+  very long texts                 whole; counts are exact at any length
   ties of distance                one bin, kept or left together
   repeated rows                   each counts and gets its verdict
   empty table                     no rows
@@ -45,8 +49,12 @@ from quarrywork.llm.scratch import Scratch
 #: Documents' own statistics, transformed to near-symmetric ones: name, expression, least standard deviation.
 STATISTICS = ("log_words", "word_length", "symbols", "dup_lines", "repeats")
 FLOORS = {"log_words": 0.75, "word_length": 0.5, "symbols": 0.3, "dup_lines": 0.5, "repeats": 0.5}
-STEPS = 4
-MIN_GROUP = 100
+FIRST_STEPS, MOST_STEPS = 2, 20
+#: A step is the last if no group's log-determinant changes by more.
+CONVERGED = 1e-9
+PRIOR = 50
+#: The key of the group of all rows; other groups' keys aren't empty.
+POOLED = ""
 #: The upper 1e-9 quantile of the chi-squared distribution of 5 degrees of freedom, and its median.
 CUTOFF, MEDIAN = 52.0, 4.3515
 #: Distance bins: so many for each doubling.
@@ -69,27 +77,39 @@ def base_statistics(text: str = "text") -> dict[str, Column]:
     }
 
 
-#: Windows are sorted as longs, a hash above their position; equal neighbours are compared by their words.
-_POSITION = (1 << 22) - 1
+#: Windows of texts of up to so many words are sorted as longs, a hash above their position.
+_POSITION_BITS = 16
+_POSITION = (1 << _POSITION_BITS) - 1
 
 
 def _repeat_words(w: Column) -> Column:
-    """Words in 3-word windows that occur twice or more in w."""
+    """Words in 3-word windows that occur twice or more in w.
+
+    Windows are sorted by hash and position, and equal neighbours compared by
+    their words. In a long text hash and position are fields of a struct, as one
+    number could not hold both.
+    """
     starts = indices(F.size(w) - 2)
-    packed = F.transform(starts, lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).bitwiseAND(F.lit(~_POSITION)).bitwiseOR(i.cast("bigint")))
+    of = lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))
+    packed = F.transform(starts, lambda i: of(i).bitwiseAND(F.lit(~_POSITION)).bitwiseOR(i.cast("bigint")))
+    short = _repeated(w, packed, lambda x: F.shiftright(x, _POSITION_BITS), lambda x: x.bitwiseAND(F.lit(_POSITION)))
+    paired = F.transform(starts, lambda i: F.struct(of(i).alias("h"), i.cast("bigint").alias("i")))
+    return F.when(F.size(w) <= _POSITION, short).otherwise(_repeated(w, paired, lambda x: x["h"], lambda x: x["i"]))
+
 
+def _repeated(w: Column, windows: Column, hash_of: Callable[[Column], Column], place_of: Callable[[Column], Column]) -> Column:
     def same(a: Column, b: Column) -> Column:
-        i, j = (x.bitwiseAND(F.lit(_POSITION)).cast("int") for x in (a, b))
+        i, j = place_of(a).cast("int"), place_of(b).cast("int")
         equal = (F.get(w, i) == F.get(w, j)) & (F.get(w, i + 1) == F.get(w, j + 1)) & (F.get(w, i + 2) == F.get(w, j + 2))
-        return (F.shiftright(a, 22) == F.shiftright(b, 22)) & equal
+        return (hash_of(a) == hash_of(b)) & equal
 
     def repeated(p: Column) -> Column:
         hit = F.filter(p, lambda x, k: F.coalesce((k > 0) & same(F.get(p, k - 1), x), F.lit(False)) | F.coalesce(same(x, F.get(p, k + 1)), F.lit(False)))
-        return F.sort_array(F.transform(hit, lambda x: x.bitwiseAND(F.lit(_POSITION))))
+        return F.sort_array(F.transform(hit, place_of))
 
     zero = F.struct(F.lit(0).cast("bigint").alias("end"), F.lit(0).cast("bigint").alias("n"))
     add = lambda a, p: F.struct((p + 3).alias("end"), (a["n"] + p + 3 - F.greatest(a["end"], p)).alias("n"))
-    return let(F.sort_array(packed), lambda p: F.aggregate(repeated(p), zero, add)["n"])
+    return let(F.sort_array(windows), lambda p: F.aggregate(repeated(p), zero, add)["n"])
 
 
 def _vector() -> dict[str, Column]:
@@ -123,7 +143,7 @@ def _distance(rows: DataFrame, names: tuple[str, ...]) -> DataFrame:
 
 
 def _estimate(moments: DataFrame, names: tuple[str, ...], keys: list[str]) -> DataFrame:
-    """Rows of keys, n, s_i and s_i_j to keys and g: centre, and Cholesky factor of the covariance with the floors added."""
+    """Rows of keys, n, s_i and s_i_j to keys, m (those sums) and g: centre, and Cholesky factor of the covariance with the floors added."""
     p, out = len(names), moments
     for i in range(p):
         out = out.withColumn(f"c_{i}", F.col(f"s_{i}") / F.col("n"))
@@ -136,7 +156,12 @@ def _estimate(moments: DataFrame, names: tuple[str, ...], keys: list[str]) -> Da
             v = F.sqrt(F.greatest(v, F.lit(1e-9))) if i == j else v / F.col(f"l_{j}_{j}")
             out = out.withColumn(f"l_{i}_{j}", v)
     parts = [f"c_{i}" for i in range(p)] + [f"l_{i}_{j}" for i in range(p) for j in range(i + 1)]
-    return out.select(*keys, "n", F.struct(*parts).alias("g"))
+    return out.select(*keys, F.struct(*_sums(names)).alias("m"), F.struct(*parts).alias("g"))
+
+
+def _sums(names: tuple[str, ...]) -> list[str]:
+    p = range(len(names))
+    return ["n", *[f"s_{i}" for i in p], *[f"s_{j}_{i}" for j in p for i in p if i >= j]]
 
 
 def _moments(names: tuple[str, ...]) -> list[Column]:
@@ -194,32 +219,61 @@ def _start(rows: DataFrame, names: tuple[str, ...], keys: list[str]) -> DataFram
     return wide.select(*keys, "_start", F.struct(*parts).alias("g"))
 
 
+def _log_determinant(p: int) -> Column:
+    return 2 * sum((F.log(F.col(f"g.l_{i}_{i}")) for i in range(p)), F.lit(0.0))
+
+
 def _least_determinant(groups: DataFrame, p: int, keys: list[str]) -> DataFrame:
-    """(keys, g): of a group's starts the one with the least covariance determinant."""
-    size = sum((F.log(F.col(f"g.l_{i}_{i}")) for i in range(p)), F.lit(0.0))
-    return groups.groupBy(*keys).agg(F.min(F.struct(size.alias("size"), "_start", "g")).alias("x")).select(*keys, "x.g")
+    """(keys, m, g): of a group's starts the one with the least covariance determinant."""
+    return groups.groupBy(*keys).agg(F.min(F.struct(_log_determinant(p).alias("size"), "_start", "m", "g")).alias("x")).select(*keys, "x.m", "x.g")
 
 
 def _with_groups(rows: DataFrame, groups: DataFrame, keys: list[str], small: bool) -> DataFrame:
     return rows.join(F.broadcast(groups) if small else groups, keys)
 
 
-def mcd_distances(vectors: DataFrame, names: tuple[str, ...], keys: list[str], scratch: Scratch, small: bool) -> DataFrame:
-    """(keys, g, scale, n): each group's estimate and the factor that brings its median distance to the chi-squared one."""
-    groups, runs = scratch.write(_start(vectors, names, keys), "start"), [*keys, "_start"]
-    for step in range(STEPS):
-        # a group has a row for each start, so the join gives each vector to every start
-        near = _distance(_with_groups(vectors, groups, keys, small), names).withColumn("bin", _bin(F.col("dist2"))).drop("g")
-        cut = _quantile_bins(near, runs, lambda n: _half(n, len(names)))
-        kept = _with_groups(near, cut, runs, small).filter(F.col("bin") <= F.col("cut"))
-        groups = scratch.write(_estimate(kept.groupBy(*runs).agg(*_moments(names)), names, runs), f"step{step}").drop("n")
-    groups = scratch.write(_least_determinant(groups, len(names), keys), "least")
+def _concentrate(vectors: DataFrame, groups: DataFrame, names: tuple[str, ...], keys: list[str], runs: list[str], small: bool) -> DataFrame:
+    """(runs, m, g): the estimates of the half that is nearest to each estimate of groups."""
+    # With runs by start a group has a row for each, so the join gives each vector to every start.
+    near = _distance(_with_groups(vectors, groups.select(*runs, "g"), keys, small), names).withColumn("bin", _bin(F.col("dist2"))).drop("g")
+    cut = _quantile_bins(near, runs, lambda n: _half(n, len(names)))
+    kept = _with_groups(near, cut, runs, small).filter(F.col("bin") <= F.col("cut"))
+    return _estimate(kept.groupBy(*runs).agg(*_moments(names)), names, runs)
+
+
+def mcd_estimates(vectors: DataFrame, names: tuple[str, ...], keys: list[str], scratch: Scratch, small: bool) -> DataFrame:
+    """(keys, m, g, scale, n): each group's estimate of least determinant, the factor that brings its median distance to the chi-squared one, and its rows. Keys aren't null."""
+    p, runs = len(names), [*keys, "_start"]
+    groups = scratch.write(_start(vectors, names, keys), "start")
+    for step in range(FIRST_STEPS):
+        groups = scratch.write(_concentrate(vectors, groups, names, keys, runs, small), f"first{step}")
+    groups = scratch.write(_least_determinant(groups, p, keys), "least")
+    for step in range(MOST_STEPS):
+        size = lambda df, name: df.select(*keys, _log_determinant(p).alias(name))
+        after = scratch.write(_concentrate(vectors, groups, names, keys, keys, small), f"step{step}")
+        moved = size(after, "x").join(size(groups, "y"), keys).agg(F.max(F.abs(F.col("x") - F.col("y")))).first()[0]
+        groups = after
+        if moved is None or moved <= CONVERGED:
+            break
     final = _distance(_with_groups(vectors, groups, keys, small), names).withColumn("bin", _bin(F.col("dist2")))
     median = _quantile_bins(final, keys, lambda n: F.ceil(n * 0.5)).withColumn("scale", MEDIAN / F.pow(F.lit(2.0), (F.col("cut") + 0.5) / BINS))
     sizes = vectors.groupBy(*keys).agg(F.count("*").alias("n"))
     return scratch.write(groups.join(median.select(*keys, F.least(F.col("scale"), F.lit(1.0)).alias("scale")), keys).join(sizes, keys), "estimates")
 
 
+def _shrunk(own: DataFrame, names: tuple[str, ...], keys: list[str], whole) -> DataFrame:
+    """(keys, g, scale): own centres and covariances, averaged with those of all rows (whole, a row), which weigh as PRIOR rows. What lies between the two centres isn't counted, so a few far rows can't widen their own group."""
+    p, total = range(len(names)), F.col("m.n") + PRIOR
+    mean = lambda x, y: (F.col("m.n") * x + PRIOR * y) / total
+    centre = [mean(F.col(f"m.s_{i}") / F.col("m.n"), whole.m[f"s_{i}"] / whole.m["n"]) for i in p]
+    within = lambda m, i, j: m[f"s_{j}_{i}"] / m["n"] - m[f"s_{i}"] / m["n"] * (m[f"s_{j}"] / m["n"])
+    spread = {(j, i): mean(within(F.col("m"), i, j), within(whole.m, i, j)) for j in p for i in p if i >= j}
+    scale = F.exp((F.col("n") * F.log("scale") + PRIOR * math.log(whole.scale)) / (F.col("n") + PRIOR))
+    firsts = [(total * centre[i]).alias(f"s_{i}") for i in p]
+    sums = own.select(*keys, scale.alias("scale"), total.alias("n"), *firsts, *[(total * (v + centre[i] * centre[j])).alias(f"s_{j}_{i}") for (j, i), v in spread.items()])
+    return _estimate(sums, names, [*keys, "scale"]).select(*keys, "g", "scale")
+
+
 def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """(key, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, distance)."""
     scratch = Scratch(docs.sparkSession, "outliers")
@@ -230,17 +284,15 @@ def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     base = named.withColumn("_w", space_words(text_or_empty("_text"))).select("_key", mark.alias("_g"), *[c.alias(n) for n, c in stats.items()])
     failed = (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
     rows = scratch.write(base.withColumn("base_failed", failed).withColumns(_vector()), "statistics")
-    passing = rows.filter(~F.col("base_failed")).select("_g", *STATISTICS)
+    # Each row counts in its own group and in that of all rows.
+    passing = rows.filter(~F.col("base_failed")).select(F.explode(F.array("_g", F.lit(POOLED))).alias("_g"), *STATISTICS)
     n_groups = passing.select("_g").distinct().limit(BROADCAST_GROUPS + 1).count()
     small = n_groups <= BROADCAST_GROUPS
-    own = mcd_distances(passing, STATISTICS, ["_g"], scratch, small)
-    pooled = mcd_distances(passing.withColumn("_g", F.lit("")), STATISTICS, ["_g"], Scratch(docs.sparkSession, "pooled"), True)
-    own = own.filter(F.col("n") >= MIN_GROUP).select("_g", "g", "scale")
-    one = pooled.select("g", "scale").first()  # one row: the estimate of all
+    estimates = mcd_estimates(passing, STATISTICS, ["_g"], scratch, small)
+    whole = estimates.filter(F.col("_g") == POOLED).first()
+    own = estimates.filter(F.col("_g") != POOLED)
+    own = _shrunk(own, STATISTICS, ["_g"], whole) if whole else own.select("_g", "g", "scale")
     joined = rows.join(F.broadcast(own) if small else own, "_g", "left")
-    if one:
-        whole = F.struct(*[F.lit(v).alias(k) for k, v in one.g.asDict().items()])
-        joined = joined.withColumns({"g": F.coalesce("g", whole), "scale": F.coalesce("scale", F.lit(one.scale))})
     far = _distance(joined, STATISTICS).withColumn("distance", F.col("dist2") * F.col("scale"))
     return far.select(
         F.col("_key").alias(key),

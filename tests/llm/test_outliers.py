@@ -1,9 +1,13 @@
 import re
 from collections import Counter
+from itertools import combinations
 
 import numpy as np
 
+from pyspark.sql import functions as F
+
 from quarrywork.llm import outliers as O
+from quarrywork.llm.scratch import Scratch
 
 
 def stats(text):
@@ -55,5 +59,36 @@ def test_distance_is_the_mahalanobis_distance(spark):
     assert np.allclose(got, np.sort(np.einsum("ij,jk,ik->i", c, np.linalg.inv(cov), c)))
 
 
+def test_repeats_in_a_text_of_millions_of_words(spark):
+    for n in (70_000, 4_250_000):
+        text = f"concat_ws(' ', concat_ws(' ', transform(sequence(1, {n}), x -> concat('w', x))), 'to be or not to be or')"
+        row = spark.range(1).select(F.split(F.expr(text), " ").alias("w")).select(O._repeat_words(F.col("w")).alias("n")).first()
+        assert row.n == 6
+
+
+def test_estimate_is_that_of_least_determinant_over_all_subsets(spark):
+    rng = np.random.default_rng(7)
+    names, n = ("log_words", "word_length"), 16
+    half = (n + len(names) + 1) // 2
+    floors = np.diag([O.FLOORS[x] ** 2 for x in names])
+    for shift in ((9.0, -7.0), (4.0, 6.0)):
+        x = np.concatenate([rng.normal(scale=1.5, size=(half, 2)), rng.normal(scale=3, size=(n - half, 2)) + shift])
+        rows = spark.createDataFrame([("g", float(a), float(b)) for a, b in x], "_g string, log_words double, word_length double")
+        got = O.mcd_estimates(rows, names, ["_g"], Scratch(spark, "brute"), True).first().g
+        size = lambda rest: np.linalg.det(np.cov(x[list(rest)].T, bias=True) + floors)
+        best = min(combinations(range(n), half), key=size)
+        lower = np.linalg.cholesky(np.cov(x[list(best)].T, bias=True) + floors)
+        assert np.allclose([got.c_0, got.c_1], x[list(best)].mean(axis=0)) and np.allclose([got.l_0_0, got.l_1_0, got.l_1_1], lower[[0, 1, 1], [0, 0, 1]])
+
+
+def test_a_few_rows_are_judged_by_all_others(spark):
+    rng = np.random.default_rng(5)
+    text = lambda k, n: " ".join("w" * int(x) + str(k % 7) + str(j) for j, x in enumerate(rng.integers(2, 7, n)))
+    clean = [(k, text(k, 120 + k % 60), "aa", "s") for k in range(200)] + [(300 + k, text(k, 130), "bb", "t") for k in range(5)]
+    junk = " ".join("|##$$%%" + str(j) for j in range(150))
+    df = spark.createDataFrame([*clean, (1000, junk, "cc", "u"), (1001, junk, None, None), (1002, junk, "bb", "t")], "doc_id bigint, text string, lang string, source string")
+    assert {r.doc_id for r in O.judge(df).filter("kept").collect()} == {r[0] for r in clean}
+
+
 def test_empty(empty):
     assert O.judge(empty).count() == 0
