@@ -5,11 +5,13 @@ that has fewer. Hashes of the windows are the set; documents' token windows of
 the lengths that occur are hashed and probed, and every hit is verified on the
 words themselves. All of it is SQL functions.
 
-The set is broadcast while it has at most BROADCAST_WINDOWS rows (16 bytes
-each); a larger benchmark joins by a shuffle on the hash.
+The set is broadcast while its estimated size (words, item ids and an allowance
+for each row) is at most BROADCAST_BYTES; a larger benchmark joins by a shuffle
+on the hash.
 
 Defined results
   null or empty text, text without words   0 words, nothing hit
+  very long texts                          whole; windows of a text are one row's array, of under 2 GB
   null or word-free item                   has no window
   repeated items                           each counts, by its item_id
   repeated document rows                   each gets its result
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 from quarrywork.llm.exprs import ascii_lower, indices, let, text_or_empty
 
 WINDOW = 13
-BROADCAST_WINDOWS = 2_000_000
+BROADCAST_BYTES, ROW_BYTES = 128 << 20, 100
 #: What no word holds, in a text whose letters are as they were.
 NOT_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 PIECES = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+|[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -69,25 +71,25 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
 
 
 def _merge(spots: Column) -> Column:
-    """Maximal runs (start, end) of words under sorted spots (pos, len)."""
-    kind = "array<struct<start:int,end:int>>"
+    """Maximal runs (start, end) of words under spots (pos, len)."""
+    covered = F.array_sort(F.array_distinct(F.flatten(F.transform(spots, lambda x: F.sequence(x["pos"], x["pos"] + x["len"] - 1)))))
 
-    def step(acc: Column, x: Column) -> Column:
-        last = F.element_at(acc, -1)
-        one = F.array(F.struct(x["pos"].alias("start"), (x["pos"] + x["len"]).alias("end")))
-        grown = F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], x["pos"] + x["len"]).alias("end")))
-        return F.when(F.size(acc) == 0, one).when(x["pos"] > last["end"], F.concat(acc, one)).otherwise(F.concat(F.slice(acc, 1, F.size(acc) - 1), grown))
+    def runs(hit: Column) -> Column:
+        first = F.filter(hit, lambda x, i: (i == 0) | (F.get(hit, i - 1) != x - 1))
+        last = F.filter(hit, lambda x, i: (i == F.size(hit) - 1) | (F.get(hit, i + 1) != x + 1))
+        return F.zip_with(first, last, lambda a, b: F.struct(a.alias("start"), (b + 1).alias("end")))
 
-    return F.aggregate(spots, F.array().cast(kind), step)
+    return let(covered, runs)
 
 
 def find_hits(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, _t, spans, items) of the documents with hits; _t is a hash of the text, which tells rows of one key apart."""
     windows = benchmark_windows(benchmark).cache()
-    n, lengths = windows.agg(F.count("*"), F.collect_set("len")).first()
+    size = F.sum(F.octet_length("gram") + 16 * F.size("items") + 2 * ROW_BYTES)
+    n, lengths = windows.agg(F.coalesce(size, F.lit(0)), F.collect_set("len")).first()
     if not n:
         lengths = [WINDOW]
-    small = (lambda x: F.broadcast(x)) if n <= BROADCAST_WINDOWS else (lambda x: x)
+    small = (lambda x: F.broadcast(x)) if n <= BROADCAST_BYTES else (lambda x: x)
     tag = F.xxhash64(text).alias("_t")
     probes = docs.select(key, tag, F.explode(_windows(cased_words(text), sorted(lengths))).alias("x")).select(key, "_t", "x.*")
     found = probes.join(small(windows.select("h", "len").distinct()), ["h", "len"]).groupBy(key, "_t").agg(F.collect_set(F.struct("pos", "len")).alias("spots"))

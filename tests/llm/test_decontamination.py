@@ -70,3 +70,12 @@ def test_no_python_on_the_main_path(spark):
     docs, items = tables(spark)
     plan = D.report(docs, items)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_long_text_and_a_benchmark_too_large_to_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(D, "BROADCAST_BYTES", 0)
+    long = " ".join(f"w{k}" for k in range(30_000))
+    texts = [*TEXTS, (20, long + " " + ITEM + " " + long + " short Éa item " * 500, "?")]
+    docs, items = tables(spark, texts)
+    got = sorted(str((r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated)) for r in D.report(docs, items).collect())
+    assert got == sorted(str((d, *brute(t))) for d, t, _ in texts)
