@@ -49,9 +49,9 @@ from quarrywork.llm.scratch import Scratch
 #: Documents' own statistics, transformed to near-symmetric ones: name, expression, least standard deviation.
 STATISTICS = ("log_words", "word_length", "symbols", "dup_lines", "repeats")
 FLOORS = {"log_words": 0.75, "word_length": 0.5, "symbols": 0.3, "dup_lines": 0.5, "repeats": 0.5}
-FIRST_STEPS, MOST_STEPS = 2, 20
-#: A step is the last if no group's log-determinant changes by more.
-CONVERGED = 1e-9
+FIRST_STEPS, MOST_STEPS = 2, 12
+#: A step is the last if no group's log-determinant changes by more. Steps finer than that can't be told from rows that tie in a distance bin.
+CONVERGED = 0.01
 PRIOR = 50
 #: The key of the group of all rows; other groups' keys aren't empty.
 POOLED = ""

@@ -40,16 +40,21 @@ def _delete(spark: SparkSession, path: str) -> None:
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-#: Rows of texts or sets are large; Spark's default of 10,000 in a batch would be held several times over. A batch ends at either bound.
-BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
-_BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": BATCH_ROWS, "spark.sql.execution.arrow.maxBytesPerBatch": BATCH_BYTES}
+#: Settings of a writing action, each the least of this and the session's. Rows of texts or sets are large, so Arrow
+#: batches end at fewer rows or bytes than by default. The virtual machine never compiles methods of over 8000 bytes,
+#: so that larger generated ones would be interpreted; under this limit Spark splits them.
+_BOUNDS = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": 1000,
+    "spark.sql.execution.arrow.maxBytesPerBatch": 16 << 20,
+    "spark.sql.codegen.hugeMethodLimit": 8000,
+}
 
 
 @contextlib.contextmanager
-def _small_batches(spark: SparkSession) -> Iterator[None]:
-    """Smaller Arrow batches for one action; the session's own setting after it."""
-    before = {name: spark.conf.get(name) for name in _BATCH}
-    for name, most in _BATCH.items():
+def _bounded(spark: SparkSession) -> Iterator[None]:
+    """The bounds for one action; the session's own settings after it."""
+    before = {name: spark.conf.get(name) for name in _BOUNDS}
+    for name, most in _BOUNDS.items():
         digits = before[name].rstrip("b")
         now = int(digits) if digits.isdigit() else 0
         spark.conf.set(name, str(min(most, now) if now > 0 else most))
@@ -71,7 +76,7 @@ class Scratch:
     def write(self, df: DataFrame, name: str, codec: str = "zstd", group_mb: int = 128) -> DataFrame:
         """Writes df as Parquet and returns the written table. group_mb: the row groups, smaller for rows of large values."""
         path = f"{self.path}/{name}"
-        with _small_batches(self.spark):
+        with _bounded(self.spark):
             self._save(df, path, codec, group_mb)
         return self.spark.read.schema(df.schema).parquet(path)
 
