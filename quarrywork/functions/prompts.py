@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quarrywork.functions.text import error_lines, failing_tests, lines
+from quarrywork.functions.text import lines, strip
 
 
 def sections(*named: tuple[str, Column]) -> Column:
@@ -22,36 +22,58 @@ def reason(kind: Column, distance: Column, overlap: Column, hints: Column) -> Co
     return F.concat_ws("; ", F.concat(F.lit("type="), kind), F.when(distance.isNotNull(), F.concat(F.lit("dist="), distance.cast("string"))), part("overlap", overlap, 6), part("hints", hints, 4))
 
 
-def mark_line(text: Column, line: Column, mark: str = "  // <-- here") -> Column:
-    """The text with a mark behind one line."""
-    return F.array_join(F.transform(lines(text), lambda x, i: F.when(i + 1 == line, F.concat(x, F.lit(mark))).otherwise(x)), "\n")
+def mark_line(text: Column, line: Column, content: Column | None = None, mark: str = "  // <--- BUGGY LINE") -> Column:
+    """The text with a mark behind one line: the one of that number, or, where there is none, the first that equals content, stripped, or else contains it. A marked line stays."""
+    each = F.split(text, "\n")
+    at = F.when((line >= 1) & (line <= F.size(each)), line)
+    if content is not None:
+        goal = strip(content)
+        place = lambda test: F.nullif(F.array_position(F.transform(each, test), F.lit(True)), F.lit(0))
+        at = F.coalesce(at, F.when(goal != "", F.coalesce(place(lambda x: strip(x) == goal), place(lambda x: F.contains(x, goal)))))
+    marked = F.transform(each, lambda x, i: F.when((i + 1 == at) & ~F.contains(x, F.lit("<--- BUGGY LINE")), F.concat(x, F.lit(mark))).otherwise(x))
+    return F.array_join(marked, "\n")
 
 
-def first_failure(log: Column) -> Column:
-    """(test, message, frames) of the first block that a line of dashes and a name opens: the first line that is no frame, and up to three frames outside of test and language libraries, or any frames where there is none."""
-    block = F.regexp_extract(log, r"(?s)(?:^|\n)--- (.*?)(?=\n--- |$)", 1)
-    rows = F.transform(lines(block), lambda x: F.trim(x))
-    body = F.slice(rows, 2, F.greatest(F.lit(0), F.size(rows) - 1))
-    frames = F.filter(body, lambda x: F.startswith(x, F.lit("at ")))
-    own = F.filter(frames, lambda x: ~x.rlike(r"^at (java|javax|sun|jdk|junit|org\.junit)\."))
-    message = F.filter(body, lambda x: ~F.startswith(x, F.lit("at ")) & (x != ""))
-    return F.when(block != "", F.struct(F.try_element_at(rows, F.lit(1)).alias("test"), F.try_element_at(message, F.lit(1)).alias("message"), F.slice(F.when(F.size(own) > 0, own).otherwise(frames), 1, 3).alias("frames")))
+# Frames with one of these say nothing of the code under test.
+NOISE = ("junit.framework", "org.apache.tools.ant", "jdk.internal.reflect", "java.base/", "java.lang.reflect", "sun.reflect")
 
 
-def feedback(strategy: Column, log: Column, siblings: Column, blind: bool = False, tests: bool = True) -> Column:
-    """What a retry is told: nothing if blind; of test failures only with tests; compile logs by their error lines."""
-    if blind:
-        return F.lit("The previous attempt failed. Try another fix.")
-    names = F.array_join(F.slice(failing_tests(log), 1, 5), ", ")
-    test = F.concat(F.lit("Tests fail: "), names) if tests else F.lit("Some tests fail.")
-    compiled = sections(("Compiler", error_lines(log, 5)), ("Methods", F.array_join(F.slice(siblings, 1, 5), "\n")))
-    return F.when(strategy == "test_feedback", test).when(strategy == "simplify_feedback", "It took too long. Make a simpler change.").when(strategy.isNotNull(), compiled)
+def first_failure(log: Column, frames: int = 3) -> Column:
+    """(test, message, frames) of the first block that a line of dashes and a name opens: the first line that is no frame, and the first frames without noise, or any where all are noise. Null without a block."""
+    each = F.transform(lines(log), lambda x: F.regexp_replace(x, r"\s+\z", ""))
+    heads = F.filter(F.transform(each, lambda x, i: F.when(F.startswith(x, F.lit("--- ")), i + 1)), lambda i: i.isNotNull())
+    start, stop = F.get(heads, F.lit(0)), F.coalesce(F.get(heads, F.lit(1)), F.size(each) + 1)
+    rows = F.filter(F.transform(F.slice(each, start, stop - start), strip), lambda x: x != "")
+    body = F.slice(rows, 2, F.greatest(F.size(rows) - 1, F.lit(0)))
+    all_frames = F.filter(body, lambda x: F.startswith(x, F.lit("at ")))
+    own = F.filter(all_frames, lambda x: ~F.lower(x).rlike("|".join(t.replace(".", r"\.") for t in NOISE)))
+    message = F.get(F.filter(body, lambda x: ~F.startswith(x, F.lit("at "))), F.lit(0))
+    test = strip(F.substring(F.get(rows, F.lit(0)), 5, 1_000_000))
+    return F.when(start.isNotNull(), F.struct(test.alias("test"), F.coalesce(message, F.lit("")).alias("message"), F.slice(F.when(F.size(own) > 0, own).otherwise(all_frames), 1, frames).alias("frames")))
+
+
+# The sampling settings of the three runs of a preset.
+PRESETS = (
+    {"tag": "A", "seed": 0, "temperature": 0.70, "top_p": 0.95, "presence_penalty": 0.0},
+    {"tag": "B", "seed": 1, "temperature": 0.90, "top_p": 0.90, "presence_penalty": 0.2},
+    {"tag": "C", "seed": 2, "temperature": 1.05, "top_p": 0.85, "presence_penalty": 0.4},
+)
 
 
 def run_settings(text: Column) -> Column:
-    """A map of key=value items; a bare item is the tag."""
-    items = F.filter(F.split(F.coalesce(text, F.lit("")), ","), lambda x: F.trim(x) != "")
-    return F.map_from_entries(F.transform(items, lambda x: F.when(F.contains(x, F.lit("=")), F.struct(F.trim(F.substring_index(x, "=", 1)).alias("k"), F.trim(F.regexp_replace(x, r"^[^=]*=", "")).alias("v"))).otherwise(F.struct(F.lit("tag").alias("k"), F.trim(x).alias("v")))))
+    """A map of key=value items, keys lower-cased, the last of a key; the first bare item is the tag, unless a key says it."""
+    items = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "")
+    pair = lambda x: F.struct(F.lower(F.trim(F.substring_index(x, "=", 1))).alias("k"), F.trim(F.regexp_replace(x, r"^[^=]*=", "")).alias("v"))
+    pairs = F.transform(F.filter(items, lambda x: F.contains(x, F.lit("="))), pair)
+    bare = F.get(F.filter(items, lambda x: ~F.contains(x, F.lit("="))), F.lit(0))
+    tagged = F.when(bare.isNotNull() & ~F.exists(pairs, lambda p: p["k"] == "tag"), F.concat(pairs, F.array(F.struct(F.lit("tag").alias("k"), bare.alias("v"))))).otherwise(pairs)
+    last = F.filter(tagged, lambda p, i: ~F.exists(F.slice(tagged, i + 2, 1_000_000), lambda q: q["k"] == p["k"]))
+    return F.map_from_entries(last)
+
+
+def preset_runs(base_seed: int = 42) -> list[dict]:
+    """The settings of a preset's runs, seeds counted from base_seed."""
+    return [{**p, "seed": base_seed + p["seed"]} for p in PRESETS]
 
 
 def setting(*choices: Column) -> Column:
@@ -59,14 +81,63 @@ def setting(*choices: Column) -> Column:
     return F.coalesce(*[F.when(F.trim(c) != "", c) for c in choices])
 
 
-def local_line(line: Column, start: Column, n_lines: Column) -> Column:
-    """A line counted from a function's first one, whether it came absolute or already so; null if it lies in neither range."""
-    return F.when((line >= start) & (line < start + n_lines), line - start + 1).when((line >= 1) & (line <= n_lines), line)
+def local_line(line: Column, start: Column, n_lines: Column, absolute_first: bool = True) -> Column:
+    """A line counted from a function's first one, whether it came absolute or already so; null if it lies in neither range. absolute_first: which of the two is tried first."""
+    absolute, own = F.when((line >= start) & (line < start + n_lines), line - start + 1), F.when((line >= 1) & (line <= n_lines), line)
+    return F.coalesce(absolute, own) if absolute_first else F.coalesce(own, absolute)
+
+
+def profile(mode: Column, level: Column, cost_aware: bool = True) -> Column:
+    """HARD for hard edits or low retrieval confidence, EASY for high, MED between; of a scheduler that isn't cost-aware, HARD for hard edits, MED for others."""
+    hard = F.coalesce(F.lower(F.trim(mode)) == "hard", F.lit(False))
+    if not cost_aware:
+        return F.when(hard, "HARD").otherwise("MED")
+    return F.when(hard | F.coalesce(level == "low", F.lit(False)), "HARD").when(level == "high", "EASY").otherwise("MED")
+
+
+def profile_target(profile: Column, target: int, easy: int = 12, med: int = 30, hard: int | None = None) -> Column:
+    """How many candidates a profile asks for: its own goal, at most the common one, at least 1."""
+    goal = lambda n: max(1, min(target, max(1, n)))
+    return F.when(profile == "EASY", goal(easy)).when(profile == "MED", goal(med)).otherwise(goal(target if hard is None else hard))
+
+
+def node_summary(nodes: Column, language: Column, most: int = 5) -> Column:
+    """The first nodes (line, type, distance, contains, names, hints, code, context) as a numbered list."""
+    some = lambda items: F.coalesce(F.size(items), F.lit(0)) > 0
+    text = lambda x: F.coalesce(x.cast("string"), F.lit("N/A"))
+
+    def one(n: Column, i: Column) -> Column:
+        shown = F.when(strip(n["context"]) != "", F.concat(F.lit("```text\n"), strip(n["context"]), F.lit("\n```"))).otherwise(F.concat(F.lit("```"), language, F.lit("\n"), strip(n["code"]), F.lit("\n```")))
+        head = F.concat((i + 1).cast("string"), F.lit(". Line "), text(n["line"]), F.lit(" ("), text(n["type"]), F.lit(", dist: "), text(n["distance"]), F.lit(")"))
+        rows = F.array(
+            head,
+            F.when(n["contains"], "   - Contains buggy line"),
+            F.when(some(n["names"]), F.concat(F.lit("   - Ids: "), F.array_join(F.slice(n["names"], 1, 6), ", "))),
+            F.when(some(n["hints"]), F.concat(F.lit("   - Hints: "), F.array_join(n["hints"], ", "))),
+            F.concat(F.lit("   - Code:\n"), shown),
+        )
+        return F.array_join(F.array_compact(rows), "\n")
+
+    return F.array_join(F.transform(F.slice(nodes, 1, most), one), "\n")
+
+
+def neighbour_summary(top: Column, most: int = 2) -> Column:
+    """The first neighbours (id, project, score, file, line) as a numbered list."""
+    text = lambda x: F.coalesce(F.nullif(x, F.lit("")), F.lit("N/A"))
+
+    def one(n: Column, i: Column) -> Column:
+        score = F.when(n["score"].isNotNull(), F.format_string("%.3f", n["score"])).otherwise("N/A")
+        head = F.concat((i + 1).cast("string"), F.lit(". "), text(n["id"]), F.lit(" | "), text(n["project"]), F.lit(" | score "), score)
+        more = [F.when(F.coalesce(n[c], F.lit("")) != "", F.concat(F.lit(f"   - {title}: "), n[c])) for c, title in (("file", "file"), ("line", "buggy_line"))]
+        return F.array_join(F.array_compact(F.array(head, *more)), "\n")
+
+    return F.array_join(F.transform(F.slice(top, 1, most), one), "\n")
 
 
-def profile(mode: Column, level: Column) -> Column:
-    """EASY for single edits with high retrieval confidence, HARD for hard ones with low, MED between."""
-    return F.when((mode == "single") & (level == "high"), "EASY").when((mode == "hard") & (level == "low"), "HARD").otherwise("MED")
+def bound_lines(line: Column, nodes: Column, start: Column, n_lines: Column, most: int = 10) -> Column:
+    """The lines of a bug and its first five nodes, local ones, sorted, each once."""
+    every = F.concat(F.array(line), F.transform(F.slice(nodes, 1, 5), lambda n: n["line"]))
+    return F.slice(F.array_sort(F.array_distinct(F.array_compact(F.transform(every, lambda x: local_line(x, start, n_lines, absolute_first=False))))), 1, most)
 
 
 def default_plan(line: Column, n_lines: Column, mode: Column) -> Column:

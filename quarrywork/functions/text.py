@@ -5,7 +5,7 @@ All are Column to Column and stay in the JVM.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -13,6 +13,11 @@ from pyspark.sql import functions as F
 TOKEN = r"[A-Za-z0-9_]+"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value as a variable of a lambda: written once in the plan and computed once, however often body mentions it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def tokenize(text: Column) -> Column:
     """Lower-cased runs of letters, digits and underscores; null gives an empty array."""
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(0))
@@ -102,8 +107,34 @@ def first_nonblank_name(**columns: Column) -> Column:
     return F.coalesce(*[F.when(F.trim(c) != "", F.lit(name)) for name, c in columns.items()])
 
 
-def expand_tokens(tokens: Column, hints: Column, line: Column, by_hint: Sequence[tuple[str, Sequence[str]]], by_code: Sequence[tuple[str, Sequence[str]]]) -> Column:
-    """tokens and the words of every rule whose cue is in the hints, or in the line or the joined tokens; distinct, in order."""
+# Words that queries gain by cues in hints and in code.
+HINT_CUES = (
+    ("indexerror", ("index", "out", "range", "len", "range", "bounds")),
+    ("out of range", ("index", "range", "bounds", "len")),
+    ("off-by-one", ("index", "range", "len")),
+    ("keyerror", ("dict", "get", "in", "keys")),
+    ("typeerror", ("isinstance", "type", "cast")),
+    ("valueerror", ("validate", "check", "empty")),
+    ("zerodivision", ("divide", "zero", "float")),
+    ("none", ("is", "==", "null", "empty")),
+    ("empty", ("len", "==", "0")),
+    ("boundary", ("min", "max", "clip")),
+)
+CODE_CUES = (
+    ("range(", ("index", "len")),
+    ("len(", ("index", "empty")),
+    ("[", ("index",)),
+    (".get(", ("dict", "key")),
+    ("try:", ("except",)),
+    ("except", ("try",)),
+    ("is None", ("none",)),
+    ("== None", ("none",)),
+)
+
+
+def expand_tokens(tokens: Column, hints: Column, line: Column, by_hint: Sequence[tuple[str, Sequence[str]]] = HINT_CUES, by_code: Sequence[tuple[str, Sequence[str]]] = CODE_CUES) -> Column:
+    """tokens and the words of every rule whose cue is in the lower-cased hints, or in the line or the joined tokens; distinct, in order."""
+    hints, line = F.lower(F.coalesce(hints, F.lit(""))), F.coalesce(line, F.lit(""))
     joined = F.array_join(tokens, " ")
     none = F.array().cast("array<string>")
     words = lambda w: F.array(*[F.lit(x) for x in w])
@@ -182,15 +213,51 @@ def failure_priority(reason: Column, family: Column) -> Column:
 
 def failing_tests(log: Column) -> Column:
     """The first name::case of each line, distinct, in order."""
-    found = F.transform(lines(log), lambda x: F.regexp_extract(x, r"([A-Za-z_][\w.$]*::[A-Za-z_]\w*)", 1))
+    found = F.transform(lines(log), lambda x: F.regexp_extract(x, r"([A-Za-z0-9_.$]+::[A-Za-z0-9_.$]+)", 1))
     return F.array_distinct(F.filter(found, lambda x: x != ""))
 
 
-def error_lines(log: Column, n: int = 5) -> Column:
-    """The first n lines with an error, or of all lines where none has one."""
-    each = F.filter(lines(log), lambda x: F.trim(x) != "")
-    bad = F.filter(each, lambda x: F.lower(x).rlike("error|exception"))
-    return F.array_join(F.slice(F.when(F.size(bad) > 0, bad).otherwise(each), 1, n), "\n")
+# What useful lines of compiler output and of a test's output have, lower-cased.
+COMPILER_WORDS = ("error:", "symbol", "type", "found", "required", "cannot", "expected", "exception")
+TEST_WORDS = ("fail", "error", "exception", "assert", "expected", "actual", "caused by", "comparisonfailure", "at ")
+
+
+def strip(text: Column) -> Column:
+    """Without white space at both ends; null gives an empty text."""
+    return F.regexp_replace(F.coalesce(text, F.lit("")), r"\A\s+|\s+\z", "")
+
+
+def _useful(each: Column, words: Sequence[str], n: int) -> Column:
+    """The first n of the lines with one of the words, or of all where none has one."""
+    has = lambda x: F.lower(x).rlike("|".join(words))
+    kept = F.filter(each, has)
+    return F.array_join(F.slice(F.when(F.size(kept) > 0, kept).otherwise(each), 1, n), "\n")
+
+
+def _full_lines(text: Column) -> Column:
+    """Lines that aren't blank, without white space at their ends."""
+    return F.filter(F.transform(lines(text), lambda x: F.regexp_replace(x, r"\s+\z", "")), lambda x: x != "")
+
+
+def compiler_lines(log: Column, n: int = 5) -> Column:
+    return _useful(lines(strip(log)), COMPILER_WORDS, n)
+
+
+def test_detail(log: Column, n: int = 18) -> Column:
+    return _useful(_full_lines(log), TEST_WORDS, n)
+
+
+def test_output(log: Column, n: int = 12) -> Column:
+    return F.array_join(F.slice(_full_lines(log), 1, n), "\n")
+
+
+def test_names(names: Column, n: int = 5) -> Column:
+    each = F.filter(F.transform(F.coalesce(names, F.array().cast("array<string>")), strip), lambda x: x != "")
+    return F.array_join(F.slice(each, 1, n), "\n")
+
+
+def short_list(items: Column, n: int = 5, none: str = "(none)") -> Column:
+    return F.when(F.coalesce(F.size(items), F.lit(0)) > 0, F.array_join(F.slice(items, 1, n), "\n")).otherwise(none)
 
 
 def time_tag(name: Column) -> Column:
@@ -208,21 +275,34 @@ def identifiers(code: Column, reserved: Sequence[str]) -> Column:
     return F.filter(found, lambda x: ~x.isin(*reserved))
 
 
-def numbered_context(text: Column, line: Column, window: int = 3, mark: str = ">>") -> Column:
+def _numbered(each: Column, first: Column, last: Column, line: Column, mark: str, blank: str) -> Column:
+    """Lines first to last, each behind its right-aligned number and a mark."""
+    number = lambda k: F.when(k > 9999, k.cast("string")).otherwise(F.lpad(k.cast("string"), 4, " "))
+    return F.transform(F.slice(each, first, last - first + 1), lambda x, i: F.concat(number(i + first), F.lit(":"), F.when(i + first == line, mark).otherwise(blank), x))
+
+
+def numbered_context(text: Column, line: Column, window: int = 3) -> Column:
     """The lines around a 1-based line, numbered, the line itself marked; empty if it isn't there."""
     each = lines(text)
-    first = F.greatest(F.lit(1), line - window)
-    shown = F.slice(each, first, F.least(F.size(each), line + window) - first + 1)
-    numbered = F.transform(shown, lambda x, i: F.concat(F.when(i + first == line, F.lit(mark)).otherwise(F.lit("  ")), F.lit(" "), (i + first).cast("string"), F.lit(": "), x))
-    return F.when((line >= 1) & (line <= F.size(each)), F.array_join(numbered, "\n")).otherwise("")
+    shown = _numbered(each, F.greatest(F.lit(1), line - window), F.least(F.size(each), line + window), line, "-> ", "   ")
+    return F.when((line >= 1) & (line <= F.size(each)), F.array_join(shown, "\n")).otherwise("")
+
+
+def local_context(text: Column, line: Column, radius: int = 2, note: str = "... (truncated)") -> Column:
+    """As numbered_context, with a note where lines are left out before or behind."""
+    each = lines(text)
+    first, last = F.greatest(F.lit(1), line - radius), F.least(F.size(each), line + radius)
+    some = lambda c: F.when(c, F.array(F.lit(note))).otherwise(F.array().cast("array<string>"))
+    return F.array_join(F.concat(some(first > 1), _numbered(each, first, last, line, "->", "  "), some(last < F.size(each))), "\n")
 
 
 def find_line(text: Column, target: Column) -> Column:
-    """The 1-based line that equals target, trimmed; else without comments; else the first that contains it; null if none."""
-    each = F.transform(lines(text), lambda x: F.trim(x))
-    goal = F.trim(target)
-    bare = F.transform(each, lambda x: F.trim(F.regexp_replace(x, r"\s*//.*$", "")))
+    """The 1-based line that equals target, stripped; else without comments; else the first that, without comments, contains it so; null if none."""
+    each = F.transform(lines(text), strip)
+    uncommented = lambda x: strip(F.regexp_replace(x, r"\s*//.*$", ""))
+    bare, goal = F.transform(each, uncommented), strip(target)
+    short = uncommented(goal)
     exact = F.nullif(F.array_position(each, goal), F.lit(0))
-    plain = F.nullif(F.array_position(bare, F.trim(F.regexp_replace(goal, r"\s*//.*$", ""))), F.lit(0))
-    within = F.nullif(F.array_position(F.transform(each, lambda x: F.contains(x, goal)), F.lit(True)), F.lit(0))
+    plain = F.nullif(F.array_position(bare, short), F.lit(0))
+    within = F.when(short != "", F.nullif(F.array_position(F.transform(bare, lambda x: F.contains(x, short)), F.lit(True)), F.lit(0)))
     return F.when(goal != "", F.coalesce(exact, plain, within)).cast("int")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from quarrywork.functions.text import canonical, lines, normalized_hash
+from quarrywork.functions.text import canonical, lines, normalized_hash, strip
 from quarrywork.operators import diffs
 
 # The line behind which a response's code stands, and the least length of code.
@@ -86,48 +86,137 @@ def validity_reasons(code: Column, base: Column, fraction: Column, allowed: Colu
     )
 
 
-# Scores of a candidate's features.
+# Scores by the share of changed lines, and what costs a candidate.
 _DIFF = ((0.03, 40), (0.12, 30), (0.25, 20), (0.5, 5))
-
-
-@F.pandas_udf(T.DoubleType())
-def _length_ratio(base: pd.Series, code: pd.Series) -> pd.Series:
-    return pd.Series([len((c or "").splitlines()) / max(1, len((b or "").splitlines())) for b, c in zip(base, code, strict=True)])
-
-
-def heuristic_score(code: Column, base: Column, line: Column, name: Column, own_name: Column, parses: Column) -> Column:
-    """For ranking only. line: the suspicious one; name and own_name: the expected declaration and the candidate's."""
-    ratio, fraction, length = diffs.similarity(canonical(base), canonical(code)), diffs.change_fraction(base, code), _length_ratio(base, code)
-    in_base = (line != "") & F.contains(base, line)
+ARTIFACT_HINT = r"(?i)<---\s*buggy line|corrected\b|fixed(?:\s+line)?\b|patched(?:\s+line)?\b"
+ARTIFACT_TEXT = r"(?i)this is the corrected version|changed line|replace if|buggy line|rest of the code|rest of the function|rest of the method|todo\b"
+TRUNCATED = r"(?im)rest of the code|rest of the function|rest of the method|omitted for brevity|^\s*(?://|#|\*)\s*\.\.\.\s*(?:\(|$)|^\s*\.\.\.\s*(?:\(|$)"
+BANNED = (r"\.\.\.", r"\braise\s+NotImplementedError\b", r"\bprint\s*\(")
+DROP_REASONS = (
+    "empty_code",
+    "extraction_failed",
+    "extraction_failed_empty_after_trim",
+    "extraction_failed_no_code_like",
+    "extraction_failed_model_artifact",
+    "extraction_failed_too_short",
+    "extraction_failed_postprocess",
+    "introduced_model_artifact",
+    "introduced_non_ascii",
+    "introduced_java_incompatible_syntax",
+    "syntax_fail",
+    "no_def_or_class",
+    "name_mismatch",
+    "java_compile_invalid",
+    "no_change",
+    "plan_violation",
+    "duplicate",
+    "other",
+)
+
+
+def length_ratio(base: Column, code: Column) -> Column:
+    """Lines of the code to those of the base; 1 for an empty base."""
+    return F.when(F.size(lines(base)) == 0, 1.0).otherwise(F.size(lines(code)) / F.greatest(F.size(lines(base)), F.lit(1)))
+
+
+def model_artifact(code: Column) -> Column:
+    """Whether a text tells of its own making: a fence, a remark on what was changed, a place left out."""
+    t = F.coalesce(code, F.lit(""))
+    return F.contains(t, F.lit("```")) | t.rlike(ARTIFACT_TEXT) | t.rlike(TRUNCATED)
+
+
+def heuristic_score(code: Column, base: Column, line: Column, name: Column, own_name: Column, parses: Column, context: Column | None = None) -> Column:
+    """For ranking only. line: the suspicious one; name and own_name: the expected declaration and the candidate's; context: the lines around the suspicious one."""
+    ratio, fraction, length = diffs.similarity(canonical(base), canonical(code)), diffs.change_fraction(base, code), length_ratio(base, code)
+    in_base, in_code = (line != "") & F.contains(base, line), F.contains(code, line)
     by_diff = F.when(fraction < 0.005, -500)
     for edge, points in _DIFF:
         by_diff = by_diff.when(fraction <= edge, points)
     by_length = F.when(length.between(0.8, 1.2), 20).when(length.between(0.6, 1.5), 8).when((length < 0.25) | (length > 2.5), -30).otherwise(0)
-    n = F.size(lines(F.trim(code)))
+    cost = lambda when, points: F.when(F.coalesce(when, F.lit(False)), -points).otherwise(0)
+    lost = F.lit(False) if context is None else (F.trim(context) != "") & ~F.contains(code, F.trim(context)) & (line != "") & ~in_code
+    n = F.size(lines(strip(code)))
     score = (
         100
-        + F.when(in_base & F.contains(code, line), -15).when(in_base, 15).otherwise(0)
+        + F.when(in_base & in_code, -15).when(in_base, 15).otherwise(0)
+        + cost(lost, 10)
         + F.when(name == "", 0).when(name == own_name, 35).otherwise(-120)
-        + F.floor(ratio * 45)
-        + by_diff.otherwise(-10)
-        + by_length
-        + F.when(F.contains(code, F.lit("pass")) | F.contains(code, F.lit("...")) | F.contains(code, F.lit("NotImplementedError")), -300).otherwise(0)
-        + F.when(code.rlike(r"(?m)^\s*(import|from)\s+"), -200).otherwise(0)
+        + F.when(base == "", 0).otherwise(F.floor(ratio * 45) + by_diff.otherwise(-10) + by_length)
+        + cost(F.contains(code, F.lit("pass")) | F.contains(code, F.lit("...")) | F.contains(code, F.lit("NotImplementedError")), 300)
+        + cost(model_artifact(code), 500)
+        + cost(code.rlike(ARTIFACT_HINT), 80)
+        + sum((cost(code.rlike(p), 80) for p in BANNED), F.lit(0))
+        + cost(code.rlike(r"(?m)^\s*(import|from)\s+"), 200)
         + F.when(n <= 2, -30).when(n > 200, -25).otherwise(0)
     )
     return F.when(F.trim(code) == "", -1000).when(~parses, -500).otherwise(score).cast("int")
 
 
-# What a plan violation costs when it fills a gap; rescues scan and keep so many.
+def candidate_problem(code: Column, base: Column, name: Column, own_name: Column) -> Column:
+    """The first rule that a candidate breaks: no code, the base but for comments and white space, no declaration, another name, an artifact or a letter outside of ASCII that the base lacks; null for a viable one."""
+    new_text = lambda test: test(code) & ~test(base)
+    return (
+        F.when(strip(code) == "", "empty_code")
+        .when(canonical(code) == canonical(base), "no_change")
+        .when(F.coalesce(own_name, F.lit("")) == "", "no_def_or_class")
+        .when((F.coalesce(name, F.lit("")) != "") & (own_name != name), "name_mismatch")
+        .when(new_text(model_artifact), "introduced_model_artifact")
+        .when(new_text(lambda x: F.coalesce(x, F.lit("")).rlike(r"[^\x00-\x7F]")), "introduced_non_ascii")
+        .when(new_text(lambda x: F.contains(F.coalesce(x, F.lit("")), F.lit("<>"))), "introduced_java_incompatible_syntax")
+    )
+
+
+def drop_counts(rows: DataFrame, by: str, reason: str) -> DataFrame:
+    """(by, reason, n): dropped candidates by reason, unknown reasons as other; survivors (null) don't count."""
+    known = F.when(F.trim(reason).isin(*DROP_REASONS), F.trim(reason)).otherwise("other")
+    return rows.filter(F.col(reason).isNotNull()).groupBy(by, known.alias("reason")).agg(F.count("*").alias("n"))
+
+
+# What a plan violation costs when it fills a gap; rescues scan and keep so many, with so many items and such a share of changed lines.
 PENALTY, SCAN, KEEP = 25, 5, 3
+RESCUE_ITEMS, RESCUE_FRACTION = 4, 0.40
+RESCUE_REASONS = ("new_identifier_reference", "new_type_reference", "new_constant_reference", "new_helper_call")
+RESCUE_SOURCES = ("helper_calls", "types", "instance_fields", "method_signature", "context_summary")
 
 
-def refill(rows: DataFrame, by: str, goal: int) -> DataFrame:
-    """Candidates (score, violates, signature) up to the goal of each group: those that keep the plan, then, each signature once, violators by their score less the penalty. Adds fill_score and pick."""
-    w = W.partitionBy(by).orderBy("violates", F.desc("fill_score"), "signature")
+def refill(rows: DataFrame, by: str, goal: int, *order: str) -> DataFrame:
+    """All candidates (score, violates, change, signature) that keep the plan, and, up to the goal of each group, violators by their score less the penalty. A violator's signature must be new; empty ones always are. Adds fill_score and pick. order breaks what ties are left."""
+    best = (F.desc("fill_score"), F.col("change"), F.coalesce("signature", F.lit("")), *order)
+    named = F.coalesce("signature", F.lit("")) != ""
     scored = rows.withColumn("fill_score", F.col("score") - F.when(F.col("violates"), PENALTY).otherwise(0))
-    once = scored.withColumn("_n", F.row_number().over(W.partitionBy(by, "signature").orderBy("violates", F.desc("fill_score")))).filter("_n = 1").drop("_n")
-    return once.withColumn("pick", F.row_number().over(w)).filter(F.col("pick") <= goal)
+    of_signature, of_group = W.partitionBy(by, "signature"), W.partitionBy(by)
+    marked = scored.withColumns(
+        {
+            "_kept": F.count_if(~F.col("violates")).over(of_group),
+            "_known": F.count_if(~F.col("violates")).over(of_signature) > 0,
+            "_first": F.row_number().over(W.partitionBy(by, "signature", "violates").orderBy(*best)) == 1,
+        }
+    )
+    usable = marked.filter(~F.col("violates") | ~named | (~F.col("_known") & F.col("_first")))
+    picked = usable.withColumn("pick", F.row_number().over(W.partitionBy(by).orderBy("violates", *best)))
+    return picked.filter(~F.col("violates") | (F.col("pick") <= goal)).drop("_kept", "_known", "_first")
+
+
+def rescue_support(reason: Column, items: Column, sources: Column) -> Column:
+    """A map from each item of the one reason to its allowed sources, or null where an item has none or the reason isn't one that names symbols. sources: a map from symbols to lists."""
+    allowed = lambda x: F.array_sort(F.array_intersect(F.coalesce(F.try_element_at(sources, x), F.array().cast("array<string>")), F.array(*map(F.lit, RESCUE_SOURCES))))
+    entries = F.transform(F.array_distinct(items), lambda x: F.struct(x.alias("symbol"), allowed(x).alias("sources")))
+    good = reason.isin(*RESCUE_REASONS[:3]) & (F.size(items) > 0) & (F.size(items) <= RESCUE_ITEMS) & ~F.exists(entries, lambda e: F.size(e["sources"]) == 0)
+    return F.when(good, F.map_from_entries(entries))
+
+
+def carried(fresh: dict[str, Column], held: dict[str, Column], defaults: dict) -> list[Column]:
+    """Metadata columns: the fresh value, else the carried one (lists and texts count as missing when empty), else the default."""
+    out = []
+    for name, default in defaults.items():
+        options = [c for c in (fresh.get(name), held.get(name)) if c is not None]
+        if isinstance(default, str):
+            options = [F.nullif(c, F.lit("")) for c in options]
+        elif isinstance(default, list):
+            options = [F.when(F.size(c) > 0, c) for c in options]
+        last = F.array().cast("array<string>") if isinstance(default, list) else F.lit(default)
+        out.append(F.coalesce(*options, last).alias(name))
+    return out
 
 
 def rescue(rows: DataFrame, by: str) -> DataFrame:

@@ -14,31 +14,97 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-NODE = T.ArrayType(T.StructType().add("type", "string").add("line", "integer").add("end_line", "integer").add("code", "string"))
-#: Statements and expressions that are listed.
-KINDS = (ast.If, ast.For, ast.While, ast.Try, ast.With, ast.Return, ast.Raise, ast.Assign, ast.AugAssign, ast.Call, ast.Compare, ast.BinOp, ast.Subscript, ast.FunctionDef, ast.ClassDef)
-
-
-def python_nodes(code: str | None) -> list[dict]:
-    """Typed nodes with their lines, in order; one error node if the code doesn't parse."""
-    source = textwrap.dedent(code or "")
+NODE = T.ArrayType(T.StructType().add("type", "string").add("line", "integer").add("end_line", "integer").add("code", "string").add("contains_line", "boolean").add("matches_text", "boolean").add("hints", T.ArrayType(T.StringType())))
+# Syntax that is listed, its names, and hints by name.
+KINDS = {
+    ast.FunctionDef: "Function", ast.AsyncFunctionDef: "Function", ast.ClassDef: "Class", ast.If: "If", ast.For: "For", ast.While: "While", ast.Try: "Try", ast.ExceptHandler: "ExceptHandler",
+    ast.With: "With", ast.Return: "Return", ast.Raise: "Raise", ast.Assert: "Assert", ast.Assign: "Assign", ast.AugAssign: "AugAssign", ast.AnnAssign: "AnnAssign", ast.Call: "Call",
+    ast.Compare: "Compare", ast.BoolOp: "BoolOp", ast.BinOp: "BinOp", ast.UnaryOp: "UnaryOp", ast.Subscript: "Subscript", ast.Attribute: "Attribute",
+    ast.ListComp: "ListComp", ast.DictComp: "DictComp", ast.SetComp: "SetComp", ast.GeneratorExp: "GeneratorExp",
+}
+HINTS = {
+    "If": "check condition", "Compare": "check boundary", "BoolOp": "check predicate", "Call": "check arguments/return", "Assign": "check mutation/copy", "AugAssign": "check mutation/copy",
+    "Subscript": "check index/key", "Attribute": "check attribute access", "Return": "check return value", "Raise": "check exception type/message", "Assert": "check assertion",
+    "Function": "check signature/body", "Class": "check class body",
+}
+
+
+def python_nodes(code: str | None, line: int | None = None, content: str | None = None) -> list[dict]:
+    """Typed nodes in the order of a walk, with their lines, whether they hold the suspicious line or its text, and hints; one error node if the code doesn't parse."""
+    source, goal = textwrap.dedent(code or ""), (content or "").strip()
     try:
         tree = ast.parse(source)
-    except (SyntaxError, ValueError) as problem:
-        return [{"type": "ParseError", "line": getattr(problem, "lineno", None), "end_line": None, "code": str(problem)[:200]}]
-    found = [n for n in ast.walk(tree) if isinstance(n, KINDS)]
-    found.sort(key=lambda n: (n.lineno, n.col_offset, -n.end_lineno))
-    return [{"type": type(n).__name__, "line": n.lineno, "end_line": n.end_lineno, "code": (ast.get_source_segment(source, n) or "").split("\n")[0][:200]} for n in found]
+    except (SyntaxError, ValueError, RecursionError) as problem:
+        return [{"type": "ParseError", "line": getattr(problem, "lineno", None), "end_line": None, "code": str(problem), "contains_line": False, "matches_text": False, "hints": []}]
+    out = []
+    for n in ast.walk(tree):
+        if name := KINDS.get(type(n)):
+            text, end = (ast.get_source_segment(source, n) or "").strip(), n.end_lineno or n.lineno
+            holds = line is not None and n.lineno <= line <= end
+            out.append({"type": name, "line": n.lineno, "end_line": end, "code": text, "contains_line": holds, "matches_text": bool(goal and text and goal in text), "hints": [HINTS[name]] if name in HINTS else []})
+    return out
+
+
+def _class_fields(tree: ast.AST, owner: str) -> list[str]:
+    """Class attributes, and what __init__ sets on self, of a class or of all."""
+    out: list[str] = []
+    for c in (n for n in ast.walk(tree) if isinstance(n, ast.ClassDef) and n.name == (owner or n.name)):
+        for item in c.body:
+            if isinstance(item, ast.Assign):
+                out += [f"{t.id} (class attr)" for t in item.targets if isinstance(t, ast.Name)]
+            elif isinstance(item, ast.AnnAssign) and isinstance(item.target, ast.Name):
+                kind = item.annotation
+                said = f": {kind.id}" if isinstance(kind, ast.Name) else f": {kind.value}" if isinstance(kind, ast.Constant) else ""
+                out.append(f"{item.target.id}{said} (class attr)")
+        for init in (i for i in c.body if isinstance(i, ast.FunctionDef | ast.AsyncFunctionDef) and i.name == "__init__"):
+            for a in (n for n in ast.walk(init) if isinstance(n, ast.Assign)):
+                out += [f"self.{t.attr}" for t in a.targets if isinstance(t, ast.Attribute) and isinstance(t.value, ast.Name) and t.value.id == "self"]
+    return list(dict.fromkeys(out))
+
+
+def _signature(f: ast.FunctionDef | ast.AsyncFunctionDef) -> str:
+    a = f.args
+    names = [x.arg for x in a.args] + ([f"*{a.vararg.arg}"] if a.vararg else []) + [x.arg for x in a.kwonlyargs] + ([f"**{a.kwarg.arg}"] if a.kwarg else [])
+    return f"{'async def' if isinstance(f, ast.AsyncFunctionDef) else 'def'} {f.name}({', '.join(names)})"
+
+
+def _siblings(tree: ast.Module, owner: str, own: str) -> list[str]:
+    """Signatures of the other functions of a class, or of the module."""
+    bodies = [n.body for n in ast.walk(tree) if isinstance(n, ast.ClassDef) and n.name == owner] if owner else [tree.body]
+    return [_signature(f) for body in bodies for f in body if isinstance(f, ast.FunctionDef | ast.AsyncFunctionDef) and f.name != own]
+
+
+def python_context(code: str | None, owner: str = "", own: str = "") -> dict:
+    """(imports, fields, siblings) of a file: 30, 15 and 20 at most; imports by lines where it doesn't parse."""
+    try:
+        tree = ast.parse(code or "")
+    except (SyntaxError, ValueError, RecursionError):
+        return {"imports": python_imports(code), "fields": [], "siblings": []}
+    return {"imports": python_imports(code), "fields": _class_fields(tree, owner)[:15], "siblings": _siblings(tree, owner, own)[:20]}
+
+
+CONTEXT = T.StructType([T.StructField(x, T.ArrayType(T.StringType())) for x in ("imports", "fields", "siblings")])
+
+
+@F.pandas_udf(CONTEXT)
+def file_context(code: pd.Series, owner: pd.Series, own: pd.Series) -> pd.DataFrame:
+    """The context of one function: its class, or blank, and its name; null code has an empty context."""
+    return pd.DataFrame([python_context(*x) for x in zip(code, owner.fillna(""), own.fillna(""), strict=True)], columns=["imports", "fields", "siblings"])
 
 
 def python_imports(code: str | None, most: int = 30) -> list[str]:
-    """Imports as written, by the parser or, where it fails, by lines."""
+    """Imports, one line each for the names of an import, by the parser or, where it fails, by lines."""
+    named = lambda x: x.name + (f" as {x.asname}" if x.asname else "")
     try:
-        tree = ast.parse(textwrap.dedent(code or ""))
-        found = [ast.unparse(n) for n in ast.walk(tree) if isinstance(n, ast.Import | ast.ImportFrom)]
-    except (SyntaxError, ValueError):
-        found = re.findall(r"(?m)^\s*((?:from\s+\S+\s+)?import\s+.+?)\s*$", code or "")
-    return list(dict.fromkeys(found))[:most]
+        found: list[str] = []
+        for n in ast.walk(ast.parse(code or "")):
+            if isinstance(n, ast.Import):
+                found += [f"import {named(x)}" for x in n.names]
+            elif isinstance(n, ast.ImportFrom):
+                found.append(f"from {n.module or ''} import {', '.join(map(named, n.names))}")
+    except (SyntaxError, ValueError, RecursionError):
+        found = [x.strip() for x in re.findall(r"(?m)^((?:from\s+[\w.]+\s+)?import\s+.+)", code or "")]
+    return found[:most]
 
 
 @F.pandas_udf(NODE)
@@ -46,6 +112,12 @@ def nodes(code: pd.Series) -> pd.Series:
     return code.map(python_nodes)
 
 
+@F.pandas_udf(NODE)
+def nodes_at(code: pd.Series, line: pd.Series, content: pd.Series) -> pd.Series:
+    """With the flags of a suspicious line and its text."""
+    return pd.Series([python_nodes(c, None if pd.isna(n) else int(n), t) for c, n, t in zip(code, line, content, strict=True)])
+
+
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def imports(code: pd.Series) -> pd.Series:
     return code.map(python_imports)
@@ -104,20 +176,22 @@ def fenced_code(text: Column) -> Column:
     return F.when(body != "", body).otherwise(text)
 
 
+def _indent(row: str) -> int:
+    return len(row) - len(row.lstrip(" "))
+
+
 def shift_indent(code: str | None, indent: int) -> str | None:
-    """The block moved so that its first line has that indent; lines keep their offsets, none goes below 0."""
-    if not code:
+    """The block moved so that its first line has that indent. Moved right, a body that is nowhere above the indent and somewhere deeper stays where it is; moved left, no line goes below 0."""
+    rows = code.split("\n") if code else []
+    full = [k for k, r in enumerate(rows) if r.strip()]
+    by = indent - _indent(rows[full[0]]) if full else 0
+    if not by:
         return code
-    rows = code.split("\n")
-    first = next((r for r in rows if r.strip()), "")
-    by = indent - (len(first) - len(first.lstrip(" ")))
-    if by == 0:
-        return code
-    out = []
-    for r in rows:
-        own = len(r) - len(r.lstrip(" "))
-        out.append(" " * max(0, own + by) + r.lstrip(" ") if r.strip() else r)
-    return "\n".join(out)
+    body = [_indent(rows[k]) for k in full[1:]]
+    moved = full[:1] if by > 0 and body and min(body) >= indent < max(body) else full
+    for k in moved:
+        rows[k] = " " * by + rows[k] if by > 0 else rows[k][min(-by, _indent(rows[k])) :]
+    return "\n".join(rows)
 
 
 @F.pandas_udf(T.StringType())
@@ -133,3 +207,49 @@ def block_span(lines: Column, block: Column, preferred: Column) -> Column:
     hits = F.filter(starts, lambda i: F.slice(trimmed, i, F.size(goal)) == goal)
     best = F.array_min(F.transform(hits, lambda i: F.struct(F.abs(i - preferred).alias("gap"), i.alias("start"))))
     return F.when(F.size(block) > 0, F.when(best.isNotNull(), F.struct(best["start"].alias("start"), (best["start"] + F.size(block) - 1).alias("end"))))
+
+
+def _braces(row: str) -> tuple[int, int]:
+    """Opening and closing braces outside of literals and line comments."""
+    bare = re.sub(r'"(?:\\.|[^"\\])*"|\'(?:\\.|[^\'\\])*\'|//.*$|/\*.*?\*/', "", row)
+    return bare.count("{"), bare.count("}")
+
+
+def _anchors(rows: list[str], block: list[str]) -> list[int]:
+    """1-based lines where the block's head (its first lines up to a brace, three at most) stands, or else its first line does."""
+    full = [r.rstrip() for r in block if r.strip()]
+    if not full:
+        return []
+    n = next((k for k, r in enumerate(full[:3]) if "{" in r), min(2, len(full) - 1)) + 1
+    ends = [r.rstrip() for r in rows]
+    exact = [k + 1 for k in range(len(ends) - n + 1) if ends[k : k + n] == full[:n]]
+    return exact or [k + 1 for k, r in enumerate(ends) if r.strip().startswith(full[0].strip())]
+
+
+def function_span(text: str, block: str, preferred: int | None = None, ranges: list[tuple[int, int]] = ()) -> tuple[int, int] | None:
+    """(first, last) line of a function in a file: where its text stands, else from its signature to the brace that closes it, else of the given ranges the one nearest in length. The place nearest to preferred wins."""
+    rows, own = text.splitlines(), block.splitlines()
+    near = (lambda k: abs(k - preferred)) if preferred else (lambda k: 0)
+    goal = [r.rstrip() for r in own]
+    spots = [k + 1 for k in range(len(rows) - len(goal) + 1) if goal and [r.rstrip() for r in rows[k : k + len(goal)]] == goal]
+    if spots:
+        at = min(spots, key=near)
+        return at, at + len(goal) - 1
+    for at in sorted(_anchors(rows, own), key=near):
+        depth, opened = 0, False
+        for k in range(at, len(rows) + 1):
+            up, down = _braces(rows[k - 1])
+            depth, opened = depth + up - down, opened or up > 0
+            if opened and depth <= 0:
+                return at, k
+    return min(ranges, key=lambda r: abs(r[1] - r[0] + 1 - len(own)) if own else 0, default=None)
+
+
+SPAN = T.StructType().add("start", "integer").add("end", "integer")
+
+
+@F.pandas_udf(SPAN)
+def span(text: pd.Series, block: pd.Series, preferred: pd.Series) -> pd.DataFrame:
+    """function_span of each row; nulls where there is none."""
+    found = [function_span(t or "", b or "", None if pd.isna(p) else int(p)) or (None, None) for t, b, p in zip(text, block, preferred, strict=True)]
+    return pd.DataFrame({"start": pd.array([f[0] for f in found], "Int32"), "end": pd.array([f[1] for f in found], "Int32")})

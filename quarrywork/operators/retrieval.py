@@ -1,6 +1,6 @@
 """Ranked retrieval: BM25 over an inverted index, score normalisation, rule and dense reranking.
 
-A corpus is tokenised once. Only postings of words that some query has reach
+A corpus is tokenised once, into a written table. Only postings of words that some query has reach
 the join; document frequencies and lengths are aggregates of the whole corpus.
 The query side is broadcast while it is small by count, and joined by a shuffle
 on the word otherwise.
@@ -12,8 +12,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from quarrywork.functions.text import tokenize
+from quarrywork.functions.text import TOKEN, tokenize
 from quarrywork.functions.vectors import cosine
+from quarrywork.sources import discovery
+from quarrywork.sources.work_folders import work_folder
 
 #: Parameters of the ranking function, and the share of the mean idf that negative ones get.
 K1, B, FLOOR = 1.6, 0.7, 0.25
@@ -27,27 +29,45 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
-def corpus_statistics(corpus: DataFrame, doc: str, tokens: str) -> tuple[DataFrame, DataFrame]:
-    """(tok, idf) of every word, and one row (n, avgdl)."""
-    size = corpus.agg(F.count("*").alias("n"), F.avg(F.size(tokens)).alias("avgdl"))
-    df = corpus.select(F.explode(F.array_distinct(tokens)).alias("tok")).groupBy("tok").agg(F.count("*").alias("df"))
-    raw = df.join(F.broadcast(size), how="cross").withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    mean = raw.agg(F.avg("raw").alias("mean"))
-    idf = raw.join(F.broadcast(mean), how="cross").select("tok", F.when(F.col("raw") < 0, F.col("mean") * FLOOR).otherwise(F.col("raw")).alias("idf"))
-    return idf, size
+def token_table(corpus: DataFrame, doc: str, text: str, folder: str | None = None) -> DataFrame:
+    """(doc, toks), written: every later pass reads tokens, not texts. folder keeps it by the corpus's fingerprint, for other runs."""
+    spark = corpus.sparkSession
+    bags = corpus.select(F.col(doc).alias("doc"), tokenize(F.col(text)).alias("toks"))
+    if folder:
+        return discovery.cached(bags, folder, discovery.fingerprint(corpus, doc, text, f"tokens:{TOKEN}"))
+    path = work_folder(spark, "tokens")
+    bags.write.parquet(path)
+    return spark.read.schema(bags.schema).parquet(path)
+
+
+def corpus_statistics(bags: DataFrame) -> tuple[DataFrame, int, float, float]:
+    """(tok, df) of every word, written; the number of documents, their mean length, and the words' mean raw idf."""
+    spark, path = bags.sparkSession, work_folder(bags.sparkSession, "df")
+    bags.select(F.explode(F.array_distinct("toks")).alias("tok")).groupBy("tok").agg(F.count("*").alias("df")).write.parquet(path)
+    frequencies = spark.read.parquet(path)
+    n, length = bags.agg(F.count("*"), F.avg(F.size("toks"))).first()
+    mean = frequencies.agg(F.avg(_raw_idf(n))).first()[0]
+    return frequencies, n, length or 0.0, mean or 0.0
 
 
-def bm25_scores(corpus: DataFrame, queries: DataFrame, doc: str, query: str, text: str = "text") -> DataFrame:
+def _raw_idf(n: int) -> Column:
+    return F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+
+
+def bm25_scores(corpus: DataFrame, queries: DataFrame, doc: str, query: str, text: str = "text", folder: str | None = None) -> DataFrame:
     """(query, doc, score) of all pairs that share a word. Repeated query words count repeatedly."""
-    bags = corpus.select(F.col(doc).alias("doc"), tokenize(F.col(text)).alias("toks"))
+    bags = token_table(corpus, doc, text, folder)
     asked = queries.select(F.col(query).alias("query"), F.explode(tokenize(F.col(text))).alias("tok")).groupBy("query", "tok").agg(F.count("*").alias("qf"))
-    idf, size = corpus_statistics(bags, "doc", "toks")
-    known = small(asked.select("tok").distinct())
-    postings = bags.select("doc", F.size("toks").alias("dl"), F.explode("toks").alias("tok")).join(known, "tok", "left_semi").groupBy("doc", "dl", "tok").agg(F.count("*").alias("tf"))
-    weighed = small(asked.join(idf, "tok"))
-    hits = postings.join(weighed, "tok").join(F.broadcast(size), how="cross")
-    part = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = hits.groupBy("query", "doc").agg(F.sum(F.col("qf") * F.col("idf") * part).alias("score"))
+    frequencies, n, length, mean = corpus_statistics(bags)
+    # Only the queries' words need an idf; one count, of the queries' own rows, decides on both broadcasts.
+    few = asked.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    near = F.broadcast if few else (lambda df: df)
+    raw = _raw_idf(n)
+    idf = frequencies.join(near(asked.select("tok").distinct()), "tok", "left_semi").select("tok", F.when(raw < 0, mean * FLOOR).otherwise(raw).alias("idf"))
+    weighed = asked.join(idf, "tok")
+    postings = bags.select("doc", F.size("toks").alias("dl"), F.explode("toks").alias("tok")).join(near(asked.select("tok").distinct()), "tok", "left_semi").groupBy("doc", "dl", "tok").agg(F.count("*").alias("tf"))
+    part = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / length))
+    scored = postings.join(near(weighed), "tok").groupBy("query", "doc").agg(F.sum(F.col("qf") * F.col("idf") * part).alias("score"))
     return scored.select(F.col("query").alias(query), F.col("doc").alias(doc), F.round("score", PLACES).alias("score"))
 
 

@@ -2,27 +2,39 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarrywork.functions import text as T
 from quarrywork.operators import candidates as C
 from quarrywork.session import table
 
 
-def _rows(spark, d):
+def _rows(spark, d) -> DataFrame:
     l = table(spark, d, "lineitem")  # noqa: E741
     return l.select(
-        "l_orderkey", F.col("l_quantity").cast("int").alias("score"), (F.col("l_returnflag") == "R").alias("violates"), (F.col("l_linestatus") == "O").alias("survives"),
-        F.concat_ws(":", F.lpad("l_linenumber", 2, "0"), F.lpad("l_partkey", 8, "0"), F.lpad("l_suppkey", 8, "0")).alias("signature"), (F.col("l_linenumber") == 1).alias("greedy"),
+        "l_orderkey", F.col("l_quantity").cast("int").alias("score"), (F.col("l_returnflag") == "R").alias("violates"), (F.col("l_linestatus") == "O").alias("survives"), F.col("l_tax").cast("double").alias("change"),
+        F.concat_ws(":", F.lpad("l_linenumber", 2, "0"), F.lpad("l_partkey", 8, "0"), F.lpad("l_suppkey", 8, "0")).alias("signature"), (F.col("l_linenumber") == 1).alias("greedy"), "l_linenumber", "l_partkey", "l_suppkey",
     )
 
 
 ROWS = """
-WITH r AS (SELECT l_orderkey, CAST(l_quantity AS INTEGER) AS score, l_returnflag = 'R' AS violates, l_linestatus = 'O' AS survives, l_linenumber = 1 AS greedy, l_linenumber, l_partkey, l_suppkey,
+WITH r AS (SELECT l_orderkey, CAST(l_quantity AS INTEGER) AS score, l_returnflag = 'R' AS violates, l_linestatus = 'O' AS survives, l_tax AS change, l_linenumber = 1 AS greedy, l_linenumber, l_partkey, l_suppkey,
   lpad(CAST(l_linenumber AS VARCHAR), 2, '0') || ':' || lpad(CAST(l_partkey AS VARCHAR), 8, '0') || ':' || lpad(CAST(l_suppkey AS VARCHAR), 8, '0') AS signature FROM lineitem)"""
 
 
 def plan_refill(spark, d):
-    return C.refill(_rows(spark, d), "l_orderkey", 3).select("l_orderkey", "signature", "fill_score", "pick")
+    """Signatures that repeat, and empty ones, which are always new."""
+    short = F.when(F.col("l_partkey") % 5 != 0, F.concat(F.lit("s"), (F.col("l_partkey") % 3).cast("string")))
+    rows = _rows(spark, d).withColumn("signature", short)
+    return C.refill(rows, "l_orderkey", 4, "l_linenumber", "l_partkey", "l_suppkey").select("l_orderkey", "l_linenumber", "l_partkey", "violates", "signature", "fill_score", "pick")
+
+
+REFILL = ROWS + """, s AS (SELECT * REPLACE (CASE WHEN l_partkey % 5 <> 0 THEN 's' || (l_partkey % 3) END AS signature), score - CASE WHEN violates THEN 25 ELSE 0 END AS fill_score FROM r),
+k AS (SELECT l_orderkey, signature FROM s WHERE NOT violates AND signature IS NOT NULL GROUP BY ALL),
+o AS (SELECT s.*, row_number() OVER (PARTITION BY s.l_orderkey, violates, s.signature ORDER BY fill_score DESC, change, l_linenumber, l_partkey, l_suppkey) AS n, k.signature IS NOT NULL AS known FROM s LEFT JOIN k ON k.l_orderkey = s.l_orderkey AND k.signature = s.signature),
+p AS (SELECT *, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY violates, fill_score DESC, change, coalesce(signature, ''), l_linenumber, l_partkey, l_suppkey) AS INTEGER) AS pick FROM o WHERE NOT violates OR signature IS NULL OR (n = 1 AND NOT known))
+SELECT l_orderkey, l_linenumber, l_partkey, violates, signature, fill_score, pick FROM p WHERE NOT violates OR pick <= 4"""
 
 
 def rescue_selection(spark, d):
@@ -30,6 +42,22 @@ def rescue_selection(spark, d):
     return C.rescue(rows, "l_orderkey").select("l_orderkey", "signature", "pick")
 
 
+def rescue_supports(spark, d):
+    """What stands behind each symbol of a part's name: allowed sources only."""
+    words = F.split("p_name", " ")
+    sources = F.map_from_entries(F.transform(F.array_distinct(words), lambda w: F.struct(w.alias("k"), F.when(F.length(w) % 2 == 0, F.array(F.lit("types"), F.lit("changed_lines"), F.lit("helper_calls"))).otherwise(F.array(F.lit("instance_fields"))).alias("v"))))
+    reason = F.element_at(F.array(*[F.lit(x) for x in ("new_identifier_reference", "new_type_reference", "new_helper_call", "broad_rewrite")]), (F.col("p_partkey") % 4 + 1).cast("int"))
+    items = F.when(F.col("p_partkey") % 7 == 0, F.array(F.lit("unheard_of"))).otherwise(words)
+    found = C.rescue_support(reason, items, sources)
+    shown = F.array_join(F.transform(F.array_sort(F.map_entries(found)), lambda e: F.concat(e["key"], F.lit("="), F.array_join(e["value"], "+"))), ";")
+    return table(spark, d, "part").select("p_partkey", shown.alias("support"))
+
+
+SUPPORTS = """WITH p AS (SELECT p_partkey, list_sort(list_distinct(string_split(p_name, ' '))) AS w FROM part),
+s AS (SELECT p_partkey, w, [x || '=' || CASE WHEN length(x) % 2 = 0 THEN 'helper_calls+types' ELSE 'instance_fields' END FOR x IN w] AS e FROM p)
+SELECT p_partkey, CASE WHEN p_partkey % 4 < 2 AND p_partkey % 7 <> 0 AND len(w) <= 4 THEN array_to_string(e, ';') END AS support FROM s"""
+
+
 def run_pooling(spark, d):
     rows = _rows(spark, d).withColumn("code", F.concat(F.lit("x  = "), F.col("score").cast("string")))
     a, b = rows.filter("NOT violates"), rows.filter("violates")
@@ -37,13 +65,17 @@ def run_pooling(spark, d):
 
 
 def response_extraction(spark, d):
-    t = F.col("turn").cast("string")
-    body = F.concat(F.lit("int f(int a) {\n  return a + "), t, F.lit("; // longer than thirty\n}"))
-    text = F.when(F.col("turn") % 4 == 0, F.concat(F.lit("talk\n##correct\n```java\n"), body, F.lit("\n```\nmore"))).when(F.col("turn") % 4 == 1, F.concat(body, F.lit("\n### Notes\nxyz"))).when(F.col("turn") % 4 == 2, F.lit("##correct\nint a;")).otherwise(F.lit("  "))
-    r = C.response_code(text)
+    """A text as the body of a function behind the marker, or behind nothing, or too short, or blank."""
+    text = F.regexp_replace(F.coalesce("text", F.lit("")), r"[`#]|\s+", " ")
+    body = F.concat(F.lit("int f(int a) {\n  // "), text, F.lit("\n  return a + "), F.col("turn").cast("string"), F.lit("; // longer than thirty\n}"))
+    given = F.when(F.col("turn") % 4 == 0, F.concat(text, F.lit("\n##correct\n```java\n"), body, F.lit("\n```\nmore"))).when(F.col("turn") % 4 == 1, F.concat(body, F.lit("\n### Notes\nxyz"))).when(F.col("turn") % 4 == 2, F.lit("##correct\nint a;")).otherwise(F.lit("  "))
+    r = C.response_code(given)
     return table(spark, d, "conversations").select("conv_id", "turn", r["code"].alias("code"), r["problem"].alias("problem"))
 
 
+FORM = r"'int f(int a) {' || chr(10) || '  // ' || regexp_replace(coalesce(text, ''), '[`#]|[ \t\n\x0B\f\r]+', ' ', 'g') || chr(10) || '  return a + ' || turn || '; // longer than thirty' || chr(10) || '}'"
+
+
 def java_symbols(spark, d):
     code = F.concat(F.lit("public static int f"), F.col("turn").cast("string"), F.lit("(int a, List<Foo> b) throws X {\n if (a > MAX_N) return g(h(a)); new Bar(b); }"))
     h = C.java_header(code)
@@ -57,19 +89,50 @@ def candidate_validity(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", F.array_join(why, ",").alias("reasons"))
 
 
+def _candidate() -> tuple:
+    """(code, base, own_name): a text in a comment of a function, changed in one of several ways."""
+    text = F.regexp_replace(F.coalesce("text", F.lit("")), r"[^A-Za-z0-9é ]", " ")
+    base = F.concat(F.lit("def f(x):  # "), F.substring(text, 1, 20), F.lit("\n    y = x + 1\n    z = y * 2\n    return z"))
+    k = F.col("turn") % 7
+    code = (
+        F.when(k == 0, F.replace(base, F.lit("x + 1"), F.lit("x - 1"))).when(k == 1, F.concat(base, F.lit("  # same")))
+        .when(k == 2, F.replace(base, F.lit("x + 1"), F.lit("'é'"))).when(k == 3, F.replace(base, F.lit("x + 1"), F.lit("a<>b")))
+        .when(k == 4, F.lit("   ")).when(k == 5, F.replace(base, F.lit("x + 1"), F.concat(F.lit("1 # this is the Corrected version of "), text))).otherwise(F.replace(base, F.lit("x + 1"), text))
+    )
+    return code, base, F.when(F.col("conv_id") % 5 == 0, "g").when(F.col("conv_id") % 5 == 1, "").otherwise("f")
+
+
+def candidate_problems(spark, d):
+    """What is wrong with a candidate, and how often by role."""
+    code, base, own = _candidate()
+    rows = table(spark, d, "conversations").withColumn("reason", C.candidate_problem(code, base, F.lit("f"), own))
+    return C.drop_counts(rows, "role", "reason")
+
+
+PROBLEMS = r"""WITH t AS (SELECT role, turn % 7 AS k, conv_id % 5 AS c, regexp_replace(coalesce(text, ''), '[^A-Za-z0-9é ]', ' ', 'g') AS x FROM conversations),
+b AS (SELECT *, 'def f(x):  # ' || substr(x, 1, 20) || chr(10) || '    y = x + 1' || chr(10) || '    z = y * 2' || chr(10) || '    return z' AS base FROM t),
+m AS (SELECT *, CASE k WHEN 0 THEN replace(base, 'x + 1', 'x - 1') WHEN 1 THEN base || '  # same' WHEN 2 THEN replace(base, 'x + 1', chr(39) || 'é' || chr(39)) WHEN 3 THEN replace(base, 'x + 1', 'a<>b') WHEN 4 THEN '   ' WHEN 5 THEN replace(base, 'x + 1', '1 # this is the Corrected version of ' || x) ELSE replace(base, 'x + 1', x) END AS code FROM b),
+n AS (SELECT *, trim(regexp_replace(regexp_replace(code, '#[^\n]*', '', 'g'), '[ \t\n\x0B\f\r]+', ' ', 'g')) = trim(regexp_replace(regexp_replace(base, '#[^\n]*', '', 'g'), '[ \t\n\x0B\f\r]+', ' ', 'g')) AS same,
+  regexp_matches(code, '(?i)this is the corrected version|changed line|replace if|buggy line|rest of the code|rest of the function|rest of the method|todo\b|omitted for brevity') AND NOT regexp_matches(base, '(?i)this is the corrected version|changed line|replace if|buggy line|rest of the code|rest of the function|rest of the method|todo\b|omitted for brevity') AS artifact FROM m),
+r AS (SELECT role, CASE WHEN trim(code) = '' THEN 'empty_code' WHEN same THEN 'no_change' WHEN c = 1 THEN 'no_def_or_class' WHEN c = 0 THEN 'name_mismatch' WHEN artifact THEN 'introduced_model_artifact'
+  WHEN regexp_matches(code, '[^\x00-\x7F]') AND NOT regexp_matches(base, '[^\x00-\x7F]') THEN 'introduced_non_ascii' WHEN contains(code, '<>') THEN 'introduced_java_incompatible_syntax' END AS reason FROM n)
+SELECT role, reason, count(*) AS n FROM r WHERE reason IS NOT NULL GROUP BY ALL"""
+
+
 def candidate_scores(spark, d):
-    base = F.lit("def f(x):\n    y = x + 1\n    z = y * 2\n    return z")
-    code = F.replace(base, F.lit("x + 1"), F.concat(F.lit("x + "), F.col("turn").cast("string")))
-    return table(spark, d, "conversations").select("conv_id", "turn", C.heuristic_score(code, base, F.lit("y = x + 1"), F.lit("f"), F.lit("f"), F.lit(True)).alias("score"), C.merged(base, F.lit("y = x + 1\nz = 3\nreturn z")).alias("merged"))
+    code, base, own = _candidate()
+    score = C.heuristic_score(code, base, F.lit("y = x + 1"), F.lit("f"), own, F.col("turn") % 11 != 10, F.lit("z = y * 2"))
+    return table(spark, d, "conversations").select("conv_id", "turn", score.alias("score"), C.merged(base, F.lit("y = x + 1\nz = 3\nreturn z")).alias("merged"), C.length_ratio(base, code).alias("length_ratio"), F.md5(T.canonical(code).cast("binary")).alias("code_md5"))
 
 
-FORM = "'int f(int a) {' || chr(10) || '  return a + ' || turn || '; // longer than thirty' || chr(10) || '}'"
 QUERIES = {
-    "plan_refill": (plan_refill, ROWS + ", f AS (SELECT *, score - CASE WHEN violates THEN 25 ELSE 0 END AS fill_score FROM r), o AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, signature ORDER BY violates, fill_score DESC) AS n FROM f), p AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY violates, fill_score DESC, signature) AS pick FROM o WHERE n = 1) SELECT l_orderkey, signature, fill_score, pick FROM p WHERE pick <= 3"),
+    "plan_refill": (plan_refill, REFILL),
     "rescue_selection": (rescue_selection, ROWS + ", n AS (SELECT *, bool_or(survives) OVER (PARTITION BY l_orderkey) AS live FROM r), s AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY score DESC, signature) AS k FROM n WHERE NOT live), g AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY score DESC, signature) AS pick FROM s WHERE k <= 5 AND score % 2 = 0 AND score % 3 < 2) SELECT l_orderkey, signature, pick FROM g WHERE pick <= 3"),
+    "rescue_supports": (rescue_supports, SUPPORTS),
     "run_pooling": (run_pooling, ROWS + ", u AS (SELECT *, 'x  = ' || score AS code, CASE WHEN violates THEN 1 ELSE 0 END AS run FROM r), o AS (SELECT l_orderkey, code, run, score, greedy, row_number() OVER (PARTITION BY l_orderkey, code ORDER BY run, greedy DESC) AS n FROM u), p AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY NOT greedy, coalesce(nullif(score, 0), -1000000000) DESC, run, code) AS pick FROM o WHERE n = 1) SELECT l_orderkey, code, run, pick FROM p WHERE pick <= 3"),
     "response_extraction": (response_extraction, f"SELECT conv_id, turn, CASE WHEN turn % 4 < 2 THEN {FORM} END AS code, CASE turn % 4 WHEN 2 THEN 'too_short' WHEN 3 THEN 'empty' END AS problem FROM conversations"),
     "java_symbols": (java_symbols, "SELECT conv_id, turn, 'f' || turn AS name, 2 AS arity, 'f' || turn || ',g,h,Bar' AS calls, 'List,Foo,Bar' AS types, 'MAX_N' AS constants FROM conversations"),
     "candidate_validity": (candidate_validity, "SELECT conv_id, turn, array_to_string(list_filter([CASE WHEN turn % 3 = 2 THEN 'no_declaration' END, CASE WHEN turn % 3 = 1 THEN 'name_changed' END, CASE turn % 3 WHEN 1 THEN 'arity_changed' WHEN 2 THEN 'arity_changed' END, CASE WHEN turn / 10 > 0.45 THEN 'broad_rewrite' END, CASE WHEN turn % 3 = 1 THEN 'unknown_symbol' END], lambda x: x IS NOT NULL), ',') AS reasons FROM conversations"),
+    "candidate_problems": (candidate_problems, PROBLEMS),
     "candidate_scores": (candidate_scores, None),
 }

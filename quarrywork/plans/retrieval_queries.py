@@ -12,32 +12,8 @@ from quarrywork.operators import retrieval as R
 from quarrywork.operators import selection
 from quarrywork.session import table
 
-TOP_M, TOP_K = 50, 10
-
-# Words that queries gain by cues in hints and in code.
-HINT_RULES = (
-    ("index", ("index", "range", "len", "bounds")),
-    ("out of range", ("index", "range", "bounds", "len")),
-    ("off-by-one", ("index", "range", "len")),
-    ("keyerror", ("dict", "get", "in", "keys")),
-    ("typeerror", ("isinstance", "type", "cast")),
-    ("valueerror", ("validate", "check", "empty")),
-    ("zerodivision", ("divide", "zero", "float")),
-    ("none", ("is", "==", "null", "empty")),
-    ("empty", ("len", "==", "0")),
-    ("boundary", ("min", "max", "clip")),
-)
-CODE_RULES = (
-    ("range(", ("index", "len")),
-    ("len(", ("index", "empty")),
-    ("[", ("index",)),
-    (".get(", ("dict", "key")),
-    ("try:", ("except",)),
-    ("except", ("try",)),
-    ("is None", ("none",)),
-    ("== None", ("none",)),
-)
-
+#: How many the first stage keeps, and how many are returned.
+TOP_M, TOP_K = 200, 10
 
 def token_stats(spark, d):
     toks = table(spark, d, "documents").select("doc_id", T.tokenize(F.col("text")).alias("t"))
@@ -57,21 +33,32 @@ def weighted_bag(spark, d):
 
 def query_expansion(spark, d):
     line = F.concat_ws(" ", "text", F.element_at(F.array(*[F.lit(c) for c in ("x[i]", "len(a)", "d.get(k)", "try:", "x is None")]), (F.col("item_id") % 5 + 1).cast("int")))
-    hints = F.element_at(F.array(*[F.lit(h) for h in ("index out of range", "keyerror", "zerodivision", "boundary")]), (F.col("item_id") % 4 + 1).cast("int"))
-    out = T.expand_tokens(T.tokenize(F.col("text")), hints, line, HINT_RULES, CODE_RULES)
+    hints = F.element_at(F.array(*[F.lit(h) for h in ("IndexError: list index out of range", "KeyError and an index", "ZeroDivision", "boundary; off-by-one")]), (F.col("item_id") % 4 + 1).cast("int"))
+    out = T.expand_tokens(T.tokenize(F.col("text")), hints, line)
     return table(spark, d, "benchmark").select("item_id", F.array_join(out, " ").alias("tokens"))
 
 
-def _expansion_sql() -> str:
-    words = lambda w: "[" + ", ".join(f"'{x}'" for x in w) + "]"
-    parts = [f"CASE WHEN contains(hints, '{c}') THEN {words(w)} ELSE [] END" for c, w in HINT_RULES]
-    parts += [f"CASE WHEN contains(line, '{c}') OR contains(array_to_string(t, ' '), '{c}') THEN {words(w)} ELSE [] END" for c, w in CODE_RULES]
-    return f"""
+EXPANSION = """
 WITH q AS (
   SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[A-Za-z0-9_]+') AS t,
-    text || ' ' || ['x[i]', 'len(a)', 'd.get(k)', 'try:', 'x is None'][item_id % 5 + 1] AS line,
-    ['index out of range', 'keyerror', 'zerodivision', 'boundary'][item_id % 4 + 1] AS hints FROM benchmark),
-e AS (SELECT item_id, t || {" || ".join(parts)} AS w FROM q),
+    concat_ws(' ', text, ['x[i]', 'len(a)', 'd.get(k)', 'try:', 'x is None'][item_id % 5 + 1]) AS line,
+    lower(['IndexError: list index out of range', 'KeyError and an index', 'ZeroDivision', 'boundary; off-by-one'][item_id % 4 + 1]) AS hints FROM benchmark),
+j AS (SELECT *, line || chr(10) || array_to_string(t, ' ') AS both_texts FROM q),
+e AS (SELECT item_id, t
+  || CASE WHEN contains(hints, 'indexerror') THEN ['index', 'out', 'range', 'len', 'range', 'bounds'] ELSE [] END
+  || CASE WHEN contains(hints, 'out of range') THEN ['index', 'range', 'bounds', 'len'] ELSE [] END
+  || CASE WHEN contains(hints, 'off-by-one') THEN ['index', 'range', 'len'] ELSE [] END
+  || CASE WHEN contains(hints, 'keyerror') THEN ['dict', 'get', 'in', 'keys'] ELSE [] END
+  || CASE WHEN contains(hints, 'zerodivision') THEN ['divide', 'zero', 'float'] ELSE [] END
+  || CASE WHEN contains(hints, 'boundary') THEN ['min', 'max', 'clip'] ELSE [] END
+  || CASE WHEN contains(both_texts, 'range(') THEN ['index', 'len'] ELSE [] END
+  || CASE WHEN contains(both_texts, 'len(') THEN ['index', 'empty'] ELSE [] END
+  || CASE WHEN contains(both_texts, '[') THEN ['index'] ELSE [] END
+  || CASE WHEN contains(both_texts, '.get(') THEN ['dict', 'key'] ELSE [] END
+  || CASE WHEN contains(both_texts, 'try:') THEN ['except'] ELSE [] END
+  || CASE WHEN contains(both_texts, 'except') THEN ['try'] ELSE [] END
+  || CASE WHEN contains(both_texts, 'is None') THEN ['none'] ELSE [] END
+  || CASE WHEN contains(both_texts, '== None') THEN ['none'] ELSE [] END AS w FROM j),
 u AS (SELECT item_id, w, unnest(range(1, len(w) + 1)) AS i FROM e),
 f AS (SELECT item_id, w[i] AS x, min(i) AS i FROM u GROUP BY item_id, w[i])
 SELECT item_id, string_agg(x, ' ' ORDER BY i) AS tokens FROM f GROUP BY item_id"""
@@ -108,7 +95,7 @@ def bm25_minmax(spark, d):
 
 SCALED = BM25 + """,
 m AS (SELECT *, round(CASE WHEN max(score) OVER w > min(score) OVER w THEN (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) ELSE 0 END, 4) AS scaled
-  FROM k WHERE rank <= 50 WINDOW w AS (PARTITION BY item_id))"""
+  FROM k WHERE rank <= 200 WINDOW w AS (PARTITION BY item_id))"""
 
 
 def _reranked(spark, d) -> DataFrame:
@@ -170,7 +157,7 @@ FUSED = COS + """,
 k AS (SELECT *, 1.0 / (1 + abs(label - query_label)) AS sparse, row_number() OVER (PARTITION BY query_id ORDER BY cos DESC, vec_id) AS r FROM p),
 m AS (SELECT *, CASE WHEN max(cos) OVER w > min(cos) OVER w THEN (cos - min(cos) OVER w) / (max(cos) OVER w - min(cos) OVER w) ELSE 0 END AS dn,
   CASE WHEN max(sparse) OVER w > min(sparse) OVER w THEN (sparse - min(sparse) OVER w) / (max(sparse) OVER w - min(sparse) OVER w) ELSE 0 END AS sn
-  FROM k WHERE r <= 50 WINDOW w AS (PARTITION BY query_id))"""
+  FROM k WHERE r <= 200 WINDOW w AS (PARTITION BY query_id))"""
 
 
 def exact_dup_keep_first(spark, d):
@@ -197,7 +184,7 @@ QUERIES = {
     "token_stats": (token_stats, "WITH t AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[A-Za-z0-9_]+') AS t FROM documents) SELECT doc_id, len(t) AS n_tokens, len(list_distinct(t)) AS n_distinct FROM t"),
     "token_document_frequency": (token_document_frequency, "SELECT tok, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[A-Za-z0-9_]+')) AS tok FROM documents) GROUP BY tok"),
     "weighted_bag": (weighted_bag, "WITH t AS (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[A-Za-z0-9_]+') AS t FROM benchmark), b AS (SELECT item_id, t || t || t || CASE WHEN len(t) > 0 THEN t[1:greatest(1, CAST(floor(least(len(t), 256) * 0.6) AS INTEGER))] ELSE [] END || t[1:64] || CASE WHEN len(t) > 0 THEN t[1:greatest(1, CAST(floor(least(len(t), 64) * (1.2::DOUBLE - 1)) AS INTEGER))] ELSE [] END AS b FROM t) SELECT item_id, len(b) AS n, md5(array_to_string(b, ' ')) AS bag_md5 FROM b"),
-    "query_expansion": (query_expansion, _expansion_sql()),
+    "query_expansion": (query_expansion, EXPANSION),
     "bm25_topk": (bm25_topk, BM25 + " SELECT item_id, doc_id, score, rank FROM k WHERE rank <= 10"),
     "bm25_minmax": (bm25_minmax, SCALED + " SELECT item_id, doc_id, rank, scaled FROM m WHERE rank <= 10"),
     "bm25_rule_rerank": (bm25_rule_rerank, RERANKED + " SELECT item_id, doc_id, final, final_rank FROM g WHERE final_rank <= 10"),

@@ -14,16 +14,14 @@ from quarrywork.sources.work_folders import work_folder
 
 
 def rank_nodes_topk(spark, d):
-    """Strong hints first, then the rest; a smaller score is better."""
+    """An order's lines as nodes: strong ones first, then the rest, each by score; smaller is better."""
     l = table(spark, d, "lineitem")  # noqa: E741
-    gap = F.abs(F.col("l_quantity").cast("int") - 20)
-    holds, match = F.col("l_returnflag") == "R", F.col("l_linestatus") == "O"
-    overlap = F.col("l_linenumber") % 4
-    score = gap * 10 + 3 - F.when(holds, 20).otherwise(0) - F.when(match, 15).otherwise(0) - F.least(F.lit(10), overlap * 3)
-    strong = holds | match | (gap <= 2) | (overlap > 0)
-    w = W.partitionBy("l_orderkey").orderBy(F.desc("strong"), "score", "l_linenumber", "l_partkey", "l_suppkey")
-    rows = l.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", strong.alias("strong"), score.alias("score"))
-    return rows.withColumn("place", F.row_number().over(w)).filter("place <= 5").select("l_orderkey", "l_linenumber", "l_partkey", "strong", "score", "place")
+    kind = F.element_at(F.array(*[F.lit(x) for x in ("Call", "Assign", "Return", "Function", "Lambda")]), (F.col("l_partkey") % 5 + 1).cast("int"))
+    gap = F.when(F.col("l_suppkey") % 5 != 0, F.abs(F.col("l_quantity").cast("int") - 20))
+    holds, match, overlap = F.col("l_returnflag") == "R", F.col("l_linestatus") == "O", F.col("l_linenumber") % 4
+    hints = F.when(F.col("l_partkey") % 5 == 0, F.array(F.lit("check arguments/return")))
+    rows = l.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", selection.strong_hint(gap, overlap, holds, match, hints).alias("strong"), selection.node_score(kind, gap, overlap, holds, match).alias("score"))
+    return selection.effective_nodes(rows, "l_orderkey", 5, "l_linenumber", "l_partkey", "l_suppkey").select("l_orderkey", "l_linenumber", "l_partkey", "strong", "score", "place")
 
 
 def ranking_tuple_best(spark, d):
@@ -38,10 +36,35 @@ def topk_memory(spark, d):
     return out.select("user_id", "event_id", "code", "k", "memory_rank")
 
 
-def coverage_topk(spark, d):
+def _scored(spark, d) -> DataFrame:
+    """An order's lines as candidates without tiers, so that their order is by score, change and signature."""
     l = table(spark, d, "lineitem")  # noqa: E741
-    rows = l.select("l_orderkey", (F.col("l_suppkey") % 3).alias("grp"), F.col("l_extendedprice").alias("score"), F.struct("l_linenumber", "l_partkey", "l_suppkey").alias("tie"), "l_linenumber")
-    return selection.coverage(rows, "l_orderkey", "grp", "score", "tie", 4).select("l_orderkey", "l_linenumber", "grp", "score", "pick")
+    return l.select(
+        "l_orderkey", F.col("l_quantity").cast("double").alias("score"), F.lit(None).cast("double").alias("tier"), F.col("l_tax").cast("double").alias("change"), F.concat_ws(":", "l_linenumber", "l_partkey", "l_suppkey").alias("signature"),
+        (F.col("l_returnflag") == "R").alias("greedy"), F.when(F.col("l_suppkey") % 4 != 0, (F.col("l_suppkey") % 4).cast("string")).alias("source"),
+    )
+
+
+SCORED = """WITH s AS (SELECT l_orderkey, l_quantity AS score, l_tax AS change, l_linenumber || ':' || l_partkey || ':' || l_suppkey AS signature, l_returnflag = 'R' AS greedy, CASE WHEN l_suppkey % 4 <> 0 THEN CAST(l_suppkey % 4 AS VARCHAR) ELSE 'NA' END AS source FROM lineitem),
+o AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY score DESC, change, signature) AS r FROM s)"""
+
+
+def coverage_topk(spark, d):
+    """The best greedy candidate, the best of each source, then the rest."""
+    return selection.coverage(_scored(spark, d), "l_orderkey", 4)
+
+
+COVERAGE = SCORED + """, g AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, greedy ORDER BY r) AS gr, row_number() OVER (PARTITION BY l_orderkey, greedy, source ORDER BY r) AS sr FROM o),
+c AS (SELECT *, CASE WHEN greedy THEN 0 WHEN sr = 1 THEN 1 ELSE 2 END AS class FROM g WHERE NOT greedy OR gr = 1),
+p AS (SELECT *, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY class, r) AS INTEGER) AS pick FROM c) SELECT l_orderkey, signature, pick FROM p WHERE pick <= 4"""
+
+
+def greedy_pin(spark, d):
+    order = (F.desc("score"), F.col("change"), F.col("signature"))
+    return selection.pinned_order(_scored(spark, d), "l_orderkey", "greedy", *order).select("l_orderkey", "signature", "greedy", "place")
+
+
+PINNED = SCORED + """, g AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, greedy ORDER BY r) AS gr FROM o) SELECT l_orderkey, signature, greedy, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY NOT greedy, r) AS INTEGER) AS place FROM g WHERE NOT greedy OR gr = 1"""
 
 
 def merge_rerank(spark, d):
@@ -53,8 +76,7 @@ def merge_rerank(spark, d):
 
 def retry_gate(spark, d):
     r = runs(spark, d).groupBy("user_id").agg(F.count("*").alias("n"), F.count_if(F.col("event_type") == "view").alias("dups"), F.count_if(F.col("event_type") == "error").alias("failed"))
-    again = (F.col("dups") >= 2 * 10) | (F.col("dups") >= 0.4 * F.col("n")) | (F.col("failed") >= 10)
-    return r.withColumn("again", again)
+    return r.withColumn("again", selection.needs_retry(F.col("n") - F.col("dups") - F.col("failed"), F.lit(12), F.col("dups"), F.col("n"), F.col("failed")))
 
 
 def early_stop(spark, d):
@@ -93,13 +115,45 @@ def similarity_ratio(spark, d):
 
 
 def python_structure(spark, d):
-    code = F.concat(F.lit("import os\ndef f(x):\n    if x:\n        return "), F.col("turn").cast("string"), F.when(F.col("turn") % 3 == 2, F.lit(" +")).otherwise(F.lit("")))
-    return table(spark, d, "conversations").select("conv_id", "turn", F.transform(C.nodes(code), lambda n: n["type"]).alias("types"), C.imports(code).alias("imports"))
+    """A function around each text: its nodes with their flags, its imports, and whether it parses."""
+    text = F.regexp_replace(F.coalesce("text", F.lit("")), r"[\"\\\n\r]", " ")
+    code = F.concat(F.lit('import os, re as r\ndef f(x):\n    if x:\n        y = "'), text, F.lit('"\n        return '), F.col("turn").cast("string"), F.when(F.col("turn") % 3 == 2, F.lit(" +")).otherwise(F.lit("")))
+    n = C.nodes_at(code, F.lit(5), F.lit("return"))
+    show = F.array_join(F.transform(n, lambda x: F.concat(x["type"], F.lit("@"), F.coalesce(x["line"].cast("string"), F.lit("")), F.when(x["contains_line"], "*").otherwise(""), F.when(x["matches_text"], "!").otherwise(""))), " ")
+    return table(spark, d, "conversations").select("conv_id", "turn", show.alias("nodes"), F.array_join(C.imports(code), ",").alias("imports"))
+
+
+STRUCTURE = """SELECT conv_id, turn, CASE WHEN turn % 3 = 2 THEN 'ParseError@5' ELSE 'Function@2*!' || ' If@3*!' || ' Assign@4 Return@5*!' END AS nodes, CASE WHEN turn % 3 = 2 THEN 'import os, re as r' ELSE 'import os,import re as r' END AS imports FROM conversations"""
+
+
+def python_context(spark, d):
+    """A class around each text: its imports, fields and the other methods."""
+    text = F.regexp_replace(F.coalesce("text", F.lit("")), r"[^A-Za-z0-9 ]", " ")
+    code = F.concat(F.lit('from a import b as c, d\nclass K:\n    limit: int = 3\n    name = "'), text, F.lit('"\n    def __init__(self, x, *rest, y=1, **more):\n        self.x = x\n    async def g(self):\n        pass\n    def h'), F.col("turn").cast("string"), F.lit("(self):\n        pass\ndef top():\n    pass\n"))
+    x = C.file_context(code, F.lit("K"), F.lit("g"))
+    return table(spark, d, "conversations").select("conv_id", "turn", x.alias("x")).select("conv_id", "turn", *[F.array_join(f"x.{c}", ";").alias(c) for c in ("imports", "fields", "siblings")])
 
 
 def java_blocks(spark, d):
-    code = F.concat(F.lit('int f() { String s = "}"; /* { */ return '), F.col("turn").cast("string"), F.lit("; } trailing"))
-    return table(spark, d, "conversations").select("conv_id", "turn", C.balanced_block(C.fenced_code(code)).alias("block"), C.adjust_indent(code, F.lit(4)).alias("moved"))
+    """Each text inside of a string and a comment, whose braces don't count; moved blocks."""
+    text = F.regexp_replace(F.coalesce("text", F.lit("")), r"[\"\\\n\r*/]", " ")
+    code = F.concat(F.lit('int f() { String s = "} '), text, F.lit('"; /* { '), text, F.lit(" */ return 1; } trailing"))
+    block = F.concat(F.lit("  void f() {\n        "), text, F.lit("\n    }"))
+    return table(spark, d, "conversations").select("conv_id", "turn", C.balanced_block(C.fenced_code(F.concat(F.lit("```java\n"), code, F.lit("\n```")))).alias("block"), C.adjust_indent(block, F.col("turn") % 3 * 4).alias("moved"))
+
+
+JAVA_BLOCKS = r"""WITH t AS (SELECT conv_id, turn, regexp_replace(coalesce(text, ''), '["\\\n\r*/]', ' ', 'g') AS x FROM conversations)
+SELECT conv_id, turn, 'int f() { String s = "} ' || x || '"; /* { ' || x || ' */ return 1; }' AS block, CASE turn % 3 WHEN 1 THEN '    void f() {' || chr(10) || '        ' || x || chr(10) || '    }'
+  WHEN 2 THEN '        void f() {' || chr(10) || '              ' || x || chr(10) || '          }' ELSE 'void f() {' || chr(10) || '      ' || x || chr(10) || '  }' END AS moved FROM t"""
+
+
+def function_spans(spark, d):
+    """A function in a file around each text: its own text, or a text of another body, which is found by its head and braces."""
+    text = F.regexp_replace(F.coalesce("text", F.lit("")), r"[\"\\\n\r{}/*']", " ")
+    file = F.concat(F.lit("class A {\n  // "), text, F.lit("\n  int f(int a) {\n    if (a > 1) {\n      return 2; // "), text, F.lit("\n    }\n    return 0;\n  }\n}"))
+    block = F.when(F.col("turn") % 3 == 0, F.lit("  int f(int a) {\n    return -1;\n  }")).when(F.col("turn") % 3 == 1, F.lit("    return 0;\n  }")).otherwise(F.lit("  int g() {\n  }"))
+    x = C.span(file, block, F.col("turn"))
+    return table(spark, d, "conversations").select("conv_id", "turn", x.alias("x")).select("conv_id", "turn", F.col("x.start").alias("first_line"), F.col("x.end").alias("last_line"))
 
 
 def iterative_loop_stub(spark, d):
@@ -110,25 +164,43 @@ def iterative_loop_stub(spark, d):
         return open_.select("id", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("sample"), "seed").select("id", "sample", F.concat("seed", F.lit("+"), ((F.col("sample") + F.col("id")) % 3).cast("string")).alias("code"))
 
     def evaluate(fresh: DataFrame) -> DataFrame:
-        failing = F.pmod(F.xxhash64("code", "id"), F.lit(7)).cast("int")
+        failing = F.pmod(F.conv(F.substring(F.sha1(F.concat("code", F.lit(":"), F.col("id").cast("string")).cast("binary")), 1, 8), 16, 10).cast("bigint"), F.lit(7)).cast("int")
         return fresh.withColumns({"failing": failing, "outcome": F.when(failing == 0, "pass").otherwise("test_fail")})
 
     return repair_loop.summary(items, repair_loop.run_rounds(items, generate, evaluate, work_folder(spark, "loop")))
 
 
+#: Every round's seed is the last round's best code, so no round repeats one and nothing stagnates.
+def _loop_sql() -> str:
+    out = "WITH i AS (SELECT conv_id AS id, min(role) AS base FROM conversations GROUP BY 1), s1 AS (SELECT id, base AS seed FROM i)"
+    for k in (1, 2, 3):
+        out += f""", c{k} AS (SELECT id, s, seed || '+' || ((s + id) % 3) AS code FROM s{k}, (SELECT unnest([1, 2, 3]) AS s)),
+e{k} AS (SELECT *, CAST('0x' || substr(sha1(code || ':' || id), 1, 8) AS BIGINT) % 7 AS failing FROM c{k}),
+s{k + 1} AS (SELECT id, arg_min(code, failing * 10 + s) AS seed FROM e{k} GROUP BY id HAVING min(failing) > 0)"""
+    return out + """, a AS (SELECT 1 AS k, * FROM e1 UNION ALL SELECT 2, * FROM e2 UNION ALL SELECT 3, * FROM e3)
+SELECT id, bool_or(failing = 0) AS solved, min(CASE WHEN failing = 0 THEN k END) AS solving_iteration, count(*) AS n_candidates FROM a GROUP BY id"""
+
+
 LINE_TIES = "l_linenumber, l_partkey, l_suppkey"
+RANKED = f"""WITH s AS (SELECT *, CASE WHEN l_suppkey % 5 <> 0 THEN abs(CAST(l_quantity AS INTEGER) - 20) END AS gap, l_linenumber % 4 AS o FROM lineitem),
+r AS (SELECT *, coalesce(gap, 9999) * 10 + [0, 1, 2, 2, 3][CAST(l_partkey % 5 AS INTEGER) + 1] - CASE WHEN l_returnflag = 'R' THEN 20 ELSE 0 END - CASE WHEN l_linestatus = 'O' THEN 15 ELSE 0 END - least(10, o * 3) AS score,
+  l_returnflag = 'R' OR l_linestatus = 'O' OR coalesce(gap <= 2, false) OR o > 0 OR l_partkey % 5 = 0 AS strong FROM s),
+k AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY strong DESC, score, {LINE_TIES}) AS place FROM r) SELECT l_orderkey, l_linenumber, l_partkey, strong, score, place FROM k WHERE place <= 5"""
 QUERIES = {
-    "rank_nodes_topk": (rank_nodes_topk, f"WITH s AS (SELECT *, abs(CAST(l_quantity AS INTEGER) - 20) AS gap, l_linenumber % 4 AS o FROM lineitem), r AS (SELECT *, gap * 10 + 3 - CASE WHEN l_returnflag = 'R' THEN 20 ELSE 0 END - CASE WHEN l_linestatus = 'O' THEN 15 ELSE 0 END - least(10, o * 3) AS score, l_returnflag = 'R' OR l_linestatus = 'O' OR gap <= 2 OR o > 0 AS strong FROM s), k AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY strong DESC, score, {LINE_TIES}) AS place FROM r) SELECT l_orderkey, l_linenumber, l_partkey, strong, score, place FROM k WHERE place <= 5"),
+    "rank_nodes_topk": (rank_nodes_topk, RANKED),
     "ranking_tuple_best": (ranking_tuple_best, RUNS + ", p AS (SELECT *, CASE event_type WHEN 'click' THEN 3 WHEN 'view' THEN 2 WHEN 'error' THEN 1 ELSE 0 END AS priority FROM runs), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY priority DESC, k, event_id) AS n FROM p) SELECT user_id, event_id, priority, k FROM r WHERE n = 1"),
     "topk_memory": (topk_memory, RUNS + ", c AS (SELECT *, event_type || ':' || (k % 10) AS code FROM runs), l AS (SELECT *, row_number() OVER (PARTITION BY user_id, code ORDER BY event_id DESC) AS n FROM c), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY k, event_id) AS memory_rank FROM l WHERE n = 1) SELECT user_id, event_id, code, k, memory_rank FROM r WHERE memory_rank <= 3"),
-    "coverage_topk": (coverage_topk, f"WITH g AS (SELECT *, l_suppkey % 3 AS grp, row_number() OVER (PARTITION BY l_orderkey, l_suppkey % 3 ORDER BY l_extendedprice DESC, {LINE_TIES}) AS n FROM lineitem), p AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY n <> 1, l_extendedprice DESC, {LINE_TIES}) AS pick FROM g) SELECT l_orderkey, l_linenumber, grp, l_extendedprice AS score, pick FROM p WHERE pick <= 4"),
+    "coverage_topk": (coverage_topk, COVERAGE),
     "merge_rerank": (merge_rerank, f"WITH s AS (SELECT *, CAST(round(l_discount * 100) AS INTEGER) AS score FROM lineitem), p AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_returnflag <> 'R', coalesce(nullif(score, 0), -1000000000) DESC, {LINE_TIES}) AS place FROM s) SELECT l_orderkey, l_linenumber, score, place FROM p WHERE place <= 3"),
-    "retry_gate": (retry_gate, RUNS + ", c AS (SELECT user_id, count(*) AS n, count(*) FILTER (event_type = 'view') AS dups, count(*) FILTER (event_type = 'error') AS failed FROM runs GROUP BY user_id) SELECT *, dups >= 20 OR dups >= 0.4 * n OR failed >= 10 AS again FROM c"),
+    "retry_gate": (retry_gate, RUNS + ", c AS (SELECT user_id, count(*) AS n, count(*) FILTER (event_type = 'view') AS dups, count(*) FILTER (event_type = 'error') AS failed FROM runs GROUP BY user_id) SELECT *, n - dups - failed < 12 AND (dups >= 24 OR dups / greatest(1, n) >= 0.4 OR failed >= 12) AS again FROM c"),
     "early_stop": (early_stop, RUNS + ", f AS (SELECT *, min(CASE WHEN event_type = 'purchase' THEN event_id END) OVER (PARTITION BY user_id) AS first FROM runs) SELECT user_id, event_id FROM f WHERE first IS NULL OR event_id <= first"),
     "candidate_priority": (candidate_priority, None),
     "line_diff_stats": (line_diff_stats, None),
     "similarity_ratio": (similarity_ratio, None),
-    "python_structure": (python_structure, None),
-    "java_blocks": (java_blocks, None),
-    "iterative_loop_stub": (iterative_loop_stub, None),
+    "python_structure": (python_structure, STRUCTURE),
+    "java_blocks": (java_blocks, JAVA_BLOCKS),
+    "iterative_loop_stub": (iterative_loop_stub, _loop_sql()),
+    "greedy_pin": (greedy_pin, PINNED),
+    "python_context": (python_context, "SELECT conv_id, turn, 'from a import b as c, d' AS imports, 'limit: int (class attr);name (class attr);self.x' AS fields, 'def __init__(self, x, *rest, y, **more);def h' || turn || '(self)' AS siblings FROM conversations"),
+    "function_spans": (function_spans, "SELECT conv_id, turn, CAST(CASE turn % 3 WHEN 0 THEN 3 WHEN 1 THEN 7 END AS INTEGER) AS first_line, CAST(CASE WHEN turn % 3 < 2 THEN 8 END AS INTEGER) AS last_line FROM conversations"),
 }

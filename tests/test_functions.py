@@ -72,12 +72,34 @@ def test_find_line(spark):
 
 def test_plans(spark):
     lit = F.lit
+    ranges = lambda *r: F.array(*[F.struct(F.lit(a).cast("int").alias("start"), F.lit(b).cast("int").alias("end")) for a, b in r])
+    types = lambda *t: F.array(*map(F.lit, t))
     r = one(
         spark,
-        ok=P.plan_problem(lit(1), lit(3), lit(2), lit("REPLACE")), bad=P.plan_problem(lit(3), lit(1), lit(2), lit("REPLACE")), kind=P.plan_problem(lit(1), lit(1), lit(2), lit("MOVE")),
-        o=P.overlaps(lit(1), lit(3), lit(4), lit(6)), s=P.overlaps(lit(1), lit(3), lit(4), lit(6), 2), c=P.contains(lit(1), lit(9), lit(2), lit(9)), w=P.widen(lit(5), lit(6), lit(30))[0], x=P.clamp(lit(-4), lit(90), lit(30))[1],
+        ok=P.plan_problem(ranges((1, 3)), lit(2), types("replace")), bad=P.plan_problem(ranges((1, 1), (3, 1)), lit(2), types("REPLACE")), kind=P.plan_problem(ranges((1, 1)), lit(1), types("MOVE")), none=P.plan_problem(ranges((1, 1)), lit(0), types("INSERT")),
+        o=P.overlaps(lit(1), lit(3), lit(4), lit(6)), s=P.overlaps(lit(1), lit(3), lit(4), lit(6), 2), c=P.contains(lit(1), lit(9), lit(2), lit(9)), x=P.clamp_range(lit(90), lit(-4), lit(30)),
     )
-    assert tuple(r) == (None, "bad_range", "bad_type", False, True, True, 3, 30)
+    assert tuple(r)[:-1] == (None, "bad_range", "bad_type", "bad_budget", False, True, True) and tuple(r.x) == (1, 30)
+
+
+def test_feedback_hides_what_it_should(spark):
+    from quarrywork.functions import feedback as B
+
+    none = F.array().cast("array<string>")
+    attempt = dict.fromkeys(("code", "log", "test_log", "first_log", "line", "base"), F.lit("return x + 1;")) | {"failing_count": F.lit(2), "failing_names": F.array(F.lit("testFooBar")), "first_test": F.lit("Foo"), "first_message": F.lit("expected:<1>"), "first_stack": F.lit("at Foo.java:42"), "siblings": none, "imports": none}
+    test = F.lit("test_feedback")
+    r = one(spark, full=B.feedback(test, attempt), bare=B.feedback(test, attempt, test_facts=False), blind=B.feedback(test, attempt, blind=True, test_facts=False), a=B.feedback(F.lit("symbol_feedback"), attempt), b=B.feedback(F.lit("symbol_feedback"), attempt, test_facts=False), odd=B.feedback(F.lit("?"), attempt))
+    for secret in ("testFooBar", "expected:<1>", "Foo.java:42"):
+        assert secret in r.full and secret not in r.bare and secret not in r.blind
+    assert "HINT" in r.bare and "ORIGINAL BUGGY CODE" in r.bare and "DIFFERENT approach" in r.blind and r.a == r.b and r.odd.startswith("COMPILE ERROR:\n")
+
+
+def test_settings(spark):
+    from quarrywork.functions import prompts
+
+    r = one(spark, s=prompts.run_settings(F.lit("A=1, b = x=y ,tag one,a=2,two")), t=prompts.run_settings(F.lit("x,TAG=z")), n=prompts.run_settings(F.lit(None).cast("string")))
+    assert (r.s, r.t, r.n) == ({"a": "2", "b": "x=y", "tag": "tag one"}, {"tag": "z"}, {})
+    assert [p["seed"] for p in prompts.preset_runs(7)] == [7, 8, 9]
 
 
 def test_vectors(spark):

@@ -1,9 +1,10 @@
+import re
 from functools import cmp_to_key
 
 import pytest
 from pyspark.sql import functions as F
 
-from quarrywork.operators import code, diffs, repair_loop, selection
+from quarrywork.operators import candidates, code, diffs, repair_loop, selection
 from quarrywork.operators import retrieval as R
 from quarrywork.sources import keyed_json
 from quarrywork.streaming.resume import run_available
@@ -16,9 +17,24 @@ def test_memory(spark):
     assert best(3, 1) == ["A", "B", "C"] and best(2, 2) == ["E", "D"]
 
 
-def test_coverage_takes_each_group_first(spark):
-    rows = spark.createDataFrame([(1, "g", 9.0, 1), (1, "g", 8.0, 2), (1, "h", 1.0, 3), (1, "i", 2.0, 4)], "bug int, grp string, score double, tie int")
-    assert [r.tie for r in selection.coverage(rows, "bug", "grp", "score", "tie", 4).orderBy("pick").collect()] == [1, 4, 3, 2]
+def test_coverage_pins_the_best_greedy_and_takes_each_source(spark):
+    kind = "bug int, score double, tier double, change double, signature string, greedy boolean, source string"
+    rows = [(1, 9.0, None, 0.0, "a", False, "g"), (1, 8.0, None, 0.0, "b", False, "g"), (1, 1.0, None, 0.0, "c", False, "h"), (1, 2.0, None, 0.0, "d", False, None), (1, 0.5, None, 0.0, "e", True, "g"), (1, 0.1, None, 0.0, "f", True, "h")]
+    df = spark.createDataFrame(rows, kind)
+    picks = lambda **how: [r.signature for r in selection.coverage(df, "bug", 5, **how).orderBy("pick").collect()]
+    assert picks() == ["e", "a", "d", "c", "b"] and picks(pin=False) == ["a", "d", "c", "b", "e"]
+    # Within a margin of 10 the lower tier wins, so that the leader of a source is not its best by score.
+    tiers = spark.createDataFrame([(1, 20.0, 2.0, 0.0, "a", False, "g"), (1, 12.0, 0.0, 0.0, "b", False, "g"), (1, 30.0, 2.0, 0.0, "c", False, "h")], kind)
+    assert [r.signature for r in selection.coverage(tiers, "bug", 3).orderBy("pick").collect()] == ["c", "b", "a"]
+
+
+def test_refill_keeps_all_and_takes_new_signatures(spark):
+    rows = [(1, 5, False, 0.0, "a", 1), (1, 50, True, 0.0, "a", 2), (1, 40, True, 0.0, "b", 3), (1, 45, True, 0.0, "b", 4), (1, 3, True, 0.0, None, 5), (1, 2, True, 0.0, "", 6), (2, 9, False, 0.0, None, 1), (2, 8, False, 0.0, None, 2), (2, 7, False, 0.0, None, 3)]
+    out = candidates.refill(spark.createDataFrame(rows, "bug int, score int, violates boolean, change double, signature string, k int"), "bug", 2, "k")
+    got = {b: [(r.k, r.fill_score) for r in out.filter(F.col("bug") == b).orderBy("pick").collect()] for b in (1, 2)}
+    assert got == {1: [(1, 5), (4, 20)], 2: [(1, 9), (2, 8), (3, 7)]}
+    more = candidates.refill(spark.createDataFrame(rows, "bug int, score int, violates boolean, change double, signature string, k int"), "bug", 9, "k")
+    assert [r.k for r in more.filter("bug = 1").orderBy("pick").collect()] == [1, 4, 5, 6]
 
 
 def test_priority_margins(spark):
@@ -55,7 +71,8 @@ def test_line_edits():
     assert diffs.line_edits("a", "a") == [] and diffs._changed("", "a") == 1.0 and diffs._changed("a\nb", "a") == 0.5
 
 
-@pytest.mark.parametrize(("text", "indent", "want"), [("a\n  b", 4, "    a\n      b"), ("    a\n  b", 0, "a\nb"), ("  a", 2, "  a"), ("", 4, ""), (None, 4, None), ("a\n\nb", 2, "  a\n\n  b")])
+@pytest.mark.parametrize(("text", "indent", "want"), [("a\n  b", 4, "    a\n      b"), ("    a\n  b", 0, "a\nb"), ("  a", 2, "  a"), ("", 4, ""), (None, 4, None), ("\n\n", 4, "\n\n"), ("a\n\nb", 2, "  a\n\n  b"),
+    ("f {\n    x\n    }", 4, "    f {\n        x\n        }"), ("  f {\n        x\n    }", 4, "    f {\n        x\n    }"), ("f {\n    if {\n        y\n    }\n}", 4, "    f {\n        if {\n            y\n        }\n    }"), ("    f\n        x\n  y", 0, "f\n    x\ny")])
 def test_indent(text, indent, want):
     assert code.shift_indent(text, indent) == want
 
@@ -68,7 +85,7 @@ def test_balanced_blocks():
 def test_nodes_and_imports():
     kinds = [n["type"] for n in code.python_nodes("import os\nif a:\n    b = c(1)")]
     assert kinds == ["If", "Assign", "Call"] and code.python_nodes("def (")[0]["type"] == "ParseError"
-    assert code.python_imports("import os\nfrom a import b\nimport os") == ["import os", "from a import b"]
+    assert code.python_imports("import os\nfrom a import b\nimport os, c as d") == ["import os", "from a import b", "import os", "import c as d"]
     assert code.python_imports("import os\n(") == ["import os"]
 
 
@@ -124,6 +141,110 @@ def test_rounds(spark, tmp_path):
     assert calls == [1, 2, 3]
 
 
+@pytest.mark.parametrize("rotate", [True, False])
+def test_seeds_rotate_when_every_draft_was_seen(spark, tmp_path, rotate):
+    items = spark.createDataFrame([(1, "base")], "id int, base string")
+    asked = []
+
+    def generate(open_, k):
+        asked.append([(r.seed, r.strategy) for r in open_.collect()])
+        return open_.select("id", F.posexplode(F.array(*[F.lit(c) for c in (["A", "B"], ["A"], ["C"])[k - 1]])).alias("sample", "code"))
+
+    def evaluate(fresh):
+        return fresh.withColumns({"outcome": F.lit("test_fail"), "failing": F.when(F.col("code") == "A", 5).otherwise(8)})
+
+    attempts = repair_loop.run_rounds(items, generate, evaluate, f"file://{tmp_path}/run", rotate=rotate)
+    assert asked == [[("base", None)], [("A", "test_feedback")], [("B" if rotate else "A", "test_feedback")]]
+    assert sorted(r.code for r in attempts.collect()) == ["A", "B", "C"]
+
+
+def test_function_spans():
+    body = "    public int answer() {\n        return 42;\n    }"
+    assert code.function_span("class Demo {\n" + body + "\n}\n", body, 2) == (2, 4)
+    longer = "class Demo {\n    public int answer() {\n        if (ready) {\n            return 42;\n        }\n        return 0;\n    }\n}\n"
+    assert code.function_span(longer, "    public int answer() {\n        // old\n        return -1;\n    }", 10) == (2, 7)
+    made = "class Demo {\n    public Demo(int value,\n            String label) {\n        this.value = value; // }\n        this.label = \"}\";\n    }\n}\n"
+    assert code.function_span(made, "    public Demo(int value,\n            String label) {\n        this.value = 0;\n    }", 50) == (2, 6)
+    assert code.function_span("x", "int g() {\n}", None, [(3, 9), (4, 5)]) == (4, 5) and code.function_span("x", "int g() {\n}") is None
+
+
+def test_nodes_have_flags_and_hints():
+    found = code.python_nodes("def f(a):\n    return a[0]", 2, " return a[0]")
+    assert [(n["type"], n["line"], n["contains_line"], n["matches_text"], n["hints"]) for n in found] == [("Function", 1, True, True, ["check signature/body"]), ("Return", 2, True, True, ["check return value"]), ("Subscript", 2, True, False, ["check index/key"])]
+
+
+def test_scores_against_a_plain_sum(spark):
+    from difflib import SequenceMatcher
+
+    base = "def f(x):\n    y = x + 1\n    z = y * 2\n    return z"
+    cases = [base.replace("x + 1", "x - 1"), base.replace("x + 1", "print(x)"), base + "\n    # fixed line, changed line", "", base.replace("return z", "pass\n    ..."), "import os\n" + base]
+    df = spark.createDataFrame([(k, c) for k, c in enumerate(cases)], "k int, code string")
+    got = {r.k: r.s for r in df.select("k", candidates.heuristic_score(F.col("code"), F.lit(base), F.lit("y = x + 1"), F.lit("f"), F.lit("f"), F.lit(True), F.lit("z = y * 2")).alias("s")).collect()}
+    plain = lambda t: " ".join(re.sub("#.*", "", t).split())
+    for k, c in enumerate(cases):
+        if not c:
+            assert got[k] == -1000
+            continue
+        fraction, ratio = diffs._changed(base, c), len(c.splitlines()) / 4
+        want = 100 + (-15 if "y = x + 1" in c else 15) + 35 + int(SequenceMatcher(None, plain(base), plain(c)).ratio() * 45)
+        want += -500 if fraction < 0.005 else next((p for e, p in ((0.03, 40), (0.12, 30), (0.25, 20), (0.5, 5)) if fraction <= e), -10)
+        want += 20 if 0.8 <= ratio <= 1.2 else 8
+        want -= 300 * ("pass" in c or "..." in c) + 500 * ("changed line" in c or "..." in c) + 80 * ("fixed line" in c) + 80 * ("..." in c) + 80 * ("print(" in c) + 200 * ("import" in c)
+        assert got[k] == want, c
+    assert spark.range(1).select(candidates.length_ratio(F.lit(""), F.lit("a\nb")).alias("r")).first().r == 1.0
+
+
+def test_edits_follow_the_matcher_on_long_texts():
+    from difflib import SequenceMatcher
+
+    base = [f"row {k}" if k % 3 else "}" for k in range(300)]
+    new = [*base[:100], "added ", "}", *base[104:]]
+    ops = [o for o in SequenceMatcher(None, base, new).get_opcodes() if o[0] != "equal"]
+    got = diffs.line_edits("\n".join(base), "\n".join(new))
+    assert [(e["op"].lower(), e["start"] - 1) for e in got] == [(o[0], o[1]) for o in ops] and all(e["text"] == e["text"].strip() for e in got)
+
+
+def test_sources(spark, tmp_path):
+    import os
+
+    from quarrywork.sources import discovery
+
+    for name in ("b.json", "a.json", "x_tag.manifest.json", "y.manifest.json"):
+        (tmp_path / name).write_text("{}")
+    os.utime(tmp_path / "x_tag.manifest.json", (1, 1))
+    assert [p.rsplit("/", 1)[1] for p in discovery.split_inputs(spark, f" file://{tmp_path}/z.json, file://{tmp_path}/?.json,, ")] == ["z.json", "a.json", "b.json"]
+    files = discovery.listing(spark, f"file://{tmp_path}/*")
+    assert discovery.latest(files).first().path.endswith("y.manifest.json") and discovery.latest(files, "tag").first().path.endswith("x_tag.manifest.json")
+    assert discovery.latest_manifest(files).first().path.endswith("y.manifest.json") and discovery.latest_manifest(files, "tag").first().path.endswith("x_tag.manifest.json")
+    with pytest.raises(FileNotFoundError):
+        discovery.latest(files.filter("path = ''"))
+    (tmp_path / "k.json").write_text('{"1": {"a": 1}, "2": {"nodes": [1]}}')
+    assert discovery.looks_enriched(spark, f"file://{tmp_path}/k.json", "nodes") and not discovery.looks_enriched(spark, f"file://{tmp_path}/k.json", "other")
+
+
+def test_caches_are_reused(spark, tmp_path):
+    from quarrywork.sources import discovery
+
+    corpus = spark.createDataFrame([(1, "a b"), (2, "c")], "doc int, text string")
+    folder = f"file://{tmp_path}/tokens"
+    first = R.token_table(corpus, "doc", "text", folder)
+    files = {f.name for f in (tmp_path / "tokens").iterdir()}
+    assert R.token_table(corpus, "doc", "text", folder).count() == first.count() == 2 and {f.name for f in (tmp_path / "tokens").iterdir()} == files
+    R.token_table(corpus.withColumn("text", F.upper("text")), "doc", "text", folder)
+    assert len(list((tmp_path / "tokens").iterdir())) == 2
+    with pytest.raises(ValueError):
+        R.token_table(corpus.limit(0), "doc", "text", folder)
+    calls = []
+
+    def encode(df):
+        calls.append(df.count())
+        return df.select("doc", F.array(F.lit(1.0)).alias("v"))
+
+    for n, rows in ((2, corpus), (2, corpus), (3, corpus.unionByName(spark.createDataFrame([(3, "d")], corpus.schema)))):
+        assert discovery.cached_vectors(rows, "doc", "m", f"file://{tmp_path}", encode).count() == n
+    assert calls == [2, 1]
+
+
 def test_incremental_runs(spark, tmp_path):
     source, sink, mark = (f"file://{tmp_path}/{n}" for n in ("in", "out", "mark"))
     for lo, hi in ((0, 5), (5, 8)):
