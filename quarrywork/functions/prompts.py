@@ -81,6 +81,30 @@ def setting(*choices: Column) -> Column:
     return F.coalesce(*[F.when(F.trim(c) != "", c) for c in choices])
 
 
+# Repair branches by language, the default first.
+BRANCHES = {"java": ("java_base", "java_semantic", "java_v2"), "python": ("python_base",)}
+
+
+def repair_branch(requested: Column, row: Column, language: Column, explicit: bool = False) -> Column:
+    """(effective, source) of a repair branch: for Java an explicit request goes before the row's, the row's before another request; what the language doesn't have is left out."""
+
+    def of(name: str) -> Column:
+        known = BRANCHES[name]
+        has = lambda c: F.lower(F.trim(c)).isin(*known)
+        take = lambda c, source: F.struct(F.lower(F.trim(c)).alias("effective"), F.lit(source).alias("source"))
+        by_request = "cli" if explicit else "auto"
+        first = F.when(has(requested), take(requested, "cli")) if explicit and name == "java" else F.lit(None)
+        return F.coalesce(first, F.when(has(row), take(row, "row")), F.when(has(requested), take(requested, by_request)), take(F.lit(known[0]), "auto"))
+
+    return F.when(F.lower(F.trim(language)) == "java", of("java")).otherwise(of("python"))
+
+
+def edit_mode(mode: Column, single: Column, conservative_java: Column) -> Column:
+    """single or hard: as the row says, else by whether it is a single line (if known), else single for conservative Java, else hard."""
+    said = F.lower(F.trim(mode))
+    return F.when(said.isin("single", "hard"), said).when(single.isNotNull(), F.when(single, "single").otherwise("hard")).when(conservative_java, "single").otherwise("hard")
+
+
 def local_line(line: Column, start: Column, n_lines: Column, absolute_first: bool = True) -> Column:
     """A line counted from a function's first one, whether it came absolute or already so; null if it lies in neither range. absolute_first: which of the two is tried first."""
     absolute, own = F.when((line >= start) & (line < start + n_lines), line - start + 1), F.when((line >= 1) & (line <= n_lines), line)

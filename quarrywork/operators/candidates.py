@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from quarrywork.functions.text import canonical, lines, normalized_hash, strip
+from quarrywork.functions.text import canonical, let, lines, normalized_hash, strip
 from quarrywork.operators import diffs
 
 # The line behind which a response's code stands, and the least length of code.
@@ -19,20 +19,43 @@ MARKER, LEAST_CHARS = "##correct", 30
 _NOT_CALLS = ("if", "for", "while", "switch", "catch", "return", "new", "synchronized", "super", "this", "throw", "assert")
 
 
-def response_code(response: Column) -> Column:
-    """(code, problem): behind the marker, the first fence or all; up to a heading line. problem names why there is none."""
-    tail = F.when(response.rlike(rf"(?im)^[ \t]*{MARKER}[ \t]*$"), F.regexp_replace(response, rf"(?ims)\A.*?^[ \t]*{MARKER}[ \t]*$", "")).otherwise(response)
-    fence = F.regexp_extract(tail, r"(?s)```[A-Za-z]*[ \t]*\n(.*?)```", 1)
-    body = F.when(fence != "", fence).otherwise(tail)
-    code = F.trim(F.replace(F.regexp_replace(body, r"(?ms)^###\s.*\z", ""), F.lit("```"), F.lit("")))
-    code = F.regexp_replace(code, r"\A\s+|\s+\z", "")
-    problem = (
-        F.when(F.trim(F.coalesce(response, F.lit(""))) == "", "empty")
-        .when(code == "", "empty_after_trim")
-        .when(F.length(code) < LEAST_CHARS, "too_short")
-        .when(~code.rlike(r"(?m)^\s*(def|class|async\s+def|@)|\w+\s*\([^)]*\)\s*(throws\s+[\w.,\s]+)?\{"), "no_declaration")
-    )
-    return F.struct(F.when(problem.isNull(), code).alias("code"), problem.alias("problem"))
+def _between(text: Column, begin: str, end: str) -> Column:
+    """The longest text between two marks, stripped, the first of equals; null without one."""
+    found = F.regexp_extract_all(text, F.lit(rf"(?is){begin}\s*(.*?)\s*{end}"), F.lit(1))
+    longest = F.array_max(F.transform(found, lambda x, i: F.struct(F.length(strip(x)).alias("n"), (-i).alias("i"), strip(x).alias("x"))))
+    return F.nullif(longest["x"], F.lit(""))
+
+
+def marked_code(response: Column, base: Column | None = None) -> Column:
+    """The code between a response's marks: with base, first a body, behind the base's header; null without marks."""
+    code = _between(response, "@@BEGIN_JAVA_CODE@@", "@@END_JAVA_CODE@@")
+    if base is None:
+        return code
+    head, body = strip(F.regexp_extract(base, r"(?s)\A([^{]*)\{", 1)), _between(response, "@@BEGIN_JAVA_BODY@@", "@@END_JAVA_BODY@@")
+    return F.coalesce(F.when(head != "", F.concat(head, F.lit(" {\n"), body, F.lit("\n}"))), code)
+
+
+def response_code(response: Column, base: Column | None = None) -> Column:
+    """(code, problem): behind the marker, what stands between marks, else the first fence or all; up to a heading line. problem names why there is none."""
+    marker = rf"^[ \t]*{MARKER}[ \t]*$"
+    tail = F.when(response.rlike(f"(?im){marker}"), F.regexp_replace(response, rf"(?ims)\A.*?{marker}", "")).otherwise(response)
+
+    def code_of(tail: Column) -> Column:
+        fence = F.regexp_extract(tail, r"(?s)```[A-Za-z]*[ \t]*\n(.*?)```", 1)
+        body = F.coalesce(marked_code(tail, base), F.when(fence != "", fence).otherwise(tail))
+        return strip(F.replace(F.regexp_replace(body, r"(?ms)^###\s.*\z", ""), F.lit("```"), F.lit("")))
+
+    def judged(code: Column) -> Column:
+        problem = (
+            F.when(F.trim(F.coalesce(response, F.lit(""))) == "", "empty")
+            .when(code == "", "empty_after_trim")
+            .when(model_artifact(code), "model_artifact")
+            .when(F.length(code) < LEAST_CHARS, "too_short")
+            .when(~code.rlike(r"(?m)^\s*(def|class|async\s+def|@)|\w+\s*\([^)]*\)\s*(throws\s+[\w.,\s]+)?\{"), "no_declaration")
+        )
+        return let(problem, lambda p: F.struct(F.when(p.isNull(), code).alias("code"), p.alias("problem")))
+
+    return let(let(tail, code_of), judged)
 
 
 def diff_lines_to_code(code: Column) -> Column:
@@ -257,3 +280,64 @@ def merge_fragment(base: str, fragment: str) -> str | None:
 @F.pandas_udf(T.StringType())
 def merged(base: pd.Series, fragment: pd.Series) -> pd.Series:
     return pd.Series([merge_fragment(b, f) if b and f else None for b, f in zip(base, fragment, strict=True)])
+
+
+def admit(rows: DataFrame, by: str, order: str, plan_ok: Column | None = None) -> DataFrame:
+    """rows (by, order, response, base, name) with code and reason: why a response isn't admitted, by the first check that it fails; null for survivors.
+
+    Cheap checks come first: extraction, then what candidate_problem names, then
+    equal code (but for comments and white space) and equal edits of an earlier
+    response that got as far, then the plan.
+    """
+    found = response_code(F.col("response"), F.col("base"))
+    own = java_header(F.col("code"))["name"]
+    named = F.when(own != "", own).otherwise(F.regexp_extract("code", r"(?m)^\s*(?:async\s+def|def|class)\s+(\w+)", 1))
+    taken = rows.withColumn("_x", found).withColumn("code", F.col("_x.code"))
+    failed = F.concat(F.lit("extraction_failed_"), F.col("_x.problem"))
+    checked = taken.withColumn("reason", F.coalesce(failed, F.when(F.col("_x.problem").isNull(), candidate_problem(F.col("code"), F.col("base"), F.col("name"), named)))).drop("_x")
+    left, out = checked.filter("reason IS NULL"), checked.filter("reason IS NOT NULL")
+    first = lambda key: F.row_number().over(W.partitionBy(by, key).orderBy(order)) == 1
+    marked = left.withColumn("_first", first(F.sha1(canonical(F.col("code")).cast("binary"))))
+    again = marked.filter("NOT _first").drop("_first").withColumn("reason", F.lit("duplicate"))
+    signed = marked.filter("_first").drop("_first").withColumn("_s", diffs.patch_signature("base", "code"))
+    kept = signed.withColumn("_first", first(F.col("_s"))).withColumn("reason", F.when(~F.col("_first"), "duplicate"))
+    if plan_ok is not None:
+        kept = kept.withColumn("reason", F.coalesce("reason", F.when(~plan_ok, "plan_violation")))
+    return out.unionByName(again).unionByName(kept.drop("_s", "_first"))
+
+
+def symbol_sources(named: dict[str, list[Column]]) -> Column:
+    """A map from every symbol to the sorted names of what supports it. named: by source, arrays of symbols; blanks are left out."""
+
+    def pairs_of(source: str, symbols: Column) -> Column:
+        return F.transform(F.coalesce(symbols, F.array().cast("array<string>")), lambda x: F.struct(strip(x).alias("symbol"), F.lit(source).alias("source")))
+
+    pairs = [pairs_of(source, a) for source, arrays in named.items() for a in arrays]
+    known = F.array_distinct(F.filter(F.concat(*pairs), lambda p: p["symbol"] != ""))
+    symbols = F.array_sort(F.array_distinct(F.transform(known, lambda p: p["symbol"])))
+    of = lambda x: F.array_sort(F.transform(F.filter(known, lambda p: p["symbol"] == x), lambda p: p["source"]))
+    return F.map_from_entries(F.transform(symbols, lambda x: F.struct(x, of(x))))
+
+
+def java_allow_list(base: Column, signature: Column, calls: Column, types: Column, fields: Column) -> Column:
+    """What a patch of base may refer to, by source: names in base and its signature, and the lists of its context."""
+    return symbol_sources(
+        {
+            "helper_calls": [java_calls(base, 1_000_000), calls],
+            "types": [java_types(base, 1_000_000), types],
+            "method_signature": [java_types(signature, 1_000_000)],
+            "instance_fields": [F.regexp_extract_all(F.coalesce(base, F.lit("")), F.lit(r"\bthis\.([A-Za-z_$][A-Za-z0-9_$]*)\b"), F.lit(1)), fields],
+        }
+    )
+
+
+def extract_and_merge(response: Column, base: Column) -> Column:
+    """A response's code; a fragment without a declaration merged into base; null where neither works."""
+    found, whole = response_code(response, base), F.coalesce(marked_code(response), F.regexp_extract(response, r"(?s)```[A-Za-z]*[ \t]*\n(.*?)```", 1))
+    return F.coalesce(found["code"], merged(base, F.nullif(whole, F.lit(""))))
+
+
+def dispatch(inputs: DataFrame, prompts: DataFrame, key: str, runs: DataFrame) -> DataFrame:
+    """Inputs (key, code) with their prompt rows and base (the prompt's function, else the input's code) for each row of runs, a few settings; inputs without a base are left out."""
+    both = inputs.join(prompts, key, "left").withColumn("base", F.coalesce(F.nullif("function_before", F.lit("")), F.col("code")))
+    return both.filter(strip(F.col("base")) != "").join(F.broadcast(runs), how="cross")

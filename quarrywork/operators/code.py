@@ -6,14 +6,19 @@ Parsers are Python; whole batches go through them by Arrow.
 from __future__ import annotations
 
 import ast
+import keyword
 import re
 import textwrap
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quarrywork.functions.prompts import local_line, reason
+from quarrywork.functions.text import identifiers, lines, numbered_context, strip, trim_lines
+from quarrywork.operators import selection
+
 NODE = T.ArrayType(T.StructType().add("type", "string").add("line", "integer").add("end_line", "integer").add("code", "string").add("contains_line", "boolean").add("matches_text", "boolean").add("hints", T.ArrayType(T.StringType())))
 # Syntax that is listed, its names, and hints by name.
 KINDS = {
@@ -253,3 +258,59 @@ def span(text: pd.Series, block: pd.Series, preferred: pd.Series) -> pd.DataFram
     """function_span of each row; nulls where there is none."""
     found = [function_span(t or "", b or "", None if pd.isna(p) else int(p)) or (None, None) for t, b, p in zip(text, block, preferred, strict=True)]
     return pd.DataFrame({"start": pd.array([f[0] for f in found], "Int32"), "end": pd.array([f[1] for f in found], "Int32")})
+
+
+def analyse(rows: DataFrame, key: str, k: int = 5) -> DataFrame:
+    """(key, place, line, type, contains_line, distance, overlap, names, hints, reason, code, context): the k most suspicious nodes of Python functions (key, code, start, line, content).
+
+    The line is counted from the function's start if it lies in it so, or else
+    as it came. Nodes are ranked by distance, type and shared names, strong ones first.
+    """
+    source = F.coalesce("code", F.lit(""))
+    at = local_line(F.col("line"), F.col("start"), F.size(lines(source)))
+    own = rows.select(key, source.alias("code"), at.alias("_at"), strip(F.col("content")).alias("content"))
+    each = own.withColumn("_code", dedented("code")).select(key, "_at", "_code", "content", F.posexplode(nodes_at("code", "_at", "content")).alias("_n", "n")).filter("n.type != 'ParseError'")
+    names = F.array_sort(F.array_intersect(F.array_distinct(identifiers(F.col("n.code"), keyword.kwlist)), F.array_distinct(identifiers(F.col("content"), keyword.kwlist))))
+    near = each.withColumns({"distance": F.abs(F.col("n.line") - F.col("_at")), "names": names})
+    scored = near.withColumns(
+        {
+            "score": selection.node_score(F.col("n.type"), F.col("distance"), F.size("names"), F.col("n.contains_line"), F.col("n.matches_text")),
+            "strong": selection.strong_hint(F.col("distance"), F.size("names"), F.col("n.contains_line"), F.col("n.matches_text"), F.col("n.hints")),
+        }
+    )
+    best = selection.effective_nodes(scored, key, k, "_n")
+    told = reason(F.col("n.type"), F.col("distance"), F.col("names"), F.col("n.hints"))
+    return best.select(
+        key, "place", F.col("n.line").alias("line"), F.col("n.type").alias("type"), F.col("n.contains_line").alias("contains_line"), "distance", F.size("names").alias("overlap"), "names",
+        F.col("n.hints").alias("hints"), told.alias("reason"), trim_lines(F.col("n.code"), 4).alias("code"), trim_lines(numbered_context(F.col("_code"), F.col("n.line")), 6).alias("context"),
+    )
+
+
+@F.pandas_udf(T.StringType())
+def dedented(code: pd.Series) -> pd.Series:
+    return code.map(lambda x: textwrap.dedent(x or ""))
+
+
+def enrich(rows: DataFrame, key: str, most: int = 30) -> DataFrame:
+    """(key, imports, fields, siblings, class_name, source_available) of functions (key, language, parent, name, function, source).
+
+    Without a file's source the lists are empty, but for Java fields, which the
+    function itself may declare.
+    """
+    owner = F.when(F.contains("parent", F.lit("::")), F.trim(F.split_part("parent", F.lit("::"), F.lit(1)))).otherwise("")
+    full = F.coalesce(F.col("source"), F.lit("")) != ""
+    java, none = F.col("language") == "java", F.array().cast("array<string>")
+    fields = F.slice(F.array_distinct(F.regexp_extract_all(F.coalesce(F.nullif("source", F.lit("")), F.col("function"), F.lit("")), F.lit(r"(?m)^\s*((?:private|protected|public|static|final)\s[^(){};=]*\w)\s*(?:=[^;]*)?;"), F.lit(1))), 1, 15)
+    methods = F.regexp_extract_all(F.coalesce("source", F.lit("")), F.lit(r"(?m)^\s*((?:(?:public|protected|private|static|final|abstract|synchronized)\s+)+[\w<>\[\], .?]*\s\w+\s*\([^)]*\))"), F.lit(1))
+    others = F.slice(F.filter(methods, lambda m: F.regexp_extract(m, r"(\w+)\s*\([^)]*\)$", 1) != F.coalesce("name", F.lit(""))), 1, 20)
+    python = file_context(F.when(~java & full, F.col("source")).otherwise(""), owner, F.coalesce("name", F.lit("")))
+    both = rows.withColumn("_p", python)
+    imports = F.when(java, F.when(full, F.slice(java_imports(F.col("source")), 1, most)).otherwise(none)).otherwise(F.col("_p.imports"))
+    return both.select(
+        key,
+        imports.alias("imports"),
+        F.when(java, fields).otherwise(F.col("_p.fields")).alias("fields"),
+        F.when(java, F.when(full, others).otherwise(none)).otherwise(F.col("_p.siblings")).alias("siblings"),
+        owner.alias("class_name"),
+        full.alias("source_available"),
+    )

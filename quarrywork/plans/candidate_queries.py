@@ -125,7 +125,60 @@ def candidate_scores(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", score.alias("score"), C.merged(base, F.lit("y = x + 1\nz = 3\nreturn z")).alias("merged"), C.length_ratio(base, code).alias("length_ratio"), F.md5(T.canonical(code).cast("binary")).alias("code_md5"))
 
 
+def marked_responses(spark, d):
+    """Texts between marks: several, of which the longest counts, or a body that the base's header wraps."""
+    text = F.regexp_replace(F.coalesce("text", F.lit("")), r"[@`#{}]|\s+", " ")
+    given = F.concat(F.lit("@@BEGIN_JAVA_CODE@@ x @@END_JAVA_CODE@@ so\n@@begin_java_code@@\nint f() { // "), text, F.lit("\n}\n@@END_JAVA_CODE@@"), F.when(F.col("turn") % 2 == 0, F.concat(F.lit("\n@@BEGIN_JAVA_BODY@@\n return "), F.col("turn").cast("string"), F.lit(";\n@@END_JAVA_BODY@@"))).otherwise(F.lit("")))
+    return table(spark, d, "conversations").select("conv_id", "turn", C.marked_code(given).alias("code"), C.marked_code(given, F.lit(" int g(int a)\n{ return a; }")).alias("wrapped"), C.marked_code(text).alias("unmarked"))
+
+
+MARKED = r"""WITH t AS (SELECT conv_id, turn, 'int f() { // ' || regexp_replace(coalesce(text, ''), '[@`#{}]|[ \t\n\x0B\f\r]+', ' ', 'g') || chr(10) || '}' AS code FROM conversations)
+SELECT conv_id, turn, code, CASE WHEN turn % 2 = 0 THEN 'int g(int a) {' || chr(10) || 'return ' || turn || ';' || chr(10) || '}' ELSE code END AS wrapped, CAST(NULL AS VARCHAR) AS unmarked FROM t"""
+
+
+def admission_pipeline(spark, d):
+    """A conversation's texts as responses to one task: why each is dropped, by the first check it fails."""
+    text = F.regexp_replace(F.coalesce("text", F.lit("")), r"[^A-Za-z ]", " ")
+    base = F.lit("int f(int a) {\n  return a;\n}")
+    short = F.concat(F.lit("int f(int a) {\n  return a + "), (F.col("turn") % 2).cast("string"), F.lit("; // a comment\n}"))
+    response = F.when(F.col("turn") % 5 == 0, F.lit("")).when(F.col("turn") % 5 == 1, short).when(F.col("turn") % 5 == 2, F.concat(F.lit("int g(int a) {\n  return 1; // "), text, F.lit("\n}"))).when(F.col("turn") % 5 == 3, F.concat(F.lit("int f(int a) {\n  return 1; // TODO "), text, F.lit("\n}"))).otherwise(F.concat(F.lit("```java\n"), short, F.lit("\n```")))
+    rows = table(spark, d, "conversations").select("conv_id", "turn", response.alias("response"), base.alias("base"), F.lit("f").alias("name"))
+    out = C.admit(rows, "conv_id", "turn", plan_ok=F.col("turn") % 3 != 0)
+    return out.select("conv_id", "turn", F.coalesce("reason", F.lit("kept")).alias("reason"))
+
+
+ADMISSION = """WITH r AS (SELECT conv_id, turn, turn % 5 AS k, turn % 2 AS p, row_number() OVER (PARTITION BY conv_id, turn % 5 IN (1, 4), turn % 2 ORDER BY turn) AS n FROM conversations)
+SELECT conv_id, turn, CASE WHEN k = 0 THEN 'extraction_failed_empty' WHEN k = 3 THEN 'extraction_failed_model_artifact' WHEN k = 2 THEN 'name_mismatch' WHEN n > 1 THEN 'duplicate' WHEN turn % 3 = 0 THEN 'plan_violation' ELSE 'kept' END AS reason FROM r"""
+
+
+def allow_lists(spark, d):
+    """Symbols that a part's function may refer to, and what supports each."""
+    base = F.concat(F.lit("int f(List a) { this."), F.substring_index("p_name", " ", 1), F.lit(" = Helper.make(a); return g(a); }"))
+    found = C.java_allow_list(base, F.lit("int f(List a, Other b)"), F.array(F.lit("g"), F.lit(" h ")), F.array("p_brand", F.lit("")), F.split("p_name", " "))
+    shown = F.array_join(F.transform(F.array_sort(F.map_entries(found)), lambda e: F.concat(e["key"], F.lit("="), F.array_join(e["value"], "+"))), ";")
+    return table(spark, d, "part").select("p_partkey", shown.alias("allowed"))
+
+
+ALLOWED = """WITH p AS (SELECT p_partkey, unnest(list_distinct(string_split(p_name, ' '))) AS s, 'instance_fields' AS v FROM part UNION ALL SELECT p_partkey, p_brand, 'types' FROM part
+  UNION ALL SELECT p_partkey, unnest(['f', 'make', 'g', 'h']), 'helper_calls' FROM part UNION ALL SELECT p_partkey, unnest(['Helper', 'List']), 'types' FROM part UNION ALL SELECT p_partkey, unnest(['List', 'Other']), 'method_signature' FROM part),
+g AS (SELECT p_partkey, s, string_agg(v, '+' ORDER BY v) AS v FROM p GROUP BY ALL) SELECT p_partkey, string_agg(s || '=' || v, ';' ORDER BY s) AS allowed FROM g GROUP BY p_partkey"""
+
+
+def dispatched_runs(spark, d):
+    """Orders as inputs, their customers' rows as prompts, two runs' settings."""
+    inputs = table(spark, d, "orders").select(F.col("o_custkey").alias("id"), "o_orderkey", F.when(F.col("o_orderkey") % 3 == 0, F.lit(" ")).otherwise(F.lit("x")).alias("code"))
+    prompts = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.when(F.col("c_custkey") % 4 == 0, F.col("c_name")).otherwise(F.lit("")).alias("function_before"))
+    runs = spark.createDataFrame([("A", 42), ("B", 43)], "tag string, seed int")
+    return C.dispatch(inputs, prompts, "id", runs).select("o_orderkey", "tag", "seed", "base")
+
+
+DISPATCHED = """SELECT o_orderkey, tag, CAST(seed AS INTEGER) AS seed, CASE WHEN c_custkey % 4 = 0 THEN c_name ELSE 'x' END AS base FROM orders LEFT JOIN customer ON c_custkey = o_custkey, (VALUES ('A', 42), ('B', 43)) r(tag, seed) WHERE coalesce(c_custkey % 4 = 0, false) OR o_orderkey % 3 <> 0"""
+
 QUERIES = {
+    "marked_responses": (marked_responses, MARKED),
+    "admission_pipeline": (admission_pipeline, ADMISSION),
+    "allow_lists": (allow_lists, ALLOWED),
+    "dispatched_runs": (dispatched_runs, DISPATCHED),
     "plan_refill": (plan_refill, REFILL),
     "rescue_selection": (rescue_selection, ROWS + ", n AS (SELECT *, bool_or(survives) OVER (PARTITION BY l_orderkey) AS live FROM r), s AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY score DESC, signature) AS k FROM n WHERE NOT live), g AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY score DESC, signature) AS pick FROM s WHERE k <= 5 AND score % 2 = 0 AND score % 3 < 2) SELECT l_orderkey, signature, pick FROM g WHERE pick <= 3"),
     "rescue_supports": (rescue_supports, SUPPORTS),

@@ -201,7 +201,26 @@ SELECT page_id, ok, CASE WHEN length(url) > 60 THEN substr(url, 1, 46) || '...[t
   CASE WHEN page_id % 2 = 0 THEN family WHEN ok THEN '' ELSE 'unknown_compile_fail' END AS family, CASE WHEN page_id % 5 <> 0 THEN 'pass' ELSE 'unknown_error' END AS outcome FROM o"""
 
 
+def branch_policy(spark, d):
+    """Branch and mode of parts by what was asked, what the row has, and the language."""
+    k = F.col("p_partkey")
+    asked = F.element_at(F.array(*[F.lit(x) for x in ("auto", "java_v2", "python_base", "JAVA_SEMANTIC ")]), (k % 4 + 1).cast("int"))
+    row = F.when(k % 3 == 0, F.lit("java_semantic")).when(k % 3 == 1, F.lit("odd"))
+    language = F.when(k % 2 == 0, "java").otherwise("python")
+    both = table(spark, d, "part").select(k, P.repair_branch(asked, row, language).alias("a"), P.repair_branch(asked, row, language, explicit=True).alias("b"))
+    mode = P.edit_mode(F.when(k % 5 == 0, F.lit(" Hard")), F.when(k % 5 == 1, F.lit(False)), F.col("b.effective").isin("java_base", "java_semantic"))
+    return both.select("p_partkey", F.col("a.effective").alias("branch"), F.col("a.source").alias("source"), F.col("b.effective").alias("explicit_branch"), F.col("b.source").alias("explicit_source"), mode.alias("mode"))
+
+
+BRANCH = """WITH p AS (SELECT p_partkey, p_partkey % 2 = 0 AS java, p_partkey % 3 = 0 AS own, ['auto', 'java_v2', 'python_base', 'java_semantic'][CAST(p_partkey % 4 AS INTEGER) + 1] AS asked FROM part),
+b AS (SELECT *, CASE WHEN java THEN CASE WHEN own THEN 'java_semantic' WHEN starts_with(asked, 'java') THEN asked ELSE 'java_base' END ELSE 'python_base' END AS branch, CASE WHEN java AND own THEN 'row' ELSE 'auto' END AS source,
+  CASE WHEN java THEN CASE WHEN starts_with(asked, 'java') THEN asked WHEN own THEN 'java_semantic' ELSE 'java_base' END ELSE 'python_base' END AS explicit_branch,
+  CASE WHEN java THEN CASE WHEN starts_with(asked, 'java') THEN 'cli' WHEN own THEN 'row' ELSE 'auto' END WHEN asked = 'python_base' THEN 'cli' ELSE 'auto' END AS explicit_source FROM p)
+SELECT p_partkey, branch, source, explicit_branch, explicit_source, CASE WHEN p_partkey % 5 < 2 THEN 'hard' WHEN explicit_branch IN ('java_base', 'java_semantic') THEN 'single' ELSE 'hard' END AS mode FROM b"""
+
+
 QUERIES = {
+    "branch_policy": (branch_policy, BRANCH),
     "prompt_sections": (prompt_sections, "SELECT conv_id, turn, '## Role' || chr(10) || role || CASE WHEN trim(coalesce(text, '')) <> '' THEN chr(10) || chr(10) || '## Text' || chr(10) || text ELSE '' END || chr(10) || chr(10) || '## Turn' || chr(10) || turn AS prompt FROM conversations"),
     "node_reasons": (node_reasons, "SELECT p_partkey, 'type=' || p_type || CASE WHEN p_partkey % 5 <> 0 THEN '; dist=' || p_size ELSE '' END || '; overlap=' || replace(p_name, ' ', ',') AS reason FROM part"),
     "marked_lines": (marked_lines, MARKED),

@@ -147,6 +147,33 @@ SELECT conv_id, turn, 'int f() { String s = "} ' || x || '"; /* { ' || x || ' */
   WHEN 2 THEN '        void f() {' || chr(10) || '              ' || x || chr(10) || '          }' ELSE 'void f() {' || chr(10) || '      ' || x || chr(10) || '  }' END AS moved FROM t"""
 
 
+def analysed_functions(spark, d):
+    """A function around each text, whose second line is suspicious: its most suspicious nodes."""
+    text = F.regexp_replace(F.coalesce("text", F.lit("")), r"[^a-w ]", " ")
+    code = F.concat(F.lit("    def f(x):\n        y = x + 1\n        note = '"), text, F.lit("'\n        return y\n"))
+    rows = table(spark, d, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("bug"), code.alias("code"), F.lit(100).alias("start"), F.lit(101).alias("line"), F.lit("y = x + 1").alias("content"))
+    return C.analyse(rows, "bug").select("bug", "place", "line", "type", "distance", F.array_join("names", ",").alias("names"), "reason")
+
+
+ANALYSED = """SELECT conv_id || ':' || turn AS bug, CAST(v.place AS INTEGER) AS place, CAST(v.line AS INTEGER) AS line, v.type, CAST(v.distance AS INTEGER) AS distance, v.names, v.reason FROM conversations, (VALUES
+  (1, 2, 'Assign', 0, 'x,y', 'type=Assign; dist=0; overlap=x,y; hints=check mutation/copy'), (2, 1, 'Function', 1, 'x,y', 'type=Function; dist=1; overlap=x,y; hints=check signature/body'), (3, 2, 'BinOp', 0, 'x', 'type=BinOp; dist=0; overlap=x'),
+  (4, 3, 'Assign', 1, '', 'type=Assign; dist=1; hints=check mutation/copy'), (5, 4, 'Return', 2, 'y', 'type=Return; dist=2; overlap=y; hints=check return value')) v(place, line, type, distance, names, reason)"""
+
+
+def enriched_functions(spark, d):
+    """Java and Python files around each text; every third one's file isn't there."""
+    text = F.regexp_replace(F.coalesce("text", F.lit("")), r"[^A-Za-z ]", " ")
+    java = F.concat(F.lit("import a.B;\nclass K {\n  private int size = 1;\n  public int f(int a) { return a; }\n  public void g(String b) { } // "), text, F.lit("\n}"))
+    python = F.concat(F.lit("import a\nclass K:\n    size = 1  # "), text, F.lit("\n    def f(self):\n        pass\n    def g(self, b):\n        pass\n"))
+    source = F.when(F.col("turn") % 3 != 2, F.when(F.col("conv_id") % 2 == 0, java).otherwise(python))
+    rows = table(spark, d, "conversations").select("conv_id", "turn", F.concat_ws(":", "conv_id", "turn").alias("bug"), F.when(F.col("conv_id") % 2 == 0, "java").otherwise("python").alias("language"), F.lit("K::f(int)").alias("parent"), F.lit("f").alias("name"), F.lit("  final int own = 2;").alias("function"), source.alias("source"))
+    return C.enrich(rows, "bug").select("bug", *[F.array_join(c, ";").alias(c) for c in ("imports", "fields", "siblings")], "class_name", "source_available")
+
+
+ENRICHED = """SELECT conv_id || ':' || turn AS bug, CASE WHEN turn % 3 = 2 THEN '' WHEN conv_id % 2 = 0 THEN 'a.B' ELSE 'import a' END AS imports, CASE WHEN conv_id % 2 = 0 THEN CASE WHEN turn % 3 = 2 THEN 'final int own' ELSE 'private int size' END WHEN turn % 3 = 2 THEN '' ELSE 'size (class attr)' END AS fields,
+  CASE WHEN turn % 3 = 2 THEN '' WHEN conv_id % 2 = 0 THEN 'public void g(String b)' ELSE 'def g(self, b)' END AS siblings, 'K' AS class_name, turn % 3 <> 2 AS source_available FROM conversations"""
+
+
 def function_spans(spark, d):
     """A function in a file around each text: its own text, or a text of another body, which is found by its head and braces."""
     text = F.regexp_replace(F.coalesce("text", F.lit("")), r"[\"\\\n\r{}/*']", " ")
@@ -200,6 +227,8 @@ QUERIES = {
     "python_structure": (python_structure, STRUCTURE),
     "java_blocks": (java_blocks, JAVA_BLOCKS),
     "iterative_loop_stub": (iterative_loop_stub, _loop_sql()),
+    "analysed_functions": (analysed_functions, ANALYSED),
+    "enriched_functions": (enriched_functions, ENRICHED),
     "greedy_pin": (greedy_pin, PINNED),
     "python_context": (python_context, "SELECT conv_id, turn, 'from a import b as c, d' AS imports, 'limit: int (class attr);name (class attr);self.x' AS fields, 'def __init__(self, x, *rest, y, **more);def h' || turn || '(self)' AS siblings FROM conversations"),
     "function_spans": (function_spans, "SELECT conv_id, turn, CAST(CASE turn % 3 WHEN 0 THEN 3 WHEN 1 THEN 7 END AS INTEGER) AS first_line, CAST(CASE WHEN turn % 3 < 2 THEN 8 END AS INTEGER) AS last_line FROM conversations"),
