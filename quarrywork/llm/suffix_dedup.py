@@ -7,14 +7,16 @@ A byte goes if a string of LENGTH bytes that covers it also starts elsewhere.
    anchor. Equal windows have their anchors at the same place inside them, so it
    is enough to compare windows with suffixes that begin at an anchor; there is
    one to about 85 bytes. An anchor's row holds the range of windows it stands for.
-2. Anchors are range-partitioned by their leading bytes (as a hash) with
-   sampled splitters; those that occur once are done with.
-3. Of the rest, the suffix and the bytes before it are cut from the texts and
-   range-partitioned by leading bytes, then by the suffix itself, so that a very
-   common passage spreads over tasks. A task sorts its suffixes by multikey
-   quicksort, 8 bytes a symbol, and takes longest common prefixes of neighbours.
-   Windows that begin o bytes before an anchor are equal if the suffixes lie in
-   one run of common prefixes of LENGTH - o bytes, and the o bytes before are equal.
+2. Anchors are dealt by a hash of their GRAM leading bytes; those that occur
+   once are done with.
+3. Of the rest, the suffix and the bytes before it are cut from the texts.
+   Sampled splitters range-partition the suffixes by their bytes, then by those
+   before, so that buckets are ranges of the suffix order and a very common
+   passage spreads over tasks. A bucket is sorted locally by multikey quicksort,
+   8 bytes a symbol, split three ways by the symbol of each segment's middle
+   row, and longest common prefixes are taken of neighbours. Windows that begin
+   o bytes before an anchor are equal if the suffixes lie in one run of common
+   prefixes of LENGTH - o bytes, and the o bytes before are equal.
 4. Only runs that touch a task's first or last suffix can go on in another task.
    Their windows' hashes, once for each value in a task, meet in a further
    aggregation: the comparison across boundaries.
@@ -148,28 +150,31 @@ def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def multikey_order(group: np.ndarray, symbols: np.ndarray) -> np.ndarray:
-    """The order of rows by group, then by their symbols from left to right: ties alone are sorted by the next symbol."""
+    """The order of rows by group, then by their symbols from left to right.
+
+    Multikey quicksort, all segments of a round at once: each one's middle row
+    has the pivot; rows with a smaller, an equal and a larger symbol become
+    segments of their own, and the equal ones go on with the next symbol.
+    """
     order = np.argsort(group, kind="stable")
-    run = np.cumsum(np.diff(group[order], prepend=group[order[:1]]) != 0)
-    spots = np.arange(len(order))
-    for d in range(symbols.shape[1]):
-        tied = np.zeros(len(spots), bool)
-        same = run[spots][1:] == run[spots][:-1]
-        tied[1:] |= same
-        tied[:-1] |= same
-        spots = spots[tied]
-        if not len(spots):
-            break
-        rows, runs = order[spots], run[spots]
-        by = np.lexsort((symbols[rows, d], runs))
-        rows, runs = rows[by], runs[by]
-        order[spots] = rows
-        key = symbols[rows, d]
-        split = np.concatenate([[False], (runs[1:] == runs[:-1]) & (key[1:] != key[:-1])])
-        # Finer runs need numbers of their own: the place of their first row.
-        start = np.concatenate([[True], (runs[1:] != runs[:-1])]) | split
-        run[spots] = spots[np.maximum.accumulate(np.where(start, np.arange(len(spots)), 0))] + len(order)
-    return order
+    spots, depth = np.arange(len(order)), np.zeros(len(order), np.int64)
+    segment = np.cumsum(np.diff(group[order], prepend=group[order[:1]]) != 0)
+    while True:
+        begin = np.flatnonzero(np.diff(segment, prepend=-1))
+        size = np.diff(begin, append=len(segment))
+        open_ = np.repeat(size > 1, size) & (depth < symbols.shape[1])
+        if not open_.any():
+            return order
+        spots, depth, segment = spots[open_], depth[open_], segment[open_]
+        begin = np.flatnonzero(np.diff(segment, prepend=-1))
+        size = np.diff(begin, append=len(segment))
+        rows = order[spots]
+        key = symbols[rows, depth]
+        pivot = np.repeat(key[begin + size // 2], size)
+        part = np.repeat(3 * np.arange(len(begin)), size) + (key > pivot) + (key >= pivot)
+        by = np.argsort(part, kind="stable")
+        order[spots], segment = rows[by], part[by]
+        depth = depth[by] + (segment % 3 == 1)
 
 
 def _solve(rows: pd.DataFrame, top: bool, bottom: bool) -> tuple[pd.DataFrame, pd.DataFrame | None]:
@@ -225,8 +230,14 @@ def _solve(rows: pd.DataFrame, top: bool, bottom: bool) -> tuple[pd.DataFrame, p
     return spans, pd.concat(opened) if opened else None
 
 
+def _first_run(h: np.ndarray) -> int:
+    """How many values equal the first one, from there on."""
+    other = h != h[0]
+    return int(other.argmax()) if other.any() else len(h)
+
+
 def _compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows sorted by h: spans (w null), and open windows."""
+    """Rows with those of one h side by side: spans (w null), and open windows."""
 
     def out(rows: pd.DataFrame, top: bool, bottom: bool) -> Iterator[pd.DataFrame]:
         spans, opened = _solve(rows, top, bottom)
@@ -247,7 +258,7 @@ def _compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = pd.concat(held, ignore_index=True) if len(held) > 1 else held[0]
         h = rows["h"].to_numpy()
         if top and h[0] != h[-1]:  # the task's first group alone
-            cut = int(np.searchsorted(h, h[0], side="right"))
+            cut = _first_run(h)
             yield from out(rows.iloc[:cut], True, False)
             rows, h, top = rows.iloc[cut:], h[cut:], False
         if not top:
@@ -265,8 +276,8 @@ def _compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     if held and size:
         rows = pd.concat(held, ignore_index=True)
         h = rows["h"].to_numpy()
-        cut = int(np.searchsorted(h, h[0], side="right")) if top else 0
-        tail = int(np.searchsorted(h, h[-1]))
+        cut = _first_run(h) if top else 0
+        tail = len(h) - _first_run(h[::-1])
         if top and tail == 0:
             yield from out(rows, True, True)
             return
@@ -288,7 +299,8 @@ def find_repeats(docs: DataFrame, scratch: Scratch) -> DataFrame:
     chosen = by_text.join(one, "t").withColumnsRenamed({"t": "_t", "n": "_n", "doc_id": "_d"})
     texts = docs.join(chosen, (docs["t"] == chosen["_t"]) & docs["doc_id"].eqNullSafe(chosen["_d"])).select("t", "text", "found")
     cut = scratch.write(texts.mapInPandas(lean(_cut), "h bigint, suffix binary, before binary, t bigint, p bigint"), "suffixes")
-    bucketed = cut.repartitionByRange("h", "suffix", "before", "t").sortWithinPartitions("h")
+    # In the order of suffixes; inside a task the rows of one anchor, which share their first GRAM bytes, stand together.
+    bucketed = cut.repartitionByRange("suffix", "before", "t").sortWithinPartitions(F.substring("suffix", 1, GRAM))
     found = scratch.write(bucketed.mapInPandas(lean(_compare), "w bigint, n bigint, t bigint, s bigint, e bigint"), "spans")
     scratch.drop("suffixes")
     opened = found.filter("w IS NOT NULL")

@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -44,6 +45,36 @@ def test_passages_with_many_contexts(spark):
     check(spark, rows)
 
 
+@settings(max_examples=40, deadline=None)
+@given(st.integers(0, 2**32), st.integers(1, 5), st.integers(1, 60), st.integers(2, 40))
+def test_tasks_batches_and_chunks_of_any_size(seed, tasks, batch, chunk):
+    """The steps behind Spark's, with suffixes dealt to tasks by range and compared in small chunks."""
+    rng = random.Random(seed)
+    noise = lambda n: "".join(rng.choices("abcdef ", k=n))
+    shared = [noise(230) for _ in range(3)]
+    texts = [noise(rng.randint(0, 150)) + rng.choice(shared)[rng.randint(0, 20) :] + noise(rng.randint(0, 250)) + rng.choice(shared) for _ in range(25)]
+    sampled = pd.concat(S._sample(iter([pd.DataFrame({"t": range(len(texts)), "text": texts})]))).drop_duplicates()
+    found = [g[["h", "p"]].to_dict("records") for _, g in sampled.groupby("t")]
+    cut = pd.concat(S._cut(iter([pd.DataFrame({"t": sorted(sampled["t"].unique()), "text": [texts[t] for t in sorted(sampled["t"].unique())], "found": found})])))
+    rows = cut.sort_values(["suffix", "before", "t"]).reset_index(drop=True)
+    before, S.CHUNK = S.CHUNK, chunk
+    try:
+        out = []
+        for part in np.array_split(np.arange(len(rows)), tasks):
+            own = rows.iloc[part].sort_values("suffix", key=lambda c: c.map(lambda x: x[: S.GRAM]), kind="stable")
+            out += list(S._compare(iter([own.iloc[k : k + batch] for k in range(0, len(own), batch)])))
+    finally:
+        S.CHUNK = before
+    got = pd.concat(out) if out else pd.DataFrame(columns=["w", "n", "t", "s", "e"])
+    opened = got[got["w"].notna()]
+    many = opened.groupby("w")["n"].sum()
+    across = opened[(opened["n"] == 1) & opened["w"].isin(many[many > 1].index)]
+    spans = pd.concat([got[got["w"].isna()], across])
+    for t, (_, removed, runs, _) in enumerate(brute(texts)):
+        merged = S.merge(spans[spans["t"] == t][["s", "e"]].to_dict("records"))
+        assert (sum(e - s for s, e in merged), len(merged)) == (removed, runs)
+
+
 def test_text_from_kept_bytes(spark):
     unit = "".join(random.Random(1).choices("abcdef", k=200))
     df = spark.createDataFrame([(1, "head " + unit), (2, unit + " tail")], "doc_id bigint, text string")
