@@ -29,6 +29,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 
 @dataclass(frozen=True)
@@ -107,32 +108,19 @@ def _valid(roles: Column, template: Template) -> Column:
 def format_conversations(turns: DataFrame, template: Template = INSTRUCT) -> DataFrame:
     """(conv_id, formatted, loss_spans, valid): a row for each conversation."""
     loss = [name for name, r in template.roles.items() if r.loss]
-    parts = turns.select(
+    # A turn's place in its conversation is a running sum over rows, in the order in which they are joined.
+    order = W.partitionBy("conv_id").orderBy("turn", "role", "_text").rowsBetween(W.unboundedPreceding, -1)
+    named = turns.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("_text"))
+    marked = named.withColumns({"_before": _marks(F.col("role"), template, "before"), "_body": escape(F.col("_text"), template), "_after": _marks(F.col("role"), template, "after")})
+    size = F.length("_before") + F.length("_body") + F.length("_after")
+    placed = marked.withColumn("_at", F.coalesce(F.sum(size).over(order), F.lit(0)) + F.length("_before"))
+    turn = F.struct("turn", "role", "_text", F.concat("_before", "_body", "_after").alias("s"), F.col("_at").cast("int").alias("start"), F.length("_body").alias("length"))
+    talks = placed.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("t"))
+    learned = F.filter("t", lambda x: F.coalesce(x["role"].isin(*loss), F.lit(False)))
+    return talks.select(
         "conv_id",
-        F.struct("turn", "role", F.coalesce("text", F.lit("")).alias("text")).alias("t"),
-    )
-    talks = parts.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("t"))
-
-    def segments(x: Column) -> Column:
-        body = escape(x["text"], template)
-        return F.array(
-            F.struct(_marks(x["role"], template, "before").alias("s"), F.lit(False).alias("loss")),
-            F.struct(body.alias("s"), F.coalesce(x["role"].isin(*loss), F.lit(False)).alias("loss")),
-            F.struct(_marks(x["role"], template, "after").alias("s"), F.lit(False).alias("loss")),
-        )
-
-    spans_type = "array<struct<start:int,length:int>>"
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(spans_type).alias("spans"))
-
-    def walk(acc: Column, seg: Column) -> Column:
-        n = F.length(seg["s"])
-        one = F.array(F.struct(acc["at"].alias("start"), n.alias("length")))
-        return F.struct((acc["at"] + n).alias("at"), F.when(seg["loss"], F.concat(acc["spans"], one)).otherwise(acc["spans"]).alias("spans"))
-
-    return talks.withColumn("_segments", F.flatten(F.transform("t", segments))).select(
-        "conv_id",
-        F.array_join(F.transform("_segments", lambda x: x["s"]), "").alias("formatted"),
-        F.aggregate("_segments", zero, walk)["spans"].alias("loss_spans"),
+        F.array_join(F.transform("t", lambda x: x["s"]), "").alias("formatted"),
+        F.transform(learned, lambda x: F.struct(x["start"].alias("start"), x["length"].alias("length"))).alias("loss_spans"),
         _valid(F.transform("t", lambda x: x["role"]), template).alias("valid"),
     )
 
