@@ -14,7 +14,9 @@ Defined results
   rows of one hash that exceed the limit together (repeated keys, a text over
                           the limit): depth HASH_BITS, cut into pages by a salt
                           of the text; a row over half the limit has a page of
-                          its own, and only a single row can exceed the limit
+                          its own, and only a single row can exceed the limit.
+                          There are so many salts that one has about four pages
+                          of the largest hash
   empty table             no shards, no rows
   extra columns           kept; the added names are SHARD_COLUMNS
 """
@@ -34,7 +36,17 @@ HASH_BITS = 60
 SHARD_COLUMNS = ("shard", "shard_depth", "shard_bytes")
 #: A directory of more entries is joined by a shuffle.
 BROADCAST_ENTRIES = 100_000
-PAGE_SALTS = 64
+#: Salts of the largest hash: at least so many, and one for so many limits of bytes.
+LEAST_SALTS, SALT_PAGES = 64, 4
+
+
+def text_hash(text: Column) -> Column:
+    """60 bits of the MD5 of a text; null counts as empty."""
+    return F.conv(F.substring(F.md5(F.coalesce(text, F.lit(""))), 1, HASH_BITS // 4), 16, 10).cast("bigint")
+
+
+def page_salts(largest: int, limit: int) -> int:
+    return max(LEAST_SALTS, 1 << math.ceil(math.log2(max(1, largest / (SALT_PAGES * limit)))))
 
 
 def key_hash(key: Column) -> Column:
@@ -90,10 +102,11 @@ def assign_shards(docs: DataFrame, limit_bytes: int = 256 << 20, key: str = "doc
     helpers = ("_h", "_bytes", "_leaf", "_salt", "_page")
     if not over:
         return fitting.drop(*helpers)
-    one = W.partitionBy("_h", "_salt").orderBy("_bytes", F.xxhash64(F.col(text)))
+    largest = sizes.join(directory.filter(F.col("depth").isNull()), F.col("_h") == F.col("fine"), "left_semi").groupBy("_h").agg(F.sum("_bytes").alias("n")).agg(F.max("n")).first()[0]
+    one = W.partitionBy("_h", "_salt").orderBy("_bytes", text_hash(F.col(text)))
     alone = F.col("_bytes") * 2 > limit_bytes
     page = F.when(alone, F.concat(F.lit("own"), F.row_number().over(one).cast("string"))).otherwise(F.floor((F.sum("_bytes").over(one.rowsBetween(W.unboundedPreceding, 0)) - F.col("_bytes")) * 2 / limit_bytes).cast("string"))
-    paged = rows.filter(F.col("_leaf").isNull()).withColumn("_salt", F.pmod(F.xxhash64(F.col(text), F.lit(1)), F.lit(PAGE_SALTS))).withColumn("_page", page)
+    paged = rows.filter(F.col("_leaf").isNull()).withColumn("_salt", F.pmod(text_hash(F.col(text)), F.lit(page_salts(largest, limit_bytes)))).withColumn("_page", page)
     paged = paged.withColumns(
         {
             "shard": F.concat_ws("-", F.lit(str(HASH_BITS)), F.col("_h").cast("string"), F.col("_salt").cast("string"), "_page"),
@@ -122,12 +135,17 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 ORACLE = f"""
 WITH d AS (
-  SELECT doc_id, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n_bytes,
-         CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS h
+  SELECT row_number() OVER () AS rowid_, doc_id, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n_bytes,
+         CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS h, coalesce(text, '') AS x
   FROM documents),
-a AS (SELECT d.*, CAST(depth AS INTEGER) AS depth, h >> (60 - depth) AS bucket FROM d, range(0, 41) r(depth)),
+a AS (SELECT d.*, CAST(depth AS INTEGER) AS depth, h >> (60 - depth) AS bucket FROM d, range(0, 61) r(depth)),
 t AS (SELECT depth, bucket, CAST(sum(n_bytes) AS BIGINT) AS total FROM a GROUP BY ALL HAVING sum(n_bytes) <= {QUERY_LIMIT}),
-s AS (SELECT doc_id, n_bytes, h, min(depth) AS depth FROM a JOIN t USING (depth, bucket) GROUP BY ALL)
+s AS (SELECT doc_id, n_bytes, h, min(depth) AS depth FROM a JOIN t USING (depth, bucket) GROUP BY a.rowid_, doc_id, n_bytes, h),
+u AS (SELECT d.*, CAST('0x' || substr(md5(x), 1, 15) AS BIGINT) AS th, sum(n_bytes) OVER (PARTITION BY h) AS whole FROM d WHERE h NOT IN (SELECT bucket FROM t WHERE depth = 60)),
+p AS (SELECT *, th % CAST((SELECT greatest(64, pow(2, ceil(log2(greatest(1, max(whole) / {SALT_PAGES * QUERY_LIMIT}))))) FROM u) AS BIGINT) AS salt FROM u),
+o AS (SELECT *, row_number() OVER w AS k, sum(n_bytes) OVER w - n_bytes AS before FROM p WINDOW w AS (PARTITION BY h, salt ORDER BY n_bytes, th ROWS UNBOUNDED PRECEDING)),
+g AS (SELECT *, CASE WHEN n_bytes * 2 > {QUERY_LIMIT} THEN 'own' || k ELSE CAST(CAST(floor(before * 2 / {QUERY_LIMIT}) AS BIGINT) AS VARCHAR) END AS page FROM o)
 SELECT doc_id, n_bytes, s.depth || '-' || (h >> (60 - s.depth)) AS shard, s.depth AS shard_depth, total AS shard_bytes
 FROM s JOIN t ON t.depth = s.depth AND t.bucket = h >> (60 - s.depth)
+UNION ALL SELECT doc_id, n_bytes, '60-' || h || '-' || salt || '-' || page, 60, CAST(sum(n_bytes) OVER (PARTITION BY h, salt, page) AS BIGINT) FROM g
 """

@@ -3,6 +3,7 @@ from collections import defaultdict
 
 from pyspark.sql import functions as F
 
+from quarrywork.llm import sharding
 from quarrywork.llm.sharding import HASH_BITS, assign_shards
 
 
@@ -36,3 +37,20 @@ def test_repeated_keys_are_cut_into_pages(spark):
 
 def test_empty(empty):
     assert assign_shards(empty, 10).count() == 0
+
+
+def test_sql_covers_pages_and_repeated_rows(spark, docs):
+    import duckdb
+
+    more = spark.range(300).select(F.lit(9000).alias("doc_id"), F.concat(F.lit("y" * 90), F.col("id").cast("string")).alias("text"))
+    rows = docs.select("doc_id", "text").unionByName(more)
+    limit = 500
+    got = assign_shards(rows, limit).select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).alias("n"), "shard", "shard_depth", "shard_bytes").collect()
+    documents = rows.toPandas().astype({"doc_id": "Int64"})  # noqa: F841
+    sql = sharding.ORACLE.replace(str(sharding.SALT_PAGES * sharding.QUERY_LIMIT), str(sharding.SALT_PAGES * limit)).replace(str(sharding.QUERY_LIMIT), str(limit))
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, duckdb.sql(sql).fetchall()))
+    assert any(r.shard_depth == HASH_BITS for r in got)
+
+
+def test_salts_grow_with_the_largest_hash():
+    assert [sharding.page_salts(n, 1 << 20) for n in (0, 1 << 28, (1 << 28) + 1, 1 << 40)] == [64, 64, 128, 1 << 18]
