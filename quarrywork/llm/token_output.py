@@ -23,7 +23,7 @@ from __future__ import annotations
 import itertools
 import os
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -211,20 +211,20 @@ def _steps(texts: list[str]) -> Iterator[tuple[int, int]]:
         yield first, len(texts)
 
 
-def _tokenise(path: str, end_id: int, key: str, text: str):
+def _tokenise(path: str, end_id: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
         shard, seq = TaskContext.get().partitionId(), 0
         enc = _encoder(path)
         for batch in batches:
-            texts = [t if isinstance(t, str) else "" for t in batch[text]]
+            texts = [t if isinstance(t, str) else "" for t in batch["_text"]]
             for a, b in _steps(texts):
                 ids, n = enc.encode(texts[a:b], end_id)
                 raw, w = ids.tobytes(), ids.itemsize
                 cuts = np.concatenate([[0], np.cumsum(n)]) * w
                 rows = [raw[i:j] for i, j in itertools.pairwise(cuts.tolist())]
-                yield pd.DataFrame({"shard": np.int32(shard), "seq": np.arange(seq, seq + b - a), "doc_id": batch[key].array[a:b], "width": np.int32(w), "ids": rows})
+                yield pd.DataFrame({"shard": np.int32(shard), "seq": np.arange(seq, seq + b - a), "doc_id": batch["_key"].array[a:b], "known": batch["_known"].array[a:b], "width": np.int32(w), "ids": rows})
                 seq += b - a
 
     return run
@@ -244,9 +244,7 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame({"id": seen.astype(np.int64), "n": total[seen].astype(np.int64)})
 
 
-def _block(freqs: bytes, whole: Callable):
-    """whole makes a key of a doc_id of the token table."""
-
+def _block(freqs: bytes):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table = rans.Table(np.frombuffer(freqs, "<u4"))
         held: list[tuple] = []
@@ -258,7 +256,7 @@ def _block(freqs: bytes, whole: Callable):
                     "shard": [np.int32(held[0][0])],
                     "seq": [held[0][1]],
                     "n_tokens": [len(ids)],
-                    "doc_ids": [[None if pd.isna(x[2]) else whole(x[2]) for x in held]],
+                    "doc_ids": [[x[2] if x[4] else None for x in held]],
                     "lengths": [[len(x[3]) for x in held]],
                     "block": [rans.encode(ids, table)],
                 }
@@ -266,11 +264,11 @@ def _block(freqs: bytes, whole: Callable):
 
         n = 0
         for b in batches:
-            for shard, seq, doc, width, ids in zip(b["shard"], b["seq"], b["doc_id"], b["width"], b["ids"], strict=True):
+            for shard, seq, doc, known, width, ids in zip(b["shard"], b["seq"], b["doc_id"].tolist(), b["known"].tolist(), b["width"], b["ids"], strict=True):
                 if held and (n >= BLOCK_TOKENS or (shard, seq) != (held[-1][0], held[-1][1] + 1)):
                     yield flush()
                     held, n = [], 0
-                held.append((shard, seq, doc, _ids(ids, width)))
+                held.append((shard, seq, doc, _ids(ids, width), known))
                 n += len(held[-1][3])
         if held:
             yield flush()
@@ -284,10 +282,10 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
     scratch = Scratch(spark, "tokens")
     kind, integral = docs.schema[key].dataType.simpleString(), isinstance(docs.schema[key].dataType, IntegralType)
     ordered = docs.select(key, text).repartitionByRange(F.col(key).asc_nulls_first()).sortWithinPartitions(F.col(key).asc_nulls_first(), F.col(text).asc_nulls_first())
-    # Whole numbers travel as text: beside nulls, pandas would make them floats.
-    ordered = ordered.withColumn(key, F.col(key).cast("string")) if integral else ordered
-    tokens = scratch.write(ordered.mapInPandas(lean(_tokenise(tokenizer_path, end_id, key, text)), f"shard int, seq bigint, doc_id {'string' if integral else kind}, width int, ids binary"), "ids", group_mb=32)
-    whole = int if integral else (lambda x: x)
+    # Nulls travel as a flag: beside them, pandas would make whole numbers floats.
+    filled = F.coalesce(F.col(key), F.lit(0).cast(kind)) if integral else F.col(key)
+    named = ordered.select(filled.alias("_key"), F.col(key).isNotNull().alias("_known"), F.col(text).alias("_text"))
+    tokens = scratch.write(named.mapInPandas(lean(_tokenise(tokenizer_path, end_id)), f"shard int, seq bigint, doc_id {kind}, known boolean, width int, ids binary"), "ids", group_mb=32)
     counted = tokens.select("width", "ids").mapInPandas(lean(_count), "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
     found = counted.collect()  # at most a row for each id of the vocabulary
     counts = np.zeros(max([0, *(r.id + 1 for r in found)]), np.int64)
@@ -295,7 +293,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
         counts[r.id] = r.n
     freqs = rans.quantise(counts).astype("<u4").tobytes()
     spark.createDataFrame([(bytearray(freqs),)], "freqs binary").coalesce(1).write.mode("overwrite").parquet(f"{path}/table")
-    blocks = tokens.mapInPandas(lean(_block(freqs, whole)), f"shard int, seq bigint, n_tokens bigint, doc_ids array<{kind}>, lengths array<int>, block binary")
+    blocks = tokens.mapInPandas(lean(_block(freqs)), f"shard int, seq bigint, n_tokens bigint, doc_ids array<{kind}>, lengths array<int>, block binary")
     blocks.write.mode("overwrite").option("compression", "none").option("parquet.block.size", str(16 << 20)).parquet(f"{path}/blocks")
     scratch.drop()
 
@@ -304,10 +302,10 @@ def _read(freqs: bytes):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table = rans.Table(np.frombuffer(freqs, "<u4"))
         for b in batches:
-            for shard, seq, docs, lengths, block in zip(b["shard"], b["seq"], b["doc_ids"], b["lengths"], b["block"], strict=True):
+            for shard, seq, docs, known, lengths, block in zip(b["shard"], b["seq"], b["doc_ids"], b["known"], b["lengths"], b["block"], strict=True):
                 raw = rans.decode(block, table).astype("<u4").tobytes()
                 ends = np.cumsum(lengths)
-                yield pd.DataFrame({"shard": np.int32(shard), "seq": seq, "doc_id": pd.array(docs, dtype="object"), "at": ends - lengths, "ids": [raw[4 * (e - n) : 4 * e] for e, n in zip(ends.tolist(), lengths, strict=True)]})
+                yield pd.DataFrame({"shard": np.int32(shard), "seq": seq, "doc_id": docs if isinstance(docs, np.ndarray) else pd.array(docs, dtype="object"), "known": known, "at": ends - lengths, "ids": [raw[4 * (e - n) : 4 * e] for e, n in zip(ends.tolist(), lengths, strict=True)]})
 
     return run
 
@@ -317,17 +315,18 @@ def read_tokens(spark: SparkSession, path: str, digest: bool = False) -> DataFra
     freqs = bytes(spark.read.parquet(f"{path}/table").first().freqs)
     blocks = spark.read.parquet(f"{path}/blocks")
     key = blocks.schema["doc_ids"].dataType.elementType
-    kind = "string" if isinstance(key, IntegralType) else key.simpleString()  # whole numbers as text, see write_tokens
+    kind = key.simpleString()
     sizes = blocks.select("shard", "seq", "n_tokens")
     shards = sizes.groupBy("shard").agg(F.sum("n_tokens").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     within = F.coalesce(F.sum("n_tokens").over(W.partitionBy("shard").orderBy("seq").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     offsets = sizes.withColumn("within", within).join(shards.select("shard", "before"), "shard").select("shard", "seq", (F.col("before") + F.col("within")).alias("base"))
-    coded = blocks.withColumn("doc_ids", F.col("doc_ids").cast(f"array<{kind}>"))
+    filled = (lambda x: F.coalesce(x, F.lit(0).cast(kind))) if isinstance(key, IntegralType) else (lambda x: x)  # see write_tokens
+    coded = blocks.withColumns({"known": F.transform("doc_ids", lambda x: x.isNotNull()), "doc_ids": F.transform("doc_ids", filled)})
     if digest:
-        docs = coded.mapInPandas(lean(_digest(freqs)), f"shard int, seq bigint, doc_id {kind}, at bigint, n_tokens bigint, ids_crc32 bigint")
+        docs = coded.mapInPandas(lean(_digest(freqs)), f"shard int, seq bigint, doc_id {kind}, known boolean, at bigint, n_tokens bigint, ids_crc32 bigint")
     else:
-        docs = coded.mapInPandas(lean(_read(freqs)), f"shard int, seq bigint, doc_id {kind}, at bigint, ids binary").withColumn("n_tokens", (F.octet_length("ids") / 4).cast("bigint"))
-    return docs.join(offsets, ["shard", "seq"]).select(F.col("doc_id").cast(key).alias("doc_id"), (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32" if digest else "ids")
+        docs = coded.mapInPandas(lean(_read(freqs)), f"shard int, seq bigint, doc_id {kind}, known boolean, at bigint, ids binary").withColumn("n_tokens", (F.octet_length("ids") / 4).cast("bigint"))
+    return docs.join(offsets, ["shard", "seq"]).select(F.when(F.col("known"), F.col("doc_id")).alias("doc_id"), (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32" if digest else "ids")
 
 
 def _digest(freqs: bytes):
