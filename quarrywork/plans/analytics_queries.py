@@ -249,7 +249,8 @@ QUERIES = {
     "iteration_quality_counts": (iteration_quality_counts, "WITH m AS (SELECT *, trim(coalesce(text, '')) = '' AS e, doc_id <> min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS dup FROM documents) SELECT source, count(*) FILTER (e) AS empty_n, count(*) FILTER (NOT e AND dup) AS duplicate_n, count(*) FILTER (NOT e AND NOT dup) AS valid_n FROM m GROUP BY source"),
     "drop_reason_topn": (drop_reason_topn, "WITH c AS (SELECT event_type, count(*) AS n FROM events GROUP BY 1), r AS (SELECT *, CAST(row_number() OVER (ORDER BY n DESC, event_type) AS INTEGER) AS rank FROM c) SELECT * FROM r WHERE rank <= 3"),
     "resume_remaining": (resume_remaining, RUNS + " SELECT user_id, event_id FROM runs WHERE user_id NOT IN (SELECT user_id FROM runs WHERE event_type = 'purchase' AND k > 90)"),
-    "value_counts_manifest": (value_counts_manifest, None),
+    "value_counts_manifest": (value_counts_manifest, """WITH c AS (SELECT coalesce(nullif(trim(lang), ''), 'unknown') AS v, count(*) AS n FROM documents GROUP BY 1)
+SELECT '[' || string_agg('{"column":"lang","value":"' || v || '","count":' || n || '}', ',' ORDER BY v) || ']' AS counts, (SELECT count(*) FROM documents) AS n_rows, 'retrieval' AS stage FROM c"""),
     "single_or_mixed": (single_or_mixed, "SELECT source, CASE count(DISTINCT nullif(trim(lang), '')) WHEN 0 THEN 'unknown' WHEN 1 THEN max(nullif(trim(lang), '')) ELSE 'mixed' END AS lang FROM documents GROUP BY source"),
     "counter_map_merge": (counter_map_merge, RUNS + " SELECT event_type AS key, CAST(sum(k) AS BIGINT) AS n FROM runs GROUP BY 1"),
     "key_collision_union": (key_collision_union, "WITH u AS (SELECT CAST(p_partkey AS VARCHAR) AS p_partkey, p_name, 0 AS source_no FROM part UNION ALL SELECT CAST(p_partkey AS VARCHAR), p_name, 1 FROM part WHERE p_partkey % 3 = 0 UNION ALL SELECT CAST(p_partkey AS VARCHAR), p_name, 2 FROM part WHERE p_partkey % 9 = 0), n AS (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY source_no) - 1 AS k FROM u) SELECT CASE WHEN k > 0 THEN p_partkey || '#' || k ELSE p_partkey END AS p_partkey, p_name, source_no FROM n"),
