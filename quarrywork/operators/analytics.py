@@ -59,3 +59,34 @@ def value_counts(rows: DataFrame, value: str) -> DataFrame:
 def merge_counters(rows: DataFrame, counters: str) -> DataFrame:
     """(key, n): sums of map values by key."""
     return rows.select(F.explode(counters).alias("key", "v")).groupBy("key").agg(F.sum("v").alias("n"))
+
+
+def project_runs(meta: DataFrame, outcomes: DataFrame, key: str, project: str, runs: list[str]) -> DataFrame:
+    """(project, total and each run's valid_n, solved_n, rate): all items of meta, with each run's own denominators; projects valid in no run are left out.
+
+    outcomes: (key, run, valid, solved), a row for each item and run, or none.
+    """
+    per = outcomes.groupBy(key).pivot("run", runs).agg(F.max(F.col("valid").cast("int")).alias("valid"), F.max((F.col("valid") & F.col("solved")).cast("int")).alias("solved"))
+    per = per.withColumnsRenamed({f"{r}_valid": f"_v{k}" for k, r in enumerate(runs)} | {f"{r}_solved": f"_s{k}" for k, r in enumerate(runs)})
+    joined = meta.select(key, F.col(project).alias("project")).join(per, key, "left")
+    count = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    columns = [x for k, r in enumerate(runs) for x in (count(f"_v{k}").alias(f"{r}_valid_n"), count(f"_s{k}").alias(f"{r}_solved_n"), F.round(rate(count(f"_s{k}"), count(f"_v{k}")), 4).alias(f"{r}_rate"))]
+    out = joined.groupBy("project").agg(F.count("*").alias("total"), *columns)
+    return out.filter(F.greatest(*[F.col(f"{r}_valid_n") for r in runs]) > 0) if len(runs) > 1 else out.filter(F.col(f"{runs[0]}_valid_n") > 0)
+
+
+def shared_denominator(rows: DataFrame, project: str, strategy: str, solved: str, reference: str, names: list[str]) -> DataFrame:
+    """(project, total and each strategy's solved_n and rate): every rate over the reference strategy's items."""
+    of = lambda name: F.count_if((F.col(strategy) == name) & F.coalesce(F.col(solved), F.lit(False)))
+    total = F.count_if(F.col(strategy) == reference)
+    each = [x for n in names for x in (of(n).alias(f"{n}_n"), F.round(rate(of(n), total), 4).alias(f"{n}_rate"))]
+    return rows.groupBy(F.col(project).alias("project")).agg(total.alias("total"), *each).filter("total > 0")
+
+
+def paired(a: DataFrame, b: DataFrame, key: str, outcome: str) -> DataFrame:
+    """(key, a, b): both runs' outcomes of a's items; raises if b lacks one."""
+    out = a.select(key, F.col(outcome).alias("a")).join(b.select(key, F.col(outcome).alias("b")), key, "inner")
+    missing = a.select(key).join(b.select(key), key, "left_anti").count()
+    if missing:
+        raise KeyError(f"{missing} items have no outcome in the second run")
+    return out

@@ -80,8 +80,32 @@ def project_breakdown(spark, d):
 
 
 def project_pivot_multi(spark, d):
-    out = projects(spark, d).groupBy(F.col("n_name").alias("project")).pivot("o_orderstatus", ["F", "O", "P"]).agg(F.count(F.lit(1)).alias("valid_n"), F.count_if(F.col("o_totalprice") > 200000).alias("solved_n"))
-    return out.select("project", *[F.coalesce(F.col(f"{s}_{c}"), F.lit(0)).alias(f"{s.lower()}_{c}") for s in "FOP" for c in ("valid_n", "solved_n")])
+    """Customers as items of their nation, orders of a status as the outcomes of a run."""
+    meta = table(spark, d, "customer").join(F.broadcast(table(spark, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey")).filter("n_nationkey % 5 != 1 OR c_custkey % 2 = 0")
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"), F.lower("o_orderstatus").alias("run"), (F.col("o_orderkey") % 7 != 0).alias("valid"), (F.col("o_totalprice") > 200000).alias("solved"))
+    return analytics.project_runs(meta, o, "c_custkey", "n_name", ["f", "o", "p"])
+
+
+PIVOT = """WITH m AS (SELECT c_custkey, n_name AS project FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_nationkey % 5 <> 1 OR c_custkey % 2 = 0),
+x AS (SELECT o_custkey AS c_custkey, lower(o_orderstatus) AS run, CAST(bool_or(o_orderkey % 7 <> 0) AS INTEGER) AS v, CAST(bool_or(o_orderkey % 7 <> 0 AND o_totalprice > 200000) AS INTEGER) AS s FROM orders GROUP BY ALL),
+g AS (SELECT project, count(DISTINCT m.c_custkey) AS total, """ + ", ".join(f"CAST(coalesce(sum(v) FILTER (run = '{r}'), 0) AS BIGINT) AS {r}_valid_n, CAST(coalesce(sum(s) FILTER (run = '{r}'), 0) AS BIGINT) AS {r}_solved_n" for r in "fop") + """ FROM m LEFT JOIN x USING (c_custkey) GROUP BY project)
+SELECT *, """ + ", ".join(f"round({r}_solved_n / greatest({r}_valid_n, 1), 4) AS {r}_rate" for r in "fop") + """ FROM g WHERE greatest(f_valid_n, o_valid_n, p_valid_n) > 0"""
+
+
+def project_strategy_pivot(spark, d):
+    """Event types as projects: each strategy's solved runs over the runs of one."""
+    return analytics.shared_denominator(runs(spark, d), "event_type", "strategy", "solved", "error_aware", list(STRATEGY_NAMES))
+
+
+SHARED = RUNS + """, g AS (SELECT event_type AS project, count(*) FILTER (strategy = 'error_aware') AS total, """ + ", ".join(f"count(*) FILTER (strategy = '{n}' AND solved) AS {n}_n" for n in STRATEGY_NAMES) + """ FROM runs GROUP BY 1)
+SELECT *, """ + ", ".join(f"round({n}_n / greatest(total, 1), 4) AS {n}_rate" for n in STRATEGY_NAMES) + """ FROM g WHERE total > 0"""
+
+
+def paired_outcomes(spark, d):
+    """Users' outcomes under two strategies, counted by pair."""
+    sets = _solved_sets(spark, d)
+    both = analytics.paired(sets.select("user_id", F.col("error_aware").alias("x")), sets.select("user_id", F.col("one_shot").alias("x")), "user_id", "x")
+    return both.groupBy("a", "b").agg(F.count("*").alias("n"))
 
 
 def _solved_sets(spark, d) -> DataFrame:
@@ -181,11 +205,17 @@ def stagnation_rows(spark, d):
 
 
 def iteration_quality_counts(spark, d):
+    """A source's first document is its base: texts that are empty, equal the base, came before, or are new."""
     docs = table(spark, d, "documents").withColumn("h", F.sha1(F.coalesce("text", F.lit("")).cast("binary")))
-    firsts = docs.groupBy("h").agg(F.min("doc_id").alias("first_id"))
-    marked = docs.join(firsts, "h")
+    firsts, bases = docs.groupBy("h").agg(F.min("doc_id").alias("first_id")), docs.groupBy("source").agg(F.min_by("h", "doc_id").alias("base"), F.min("doc_id").alias("base_id"))
+    marked = docs.join(firsts, "h").join(F.broadcast(bases), "source")
     empty, dup = F.trim(F.coalesce("text", F.lit(""))) == "", F.col("doc_id") != F.col("first_id")
-    return marked.groupBy("source").agg(F.count_if(empty).alias("empty_n"), F.count_if(~empty & dup).alias("duplicate_n"), F.count_if(~empty & ~dup).alias("valid_n"))
+    same = (F.col("h") == F.col("base")) & (F.col("doc_id") != F.col("base_id"))
+    return marked.groupBy("source").agg(F.count_if(empty).alias("empty_n"), F.count_if(~empty & same).alias("equals_base_n"), F.count_if(~empty & ~same & dup).alias("duplicate_n"), F.count_if(~empty & ~same & ~dup).alias("valid_n"))
+
+
+QUALITY = """WITH m AS (SELECT *, trim(coalesce(text, '')) = '' AS e, doc_id <> min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS dup, first_value(coalesce(text, '')) OVER (PARTITION BY source ORDER BY doc_id) = coalesce(text, '') AND doc_id <> min(doc_id) OVER (PARTITION BY source) AS b FROM documents)
+SELECT source, count(*) FILTER (e) AS empty_n, count(*) FILTER (NOT e AND b) AS equals_base_n, count(*) FILTER (NOT e AND NOT b AND dup) AS duplicate_n, count(*) FILTER (NOT e AND NOT b AND NOT dup) AS valid_n FROM m WHERE source IS NOT NULL GROUP BY source"""
 
 
 def drop_reason_topn(spark, d):
@@ -234,7 +264,9 @@ QUERIES = {
     "error_family_recovery": (error_family_recovery, NUMBERED + " SELECT family, count(*) AS total, count(*) FILTER (solving_iteration > 1) AS recovered, round(count(*) FILTER (solving_iteration > 1) / count(*), 6) AS recovery_rate FROM bugs GROUP BY family"),
     "failure_category_breakdown": (failure_category_breakdown, NUMBERED + ", c AS (SELECT CASE WHEN solving_iteration = 1 THEN 'solved_first' ELSE 'fail:' || family END AS category, solving_iteration FROM bugs) SELECT coalesce(category, 'total') AS category, count(*) AS total, count(solving_iteration) AS solved_n FROM c GROUP BY ROLLUP (category)"),
     "project_breakdown": (project_breakdown, "SELECT n_name AS project, count(*) AS total, count(*) FILTER (o_orderstatus = 'F') AS solved_n, round(count(*) FILTER (o_orderstatus = 'F') / count(*), 6) AS solve_rate FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name"),
-    "project_pivot_multi": (project_pivot_multi, "SELECT n_name AS project, " + ", ".join(f"count(*) FILTER (o_orderstatus = '{s}') AS {s.lower()}_valid_n, count(*) FILTER (o_orderstatus = '{s}' AND o_totalprice > 200000) AS {s.lower()}_solved_n" for s in "FOP") + " FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name"),
+    "project_pivot_multi": (project_pivot_multi, PIVOT),
+    "project_strategy_pivot": (project_strategy_pivot, SHARED),
+    "paired_outcomes": (paired_outcomes, SETS + " SELECT error_aware AS a, one_shot AS b, count(*) AS n FROM sets GROUP BY ALL"),
     "only_target_solved": (only_target_solved, SETS + " SELECT user_id FROM sets WHERE error_aware AND NOT one_shot AND NOT blind_retry"),
     "solved_union": (solved_union, SETS + " SELECT user_id FROM sets WHERE one_shot OR blind_retry"),
     "solved_intersect": (solved_intersect, SETS + " SELECT user_id FROM sets WHERE error_aware AND blind_retry"),
@@ -246,7 +278,7 @@ QUERIES = {
     "cross_seed_consistency": (cross_seed_consistency, RUNS + ", p AS (SELECT strategy, user_id // 2 AS bug, max(CAST(user_id % 2 = 0 AS INTEGER)) AS s0, max(CAST(user_id % 2 = 1 AS INTEGER)) AS s1 FROM runs WHERE solved GROUP BY ALL) SELECT strategy, CAST(sum(s0 * s1) AS BIGINT) AS both_seeds, CAST(sum(s0) AS BIGINT) AS seed0, CAST(sum(s1) AS BIGINT) AS seed1, round((sum(s0) + sum(s1)) / 2, 6) AS mean_n, round(abs(sum(s0) - sum(s1)) / 2, 6) AS half_range FROM p GROUP BY strategy"),
     "mean_solving_iteration": (mean_solving_iteration, NUMBERED + " SELECT round(avg(solving_iteration), 6) AS mean_iteration, count(solving_iteration) AS solved_n FROM bugs"),
     "stagnation_rows": (stagnation_rows, "SELECT conv_id, turn, coalesce(role <> '' AND role = lag(role) OVER (PARTITION BY conv_id ORDER BY turn), false) AS stagnant FROM conversations"),
-    "iteration_quality_counts": (iteration_quality_counts, "WITH m AS (SELECT *, trim(coalesce(text, '')) = '' AS e, doc_id <> min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS dup FROM documents) SELECT source, count(*) FILTER (e) AS empty_n, count(*) FILTER (NOT e AND dup) AS duplicate_n, count(*) FILTER (NOT e AND NOT dup) AS valid_n FROM m GROUP BY source"),
+    "iteration_quality_counts": (iteration_quality_counts, QUALITY),
     "drop_reason_topn": (drop_reason_topn, "WITH c AS (SELECT event_type, count(*) AS n FROM events GROUP BY 1), r AS (SELECT *, CAST(row_number() OVER (ORDER BY n DESC, event_type) AS INTEGER) AS rank FROM c) SELECT * FROM r WHERE rank <= 3"),
     "resume_remaining": (resume_remaining, RUNS + " SELECT user_id, event_id FROM runs WHERE user_id NOT IN (SELECT user_id FROM runs WHERE event_type = 'purchase' AND k > 90)"),
     "value_counts_manifest": (value_counts_manifest, """WITH c AS (SELECT coalesce(nullif(trim(lang), ''), 'unknown') AS v, count(*) AS n FROM documents GROUP BY 1)
