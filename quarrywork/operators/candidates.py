@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
+from quarrywork.functions.inference import JAVA_DECLARATION
 from quarrywork.functions.text import canonical, let, lines, normalized_hash, strip
 from quarrywork.operators import diffs
+from quarrywork.operators.code import balanced_end
 
 # The line behind which a response's code stands, and the least length of code.
 MARKER, LEAST_CHARS = "##correct", 30
@@ -143,9 +145,45 @@ def length_ratio(base: Column, code: Column) -> Column:
 
 
 def model_artifact(code: Column) -> Column:
-    """Whether a text tells of its own making: a fence, a remark on what was changed, a place left out."""
+    """Whether a text isn't code alone: it begins with a language's name, or has a fence, a response's marker, or a place left out."""
     t = F.coalesce(code, F.lit(""))
-    return F.contains(t, F.lit("```")) | t.rlike(ARTIFACT_TEXT) | t.rlike(TRUNCATED)
+    return t.rlike(r"(?i)\A\s*(?:java|python)[ \t]*(?:\r?\n|\z)") | F.contains(t, F.lit("```")) | t.rlike(rf"(?im)^[ \t]*{MARKER}\b") | t.rlike(TRUNCATED)
+
+
+def plain_lines(code: Column, java: bool = True) -> Column:
+    """Code without a language's name before it and without comments that tell of a change."""
+    named = F.regexp_replace(F.coalesce(code, F.lit("")), r"(?i)\A(?:\s*(?:java|python)[ \t]*\r?\n)+", "")
+    hint = ARTIFACT_HINT.removeprefix("(?i)")
+    opening, trailing = (r"(?://+|\*+|/\*+)", r"\s*//\s*(?:<---\s*buggy line|corrected\b.*|fixed(?:\s+line)?\b.*|patched(?:\s+line)?\b.*)$") if java else ("#", r"\s*#\s*(?:<---\s*buggy line|corrected\b.*|fixed(?:\s+line)?\b.*|patched(?:\s+line)?\b.*)$")
+    kept = F.filter(lines(named), lambda x: ~x.rlike(rf"(?i)^\s*{opening}.*(?:{hint})"))
+    return strip(F.array_join(F.transform(kept, lambda x: F.regexp_replace(F.regexp_replace(x, f"(?i){trailing}", ""), r"\s+\z", "")), "\n"))
+
+
+_HEAD = re.compile(JAVA_DECLARATION)
+_OWN_NAME = re.compile(r"\b(?:class|interface|enum|record)\s+([A-Za-z_]\w*)|([A-Za-z_]\w*)\s*\(")
+
+
+def choose_declaration(text: str, name: str, base: str = "") -> str | None:
+    """Of a text's Java declarations with balanced braces the first of that name, or else the first; a lone one of another name gets the header of base, if there is one. None without a declaration."""
+    found, done = [], 0
+    for m in _HEAD.finditer(text):
+        end = balanced_end(text, m.start()) if m.start() >= done else None
+        if end:
+            found.append(text[m.start() : end].strip())
+            done = end
+    if not found:
+        return None
+    own = lambda block: next((x or y for x, y in _OWN_NAME.findall(block[: block.index("{") + 1])), "")
+    best = next((b for b in found if own(b) == name), found[0])
+    if len(found) == 1 and name and own(best) != name and "{" in base:
+        body = best[best.index("{") + 1 : -1].strip("\n")
+        return f"{base[: base.index('{')].strip()} {{\n{body}\n}}"
+    return best
+
+
+@F.pandas_udf(T.StringType())
+def chosen_declaration(text: pd.Series, name: pd.Series, base: pd.Series) -> pd.Series:
+    return pd.Series([None if t is None else choose_declaration(t, n or "", b or "") for t, n, b in zip(text, name, base, strict=True)], dtype=object)
 
 
 def heuristic_score(code: Column, base: Column, line: Column, name: Column, own_name: Column, parses: Column, context: Column | None = None) -> Column:
@@ -175,18 +213,23 @@ def heuristic_score(code: Column, base: Column, line: Column, name: Column, own_
     return F.when(F.trim(code) == "", -1000).when(~parses, -500).otherwise(score).cast("int")
 
 
-def candidate_problem(code: Column, base: Column, name: Column, own_name: Column) -> Column:
-    """The first rule that a candidate breaks: no code, the base but for comments and white space, no declaration, another name, an artifact or a letter outside of ASCII that the base lacks; null for a viable one."""
-    new_text = lambda test: test(code) & ~test(base)
-    return (
+def introduced(code: Column, base: Column) -> Column:
+    """The lines that turn base into code, without literals."""
+    return F.regexp_replace(diffs.added_text(base, code), r'"(?:\\.|[^"\\])*"|\'(?:\\.|[^\'\\])*\'', '""')
+
+
+def candidate_problem(code: Column, base: Column, name: Column, own_name: Column, java: bool = True) -> Column:
+    """The first rule that a candidate breaks: no code, the base but for comments and white space, no declaration, another name; for Java, new lines that tell of a change, leave a place out, or hold a letter outside of ASCII or a diamond. Null for a viable one."""
+    first = (
         F.when(strip(code) == "", "empty_code")
         .when(canonical(code) == canonical(base), "no_change")
         .when(F.coalesce(own_name, F.lit("")) == "", "no_def_or_class")
         .when((F.coalesce(name, F.lit("")) != "") & (own_name != name), "name_mismatch")
-        .when(new_text(model_artifact), "introduced_model_artifact")
-        .when(new_text(lambda x: F.coalesce(x, F.lit("")).rlike(r"[^\x00-\x7F]")), "introduced_non_ascii")
-        .when(new_text(lambda x: F.contains(F.coalesce(x, F.lit("")), F.lit("<>"))), "introduced_java_incompatible_syntax")
     )
+    if not java:
+        return first
+    new = lambda x: F.when(x.rlike(ARTIFACT_TEXT) | x.rlike(ARTIFACT_HINT) | x.rlike(TRUNCATED), "introduced_model_artifact").when(x.rlike(r"[^\x00-\x7F]"), "introduced_non_ascii").when(F.contains(x, F.lit("<>")), "introduced_java_incompatible_syntax")
+    return F.coalesce(first, let(introduced(code, base), new))
 
 
 def drop_counts(rows: DataFrame, by: str, reason: str) -> DataFrame:

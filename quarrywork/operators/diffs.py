@@ -41,6 +41,16 @@ def edits(base: pd.Series, new: pd.Series) -> pd.Series:
     return pd.Series([line_edits(x, y) for x, y in zip(base, new, strict=True)])
 
 
+@F.pandas_udf(T.StringType())
+def _added(base: pd.Series, new: pd.Series) -> pd.Series:
+    return pd.Series(["\n".join(e["text"] for e in line_edits(x, y) if e["text"]) for x, y in zip(base, new, strict=True)], dtype=object)
+
+
+#: The lines that turn base into new, stripped by edit. Marked so that filters on what follows from it stay behind it: the
+#: optimizer would put the matcher, with all that its inputs are made of, into each of them.
+added_text = _added.asNondeterministic()
+
+
 @F.pandas_udf(T.DoubleType())
 def change_fraction(base: pd.Series, new: pd.Series) -> pd.Series:
     return pd.Series([_changed(x, y) for x, y in zip(base, new, strict=True)])

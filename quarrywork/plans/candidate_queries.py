@@ -96,7 +96,7 @@ def _candidate() -> tuple:
     k = F.col("turn") % 7
     code = (
         F.when(k == 0, F.replace(base, F.lit("x + 1"), F.lit("x - 1"))).when(k == 1, F.concat(base, F.lit("  # same")))
-        .when(k == 2, F.replace(base, F.lit("x + 1"), F.lit("'é'"))).when(k == 3, F.replace(base, F.lit("x + 1"), F.lit("a<>b")))
+        .when(k == 2, F.replace(base, F.lit("x + 1"), F.lit("é + 'é'"))).when(k == 3, F.replace(base, F.lit("x + 1"), F.lit("a<>b")))
         .when(k == 4, F.lit("   ")).when(k == 5, F.replace(base, F.lit("x + 1"), F.concat(F.lit("1 # this is the Corrected version of "), text))).otherwise(F.replace(base, F.lit("x + 1"), text))
     )
     return code, base, F.when(F.col("conv_id") % 5 == 0, "g").when(F.col("conv_id") % 5 == 1, "").otherwise("f")
@@ -110,12 +110,10 @@ def candidate_problems(spark, d):
 
 
 PROBLEMS = r"""WITH t AS (SELECT role, turn % 7 AS k, conv_id % 5 AS c, regexp_replace(coalesce(text, ''), '[^A-Za-z0-9é ]', ' ', 'g') AS x FROM conversations),
-b AS (SELECT *, 'def f(x):  # ' || substr(x, 1, 20) || chr(10) || '    y = x + 1' || chr(10) || '    z = y * 2' || chr(10) || '    return z' AS base FROM t),
-m AS (SELECT *, CASE k WHEN 0 THEN replace(base, 'x + 1', 'x - 1') WHEN 1 THEN base || '  # same' WHEN 2 THEN replace(base, 'x + 1', chr(39) || 'é' || chr(39)) WHEN 3 THEN replace(base, 'x + 1', 'a<>b') WHEN 4 THEN '   ' WHEN 5 THEN replace(base, 'x + 1', '1 # this is the Corrected version of ' || x) ELSE replace(base, 'x + 1', x) END AS code FROM b),
-n AS (SELECT *, trim(regexp_replace(regexp_replace(code, '#[^\n]*', '', 'g'), '[ \t\n\x0B\f\r]+', ' ', 'g')) = trim(regexp_replace(regexp_replace(base, '#[^\n]*', '', 'g'), '[ \t\n\x0B\f\r]+', ' ', 'g')) AS same,
-  regexp_matches(code, '(?i)this is the corrected version|changed line|replace if|buggy line|rest of the code|rest of the function|rest of the method|todo\b|omitted for brevity') AND NOT regexp_matches(base, '(?i)this is the corrected version|changed line|replace if|buggy line|rest of the code|rest of the function|rest of the method|todo\b|omitted for brevity') AS artifact FROM m),
-r AS (SELECT role, CASE WHEN trim(code) = '' THEN 'empty_code' WHEN same THEN 'no_change' WHEN c = 1 THEN 'no_def_or_class' WHEN c = 0 THEN 'name_mismatch' WHEN artifact THEN 'introduced_model_artifact'
-  WHEN regexp_matches(code, '[^\x00-\x7F]') AND NOT regexp_matches(base, '[^\x00-\x7F]') THEN 'introduced_non_ascii' WHEN contains(code, '<>') THEN 'introduced_java_incompatible_syntax' END AS reason FROM n)
+n AS (SELECT *, 'y = ' || CASE k WHEN 2 THEN 'é + ""' WHEN 3 THEN 'a<>b' WHEN 5 THEN '1 # this is the Corrected version of ' || x WHEN 6 THEN x ELSE 'x - 1' END AS new FROM t),
+r AS (SELECT role, CASE WHEN k = 4 THEN 'empty_code' WHEN k = 1 THEN 'no_change' WHEN c = 1 THEN 'no_def_or_class' WHEN c = 0 THEN 'name_mismatch'
+  WHEN regexp_matches(new, '(?i)this is the corrected version|changed line|replace if|buggy line|rest of the code|rest of the function|rest of the method|todo\b|omitted for brevity|corrected\b|fixed(\s+line)?\b|patched(\s+line)?\b') THEN 'introduced_model_artifact'
+  WHEN regexp_matches(new, '[^\x00-\x7F]') THEN 'introduced_non_ascii' WHEN contains(new, '<>') THEN 'introduced_java_incompatible_syntax' END AS reason FROM n)
 SELECT role, reason, count(*) AS n FROM r WHERE reason IS NOT NULL GROUP BY ALL"""
 
 
@@ -148,7 +146,21 @@ def admission_pipeline(spark, d):
 
 
 ADMISSION = """WITH r AS (SELECT conv_id, turn, turn % 5 AS k, turn % 2 AS p, row_number() OVER (PARTITION BY conv_id, turn % 5 IN (1, 4), turn % 2 ORDER BY turn) AS n FROM conversations)
-SELECT conv_id, turn, CASE WHEN k = 0 THEN 'extraction_failed_empty' WHEN k = 3 THEN 'extraction_failed_model_artifact' WHEN k = 2 THEN 'name_mismatch' WHEN n > 1 THEN 'duplicate' WHEN turn % 3 = 0 THEN 'plan_violation' ELSE 'kept' END AS reason FROM r"""
+SELECT conv_id, turn, CASE WHEN k = 0 THEN 'extraction_failed_empty' WHEN k = 3 THEN 'introduced_model_artifact' WHEN k = 2 THEN 'name_mismatch' WHEN n > 1 THEN 'duplicate' WHEN turn % 3 = 0 THEN 'plan_violation' ELSE 'kept' END AS reason FROM r"""
+
+
+def declaration_choice(spark, d):
+    """Texts with two functions around them, of which one has the name, or with one of another name, which gets the base's header; cleaned of remarks."""
+    text = F.regexp_replace(F.coalesce("text", F.lit("")), r"[^A-Za-z ]", " ")
+    two = F.concat(F.lit("Java\n"), F.lit("int g() {\n  return 1;\n}\nint f(int a) {\n  // a "), text, F.lit("\n  // fixed line\n  return a; // corrected here\n}\nthe end"))
+    one = F.concat(F.lit("int g() {\n  // a "), text, F.lit(" }\n  return 1;\n}\nthe end"))
+    given = C.plain_lines(F.when(F.col("turn") % 2 == 0, two).otherwise(one))
+    return table(spark, d, "conversations").select("conv_id", "turn", C.chosen_declaration(given, F.lit("f"), F.lit(" int f(int a)\n{ return a; }")).alias("code"))
+
+
+CHOSEN = r"""WITH t AS (SELECT conv_id, turn, regexp_replace(coalesce(text, ''), '[^A-Za-z ]', ' ', 'g') AS x FROM conversations), l AS (SELECT *, '  // a ' || x AS line FROM t)
+SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'int f(int a) {' || chr(10) || CASE WHEN regexp_matches(x, '(?i)corrected\b|fixed\b|patched\b') THEN '' ELSE regexp_replace(line, '\s+$', '') || chr(10) END || '  return a;' || chr(10) || '}'
+  ELSE 'int f(int a) {' || chr(10) || CASE WHEN regexp_matches(x, '(?i)corrected\b|fixed\b|patched\b') THEN '' ELSE line || ' }' || chr(10) END || '  return 1;' || chr(10) || '}' END AS code FROM l"""
 
 
 def allow_lists(spark, d):
@@ -177,6 +189,7 @@ DISPATCHED = """SELECT o_orderkey, tag, CAST(seed AS INTEGER) AS seed, CASE WHEN
 QUERIES = {
     "marked_responses": (marked_responses, MARKED),
     "admission_pipeline": (admission_pipeline, ADMISSION),
+    "declaration_choice": (declaration_choice, CHOSEN),
     "allow_lists": (allow_lists, ALLOWED),
     "dispatched_runs": (dispatched_runs, DISPATCHED),
     "plan_refill": (plan_refill, REFILL),

@@ -189,7 +189,7 @@ def test_scores_against_a_plain_sum(spark):
         want = 100 + (-15 if "y = x + 1" in c else 15) + 35 + int(SequenceMatcher(None, plain(base), plain(c)).ratio() * 45)
         want += -500 if fraction < 0.005 else next((p for e, p in ((0.03, 40), (0.12, 30), (0.25, 20), (0.5, 5)) if fraction <= e), -10)
         want += 20 if 0.8 <= ratio <= 1.2 else 8
-        want -= 300 * ("pass" in c or "..." in c) + 500 * ("changed line" in c or "..." in c) + 80 * ("fixed line" in c) + 80 * ("..." in c) + 80 * ("print(" in c) + 200 * ("import" in c)
+        want -= 300 * ("pass" in c or "..." in c) + 500 * ("..." in c) + 80 * ("fixed line" in c) + 80 * ("..." in c) + 80 * ("print(" in c) + 200 * ("import" in c)
         assert got[k] == want, c
     assert spark.range(1).select(candidates.length_ratio(F.lit(""), F.lit("a\nb")).alias("r")).first().r == 1.0
 
