@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarrywork.llm import chat, decontamination, language_id, mixing, near_dedup, outliers, periodic_runs, sharding, suffix_dedup, token_output, warc
+from quarrywork.llm import chat, decontamination, imatch, language_id, mixing, near_dedup, outliers, periodic_runs, sharding, suffix_dedup, token_output, warc
 
 MODULES = {
     "op1_extendible_sharding": sharding,
@@ -16,6 +16,7 @@ MODULES = {
     "op9_chat_formatting": chat,
     "op10_lsh_forest": near_dedup,
     "op11_periodic_runs": periodic_runs,
+    "op12_imatch_fingerprints": imatch,
 }
 
 
