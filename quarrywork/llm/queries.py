@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarrywork.llm import chat, decontamination, imatch, language_id, mixing, near_dedup, outliers, periodic_runs, sharding, suffix_dedup, token_output, warc
+from quarrywork.llm import chat, decontamination, imatch, language_id, merkle, mixing, near_dedup, outliers, periodic_runs, sharding, suffix_dedup, token_output, warc
 
 MODULES = {
     "op1_extendible_sharding": sharding,
@@ -17,6 +17,7 @@ MODULES = {
     "op10_lsh_forest": near_dedup,
     "op11_periodic_runs": periodic_runs,
     "op12_imatch_fingerprints": imatch,
+    "op13_merkle_manifest": merkle,
 }
 
 
