@@ -11,14 +11,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from quarrywork.functions.inference import JAVA_DECLARATION
+from quarrywork.functions.java import PLAIN_DECLARATION, declared_name
 from quarrywork.functions.text import canonical, let, lines, normalized_hash, strip
 from quarrywork.operators import diffs
 from quarrywork.operators.code import balanced_end
 
 # The line behind which a response's code stands, and the least length of code.
 MARKER, LEAST_CHARS = "##correct", 30
-_NOT_CALLS = ("if", "for", "while", "switch", "catch", "return", "new", "synchronized", "super", "this", "throw", "assert")
 
 
 def _between(text: Column, begin: str, end: str) -> Column:
@@ -68,49 +67,6 @@ def diff_lines_to_code(code: Column) -> Column:
     return F.when(is_diff, F.array_join(F.transform(kept, lambda x: F.regexp_replace(x, r"^[+ ]", "")), "\n")).otherwise(code)
 
 
-def java_header(code: Column) -> Column:
-    """(name, parameters, kind) of the first declaration of a method, constructor or type."""
-    method = r"(?m)^[ \t]*(?:@\w+\s+)*(?:(?:public|protected|private|static|final|abstract|synchronized|native)\s+)*(?:<[^>]+>\s+)?(?:[\w.<>\[\],? ]+\s+)?(\w+)\s*\(([^)]*)\)[^;{]*\{"
-    kind = r"\b(class|interface|enum)\s+(\w+)"
-    head = F.regexp_extract(code, r"(?s)\A([^{]*)\{", 1)
-    is_type = head.rlike(kind)
-    args = F.filter(F.split(F.regexp_extract(code, method, 2), ","), lambda x: F.trim(x) != "")
-    return F.struct(
-        F.when(is_type, F.regexp_extract(head, kind, 2)).otherwise(F.regexp_extract(code, method, 1)).alias("name"),
-        F.when(is_type, F.lit(None)).otherwise(F.size(args)).alias("arity"),
-        F.when(is_type, F.regexp_extract(head, kind, 1)).otherwise("method").alias("kind"),
-    )
-
-
-def java_calls(code: Column, most: int = 8) -> Column:
-    found = F.regexp_extract_all(code, F.lit(r"\b([A-Za-z_]\w*)\s*\("), F.lit(1))
-    return F.slice(F.array_distinct(F.filter(found, lambda x: ~x.isin(*_NOT_CALLS))), 1, most)
-
-
-def java_types(code: Column, most: int = 10) -> Column:
-    return F.slice(F.array_distinct(F.regexp_extract_all(code, F.lit(r"\b([A-Z][A-Za-z0-9_]*[a-z][A-Za-z0-9_]*)\b"), F.lit(1))), 1, most)
-
-
-def java_constants(code: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(code, F.lit(r"\b([A-Z][A-Z0-9_]{2,})\b"), F.lit(1)))
-
-
-def validity_reasons(code: Column, base: Column, fraction: Column, allowed: Column, has_plan: Column) -> Column:
-    """Why a Java candidate may not compile, in order: declaration, kind, arity, width of the change, symbols no set allows."""
-    new, old = java_header(code), java_header(base)
-    drift = F.array_except(F.array_except(F.concat(java_calls(code, 1000), java_types(code, 1000)), F.concat(java_calls(base, 1000), java_types(base, 1000))), allowed)
-    return F.array_compact(
-        F.array(
-            F.when(new["name"] == "", F.lit("no_declaration")),
-            F.when((new["name"] != "") & (new["name"] != old["name"]), F.lit("name_changed")),
-            F.when(new["kind"] != old["kind"], F.lit("kind_changed")),
-            F.when(new["arity"] != old["arity"], F.lit("arity_changed")),
-            F.when((fraction > 0.60) | ((fraction > 0.45) & ~has_plan), F.lit("broad_rewrite")),
-            F.when(F.size(drift) > 0, F.lit("unknown_symbol")),
-        )
-    )
-
-
 # Scores by the share of changed lines, and what costs a candidate.
 _DIFF = ((0.03, 40), (0.12, 30), (0.25, 20), (0.5, 5))
 ARTIFACT_HINT = r"(?i)<---\s*buggy line|corrected\b|fixed(?:\s+line)?\b|patched(?:\s+line)?\b"
@@ -159,7 +115,7 @@ def plain_lines(code: Column, java: bool = True) -> Column:
     return strip(F.array_join(F.transform(kept, lambda x: F.regexp_replace(F.regexp_replace(x, f"(?i){trailing}", ""), r"\s+\z", "")), "\n"))
 
 
-_HEAD = re.compile(JAVA_DECLARATION)
+_HEAD = re.compile(PLAIN_DECLARATION)
 _OWN_NAME = re.compile(r"\b(?:class|interface|enum|record)\s+([A-Za-z_]\w*)|([A-Za-z_]\w*)\s*\(")
 
 
@@ -285,13 +241,15 @@ def carried(fresh: dict[str, Column], held: dict[str, Column], defaults: dict) -
     return out
 
 
-def rescue(rows: DataFrame, by: str) -> DataFrame:
-    """For groups without a survivor (survives): of the best by score, those with one reason whose items are all supported."""
+def rescue(rows: DataFrame, by: str, order: str = "signature") -> DataFrame:
+    """For groups without a survivor (survives): of the best by score that are eligible so many are scanned, of equal signatures the first; empty signatures are all different. Adds pick, with which so many are kept."""
     none = rows.groupBy(by).agg(F.max("survives").alias("any")).filter("NOT any").select(by)
-    w = W.partitionBy(by).orderBy(F.desc("score"), "signature")
-    scanned = rows.join(none, by, "left_semi").withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= SCAN).drop("_n")
-    good = scanned.filter((F.size("reasons") == 1) & (F.size("items") > 0) & (F.size(F.array_except("items", "supported")) == 0))
-    return good.withColumn("pick", F.row_number().over(w)).filter(F.col("pick") <= KEEP)
+    best = (F.desc("score"), F.coalesce(order, F.lit("")))
+    w = W.partitionBy(by).orderBy(*best)
+    scanned = rows.filter("eligible").join(none, by, "left_semi").withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= SCAN)
+    again = F.row_number().over(W.partitionBy(by, "signature").orderBy("_n")) > 1
+    fresh = scanned.withColumn("_again", again & (F.coalesce("signature", F.lit("")) != "")).filter("NOT _again")
+    return fresh.withColumn("pick", F.row_number().over(W.partitionBy(by).orderBy("_n"))).filter(F.col("pick") <= KEEP).drop("_n", "_again")
 
 
 def pool(runs: list[DataFrame], by: str, code: str, most: int) -> DataFrame:
@@ -333,7 +291,7 @@ def admit(rows: DataFrame, by: str, order: str, plan_ok: Column | None = None) -
     response that got as far, then the plan.
     """
     found = response_code(F.col("response"), F.col("base"))
-    own = java_header(F.col("code"))["name"]
+    own = declared_name(F.col("code"))
     named = F.when(own != "", own).otherwise(F.regexp_extract("code", r"(?m)^\s*(?:async\s+def|def|class)\s+(\w+)", 1))
     taken = rows.withColumn("_x", found).withColumn("code", F.col("_x.code"))
     failed = F.concat(F.lit("extraction_failed_"), F.col("_x.problem"))
@@ -362,18 +320,6 @@ def symbol_sources(named: dict[str, list[Column]]) -> Column:
     return F.map_from_entries(F.transform(symbols, lambda x: F.struct(x, of(x))))
 
 
-def java_allow_list(base: Column, signature: Column, calls: Column, types: Column, fields: Column) -> Column:
-    """What a patch of base may refer to, by source: names in base and its signature, and the lists of its context."""
-    return symbol_sources(
-        {
-            "helper_calls": [java_calls(base, 1_000_000), calls],
-            "types": [java_types(base, 1_000_000), types],
-            "method_signature": [java_types(signature, 1_000_000)],
-            "instance_fields": [F.regexp_extract_all(F.coalesce(base, F.lit("")), F.lit(r"\bthis\.([A-Za-z_$][A-Za-z0-9_$]*)\b"), F.lit(1)), fields],
-        }
-    )
-
-
 def extract_and_merge(response: Column, base: Column) -> Column:
     """A response's code; a fragment without a declaration merged into base; null where neither works."""
     found, whole = response_code(response, base), F.coalesce(marked_code(response), F.regexp_extract(response, r"(?s)```[A-Za-z]*[ \t]*\n(.*?)```", 1))

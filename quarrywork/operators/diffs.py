@@ -41,6 +41,10 @@ def edits(base: pd.Series, new: pd.Series) -> pd.Series:
     return pd.Series([line_edits(x, y) for x, y in zip(base, new, strict=True)])
 
 
+#: As edits, and marked as added_text is below.
+edits_once = F.pandas_udf(edits.func, EDIT).asNondeterministic()
+
+
 @F.pandas_udf(T.StringType())
 def _added(base: pd.Series, new: pd.Series) -> pd.Series:
     return pd.Series(["\n".join(e["text"] for e in line_edits(x, y) if e["text"]) for x, y in zip(base, new, strict=True)], dtype=object)

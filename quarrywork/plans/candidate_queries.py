@@ -38,8 +38,17 @@ SELECT l_orderkey, l_linenumber, l_partkey, violates, signature, fill_score, pic
 
 
 def rescue_selection(spark, d):
-    rows = _rows(spark, d).withColumns({"reasons": F.when(F.col("score") % 2 == 0, F.array(F.lit("a"))).otherwise(F.array(F.lit("a"), F.lit("b"))), "items": F.array((F.col("score") % 3).cast("string")), "supported": F.array(F.lit("0"), F.lit("1"))})
-    return C.rescue(rows, "l_orderkey").select("l_orderkey", "signature", "pick")
+    """Eligible are even scores; signatures repeat, and empty ones are all different."""
+    short = F.when(F.col("l_partkey") % 5 != 0, F.concat(F.lit("s"), (F.col("l_partkey") % 3).cast("string"))).otherwise("")
+    rows = _rows(spark, d).withColumns({"eligible": F.col("score") % 2 == 0, "signature": short, "own": F.concat_ws(":", F.lpad("l_linenumber", 2, "0"), F.lpad("l_partkey", 8, "0"))})
+    return C.rescue(rows, "l_orderkey", "own").select("l_orderkey", "own", "signature", "pick")
+
+
+RESCUED = ROWS + """, n AS (SELECT *, bool_or(survives) OVER (PARTITION BY l_orderkey) AS live, CASE WHEN l_partkey % 5 <> 0 THEN 's' || (l_partkey % 3) ELSE '' END AS sig, left(signature, 11) AS own FROM r),
+s AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY score DESC, own) AS k FROM n WHERE NOT live AND score % 2 = 0),
+g AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, sig ORDER BY k) AS again FROM s WHERE k <= 5),
+p AS (SELECT *, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY k) AS INTEGER) AS pick FROM g WHERE sig = '' OR again = 1)
+SELECT l_orderkey, own, sig AS signature, pick FROM p WHERE pick <= 3"""
 
 
 def rescue_supports(spark, d):
@@ -76,19 +85,6 @@ def response_extraction(spark, d):
 FORM = r"'int f(int a) {' || chr(10) || '  // ' || regexp_replace(coalesce(text, ''), '[`#]|[ \t\n\x0B\f\r]+', ' ', 'g') || chr(10) || '  return a + ' || turn || '; // longer than thirty' || chr(10) || '}'"
 
 
-def java_symbols(spark, d):
-    code = F.concat(F.lit("public static int f"), F.col("turn").cast("string"), F.lit("(int a, List<Foo> b) throws X {\n if (a > MAX_N) return g(h(a)); new Bar(b); }"))
-    h = C.java_header(code)
-    return table(spark, d, "conversations").select("conv_id", "turn", h["name"].alias("name"), h["arity"].alias("arity"), F.array_join(C.java_calls(code), ",").alias("calls"), F.array_join(C.java_types(code), ",").alias("types"), F.array_join(C.java_constants(code), ",").alias("constants"))
-
-
-def candidate_validity(spark, d):
-    base = F.lit("int f(int a) {\n return g(a);\n}")
-    code = F.element_at(F.array(F.lit("int f(int a) {\n return g(a + 1);\n}"), F.lit("int k(int a, int b) {\n return zap(a);\n}"), F.lit("return 1;")), (F.col("turn") % 3 + 1).cast("int"))
-    why = C.validity_reasons(code, base, F.col("turn") / 10.0, F.array(F.lit("g")), F.lit(False))
-    return table(spark, d, "conversations").select("conv_id", "turn", F.array_join(why, ",").alias("reasons"))
-
-
 def _candidate() -> tuple:
     """(code, base, own_name): a text in a comment of a function, changed in one of several ways."""
     text = F.regexp_replace(F.coalesce("text", F.lit("")), r"[^A-Za-z0-9é ]", " ")
@@ -163,19 +159,6 @@ SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'int f(int a) {' || chr(10) ||
   ELSE 'int f(int a) {' || chr(10) || CASE WHEN regexp_matches(x, '(?i)corrected\b|fixed\b|patched\b') THEN '' ELSE line || ' }' || chr(10) END || '  return 1;' || chr(10) || '}' END AS code FROM l"""
 
 
-def allow_lists(spark, d):
-    """Symbols that a part's function may refer to, and what supports each."""
-    base = F.concat(F.lit("int f(List a) { this."), F.substring_index("p_name", " ", 1), F.lit(" = Helper.make(a); return g(a); }"))
-    found = C.java_allow_list(base, F.lit("int f(List a, Other b)"), F.array(F.lit("g"), F.lit(" h ")), F.array("p_brand", F.lit("")), F.split("p_name", " "))
-    shown = F.array_join(F.transform(F.array_sort(F.map_entries(found)), lambda e: F.concat(e["key"], F.lit("="), F.array_join(e["value"], "+"))), ";")
-    return table(spark, d, "part").select("p_partkey", shown.alias("allowed"))
-
-
-ALLOWED = """WITH p AS (SELECT p_partkey, unnest(list_distinct(string_split(p_name, ' '))) AS s, 'instance_fields' AS v FROM part UNION ALL SELECT p_partkey, p_brand, 'types' FROM part
-  UNION ALL SELECT p_partkey, unnest(['f', 'make', 'g', 'h']), 'helper_calls' FROM part UNION ALL SELECT p_partkey, unnest(['Helper', 'List']), 'types' FROM part UNION ALL SELECT p_partkey, unnest(['List', 'Other']), 'method_signature' FROM part),
-g AS (SELECT p_partkey, s, string_agg(v, '+' ORDER BY v) AS v FROM p GROUP BY ALL) SELECT p_partkey, string_agg(s || '=' || v, ';' ORDER BY s) AS allowed FROM g GROUP BY p_partkey"""
-
-
 def dispatched_runs(spark, d):
     """Orders as inputs, their customers' rows as prompts, two runs' settings."""
     inputs = table(spark, d, "orders").select(F.col("o_custkey").alias("id"), "o_orderkey", F.when(F.col("o_orderkey") % 3 == 0, F.lit(" ")).otherwise(F.lit("x")).alias("code"))
@@ -190,15 +173,12 @@ QUERIES = {
     "marked_responses": (marked_responses, MARKED),
     "admission_pipeline": (admission_pipeline, ADMISSION),
     "declaration_choice": (declaration_choice, CHOSEN),
-    "allow_lists": (allow_lists, ALLOWED),
     "dispatched_runs": (dispatched_runs, DISPATCHED),
     "plan_refill": (plan_refill, REFILL),
-    "rescue_selection": (rescue_selection, ROWS + ", n AS (SELECT *, bool_or(survives) OVER (PARTITION BY l_orderkey) AS live FROM r), s AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY score DESC, signature) AS k FROM n WHERE NOT live), g AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY score DESC, signature) AS pick FROM s WHERE k <= 5 AND score % 2 = 0 AND score % 3 < 2) SELECT l_orderkey, signature, pick FROM g WHERE pick <= 3"),
+    "rescue_selection": (rescue_selection, RESCUED),
     "rescue_supports": (rescue_supports, SUPPORTS),
     "run_pooling": (run_pooling, ROWS + ", u AS (SELECT *, 'x  = ' || score AS code, CASE WHEN violates THEN 1 ELSE 0 END AS run FROM r), o AS (SELECT l_orderkey, code, run, score, greedy, row_number() OVER (PARTITION BY l_orderkey, code ORDER BY run, greedy DESC) AS n FROM u), p AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY NOT greedy, coalesce(nullif(score, 0), -1000000000) DESC, run, code) AS pick FROM o WHERE n = 1) SELECT l_orderkey, code, run, pick FROM p WHERE pick <= 3"),
     "response_extraction": (response_extraction, f"SELECT conv_id, turn, CASE WHEN turn % 4 < 2 THEN {FORM} END AS code, CASE turn % 4 WHEN 2 THEN 'too_short' WHEN 3 THEN 'empty' END AS problem FROM conversations"),
-    "java_symbols": (java_symbols, "SELECT conv_id, turn, 'f' || turn AS name, 2 AS arity, 'f' || turn || ',g,h,Bar' AS calls, 'List,Foo,Bar' AS types, 'MAX_N' AS constants FROM conversations"),
-    "candidate_validity": (candidate_validity, "SELECT conv_id, turn, array_to_string(list_filter([CASE WHEN turn % 3 = 2 THEN 'no_declaration' END, CASE WHEN turn % 3 = 1 THEN 'name_changed' END, CASE turn % 3 WHEN 1 THEN 'arity_changed' WHEN 2 THEN 'arity_changed' END, CASE WHEN turn / 10 > 0.45 THEN 'broad_rewrite' END, CASE WHEN turn % 3 = 1 THEN 'unknown_symbol' END], lambda x: x IS NOT NULL), ',') AS reasons FROM conversations"),
     "candidate_problems": (candidate_problems, PROBLEMS),
     "candidate_scores": (candidate_scores, None),
 }
