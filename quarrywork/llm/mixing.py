@@ -5,6 +5,10 @@ blocks of equally many words. The mix consists of shards of equally many
 blocks, and each source's quota in a shard is an integer: the seats that the
 highest quotients target / (2 * seats + 1) give it. The method is
 house-monotone, so a shard's quotas are the difference of two apportionments.
+Blocks have BLOCK_WORDS words or more, so that there are about FINEST of them at
+most; a source whose target is under LEAST_BLOCKS of those has smaller ones of
+its own, down to a word, and quotas count them by targets in its blocks. So each
+source ends within a block of its target, which is a thousandth or one word.
 A source's blocks come in a seeded permutation, round after round (all but the
 last take every block). The first shard gets as many of them as its quota says,
 the second the next ones, and so on; the shard of each taken block follows from
@@ -40,6 +44,7 @@ from quarrywork.llm.exprs import let, space_words, text_or_empty
 
 MAX_SOURCES = 1_000_000
 MAX_REPEATS = 3
+BLOCK_WORDS, LEAST_BLOCKS, FINEST = 1024, 1000, 1 << 24
 SHARDS = 16
 SALT_WORDS, LEAST_SALTS, MOST_SALTS = 1 << 24, 512, 1 << 22
 BROADCAST_SALTS = 100_000
@@ -121,28 +126,29 @@ def _stride(n: int, rng: random.Random) -> tuple[int, int]:
     return step % n if n > 1 else 1, rng.randrange(n)
 
 
-def plan(sources: list[tuple[str | None, int]], block_words: int, seed: int, shards: int = 1) -> list[dict]:
-    """For each source in order: target, rounds, the permutation's step and shift, how many blocks of the last round it takes, and its quotas in the shards."""
+def block_size(total: int, target: float, finest: int = FINEST) -> int:
+    """Words of a source's block: by the whole table, and a thousandth of the source's target at most."""
+    return max(1, min(max(BLOCK_WORDS, -(-total // finest)), int(target) // LEAST_BLOCKS))
+
+
+def plan(sources: list[tuple[str | None, int]], block_words: int | None, seed: int, shards: int = 1) -> list[dict]:
+    """For each source in order: target, block (its words), rounds, the permutation's step and shift, how many blocks of the last round it takes, and its quotas in the shards. block_words: one size for all sources."""
     sizes = [s for _, s in sources]
     aims = targets(sizes, weights(len(sizes)))
-    blocks = [-(-s // block_words) for s in sizes]
+    words = [block_words or block_size(sum(sizes), aim) for aim in aims]
+    blocks = [-(-s // w) for s, w in zip(sizes, words, strict=True)]
     # A block more than a source has in all its rounds is never taken; a source whose target is under half a block takes none.
     most = [MAX_REPEATS * b for b in blocks]
-    seats = round(sum(aims) / block_words)
-    quotas = [list(q) for q in zip(*shard_quotas(aims, seats, most, shards), strict=True)] if sources else []
+    wanted = [aim / w for aim, w in zip(aims, words, strict=True)]
+    quotas = [list(q) for q in zip(*shard_quotas(wanted, round(sum(wanted)), most, shards), strict=True)] if sources else []
     out = []
-    for (name, size), aim, n, q in zip(sources, aims, blocks, quotas, strict=True):
+    for (name, size), aim, word, n, q in zip(sources, aims, words, blocks, quotas, strict=True):
         step, shift = _stride(max(1, n), random.Random(f"{seed}:{name}"))
         rounds, rest = divmod(sum(q), n) if n else (0, 0)
-        out.append({"source": name, "source_size": size, "target": aim, "blocks": n, "rounds": rounds, "rest": rest, "step": step, "shift": shift, "quotas": q, "ends": list(itertools.accumulate(q))})
+        out.append({"source": name, "source_size": size, "target": aim, "block": word, "blocks": n, "rounds": rounds, "rest": rest, "step": step, "shift": shift, "quotas": q, "ends": list(itertools.accumulate(q))})
     return out
 
 
-def block_size(total: int, smallest: int, finest: int = 1 << 24) -> int:
-    """Words of a block: a thousandth of the smallest source, 1 to 1024, unless that made more than finest blocks."""
-    return max(1, min(1024, smallest // 1000), -(-total // finest))
-
-
 def _turn(b: Column, p: Column) -> Column:
     """The place of a source's block b in its permutation."""
     # step * b stays under 2 ** 63, as a source has at most 2 ** 31 blocks.
@@ -165,7 +171,7 @@ def _rounds(b: Column, p: Column) -> Column:
     return (p["rounds"] + _chosen(b, p).cast("bigint")).cast("int")
 
 
-def _blocks(size: Column, block: int) -> Column:
+def _blocks(size: Column, block: Column) -> Column:
     """The blocks in which a document's words lie; none without words."""
     first, last = F.floor(F.col("_start") / block).cast("bigint"), F.floor((F.col("_start") + size - 1) / block).cast("bigint")
     return F.when(size > 0, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))
@@ -176,17 +182,16 @@ def n_salts(largest: int) -> int:
     return min(MOST_SALTS, max(LEAST_SALTS, 1 << (max(1, largest // SALT_WORDS) - 1).bit_length()))
 
 
-def _place(docs: DataFrame, seed: int, block_words: int | None, shards: int, key: str, text: str, source: str) -> tuple[DataFrame, int]:
-    """docs with size, _start (the document's place in its source's stream) and _p (its source's plan); and the block size."""
+def _place(docs: DataFrame, seed: int, block_words: int | None, shards: int, key: str, text: str, source: str) -> DataFrame:
+    """docs with size, _start (the document's place in its source's stream) and _p (its source's plan)."""
     spark = docs.sparkSession
     docs = docs.drop(*ADDED).withColumn("size", n_words(text))
     found = docs.groupBy(source).agg(F.sum("size").alias("n")).orderBy(F.col(source).asc_nulls_last()).limit(MAX_SOURCES + 1).collect()
     if len(found) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
     sources = [(r[0], r["n"]) for r in found]
-    block = block_words or block_size(sum(n for _, n in sources), min([n for _, n in sources if n], default=1))
-    plans = plan(sources, block, seed, shards)
-    fields = "source string, source_size bigint, target double, blocks bigint, rounds bigint, rest bigint, step bigint, shift bigint, ends array<bigint>"
+    plans = plan(sources, block_words, seed, shards)
+    fields = "source string, source_size bigint, target double, block bigint, blocks bigint, rounds bigint, rest bigint, step bigint, shift bigint, ends array<bigint>"
     rows = [tuple(p[c.split()[0]] for c in fields.split(", ")) for p in plans]
     per_source = spark.createDataFrame(rows, fields).select(F.col("source").alias("_source"), F.struct(*[c.split()[0] for c in fields.split(", ")[1:]]).alias("_p"))
     order, salted = F.xxhash64(F.col(key), F.lit(seed)), n_salts(max([n for _, n in sources], default=0))
@@ -204,13 +209,14 @@ def _place(docs: DataFrame, seed: int, block_words: int | None, shards: int, key
         .join(per_source, F.col(source).eqNullSafe(F.col("_source")))
         .withColumn("_start", F.col("_before") + F.col("_within"))
     )
-    return placed.drop("_o", "_salt", "_within", "_s", "_k", "_before", "_source"), block
+    return placed.drop("_o", "_salt", "_within", "_s", "_k", "_before", "_source")
 
 
 def mix(docs: DataFrame, seed: int = 17, block_words: int | None = None, shards: int = SHARDS, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """The rows of docs with size, source_size, target, taken (the words of the document that the mix takes, repeats counted) and shards (how many of them each shard gets)."""
-    placed, block = _place(docs, seed, block_words, shards, key, text, source)
+    placed = _place(docs, seed, block_words, shards, key, text, source)
     p, start, size = F.col("_p"), F.col("_start"), F.col("size")
+    block = p["block"]
 
     def pieces(b: Column) -> Column:
         """(shard, words) for each time that block b is taken."""
@@ -230,8 +236,9 @@ def draw(docs: DataFrame, seed: int = 17, block_words: int | None = None, shards
 
     With shard, a name for an added column, a row for each round and shard, with the words that the shard gets.
     """
-    placed, block = _place(docs, seed, block_words, shards, key, text, source)
+    placed = _place(docs, seed, block_words, shards, key, text, source)
     p, size = F.col("_p"), F.col("size")
+    block = p["block"]
     pieces = F.regexp_extract_all(F.col(text), F.lit(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0))
     copies = F.sequence(F.lit(0), p["rounds"].cast("int") - F.when(p["rest"] > 0, 0).otherwise(1))
     rows = placed.filter((size > 0) & ((p["rounds"] > 0) | (p["rest"] > 0))).withColumn("_copy", F.explode(copies))

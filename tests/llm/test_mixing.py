@@ -111,3 +111,22 @@ def test_salts_grow_with_the_largest_source():
 
 def test_empty(empty):
     assert M.mix(empty).count() == 0 and M.draw(empty).count() == 0
+
+
+@pytest.mark.parametrize("sizes", [[20_000_000_000_000, 500_000, 3_000_000], [1_000_000_000, 10], [7, 10**12, 1, 0, 10**9, 50], [5] * 9, [1]])
+def test_small_sources_beside_very_large_ones_meet_their_targets(sizes):
+    for p in M.plan([(f"s{k}", n) for k, n in enumerate(sizes)], None, 17, 16):
+        taken = sum(p["quotas"]) * p["block"]
+        assert abs(taken - p["target"]) <= max(1, 0.01 * p["target"])
+        assert p["blocks"] < 1 << 31 and sum(p["quotas"]) <= 3 * p["blocks"]
+
+
+def test_taken_words_meet_targets(spark, monkeypatch):
+    monkeypatch.setattr(M, "BLOCK_WORDS", 4)
+    monkeypatch.setattr(M.block_size, "__defaults__", (64,))
+    rows = [(k, "w " * 1000, "big") for k in range(200)] + [(1000 + k, "w " * 7, "small") for k in range(3)] + [(2000, "x", None), (2001, "x y z", "tiny")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    got = M.mix(df).groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target"), F.max(F.col("taken") - 3 * F.col("size")).alias("over")).collect()
+    assert len(got) == 4 and all(abs(r.taken - r.target) <= max(1, 0.01 * r.target) and r.over <= 0 for r in got)
+    drawn = {r.source: r.n for r in M.draw(df).groupBy("source").agg(F.sum(M.n_words("text")).alias("n")).collect()}
+    assert drawn == {r.source: r.taken for r in got}
