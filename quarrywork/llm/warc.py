@@ -5,11 +5,14 @@ with the largest page_id is a response, the others are revisits that refer to
 it. Files come from Spark's committed text writer, whose line separator is the
 two line ends that close a record, and hold about FILE_BYTES each.
 
-The reader takes files as bytes, plain or with a gzip member for each record.
+The reader takes files as bytes, plain or in gzip members of one or more records.
 Each record is checked: version line, headers, length, closing line ends, and
 the payload's digest. Where a check fails, it searches for the next gzip member
 or version line at which a record passes, goes on from there, and logs the
-bytes between as a gap.
+bytes between as a gap. Inside a member it does the same with the unpacked
+bytes; of a member that breaks off or is damaged, it reads what unpacks before
+the damage. Such gaps have the member's range, and their place in its unpacked
+bytes (inner_offset, inner_length).
 
 Defined results
   null html          an empty payload, equal to other empty ones
@@ -18,7 +21,10 @@ Defined results
   null url           no target header; line ends in a url are percent-encoded
   empty table        an archive without records
   extra columns      ignored
-  very long html     one record; archives of over 2 GB can't be read
+  very long html     one record; archives of over 2 GB can't be read, and a
+                     gzip member is unpacked whole, in one task's memory
+  payload digests    SHA-1, SHA-256 or MD5, in base32 or hexadecimal of any
+                     case; digests of other algorithms aren't checked
   damaged headers    lengths and ids are up to 18 ASCII digits; a record with
                      any other is quarantined, one with another id has none
 """
@@ -48,7 +54,7 @@ _END = b"\r\n\r\n"
 _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 _START = re.compile(rb"WARC/1\.[01]\r\n|\x1f\x8b\x08")
 _HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
-RECORD = "file string, offset bigint, length bigint, kind string, reason string, record_type string, record_id string, page_id bigint, uri string, payload_bytes bigint, payload_digest string, refers_to bigint, payload binary"
+RECORD = "file string, offset bigint, length bigint, kind string, reason string, record_type string, record_id string, page_id bigint, uri string, payload_bytes bigint, payload_digest string, refers_to bigint, inner_offset bigint, inner_length bigint, payload binary"
 _ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 _FIELDS = [c.split()[0] for c in RECORD.split(", ")]
 
@@ -120,18 +126,37 @@ def write_warc(pages: DataFrame, path: str, file_bytes: int = FILE_BYTES, revisi
     named.select(record_text().alias("value")).write.mode("overwrite").option("lineSep", _END.decode()).option("maxRecordsPerFile", per_file).text(path)
 
 
+#: Digests by name: the function, and how many digits they have in hexadecimal and letters in base32.
+_DIGESTS = {"sha1": (hashlib.sha1, 40, 32), "sha256": (hashlib.sha256, 64, 52), "md5": (hashlib.md5, 32, 26)}
+
+
+def _agrees(said: str, payload: bytes) -> bool:
+    """Whether a digest as written is the payload's; one of an unknown form can't disagree."""
+    name, colon, value = said.rpartition(":")
+    function, digits, letters = _DIGESTS.get(name.strip().lower().replace("-", "") if colon else "sha1", (None, 0, 0))
+    value = value.strip().rstrip("=")
+    if function is None or len(value) not in (digits, letters):
+        return not (function and colon)
+    raw = function(payload).digest()
+    return value.lower() == (raw.hex() if len(value) == digits else base64.b32encode(raw).decode().rstrip("=").lower())
+
+
 def _parse_plain(data: bytes, at: int) -> tuple[dict, int] | str:
     """The record that begins at a place, and where the next begins; or why there is none."""
     if not _VERSION.match(data, at):
         return "version line"
     # Line by line, as the next version line has no colon: noise is scanned once, however many such lines it has.
     fields: dict[str, str] = {}
-    here = data.find(b"\r\n", at) + 2
+    here, last = data.find(b"\r\n", at) + 2, ""
     while (stop := data.find(b"\r\n", here)) > here:
         name, colon, value = data[here:stop].partition(b":")
-        if not colon:
+        if last and data[here : here + 1] in (b" ", b"\t"):  # a folded line goes on with the one before
+            fields[last] = f"{fields[last]} {data[here:stop].decode('utf-8', 'replace').strip()}".strip()
+        elif not colon:
             return "headers"
-        fields[name.decode("latin-1").strip().lower()] = value.decode("utf-8", "replace").strip()
+        else:
+            last = name.decode("latin-1").strip().lower()
+            fields[last] = value.decode("utf-8", "replace").strip()
         here = stop + 2
     size = _length_of(fields.get("content-length", ""))
     if stop < 0 or size is None or not fields.get("warc-type"):
@@ -142,16 +167,15 @@ def _parse_plain(data: bytes, at: int) -> tuple[dict, int] | str:
     block = data[begin:end]
     kind = fields["warc-type"]
     payload = block.partition(_END)[2] if fields.get("content-type", "").startswith("application/http") else block
-    digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
-    said = fields.get("warc-payload-digest", "").removeprefix("sha1:")
+    said = fields.get("warc-payload-digest", "")
     if kind == "revisit":
-        n, digest, payload = _length_of(fields.get("warc-payload-length") or "0"), said, None
+        n, digest, payload = _length_of(fields.get("warc-payload-length") or "0"), said.removeprefix("sha1:"), None
         if n is None:
             return "headers"
-    elif said and said != digest:
+    elif not _agrees(said, payload):
         return "payload digest"
     else:
-        n = len(payload)
+        n, digest = len(payload), base64.b32encode(hashlib.sha1(payload).digest()).decode()
     record = {
         "record_type": kind,
         "record_id": fields.get("warc-record-id"),
@@ -165,49 +189,85 @@ def _parse_plain(data: bytes, at: int) -> tuple[dict, int] | str:
     return record, end + len(_END)
 
 
-def _parse_member(data: bytes, at: int) -> tuple[list[dict], int] | str:
-    """The records of the gzip member that begins at a place."""
-    z, parts, end = zlib.decompressobj(31), [], at
-    try:
-        while not z.eof and end < len(data):
-            parts.append(z.decompress(data[end : end + 65536]))
-            end = min(len(data), end + 65536)
-    except zlib.error:
-        return "gzip member"
-    if not z.eof:
-        return "gzip member"
-    plain = b"".join(parts)
-    records, inner = [], 0
-    while inner < len(plain):
-        found = _parse_plain(plain, inner)
-        if isinstance(found, str):
-            return found
-        records.append(found[0])
-        inner = found[1]
-    return records, end - len(z.unused_data)
-
-
-def salvage(data: bytes) -> Iterator[dict]:
-    """Records and gaps of an archive's bytes, in order; together their ranges cover all of it."""
+def _unpack(data: bytes, at: int) -> tuple[bytes, int | None]:
+    """What the gzip member at a place unpacks to, and where it ends; None if it breaks off or is damaged, after what unpacks before that."""
+    z, parts, here = zlib.decompressobj(31), [], at
+    for size in (65536, 256, 1):  # a piece that fails is tried again in smaller ones, as it gives nothing back
+        while not z.eof and here < len(data):
+            before = z.copy()
+            try:
+                parts.append(z.decompress(data[here : here + size]))
+            except zlib.error:
+                z = before
+                break
+            here = min(len(data), here + size)
+        if z.eof:
+            return b"".join(parts), here - len(z.unused_data)
+        if here == len(data):
+            parts.append(z.flush())
+            break
+    return b"".join(parts), None
+
+
+def _inner(plain: bytes) -> Iterator[dict]:
+    """Records and gaps of a member's unpacked bytes, in order."""
     at, gap, reason = 0, None, ""
-    while at < len(data):
-        member = data.startswith(b"\x1f\x8b", at)
-        found = _parse_member(data, at) if member else _parse_plain(data, at)
+    while at < len(plain):
+        found = _parse_plain(plain, at)
         if isinstance(found, str):
             if gap is None:
                 gap, reason = at, found
-            later = _START.search(data, at + 1)
-            at = later.start() if later else len(data)
+            later = _VERSION.search(plain, at + 1)
+            at = later.start() if later else len(plain)
             continue
         if gap is not None:
-            yield {"kind": "gap", "offset": gap, "length": at - gap, "reason": reason}
+            yield {"kind": "gap", "reason": reason, "inner_offset": gap, "inner_length": at - gap}
             gap = None
-        records, end = found
-        for r in records if member else [records]:
-            yield {"kind": "record", "offset": at, "length": end - at, **r}
-        at = end
+        yield {"kind": "record", **found[0], "inner_offset": at, "inner_length": found[1] - at}
+        at = found[1]
+    if gap is not None:
+        yield {"kind": "gap", "reason": reason, "inner_offset": gap, "inner_length": len(plain) - gap}
+
+
+def salvage(data: bytes) -> Iterator[dict]:
+    """Records and gaps of an archive's bytes, in order; together their ranges cover all of it."""
+    at, gap, reason, held = 0, None, "", []  # held: records of a damaged member, whose range ends where the gap does
+
+    def closed(end: int) -> Iterator[dict]:
+        for r in held:
+            yield {"offset": gap, "length": end - gap, **r}
+        yield {"kind": "gap", "offset": gap, "length": end - gap, "reason": reason} | ({"inner_offset": held[-1]["inner_offset"] + held[-1]["inner_length"]} if held else {})
+
+    while at < len(data):
+        rows, end, why = [], None, ""
+        if data.startswith(b"\x1f\x8b", at):
+            plain, end = _unpack(data, at)
+            rows = list(_inner(plain))
+            while end is None and rows and rows[-1]["kind"] == "gap":  # what the damage left of a record
+                why = rows.pop()["reason"]
+            why = "gzip member" if end is None else rows[0].get("reason", "") if rows else "empty member"
+            good = any(r["kind"] == "record" for r in rows)
+        else:
+            found = _parse_plain(data, at)
+            good = not isinstance(found, str)
+            why, rows, end = (found, [], None) if isinstance(found, str) else ("", [{"kind": "record", **found[0]}], found[1])
+        if good and end is not None:
+            if gap is not None:
+                yield from closed(at)
+                gap, held = None, []
+            for r in rows:
+                yield {"offset": at, "length": end - at, **r}
+            at = end
+            continue
+        if good and gap is not None:
+            yield from closed(at)
+            gap, held = None, []
+        if gap is None:
+            gap, reason, held = at, why, rows if good else []
+        later = _START.search(data, at + 1)
+        at = later.start() if later else len(data)
     if gap is not None:
-        yield {"kind": "gap", "offset": gap, "length": len(data) - gap, "reason": reason}
+        yield from closed(len(data))
 
 
 def _read(with_payload: bool):
@@ -230,7 +290,7 @@ def _read(with_payload: bool):
 
 def _frame(records: list[dict]) -> pd.DataFrame:
     out = pd.DataFrame(records, columns=_FIELDS)
-    for c in ("page_id", "payload_bytes", "refers_to"):
+    for c in ("page_id", "payload_bytes", "refers_to", "inner_offset", "inner_length"):
         out[c] = pd.array([None if v is None or pd.isna(v) else int(v) for v in (r.get(c) for r in records)], "Int64")
     return out.astype({c: object for c in ("reason", "record_type", "record_id", "uri", "payload_digest", "payload")})
 

@@ -126,3 +126,73 @@ def test_random_damage_never_stops_the_reader(seed, damage):
 def test_many_version_lines_are_scanned_once():
     data = b"WARC/1.1\r\n" * 200_000 + _record(1, b"x")
     assert [r["kind"] for r in warc.salvage(data)] == ["gap", "record"]
+
+
+def test_members_of_many_records_give_back_all_sound_ones():
+    records = [_record(k, random.Random(k).randbytes(3000)) for k in range(50)]
+    hurt = [*records[:20], records[20].replace(b"urn:page:20", b"urn:page:20", 1)[:-9] + b"X" * 5 + b"\r\n\r\n", *records[21:]]
+    found = list(warc.salvage(gzip.compress(b"".join(hurt))))
+    assert [r["page_id"] for r in found if r["kind"] == "record"] == [k for k in range(50) if k != 20]
+    (gap,) = [r for r in found if r["kind"] == "gap"]
+    assert gap["reason"] == "payload digest" and gap["inner_offset"] == sum(map(len, records[:20])) and gap["inner_length"] == len(records[20])
+    whole = gzip.compress(b"".join(records))
+    cut = whole[: len(whole) * 9 // 10] + gzip.compress(_record(99, b"next"))
+    found = list(warc.salvage(cut))
+    _covers(cut, found)
+    pages = [r["page_id"] for r in found if r["kind"] == "record"]
+    assert pages[-1] == 99 and pages[:-1] == list(range(len(pages) - 1)) and len(pages) >= 44
+    assert [r["reason"] for r in found if r["kind"] == "gap"] == ["gzip member"]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.lists(st.sampled_from("gggb"), min_size=1, max_size=5), min_size=1, max_size=4), st.integers(0, 2**32))
+def test_every_sound_record_beside_damage_comes_back(members, seed):
+    rng, data, want, k = random.Random(seed), b"", [], 0
+    for member in members:
+        plain = b""
+        for kind in member:
+            record = _record(k, rng.randbytes(rng.randint(0, 300)))
+            if kind == "g":
+                want.append(k)
+            else:
+                record = record.replace(b"WARC-Type", b"WARC Type" if rng.random() < 0.5 else b"Content-Length: x\r\nWARC-Type")[: -rng.randint(5, 30)] + b"\r\n\r\n"
+            plain, k = plain + record, k + 1
+        data += gzip.compress(plain) if rng.random() < 0.6 else plain
+    found = list(warc.salvage(data))
+    assert [r["page_id"] for r in found if r["kind"] == "record"] == want
+    _covers(data, found)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.integers(0, 2**32))
+def test_a_damaged_member_gives_what_stands_before_and_the_rest_goes_on(seed):
+    rng = random.Random(seed)
+    inside = [_record(k, rng.randbytes(2000)) for k in range(6)]
+    member = bytearray(gzip.compress(b"".join(inside), 1))
+    at = rng.randint(12, len(member) - 1)
+    member[at] ^= rng.randint(1, 255)
+    data = gzip.compress(_record(100, b"a")) + bytes(member) + gzip.compress(_record(101, b"b")) + _record(102, b"c")
+    found = list(warc.salvage(data))
+    _covers(data, found)
+    pages = [r["page_id"] for r in found if r["kind"] == "record"]
+    assert pages[0] == 100 and pages[-2:] == [101, 102]
+    # Random bytes hardly shrink: what lies a record and a block header before the damage unpacks.
+    whole = max(0, (at - 300) // len(inside[0]))
+    assert pages[1 : 1 + whole] == list(range(whole))
+
+
+def test_digests_of_any_form():
+    payload = b"payload 1"
+    sha1, sha256 = hashlib.sha1(payload), hashlib.sha256(payload)
+    b32 = base64.b32encode(sha1.digest()).decode()
+    good = [f"sha1:{b32.lower()}", f"SHA-1:{sha1.hexdigest()}", sha1.hexdigest().upper(), b32, f"sha256:{sha256.hexdigest()}", f"sha-256:{base64.b32encode(sha256.digest()).decode()}", f"md5:{hashlib.md5(payload).hexdigest()}", "blake3:abc", "?", ""]
+    bad = [f"sha1:{b32[1:]}A", "sha1:short", f"sha256:{'0' * 64}", "0" * 40]
+    record = _record(1, payload)
+    for said, kind in [(x, "record") for x in good] + [(x, "gap") for x in bad]:
+        data = record.replace(b"sha1:" + b32.encode(), said.encode())
+        assert [(r["kind"], r.get("payload_digest")) for r in warc.salvage(data)] == [(kind, b32 if kind == "record" else None)], said
+
+
+def test_folded_headers():
+    data = _record(1, b"x").replace(b"WARC-Record-ID: ", b"WARC-Record-ID:\r\n\t ")
+    assert [(r["kind"], r["page_id"]) for r in warc.salvage(data)] == [("record", 1)]
