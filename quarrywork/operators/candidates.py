@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import textwrap
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -263,19 +262,58 @@ def pool(runs: list[DataFrame], by: str, code: str, most: int) -> DataFrame:
     return once.withColumn("pick", F.row_number().over(w)).filter(F.col("pick") <= most)
 
 
+# Lines that say nothing of where a fragment belongs, how comments begin, and the words before a method's name.
+WEAK_LINES = ("{", "}", "};", "else", "else {", "} else {", "} else", "break;", "continue;", "return;", "try {", "} catch", "} finally {", "default:", "case :")
+_COMMENTS = ("//", "/*", "*")
+_METHOD = re.compile(r"(?:public|private|protected|static|final|abstract|synchronized|native|\s)+.*\(")
+_QUOTED = re.compile(r"//.*|\"(?:\\.|[^\"\\])*(?:\"|$)|'(?:\\.|[^'\\])*(?:'|$)")
+
+
+def _anchors(rows: list[str]) -> list[tuple[int, str]]:
+    """The lines that tell a place, by number."""
+    bare = ((k, r.strip()) for k, r in enumerate(rows))
+    return [(k, r) for k, r in bare if len(r) > 2 and r not in WEAK_LINES and not r.startswith(_COMMENTS)]
+
+
+def _rise(row: str) -> int:
+    """Opening less closing braces of a line, outside of quotes and comments."""
+    code = _QUOTED.sub(lambda m: "" if m[0].startswith("//") else '""', row)
+    return code.count("{") - code.count("}")
+
+
+def _indent(rows: list[str]) -> int:
+    """Of the first line that isn't blank."""
+    return next((len(r) - len(r.lstrip(" \t")) for r in rows if r.lstrip(" \t")), 0)
+
+
 def merge_fragment(base: str, fragment: str) -> str | None:
-    """base with the lines from the fragment's first to its last matching strong line replaced by the fragment, at the base's indent; None where either isn't found."""
-    strong = lambda s: len(re.sub(r"\W", "", s)) >= 4
-    rows, new = base.split("\n"), textwrap.dedent(fragment).strip("\n").split("\n")
-    marks = [r.strip() for r in new if strong(r)]
-    if not marks:
-        return None
-    at = {r.strip(): k for k, r in reversed(list(enumerate(rows)))}
-    first, last = at.get(marks[0]), next((k for k in range(len(rows) - 1, -1, -1) if rows[k].strip() == marks[-1]), None)
-    if first is None or last is None or last < first:
+    """base with the part that a fragment is of replaced by it; a whole method comes back as it is, None if no line tells the place.
+
+    The part begins where the fragment's first anchor stands in base, less the
+    fragment's lines before it, and ends at the last anchor's last place behind
+    that, or the first anchor's. From there it grows until its braces rise as
+    the fragment's do, or stays if they never do. The fragment moves to the
+    part's indent.
+    """
+    new = fragment.strip().splitlines()
+    head = next((r.strip() for r in new if r.strip() and not r.strip().startswith("@")), "")
+    if not head or _METHOD.match(head):
+        return fragment.strip() or None
+    rows, known = base.splitlines(), _anchors(new)
+    places = [k for k, r in enumerate(rows) if known and r.strip() == known[0][1]]
+    if not places:
         return None
-    indent = rows[first][: len(rows[first]) - len(rows[first].lstrip())]
-    return "\n".join([*rows[:first], *(indent + r if r.strip() else r for r in new), *rows[last + 1 :]])
+    start = max(0, places[0] - known[0][0])
+    last = max((k for k in range(places[0], len(rows)) if rows[k].strip() == known[-1][1]), default=places[0]) + 1
+    due, rise = sum(map(_rise, new)), sum(map(_rise, rows[start:last]))
+    end = last
+    while rise != due and end < len(rows):
+        rise += _rise(rows[end])
+        end += 1
+    end = max(start + 1, end if rise == due else last)
+    shift = _indent(rows[start:end]) - _indent(new)
+    moved = [r if not r.strip() else " " * shift + r if shift > 0 else r[min(-shift, len(r) - len(r.lstrip(" \t"))) :] for r in new]
+    return "\n".join([*rows[:start], *moved, *rows[end:]])
 
 
 @F.pandas_udf(T.StringType())
@@ -321,9 +359,10 @@ def symbol_sources(named: dict[str, list[Column]]) -> Column:
 
 
 def extract_and_merge(response: Column, base: Column) -> Column:
-    """A response's code; a fragment without a declaration merged into base; null where neither works."""
-    found, whole = response_code(response, base), F.coalesce(marked_code(response), F.regexp_extract(response, r"(?s)```[A-Za-z]*[ \t]*\n(.*?)```", 1))
-    return F.coalesce(found["code"], merged(base, F.nullif(whole, F.lit(""))))
+    """A response's code; of a response without a declaration the part between marks, or its first fence, merged into base; null where neither works."""
+    part = F.coalesce(marked_code(response), F.regexp_extract(response, r"(?s)```\w*[ \t]*\n(.*?)```", 1))
+    fragment = strip(F.regexp_replace(F.regexp_replace(strip(part), r"\A```\w*\s*\n?", ""), r"\n?```\s*\z", ""))
+    return F.coalesce(response_code(response, base)["code"], merged(base, F.nullif(fragment, F.lit(""))))
 
 
 def dispatch(inputs: DataFrame, prompts: DataFrame, key: str, runs: DataFrame) -> DataFrame:

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarrywork.plans import analytics_queries, candidate_queries, java_queries, prompt_queries, record_queries, retrieval_queries, rule_queries, selection_queries
+from quarrywork.plans import analytics_queries, candidate_queries, driver_queries, java_queries, prompt_queries, record_queries, retrieval_queries, rule_queries, selection_queries
 
-_ALL = analytics_queries.QUERIES | retrieval_queries.QUERIES | rule_queries.QUERIES | selection_queries.QUERIES | prompt_queries.QUERIES | candidate_queries.QUERIES | java_queries.QUERIES | record_queries.QUERIES
+_ALL = analytics_queries.QUERIES | retrieval_queries.QUERIES | rule_queries.QUERIES | selection_queries.QUERIES | prompt_queries.QUERIES | candidate_queries.QUERIES | java_queries.QUERIES | driver_queries.QUERIES | record_queries.QUERIES
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
