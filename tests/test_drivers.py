@@ -101,3 +101,38 @@ METHOD = "public int f(int a) {\n    int x = 1;\n    if (a > 1) {\n        x = a
 )
 def test_fragments(fragment, want):
     assert C.merge_fragment(METHOD, fragment) == want
+
+
+def test_merged_fields_by_policy(spark):
+    from quarrywork.operators import pooling as P
+
+    schema = "id int, code string, llm_calls_total int, bm25_top1 double, plan_fill_used boolean, temperature_used array<double>, profiles_tried array<string>, scheduler string, allowed_edit_types array<string>, drop_counts map<string,int>, java_decl_recovery_mode_counts map<string,int>, unique_after_stage map<string,int>"
+    a = spark.createDataFrame([(1, "a", 2, 0.5, None, [0.1], ["x", "y"], "s", ["INSERT"], {"duplicate": 1, "?": 9}, {"m": 1}, {"1": 5, "2": 1}), (2, "c", None, None, None, None, None, None, None, None, None, None)], schema)
+    b = spark.createDataFrame([(1, "b", 3, 0.2, True, [0.0, 0.1], ["z", "x"], " ", [], {"duplicate": 2}, {"n": 2, "m": 1}, {"1": 3})], schema)
+    got = {r.id: r for r in P.merge_items([a, b], "id").collect()}
+    one, two = got[1], got[2]
+    assert (one.code, one.llm_calls_total, one.bm25_top1, one.plan_fill_used, one.n_runs) == ("a", 5, 0.5, True, 2)
+    assert (one.temperature_used, one.profiles_tried, one.scheduler, one.allowed_edit_types) == ([0.1, 0.0, 0.1], ["x", "y", "z"], "s", ["INSERT"])
+    assert one.drop_counts["duplicate"] == 3 and set(one.drop_counts) == set(C.DROP_REASONS) and one.java_decl_recovery_mode_counts == {"m": 2, "n": 2} and one.unique_after_stage == {"1": 5, "2": 1}
+    assert (two.llm_calls_total, two.plan_fill_used, two.scheduler, two.allowed_edit_types, two.drop_counts["other"]) == (0, False, "fixed", ["REPLACE"], 0)
+
+
+def test_merged_candidates_are_judged_and_scored_again(spark):
+    from quarrywork.operators import pooling as P
+
+    base = "int f(int a) {\n  int one = 1;\n  return g(a);\n}"
+    codes = [
+        ("a", base.replace("g(a)", "g(a + 1)"), False), ("b", base.replace("g(a)", "g( a + 1)"), False), ("c", base, False), ("d", base.replace("f(int", "k(int"), False),
+        ("e", base.replace("g(a);", "g(a;"), False), ("f", base.replace("g(a)", "g(thing)"), True), ("g", " ", False), ("h", base.replace("one = 1", "one = 2"), False),
+    ]
+    rows = [(1, k, base, c, "f", g, 50.0) for k, c, g in codes]
+    schema = "id int, place string, base string, code string, name string, greedy boolean, base_score double"
+    first, second = spark.createDataFrame(rows[:5], schema), spark.createDataFrame([*rows[5:], (1, "a", base, codes[0][1].replace("g(a + 1)", "g(a  +  1)"), "f", False, 50.0)], schema)
+    got = {(r.run_no, r.place): (r.problem, r.pick) for r in P.merge_candidates([first, second], "id", "place", P.java_judge(filtering=True), 3).collect()}
+    assert got[0, "a"][0] is None and got[1, "a"] == ("duplicate", None) and got[0, "b"][0] is None
+    assert got[0, "c"] == ("no_change", None) and got[0, "d"] == ("name_mismatch", None) and got[0, "e"] == ("java_compile_invalid", None)
+    assert (1, "g") not in got and got[1, "f"] == (None, 1)
+    items = [spark.createDataFrame([(1, 9, {"other": 1})], "id int, target_candidates int, drop_counts map<string,int>")] * 2
+    merged, kept = P.merge_runs(items, [first, second], "id", "place", P.java_judge(filtering=True), 3)
+    r = merged.first()
+    assert (r.valid_candidates, r.fill_rate, r.drop_counts["java_compile_invalid"], r.drop_counts["other"]) == (3, 0.3333, 1, 2) and kept.count() == 3
