@@ -90,3 +90,31 @@ def paired(a: DataFrame, b: DataFrame, key: str, outcome: str) -> DataFrame:
     if missing:
         raise KeyError(f"{missing} items have no outcome in the second run")
     return out
+
+
+def run_summary(items: DataFrame) -> DataFrame:
+    """(dimension, key, n, recovered, rate, avg_calls, avg_candidates) of a run's items, in one pass: all of them, solved ones by iteration, first error families, and why others stayed unsolved.
+
+    items: (status, solved, solving_iteration, calls, candidates, first_family,
+    first_reason, final_reason, n_iterations). Items whose status is infra_fail
+    or error don't count. rate is the share of solved items for all, and for a
+    family that of items that a retry recovered.
+    """
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    solved = F.coalesce("solved", F.lit(False))
+    family = F.when(text("first_family") != "", text("first_family")).when(text("first_reason") == "compile_fail", "unknown_compile").when(text("first_reason") != "pass", text("first_reason"))
+    at = F.coalesce("solving_iteration", F.lit(1))
+    recovered = solved & (at > 1) & (F.coalesce("n_iterations", F.lit(0)) >= 2) & (text("first_family") != "")
+    place = lambda name, key: F.struct(F.lit(name).alias("dimension"), key.cast("string").alias("key"))
+    places = F.array_compact(
+        F.array(
+            place("all", F.lit("")),
+            F.when(solved, place("solved_at_iteration", at)),
+            F.when((F.coalesce("n_iterations", F.lit(0)) > 0) & family.isNotNull(), place("error_family", family)),
+            F.when(~solved, place("unsolved_fail_reason", F.coalesce("final_reason", F.lit("unknown")))),
+        )
+    )
+    counted = items.filter(~text("status").isin("infra_fail", "error")).select(solved.alias("_solved"), recovered.alias("_back"), F.coalesce("calls", F.lit(0)).alias("_calls"), F.coalesce("candidates", F.lit(0)).alias("_found"), F.explode(places).alias("_at"))
+    out = counted.groupBy("_at.dimension", "_at.key").agg(F.count("*").alias("n"), F.count_if("_back").alias("recovered"), F.count_if("_solved").alias("_s"), F.round(F.sum("_calls") / F.count("*"), 2).alias("avg_calls"), F.round(F.sum("_found") / F.count("*"), 2).alias("avg_candidates"))
+    rate = F.when(F.col("dimension") == "all", F.round(F.col("_s") / F.col("n"), 4)).when(F.col("dimension") == "error_family", F.round(F.col("recovered") / F.col("n"), 3))
+    return out.select("dimension", "key", "n", "recovered", rate.alias("rate"), "avg_calls", "avg_candidates")

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarrywork.functions.prompts import local_line, reason
-from quarrywork.functions.text import identifiers, lines, numbered_context, strip, trim_lines
+from quarrywork.functions.text import identifiers, let, lines, numbered_context, strip, trim_lines
 from quarrywork.operators import selection
 
 NODE = T.ArrayType(T.StructType().add("type", "string").add("line", "integer").add("end_line", "integer").add("code", "string").add("contains_line", "boolean").add("matches_text", "boolean").add("hints", T.ArrayType(T.StringType())))
@@ -132,9 +132,27 @@ def java_imports(code: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.coalesce(code, F.lit("")), F.lit(r"(?m)^\s*import\s+((?:static\s+)?[\w.]+(?:\.\*)?)\s*;"), F.lit(1)))
 
 
+def import_names(one: Column) -> Column:
+    """What an import may be called by: the last parts of its words, but for the words of the statement and wild cards."""
+    words = F.array_except(F.split(F.regexp_replace(one, ",", " "), r"\s+"), F.array(*map(F.lit, ("from", "import", "as"))))
+    return F.filter(F.transform(words, lambda w: F.substring_index(w, ".", -1)), lambda n: (n != "") & (n != "*"))
+
+
 def relevant_imports(found: Column, code: Column) -> Column:
-    """Those whose simple name the code contains."""
-    return F.filter(found, lambda x: F.contains(code, F.regexp_extract(x, r"([\w*]+)$", 1)))
+    """Those of which the code contains a name."""
+    return F.filter(found, lambda x: F.exists(import_names(x), lambda n: F.contains(code, n)))
+
+
+# Words that begin no signature.
+STATEMENTS = ("if", "for", "while", "switch", "catch", "return", "throw", "do", "else", "try")
+
+
+def sibling_parts(signatures: Column, code: Column, java: bool = True) -> Column:
+    """(called, others): signatures whose name the code contains, and the rest; for Java, statements taken for signatures are left out."""
+    real = F.filter(signatures, lambda x: ~F.trim(x).rlike(rf"^(?:{'|'.join(STATEMENTS)})[ (]")) if java else signatures
+    named = lambda x: F.regexp_extract(x, r"(?:def|async\s+def)?\s*(\w+)\s*\(", 1)
+    calls = lambda x: (named(x) != "") & F.contains(code, named(x))
+    return let(real, lambda r: F.struct(F.filter(r, calls).alias("called"), F.filter(r, lambda x: ~calls(x)).alias("others")))
 
 
 def balanced_end(text: str, at: int = 0) -> int | None:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrywork.operators import candidates as C
-from quarrywork.operators import pooling, sampling
+from quarrywork.operators import analytics, pooling, sampling
 from quarrywork.operators.stages import Driver, Stage
 from quarrywork.session import table
 from quarrywork.sources.work_folders import work_folder
@@ -159,10 +159,29 @@ MERGED = _ITEMS + """ SELECT l_orderkey, n_runs, function_name, calls AS llm_cal
 METRICS = _ITEMS + """ SELECT count(*) AS items, CAST(sum(calls) AS BIGINT) AS llm_calls_total, sum(secs) AS elapsed_seconds_total, CAST(sum(target) AS BIGINT) AS target_candidates_total, CAST(sum(valid) AS BIGINT) AS valid_candidates_total, count(*) FILTER (fill) AS plan_fill_used_items, max(gen) AS gen_n_max,
   round(avg(rate), 4) AS fill_rate_mean, round(avg(secs), 4) AS elapsed_seconds_mean, CAST(sum(dup) AS BIGINT) AS drop_duplicate, CAST(sum(syn) AS BIGINT) AS drop_syntax_fail, CAST(sum(bad) AS BIGINT) AS drop_java_compile_invalid FROM m"""
 
+def run_summary(spark, d):
+    """Orders as a run's items, their lines as rounds."""
+    lines = table(spark, d, "lineitem").groupBy("l_orderkey").agg(
+        F.count("*").alias("n"), F.min(F.when(F.col("l_linestatus") == "O", F.col("l_linenumber"))).alias("at"), F.sum("l_linenumber").alias("candidates"), F.min_by("l_returnflag", F.struct("l_linenumber", "l_partkey", "l_suppkey")).alias("flag"), F.min("l_partkey").alias("part"),
+    )
+    k = F.col("part") % 5
+    items = lines.select(
+        F.when(F.col("part") % 11 == 0, "infra_fail").alias("status"), F.col("at").isNotNull().alias("solved"), F.col("at").alias("solving_iteration"), F.col("n").alias("calls"), "candidates", F.when(k == 0, "cannot_find_symbol").when(k == 1, "").alias("first_family"),
+        F.when(k == 1, "compile_fail").when(k == 2, "pass").otherwise(F.concat(F.lit("test_"), "flag")).alias("first_reason"), F.when(k > 2, F.concat(F.lit("at_"), "flag")).alias("final_reason"), (F.col("n") - 1).alias("n_iterations"),
+    )
+    return analytics.run_summary(items)
+
+
+SUMMARY = """WITH l AS (SELECT l_orderkey, count(*) AS n, min(l_linenumber) FILTER (l_linestatus = 'O') AS at_, sum(l_linenumber) AS found, arg_min(l_returnflag, (l_linenumber, l_partkey, l_suppkey)) AS flag, min(l_partkey) AS part FROM lineitem GROUP BY 1),
+i AS (SELECT *, CASE part % 5 WHEN 0 THEN 'cannot_find_symbol' WHEN 1 THEN 'unknown_compile' WHEN 2 THEN NULL ELSE 'test_' || flag END AS fam, CASE WHEN part % 5 = 0 AND at_ > 1 AND n > 2 THEN 1 ELSE 0 END AS back FROM l WHERE part % 11 <> 0),
+u AS (SELECT 'all' AS dimension, '' AS key, * FROM i UNION ALL SELECT 'solved_at_iteration', CAST(at_ AS VARCHAR), * FROM i WHERE at_ IS NOT NULL UNION ALL SELECT 'error_family', fam, * FROM i WHERE fam IS NOT NULL AND n > 1 UNION ALL SELECT 'unsolved_fail_reason', CASE WHEN part % 5 > 2 THEN 'at_' || flag ELSE 'unknown' END, * FROM i WHERE at_ IS NULL)
+SELECT dimension, key, count(*) AS n, CAST(sum(back) AS BIGINT) AS recovered, CASE dimension WHEN 'all' THEN round(count(at_) / count(*), 4) WHEN 'error_family' THEN round(sum(back) / count(*), 3) END AS rate, round(sum(n) / count(*), 2) AS avg_calls, round(sum(found) / count(*), 2) AS avg_candidates FROM u GROUP BY 1, 2"""
+
 QUERIES = {
     "seeded_sample": (seeded_sample, SAMPLE),
     "stage_driver": (stage_driver, STAGED),
     "fragment_merges": (fragment_merges, FRAGMENTS),
+    "run_summary": (run_summary, SUMMARY),
     "merged_runs": (merged_runs, MERGED),
     "merged_candidates": (merged_candidates, CANDIDATES),
     "dataset_metrics": (dataset_metrics, METRICS),

@@ -278,13 +278,17 @@ def import_relevance_contains(spark, d):
 
 
 def java_import_rules(spark, d):
+    """Imports before a text, those whose names the text has, and siblings that it calls."""
     text = F.coalesce("text", F.lit(""))
     found = C.java_imports(F.concat(F.lit("import java.util.List;\nimport static a.b.C.the;\nimport x.y.*;\nclass X { List<String> f; }\n"), text))
-    return table(spark, d, "conversations").select("conv_id", "turn", F.array_join(found, ",").alias("imports"), F.array_join(C.relevant_imports(found, text), ",").alias("used"))
+    parts = C.sibling_parts(F.array(F.lit("int the(int a)"), F.lit("if (x)"), F.lit("void que (T x)"), F.lit("return(y)"), F.lit("no brackets")), text)
+    joined = lambda c: F.array_join(c, ",")
+    return table(spark, d, "conversations").select("conv_id", "turn", joined(found).alias("imports"), joined(C.relevant_imports(found, text)).alias("used"), joined(parts["called"]).alias("called"), joined(parts["others"]).alias("others"))
 
 
-IMPORTS = """SELECT conv_id, turn, 'java.util.List,static a.b.C.the,x.y.*' AS imports, concat_ws(',', CASE WHEN contains(coalesce(text, ''), 'List') THEN 'java.util.List' END,
-  CASE WHEN contains(coalesce(text, ''), 'the') THEN 'static a.b.C.the' END, CASE WHEN contains(coalesce(text, ''), '*') THEN 'x.y.*' END) AS used FROM conversations"""
+IMPORTS = """WITH t AS (SELECT conv_id, turn, coalesce(text, '') AS x FROM conversations) SELECT conv_id, turn, 'java.util.List,static a.b.C.the,x.y.*' AS imports, concat_ws(',', CASE WHEN contains(x, 'List') THEN 'java.util.List' END,
+  CASE WHEN contains(x, 'the') OR contains(x, 'static') THEN 'static a.b.C.the' END) AS used, concat_ws(',', CASE WHEN contains(x, 'the') THEN 'int the(int a)' END, CASE WHEN contains(x, 'que') THEN 'void que (T x)' END) AS called,
+  concat_ws(',', CASE WHEN NOT contains(x, 'the') THEN 'int the(int a)' END, CASE WHEN NOT contains(x, 'que') THEN 'void que (T x)' END, 'no brackets') AS others FROM t"""
 
 
 def block_spans(spark, d):
