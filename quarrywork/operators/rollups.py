@@ -68,7 +68,8 @@ def validity_counts(rows: DataFrame, *by: str, checked: str = "checked", valid:
 
 def list_counts(rows: DataFrame, values: str, known: Sequence[str] = ()) -> DataFrame:
     """(value, n) over array values, blanks left out; with known, those alone, also where none occurs."""
-    found = rows.select(F.explode(values).alias("value")).select(F.trim("value").alias("value")).filter("value != ''").groupBy("value").agg(F.count("*").alias("n"))
+    # The outer form, as the other one would put a filter with the whole expression of values below it.
+    found = rows.select(F.explode_outer(values).alias("value")).select(F.trim("value").alias("value")).filter("value != ''").groupBy("value").agg(F.count("*").alias("n"))
     if not known:
         return found
     every = rows.sparkSession.createDataFrame([(x,) for x in known], "value string")
