@@ -26,7 +26,7 @@ COMPILE_FORMS = {
     ),
     "generic_type_feedback": (
         "COMPILE ERROR: generic/parameterized type mismatch.", "AVAILABLE METHOD SIGNATURES (with their generic parameters)", "siblings",
-        "\n- Check the type parameters `<...>` \u2014 the compiler reports a bound/inference violation."
+        "\n- Check the type parameters `<...>` — the compiler reports a bound/inference violation."
         "\n- Common patterns: use `<?>` or `<? extends T>` for read-only, `<? super T>` for write-only."
         "\n- Do NOT erase generics to raw types; keep the parameterization the surrounding code uses."
         "\n- Match the exact type argument shape shown in AVAILABLE METHOD SIGNATURES above.",
@@ -53,9 +53,9 @@ COMPILE_FORMS = {
     ),
 }
 # The sentences of test feedback.
-WRONG = "Your code compiled but FAILED TESTS \u2014 the logic is wrong."
-FEW = "Your code COMPILES and is PARTIALLY correct \u2014 only {n} test(s) fail. Preserve the passing behavior; fix only what fails."
-MANY = "Your code COMPILES but {n} tests fail. The logic is partially correct \u2014 keep the passing behavior and target only the failing cases."
+WRONG = "Your code compiled but FAILED TESTS — the logic is wrong."
+FEW = "Your code COMPILES and is PARTIALLY correct — only {n} test(s) fail. Preserve the passing behavior; fix only what fails."
+MANY = "Your code COMPILES but {n} tests fail. The logic is partially correct — keep the passing behavior and target only the failing cases."
 TEST_FIX = (
     "FIX: Use the failing test information above to repair the logic.",
     "Start from the ORIGINAL BUGGY CODE, not your previous rewrite.",

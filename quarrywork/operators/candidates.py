@@ -68,7 +68,10 @@ def diff_lines_to_code(code: Column) -> Column:
 
 # Scores by the share of changed lines, and what costs a candidate.
 _DIFF = ((0.03, 40), (0.12, 30), (0.25, 20), (0.5, 5))
-ARTIFACT_HINT = r"(?i)<---\s*buggy line|corrected\b|fixed(?:\s+line)?\b|patched(?:\s+line)?\b"
+_HINTS = (r"<---\s*buggy line", r"corrected\b", r"fixed(?:\s+line)?\b", r"patched(?:\s+line)?\b")
+ARTIFACT_HINT = f"(?i){'|'.join(_HINTS)}"
+#: A remark at a line's end: the first hint ends it, after the others anything may follow.
+_REMARK = rf"(?:{'|'.join([_HINTS[0], *(f'{h}.*' for h in _HINTS[1:])])})$"
 ARTIFACT_TEXT = r"(?i)this is the corrected version|changed line|replace if|buggy line|rest of the code|rest of the function|rest of the method|todo\b"
 TRUNCATED = r"(?im)rest of the code|rest of the function|rest of the method|omitted for brevity|^\s*(?://|#|\*)\s*\.\.\.\s*(?:\(|$)|^\s*\.\.\.\s*(?:\(|$)"
 BANNED = (r"\.\.\.", r"\braise\s+NotImplementedError\b", r"\bprint\s*\(")
@@ -108,10 +111,9 @@ def model_artifact(code: Column) -> Column:
 def plain_lines(code: Column, java: bool = True) -> Column:
     """Code without a language's name before it and without comments that tell of a change."""
     named = F.regexp_replace(F.coalesce(code, F.lit("")), r"(?i)\A(?:\s*(?:java|python)[ \t]*\r?\n)+", "")
-    hint = ARTIFACT_HINT.removeprefix("(?i)")
-    opening, trailing = (r"(?://+|\*+|/\*+)", r"\s*//\s*(?:<---\s*buggy line|corrected\b.*|fixed(?:\s+line)?\b.*|patched(?:\s+line)?\b.*)$") if java else ("#", r"\s*#\s*(?:<---\s*buggy line|corrected\b.*|fixed(?:\s+line)?\b.*|patched(?:\s+line)?\b.*)$")
-    kept = F.filter(lines(named), lambda x: ~x.rlike(rf"(?i)^\s*{opening}.*(?:{hint})"))
-    return strip(F.array_join(F.transform(kept, lambda x: F.regexp_replace(F.regexp_replace(x, f"(?i){trailing}", ""), r"\s+\z", "")), "\n"))
+    opening, mark = (r"(?://+|\*+|/\*+)", "//") if java else ("#", "#")
+    kept = F.filter(lines(named), lambda x: ~x.rlike(rf"(?i)^\s*{opening}.*(?:{'|'.join(_HINTS)})"))
+    return strip(F.array_join(F.transform(kept, lambda x: F.regexp_replace(F.regexp_replace(x, rf"(?i)\s*{mark}\s*{_REMARK}", ""), r"\s+\z", "")), "\n"))
 
 
 _HEAD = re.compile(PLAIN_DECLARATION)
