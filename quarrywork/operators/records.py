@@ -8,8 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
 from quarrywork.functions.text import repeat_tokens, strip, tokenize
 from quarrywork.functions.vectors import cosine
@@ -55,9 +58,24 @@ def query_text(record: Record) -> Column:
     return _text(record, QUERY_REASONS)
 
 
+def batch_encoder(load: Callable[[], Callable], inputs: list[Column], key: str, vector: str, batch_size: int = 256) -> Callable[[DataFrame], DataFrame]:
+    """An encoder for with_similarity: a model that each worker loads once (load returns a function of numpy batches) over batches of the inputs."""
+    model = predict_batch_udf(load, return_type=T.ArrayType(T.DoubleType()), batch_size=batch_size)
+    return lambda missing: missing.select(key, model(*inputs).alias(vector))
+
+
 def with_similarity(ranked: DataFrame, vectors: DataFrame, queries: DataFrame, key: str, query: str, vector: str, encode: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """ranked (query, key and more) with cos, the cosine to the query's vector. Rows whose key has no stored vector are encoded: encode gets the distinct missing keys and returns (key, vector)."""
+    """ranked (query, key and more) with cos, the cosine to the query's vector. Rows whose key has no stored vector are encoded: encode gets the distinct missing keys and returns (key, vector). Every ranked row stays; cos is null where a side has no vector."""
     missing = ranked.select(key).distinct().join(vectors.select(key), key, "left_anti")
     known = vectors.select(key, F.col(vector).alias("_v")).unionByName(encode(missing).select(key, F.col(vector).alias("_v")))
     asked = queries.select(query, F.col(vector).alias("_q"))
-    return ranked.join(known, key).join(asked, query).withColumn("cos", cosine(F.col("_q"), F.col("_v"))).drop("_q", "_v")
+    return ranked.join(known, key, "left").join(asked, query, "left").withColumn("cos", cosine(F.col("_q"), F.col("_v"))).drop("_q", "_v")
+
+
+def dense_rerank(ranked: DataFrame, query: str, key: str, sparse: str = "norm", weight: float = 0.6) -> DataFrame:
+    """ranked (query, key, the sparse score from 0 to 1, cos) with dense, cos from 0 to 1 over each query's rows (0 without a vector, 0 for all if they are equal), fused, and rank; a query's rows are a top list, so few."""
+    w = W.partitionBy(query)
+    low, high = F.min("cos").over(w), F.max("cos").over(w)
+    dense = F.coalesce(F.when(high > low, (F.col("cos") - low) / (high - low)), F.lit(0.0))
+    fused = (1 - weight) * F.col(sparse) + weight * F.col("dense")
+    return ranked.withColumn("dense", dense).withColumn("fused", fused).withColumn("rank", F.row_number().over(w.orderBy(F.desc("fused"), key)))

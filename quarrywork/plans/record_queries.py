@@ -84,22 +84,33 @@ b AS (SELECT doc_id, l || l || l || {_part("body", "0.6::DOUBLE")} || {nodes} ||
 SELECT doc_id, len(bag) AS n, md5(array_to_string(bag, ' ')) AS bag_md5 FROM b"""
 
 
-def encoded_on_miss(spark, d):
-    """Every hundredth vector against rows near it by id; every third vector isn't stored, and a stub encodes it as its key's label."""
-    v = table(spark, d, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
-    asked = v.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("v"))
-    ranked = asked.select("query_id", F.explode(F.sequence(F.col("query_id") + 1, F.col("query_id") + 12)).alias("vec_id")).join(v.select("vec_id"), "vec_id", "left_semi")
+def _one_hot():
+    """A stub of a model: each key as the first unit vector."""
+    import numpy as np
 
-    def encode(missing: DataFrame) -> DataFrame:
-        one = F.transform("v", lambda x, i: F.when(i == 0, F.lit(1.0)).otherwise(F.lit(0.0)))
-        return missing.join(v, "vec_id").select("vec_id", one.alias("v"))
+    def predict(keys, sizes):
+        return np.eye(1, int(sizes[0])).repeat(len(keys), axis=0)
 
-    found = records.with_similarity(ranked, v.filter("vec_id % 3 != 0"), asked, "vec_id", "query_id", "v", encode)
-    return found.select("query_id", "vec_id", F.round("cos", 4).alias("cos"))
+    return predict
 
 
-MISSES = """WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), s AS (SELECT vec_id, CASE WHEN vec_id % 3 <> 0 THEN v ELSE list_transform(v, lambda x, i: CASE WHEN i = 1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) END AS v FROM e)
-SELECT q.vec_id AS query_id, s.vec_id, round(list_dot_product(q.v, s.v) / ((sqrt(list_dot_product(q.v, q.v)) + 1e-12) * (sqrt(list_dot_product(s.v, s.v)) + 1e-12)), 4) AS cos FROM e q JOIN s ON q.vec_id % 100 = 0 AND s.vec_id BETWEEN q.vec_id + 1 AND q.vec_id + 12"""
+def encoded_on_miss(spark, d):
+    """Every hundredth vector against rows near it by id, as a top list; every third vector isn't stored, and a stub encodes it, but for some that it doesn't know: they stay, without a cosine."""
+    v = table(spark, d, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
+    asked = v.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("v"))
+    ranked = asked.select("query_id", F.explode(F.sequence(F.col("query_id") + 1, F.col("query_id") + 12)).alias("vec_id")).join(v.select("vec_id"), "vec_id", "left_semi")
+    ranked = ranked.withColumn("norm", 1 - (F.col("vec_id") - F.col("query_id") - 1) / 11)
+    encode = records.batch_encoder(_one_hot, [F.col("vec_id"), F.col("_size")], "vec_id", "v")
+    known = lambda missing: missing.filter("vec_id % 5 != 0").join(v.select("vec_id", F.size("v").alias("_size")), "vec_id")
+    found = records.with_similarity(ranked, v.filter("vec_id % 3 != 0"), asked, "vec_id", "query_id", "v", lambda missing: encode(known(missing)))
+    out = records.dense_rerank(found.withColumn("cos", F.round("cos", 6)), "query_id", "vec_id")
+    return out.select("query_id", "vec_id", F.round("cos", 4).alias("cos"), F.round("fused", 3).alias("fused"), "rank")
+
+
+MISSES = """WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), s AS (SELECT vec_id, CASE WHEN vec_id % 3 <> 0 THEN v WHEN vec_id % 5 <> 0 THEN list_transform(v, lambda x, i: CASE WHEN i = 1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) END AS v FROM e),
+c AS (SELECT q.vec_id AS query_id, s.vec_id, round(list_dot_product(q.v, s.v) / ((sqrt(list_dot_product(q.v, q.v)) + 1e-12) * (sqrt(list_dot_product(s.v, s.v)) + 1e-12)), 6) AS cos FROM e q JOIN s ON q.vec_id % 100 = 0 AND s.vec_id BETWEEN q.vec_id + 1 AND q.vec_id + 12),
+n AS (SELECT *, 0.4 * (1 - (vec_id - query_id - 1) / 11) + 0.6 * coalesce(CASE WHEN max(cos) OVER w > min(cos) OVER w THEN (cos - min(cos) OVER w) / (max(cos) OVER w - min(cos) OVER w) END, 0) AS fused FROM c WINDOW w AS (PARTITION BY query_id))
+SELECT query_id, vec_id, round(cos, 4) AS cos, round(fused, 3) AS fused, CAST(row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, vec_id) AS INTEGER) AS rank FROM n"""
 
 
 def fill_rates(spark, d):

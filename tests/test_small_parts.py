@@ -52,3 +52,16 @@ def test_imports_by_any_of_their_names(spark):
     assert got == [["java.util.List", "from m.n import P, Q as r"], ["static a.b.C.of"], []]
     parts = df.limit(1).select(code.sibling_parts(F.array(F.lit("def List(self)"), F.lit("if (n)"), F.lit("nope()")), F.col("c")).alias("p")).first().p
     assert (parts.called, parts.others) == (["def List(self)"], ["nope()"])
+
+
+def test_a_key_without_a_vector_keeps_its_row(spark):
+    from quarrywork.operators import records
+
+    ranked = spark.createDataFrame([("q", 1, 1.0), ("q", 2, 0.5), ("q", 3, 0.0), ("r", 1, 1.0)], "query string, key int, norm double")
+    vectors = spark.createDataFrame([(1, [1.0, 0.0])], "key int, v array<double>")
+    asked = spark.createDataFrame([("q", [1.0, 0.0])], "query string, v array<double>")
+    encode = lambda missing: missing.filter("key = 2").select("key", F.array(F.lit(0.0), F.lit(1.0)).alias("v"))
+    found = records.dense_rerank(records.with_similarity(ranked, vectors, asked, "key", "query", "v", encode), "query", "key")
+    got = {(r.query, r.key): (r.cos, round(r.fused, 6), r.rank) for r in found.collect()}
+    assert {k: round(v[0], 6) if v[0] is not None else None for k, v in got.items()} == {("q", 1): 1.0, ("q", 2): 0.0, ("q", 3): None, ("r", 1): None}
+    assert (got["q", 1][1:], got["q", 2][1:], got["q", 3][1:], got["r", 1][1:]) == ((1.0, 1), (0.2, 2), (0.0, 3), (0.4, 1))
