@@ -116,4 +116,4 @@ def test_run_is_the_stages_in_a_row(spark, folder, stages):
 def test_registered():
     entry = importlib.import_module("__spark_entry__")
     names = entry.queries()
-    assert "pipeline" in names and sum(n.startswith("op") and n[2].isdigit() for n in names) == 10
+    assert "pipeline" in names and sum(n.startswith("op") and n[2].isdigit() for n in names) == 13
