@@ -51,26 +51,37 @@ NO_TERM = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 def terms(text: Column) -> Column:
     """The terms of a text in order, repeats included."""
-    return F.filter(F.split(ascii_lower(text), NO_TERM), lambda t: t != "")
+    # Where all characters are ASCII, the plain function does the same in less time.
+    low = F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(ascii_lower(text))
+    return F.filter(F.split(low, NO_TERM), lambda t: t != "")
+
+
+def _levels(mark: Column) -> Column:
+    digits = [F.substring(mark, 3 * k + 1, 3) for k in range(SUBSETS)]
+    return sum((sum(((d < r).cast("int") for r in RATES), F.lit(0)) * (1 << 3 * k) for k, d in enumerate(digits)), F.lit(0))
 
 
 def band_lexicon(docs: DataFrame, text: str = "text", least: int = LEAST, most: int = MOST) -> DataFrame:
-    """(term, mark): the terms inside the band over all rows, and their MD5."""
+    """(term, levels): the terms inside the band over all rows, and how many of the rates have them in each subset, three bits a subset."""
     n = docs.count()
     held = docs.select(F.explode(F.array_distinct(terms(text_or_empty(text)))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    return held.filter((F.col("df") * most >= n) & (F.col("df") * least <= n)).select("term", F.md5(F.col("term").cast("binary")).alias("mark"))
+    return held.filter((F.col("df") * most >= n) & (F.col("df") * least <= n)).select("term", _levels(F.md5(F.col("term").cast("binary"))).alias("levels"))
 
 
 #: SQL of what a subset keeps: its sorted terms x, hashed.
 _HASH = "if(size({x}) = 0, '', substring(md5(cast(array_join({x}.term, ' ') as binary)), 1, 8))"
-_RATES = f"array({', '.join(map(repr, RATES))})"
+
+
+def _rates(kept: str, k: int, rate: int = 1) -> str:
+    """The hashes of subset k of the terms kept at this and all sparser rates, each filtered from the one before."""
+    own = f"array({_HASH.format(x=f's{rate}')})"
+    rest = f"concat({own}, {_rates(f's{rate}', k, rate + 1)})" if rate < len(RATES) else own
+    return f"transform(array(filter({kept}, t -> (t.levels & {7 << 3 * k}) >= {rate << 3 * k})), s{rate} -> {rest})[0]"
 
 
 def fingerprint(kept: str, otherwise: str) -> Column:
-    """kept: the column of a sorted array of (term, mark). The subsets of one number are read from the largest of them."""
-    digits = "substring(t.mark, 3 * k + 1, 3)"
-    one = f"transform(array(filter({kept}, t -> {digits} < '{RATES[0]}')), most -> transform({_RATES}, rate -> transform(array(filter(most, t -> {digits} < rate)), x -> {_HASH.format(x='x')})[0]))[0]"
-    fields = f"concat(array({_HASH.format(x=kept)}), flatten(transform(sequence(0, {SUBSETS - 1}), k -> {one})))"
+    """kept: the column of a sorted array of (term, levels)."""
+    fields = f"concat(array({_HASH.format(x=kept)}), {', '.join(_rates(kept, k) for k in range(SUBSETS))})"
     return F.expr(f"if(size({kept}) > 0, array_join({fields}, '-'), concat('=', {otherwise}))")
 
 
@@ -90,26 +101,26 @@ def likeness(a: str, b: str) -> Column:
 def fingerprints(rows: DataFrame, by: list[str], keep: list[str], texts: dict[str, str], lexicon: DataFrame) -> DataFrame:
     """The columns by (together a key of rows) and keep, and a fingerprint for each text: named by texts' keys, read from the columns that are its values."""
     lexicon = Scratch(rows.sparkSession, "lexicon").write(lexicon, "lexicon")
-    size = lexicon.agg(F.sum(F.octet_length("term") + 64)).first()[0] or 0
+    size = lexicon.agg(F.sum(F.octet_length("term") + 48)).first()[0] or 0
     lexicon = F.broadcast(lexicon) if size <= BROADCAST_BYTES else lexicon
     names = list(texts)
 
     def spread(k: int) -> Column:
-        return F.transform(F.array_distinct(terms(text_or_empty(texts[names[k]]))), lambda t: F.struct(F.lit(k).alias("text"), t.alias("term")))
+        return F.transform(F.array_distinct(f"_terms{k}"), lambda t: F.struct(F.lit(k).alias("text"), t.alias("term")))
 
     def otherwise(k: int) -> Column:
-        whole = text_or_empty(texts[names[k]])
-        return let(terms(whole), lambda t: F.md5(F.when(F.size(t) > 0, F.array_join(t, " ")).otherwise(whole).cast("binary")))
+        return F.md5(F.when(F.size(f"_terms{k}") > 0, F.array_join(f"_terms{k}", " ")).otherwise(text_or_empty(texts[names[k]])).cast("binary"))
 
     # One more item carries what the document keeps.
+    rows = rows.withColumns({f"_terms{k}": terms(text_or_empty(texts[n])) for k, n in enumerate(names)})
     items = F.concat(F.array(F.struct(F.lit(-1).alias("text"), F.lit(None).cast("string").alias("term"))), *[spread(k) for k in range(len(names))])
     base = F.struct(*keep, *[otherwise(k).alias(f"_else{k}") for k in range(len(names))])
     open_ = rows.select(*by, base.alias("_base"), F.explode(items).alias("_item")).select(*by, F.when(F.col("_item.text") < 0, F.col("_base")).alias("_base"), F.col("_item.text").alias("_text"), F.col("_item.term").alias("term"))
-    found = open_.join(lexicon, "term", "left").filter((F.col("_text") < 0) | F.col("mark").isNotNull())
-    kept = F.collect_list(F.when(F.col("_text") >= 0, F.struct("_text", "term", "mark")))
+    found = open_.join(lexicon, "term", "left").filter((F.col("_text") < 0) | F.col("levels").isNotNull())
+    kept = F.collect_list(F.when(F.col("_text") >= 0, F.struct("_text", "term", "levels")))
     out = found.groupBy(*by).agg(F.first("_base", ignorenulls=True).alias("_base"), kept.alias("_kept"))
     for k, name in enumerate(names):
-        own = F.transform(F.filter("_kept", lambda t: t["_text"] == F.lit(k)), lambda t: F.struct(t["term"].alias("term"), t["mark"].alias("mark")))  # noqa: B023
+        own = F.transform(F.filter("_kept", lambda t: t["_text"] == F.lit(k)), lambda t: F.struct(t["term"].alias("term"), t["levels"].alias("levels")))  # noqa: B023
         out = out.withColumn(f"_own{k}", F.array_sort(own)).withColumn(name, fingerprint(f"_own{k}", f"_base._else{k}"))
     return out.select(*by, *[F.col(f"_base.{c}").alias(c) for c in keep], *names)
 
