@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from quarrywork.functions import text as T
-from quarrywork.functions.vectors import cosine
+from quarrywork.operators import dense
 from quarrywork.operators import retrieval as R
 from quarrywork.operators import selection
 from quarrywork.session import table
@@ -134,22 +134,23 @@ p AS (SELECT q.vec_id AS query_id, e.vec_id, e.label, q.label AS query_label,
 
 
 def _dense(spark, d) -> DataFrame:
-    """A stated query set against all vectors, itself included, with a label score as the sparse side."""
-    v = table(spark, d, "embeddings")
+    """The TOP_M best of all vectors, itself included, for a stated query set, with a label score as the sparse side."""
+    v = table(spark, d, "embeddings").select("vec_id", "embedding", "label")
     asked = v.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv"), F.col("label").alias("query_label"))
-    both = v.join(R.small(asked), F.lit(True))
-    return both.select("query_id", "vec_id", F.round(cosine(F.col("qv"), F.col("embedding")), 4).alias("cos"), (F.lit(1.0) / (1 + F.abs(F.col("label") - F.col("query_label")))).alias("sparse"))
+    both = dense.nearest(asked, v, "query_id", "qv", "vec_id", "embedding", TOP_M)
+    scored = both.select("query_id", "vec_id", "cos", (F.lit(1.0) / (1 + F.abs(F.col("label") - F.col("query_label")))).alias("sparse"))
+    return R.top_k(scored, "query_id", "cos", "vec_id", TOP_M)
 
 
 def fused_topk(spark, d):
-    top = R.top_k(_dense(spark, d), "query_id", "cos", "vec_id", TOP_M)
+    top = _dense(spark, d)
     fused = top.withColumn("fused", F.round(R.fuse(R.min_max("sparse", "query_id"), R.min_max("cos", "query_id")), 4))
     return R.top_k(fused, "query_id", "fused", "vec_id", TOP_K, "fused_rank").select("query_id", "vec_id", "fused", "fused_rank")
 
 
 def self_excluded_neighbours(spark, d):
     """The query's own row is scaled with the others and only then left out."""
-    top = R.top_k(_dense(spark, d), "query_id", "cos", "vec_id", TOP_M).withColumn("scaled", F.round(R.min_max("cos", "query_id"), 4))
+    top = _dense(spark, d).withColumn("scaled", F.round(R.min_max("cos", "query_id"), 4))
     return R.top_k(top.filter("vec_id != query_id"), "query_id", "scaled", "vec_id", 5, "place").select("query_id", "vec_id", "scaled", "place")
 
 
