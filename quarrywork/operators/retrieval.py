@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from quarrywork.functions.text import TOKEN, tokenize
-from quarrywork.functions.vectors import cosine
+from quarrywork.operators import dense
 from quarrywork.sources import discovery
 from quarrywork.sources.work_folders import work_folder
 
@@ -102,14 +102,10 @@ def confidence(ranked: DataFrame, by: str, score: str, rank: str) -> DataFrame:
 
 
 def cosine_top_k(queries: DataFrame, vectors: DataFrame, key: str, vector: str, k: int) -> DataFrame:
-    """(query, key, cos, rank). A stated set of queries meets all rows; each task keeps its own k best before they meet, so a query's rows never gather in one task."""
-    asked = queries.select(F.col(key).alias("query"), F.col(vector).alias("qv"))
-    both = vectors.join(small(asked), F.col("query") != F.col(key))
-    scored = both.select("query", key, F.round(cosine(F.col("qv"), F.col(vector)), PLACES).alias("cos"))
-    salted = scored.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(32)))
-    first = W.partitionBy("query", "_salt").orderBy(F.desc("cos"), key)
-    kept = salted.withColumn("_r", F.row_number().over(first)).filter(F.col("_r") <= k).drop("_r", "_salt")
-    return top_k(kept, "query", "cos", key, k)
+    """(query, key, cos, rank). A stated query set against all other rows, by dense.nearest: a block keeps its own k best before they meet."""
+    asked = queries.filter(F.col(key).isNotNull()).select(F.col(key).alias("query"), F.col(vector).alias("qv"))
+    scored = dense.nearest(asked, vectors.filter(F.col(key).isNotNull()).select(key, vector), "query", "qv", key, vector, k, PLACES, itself=False)
+    return top_k(scored, "query", "cos", key, k)
 
 
 def fuse(sparse: Column, dense: Column, weight: float = 0.6) -> Column:

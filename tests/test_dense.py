@@ -59,7 +59,7 @@ def test_halves_are_rounded_as_spark_does(spark):
     assert ranked(dense.nearest(queries, vectors, "q", "qv", "id", "v", 17), 17) == plain(queries, vectors, 17, True)
 
 
-@pytest.mark.parametrize("name", ["self_excluded_neighbours", "fused_topk"])
+@pytest.mark.parametrize("name", ["self_excluded_neighbours", "fused_topk", "dense_cosine_topk"])
 def test_no_pair_is_a_row(spark, name):
     plan = catalogue.queries()[name](spark, DIR)._jdf.queryExecution().toString()
     assert not re.search("NestedLoopJoin|CartesianProduct", plan) and "FlatMapCoGroupsInArrow" in plan
