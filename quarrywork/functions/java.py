@@ -6,6 +6,9 @@ distinct names.
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -53,7 +56,7 @@ def _all(text: Column, pattern: str, group: int = 1) -> Column:
 
 def _names(*found: Column) -> Column:
     """Sorted distinct names that are no words of the language."""
-    return F.array_sort(F.array_except(F.array_distinct(F.concat(*found)), F.array(*map(F.lit, KEYWORDS))))
+    return F.sort_array(F.array_except(F.array_distinct(F.concat(*found)), F.array(*map(F.lit, KEYWORDS))))
 
 
 def squeezed(text: Column) -> Column:
@@ -183,7 +186,7 @@ def lower_names(code: Column) -> Column:
 
 def parameter_names(head: Column) -> Column:
     """The last lower-case name of each parameter of a header, or of the header in a text without brackets."""
-    whole = F.when(F.contains(head, F.lit("(")) & F.contains(head, F.lit(")")), head).otherwise(header(head))
+    whole = let(head, lambda h: F.when(F.contains(h, F.lit("(")) & F.contains(h, F.lit(")")), h).otherwise(header(h)))
     last = lambda part: F.element_at(_all(part, r"(?U)\b([a-z_][A-Za-z0-9_$]*)\b"), -1)
     named = F.filter(top_level(parameters(whole)), lambda x: x.rlike(r"(?U)\b[a-z_][A-Za-z0-9_$]*\b"))
     return _names(F.transform(named, last))
@@ -203,20 +206,31 @@ def declared_names(code: Column) -> Column:
     return let(bare(code), lambda t: _names(parameter_names(header(t)), listed(t), *[_all(t, p) for p in patterns]))
 
 
+def _plain(raw: Column) -> Column:
+    return stripped(F.regexp_replace(F.regexp_replace(stripped(raw), r"(?U)^\s*this\.", ""), r"(?U)\(\s*\)$", ""))
+
+
+def _last_part(plain: Column) -> Column:
+    return F.when(F.startswith(plain, F.lit("@")), plain).otherwise(stripped(F.substring_index(plain, ".", -1)))
+
+
 def symbol(raw: Column) -> Column:
     """A symbol's plain name: without this, empty brackets, and what stands before the last dot; annotations stay."""
-    plain = stripped(F.regexp_replace(F.regexp_replace(stripped(raw), r"(?U)^\s*this\.", ""), r"(?U)\(\s*\)$", ""))
-    return F.when(F.startswith(plain, F.lit("@")), plain).otherwise(stripped(F.substring_index(plain, ".", -1)))
+    return let(_plain(raw), _last_part)
 
 
 def symbols(raw: Column) -> Column:
     """Distinct plain names of an array, in order; null gives none."""
-    return F.array_distinct(F.filter(F.transform(F.coalesce(raw, F.array().cast("array<string>")), symbol), lambda x: x != ""))
+    return F.array_distinct(F.filter(F.transform(F.transform(F.coalesce(raw, F.array().cast("array<string>")), _plain), _last_part), lambda x: x != ""))
 
 
 def labelled(text: Column, *labels: str) -> Column:
     """Symbols listed by commas on a text's lines that begin with a label."""
-    clean = F.transform(F.split(F.coalesce(text, F.lit("")), r"\r\n|\r|\n"), lambda x: stripped(F.regexp_replace(x, r"(?U)^\s*-\s*", "")))
+    given = F.coalesce(text, F.lit(""))
+    # Most texts lack most labels: one search saves the split into lines.
+    some = let(F.lower(given), lambda t: functools.reduce(operator.or_, [F.contains(t, F.lit(p)) for p in labels]))
+    clean = F.transform(F.split(given, r"\r\n|\r|\n"), lambda x: stripped(F.regexp_replace(x, r"(?U)^\s*-\s*", "")))
     of = lambda x: F.coalesce(*[F.when(F.startswith(F.lower(x), F.lit(p)), F.substring(x, F.lit(len(p) + 1), F.length(x))) for p in labels])
     lists = F.filter(F.transform(clean, of), lambda x: x.isNotNull())
-    return symbols(F.flatten(F.transform(lists, lambda x: top_level(F.regexp_replace(x, r"\A[ :]+|[ :]+\z", "")))))
+    listed = symbols(F.flatten(F.transform(lists, lambda x: top_level(F.regexp_replace(x, r"\A[ :]+|[ :]+\z", "")))))
+    return F.when(some, listed).otherwise(F.array().cast("array<string>"))

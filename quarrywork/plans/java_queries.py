@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quarrywork.functions import java
 from quarrywork.operators import java_validity as V
 from quarrywork.operators import rollups
-from quarrywork.session import table
+from quarrywork.session import spread, table
 
 
 def _list(values) -> str:
@@ -47,7 +47,7 @@ def allow_lists(spark, d):
     """Symbols that a part's function may refer to, and what supports each."""
     base = F.concat(F.lit("int f(List a) { this."), F.substring_index("p_name", " ", 1), F.lit(" = Helper.make(a); // gone(a)\n return g(a); }"))
     summary = "- Referenced helper methods in this method: one, two(x, y)\n- Types referenced in this method: Map<A, B>, util.C\nOther: d2"
-    rows = table(spark, d, "part").select(
+    rows = spread(table(spark, d, "part").select("p_partkey", "p_name", "p_brand"), "p_partkey").select(
         "p_partkey", base.alias("base"), F.lit("int f(List a, Other bb)").alias("signature"), F.lit(summary).alias("summary"), F.array(F.lit("g"), F.lit(" this.h() ")).alias("helper_calls"), F.array("p_brand", F.lit("")).alias("type_names"),
         F.split("p_name", " ").alias("fields"), F.lit("Referenced instance fields: pf").alias("prompt"),
     )

@@ -23,3 +23,8 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt to as many tasks as a shuffle has. For rows that are small beside their work: few bytes of input come as few tasks, however many rows they hold."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)

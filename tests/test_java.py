@@ -147,3 +147,15 @@ def test_rescuable(spark):
 def test_empty_tables(spark, n):
     df = rows(spark, [BASE] * n) if n else rows(spark, [BASE]).filter("false")
     assert V.reranked(V.judged(V.analysed(df))).count() == n
+
+
+def test_labels_of_a_text(spark):
+    texts = ["- Types: B, this.a()\nother: x", "no labels", None, "TYPES:", "x types: a\n - types : c.D , @E.f", "Types a"]
+    assert ask(spark, texts, lambda x: java.labelled(x, "types")) == [["B", "a"], [], [], [], ["D", "@E.f"], ["a"]]
+
+
+def test_few_bytes_of_parts_are_many_tasks(spark):
+    from quarrywork.plans import catalogue
+
+    df = catalogue.queries()["allow_lists"](spark, "/root/testdata/sf0.001")
+    assert df.rdd.getNumPartitions() >= int(spark.conf.get("spark.sql.shuffle.partitions"))
