@@ -70,9 +70,8 @@ def strip_line_comments(code: Column) -> Column:
 
 def lines(text: Column) -> Column:
     """By any line end, without the empty piece after a last one."""
-    t = F.coalesce(text, F.lit(""))
-    parts = F.split(t, r"\r\n|\r|\n")
-    return F.when(t == "", F.array().cast("array<string>")).when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    cut = lambda parts: F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    return let(F.split(F.coalesce(text, F.lit("")), r"\r\n|\r|\n"), cut)
 
 
 def trim_lines(text: Column, n: int, note: str = "... (truncated)") -> Column:
@@ -283,26 +282,38 @@ def _numbered(each: Column, first: Column, last: Column, line: Column, mark: str
 
 def numbered_context(text: Column, line: Column, window: int = 3) -> Column:
     """The lines around a 1-based line, numbered, the line itself marked; empty if it isn't there."""
-    each = lines(text)
-    shown = _numbered(each, F.greatest(F.lit(1), line - window), F.least(F.size(each), line + window), line, "-> ", "   ")
-    return F.when((line >= 1) & (line <= F.size(each)), F.array_join(shown, "\n")).otherwise("")
+
+    def of(x: Column) -> Column:
+        each, at, n = x["each"], x["at"], F.size(x["each"])
+        shown = let(F.greatest(F.lit(1), at - window), lambda first: _numbered(each, first, F.least(n, at + window), at, "-> ", "   "))
+        return F.when((at >= 1) & (at <= n), F.array_join(shown, "\n")).otherwise("")
+
+    return let(F.struct(lines(text).alias("each"), line.alias("at")), of)
 
 
 def local_context(text: Column, line: Column, radius: int = 2, note: str = "... (truncated)") -> Column:
     """As numbered_context, with a note where lines are left out before or behind."""
-    each = lines(text)
-    first, last = F.greatest(F.lit(1), line - radius), F.least(F.size(each), line + radius)
     some = lambda c: F.when(c, F.array(F.lit(note))).otherwise(F.array().cast("array<string>"))
-    return F.array_join(F.concat(some(first > 1), _numbered(each, first, last, line, "->", "  "), some(last < F.size(each))), "\n")
+
+    def of(x: Column) -> Column:
+        each, at = x["each"], x["at"]
+        first, last = F.greatest(F.lit(1), at - radius), F.least(F.size(each), at + radius)
+        return F.array_join(F.concat(some(first > 1), _numbered(each, first, last, at, "->", "  "), some(last < F.size(each))), "\n")
+
+    return let(F.struct(lines(text).alias("each"), line.alias("at")), of)
 
 
 def find_line(text: Column, target: Column) -> Column:
     """The 1-based line that equals target, stripped; else without comments; else the first that, without comments, contains it so; null if none."""
-    each = F.transform(lines(text), strip)
     uncommented = lambda x: strip(F.regexp_replace(x, r"\s*//.*$", ""))
-    bare, goal = F.transform(each, uncommented), strip(target)
-    short = uncommented(goal)
-    exact = F.nullif(F.array_position(each, goal), F.lit(0))
-    plain = F.nullif(F.array_position(bare, short), F.lit(0))
-    within = F.when(short != "", F.nullif(F.array_position(F.transform(bare, lambda x: F.contains(x, short)), F.lit(True)), F.lit(0)))
-    return F.when(goal != "", F.coalesce(exact, plain, within)).cast("int")
+    place = lambda each, x: F.nullif(F.array_position(each, x), F.lit(0))
+
+    def loosely(each: Column, short: Column) -> Column:
+        within = lambda bare: F.when(short != "", place(F.transform(bare, lambda x: F.contains(x, short)), F.lit(True)))
+        return let(F.transform(each, uncommented), lambda bare: F.coalesce(place(bare, short), within(bare)))
+
+    def of(x: Column) -> Column:
+        found = F.coalesce(place(x["each"], x["goal"]), let(uncommented(x["goal"]), lambda short: loosely(x["each"], short)))
+        return F.when(x["goal"] != "", found).cast("int")
+
+    return let(F.struct(F.transform(lines(text), strip).alias("each"), strip(target).alias("goal")), of)

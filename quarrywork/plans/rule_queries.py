@@ -150,8 +150,9 @@ def line_lookup(spark, d):
     """A text's line, looked for whole, by a comment that differs, or by a part of it."""
     text = F.concat(F.coalesce("text", F.lit("")), F.lit("\n  return a; // done\nlast = "), F.col("turn").cast("string"))
     goal = F.when(F.col("turn") % 4 == 0, F.element_at(T.lines(text), 1)).when(F.col("turn") % 4 == 1, F.lit("return a; // other")).when(F.col("turn") % 4 == 2, F.lit("last =")).otherwise(F.lit("nowhere at all"))
-    at = T.find_line(text, goal)
-    return table(spark, d, "conversations").select("conv_id", "turn", at.alias("line"), T.numbered_context(text, at, 1).alias("context"), F.when(at.isNotNull(), T.local_context(text, at, 1)).alias("near"))
+    rows = table(spark, d, "conversations").select("conv_id", "turn", text.alias("t"), T.let(T.find_line(text, goal), lambda at: F.struct(at.alias("line"))).alias("at"))
+    line = F.col("at.line")
+    return rows.select("conv_id", "turn", line.alias("line"), T.numbered_context(F.col("t"), line, 1).alias("context"), F.when(line.isNotNull(), T.local_context(F.col("t"), line, 1)).alias("near"))
 
 
 LOOKUP = r"""WITH t AS (SELECT conv_id, turn, regexp_split_to_array(coalesce(text, '') || chr(10) || '  return a; // done' || chr(10) || 'last = ' || turn, '\r\n|\r|\n') AS s FROM conversations),

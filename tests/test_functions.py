@@ -106,3 +106,11 @@ def test_vectors(spark):
     a, b = F.array(F.lit(3.0), F.lit(4.0)), F.array(F.lit(4.0), F.lit(3.0))
     r = one(spark, c=vectors.cosine(a, b), n=vectors.norm(a), z=vectors.cosine(a, F.array(F.lit(0.0), F.lit(0.0))), u=vectors.normalized(a))
     assert r.c == pytest.approx(0.96) and r.n == 5 and r.z == 0 and r.u == pytest.approx([0.6, 0.8])
+
+
+def test_a_looked_up_line_is_computed_once(spark):
+    from quarrywork.plans import catalogue
+
+    df = catalogue.queries()["line_lookup"](spark, "/root/testdata/sf0.001")
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(r"\s*//.*$") <= 2  # one for the goal, one for the lines; it was a copy for each use of the line
