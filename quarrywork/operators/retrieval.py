@@ -20,6 +20,8 @@ from quarrywork.sources.work_folders import work_folder
 #: Parameters of the ranking function, and the share of the mean idf that negative ones get.
 K1, B, FLOOR = 1.6, 0.7, 0.25
 BROADCAST_ROWS = 200_000
+#: Pairs of a query and a document that one task scores at most, about.
+PAIRS = 1_000_000
 #: Scores are rounded before ties are broken, as sums differ with their order.
 PLACES = 4
 
@@ -65,7 +67,10 @@ def bm25_scores(corpus: DataFrame, queries: DataFrame, doc: str, query: str, tex
     raw = _raw_idf(n)
     idf = frequencies.join(near(asked.select("tok").distinct()), "tok", "left_semi").select("tok", F.when(raw < 0, mean * FLOOR).otherwise(raw).alias("idf"))
     weighed = asked.join(idf, "tok")
-    postings = bags.select("doc", F.size("toks").alias("dl"), F.explode("toks").alias("tok")).join(near(asked.select("tok").distinct()), "tok", "left_semi").groupBy("doc", "dl", "tok").agg(F.count("*").alias("tf"))
+    # Tokens are dealt by document once: with the queries broadcast, both aggregates and the first cut of top_k find their rows in the task already, and no pair is shuffled.
+    tasks = max(int(bags.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n * queries.count() // PAIRS)) if few else 0
+    dealt = bags.select("doc", "toks").repartition(tasks, "doc") if few else bags
+    postings = dealt.select("doc", F.size("toks").alias("dl"), F.explode("toks").alias("tok")).join(near(asked.select("tok").distinct()), "tok", "left_semi").groupBy("doc", "dl", "tok").agg(F.count("*").alias("tf"))
     part = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / length))
     scored = postings.join(near(weighed), "tok").groupBy("query", "doc").agg(F.sum(F.col("qf") * F.col("idf") * part).alias("score"))
     return scored.select(F.col("query").alias(query), F.col("doc").alias(doc), F.round("score", PLACES).alias("score"))

@@ -98,10 +98,18 @@ m AS (SELECT *, round(CASE WHEN max(score) OVER w > min(score) OVER w THEN (scor
   FROM k WHERE rank <= 200 WINDOW w AS (PARTITION BY item_id))"""
 
 
+def _beside_texts(spark, d, found: DataFrame, most: int, *columns: str) -> DataFrame:
+    """found (item_id, doc_id, and more; most rows of each item) with dt and qt, the words of both. While found is small it goes to the texts, and only its documents' texts are cut into words."""
+    docs = table(spark, d, "documents").select("doc_id", "text", *columns)
+    asked = table(spark, d, "benchmark").select("item_id", F.col("text").alias("_asked"))
+    n = asked.limit(R.BROADCAST_ROWS + 1).count()
+    both = docs.join(F.broadcast(found) if n * most <= R.BROADCAST_ROWS else found, "doc_id")
+    both = both.join(F.broadcast(asked) if n <= R.BROADCAST_ROWS else asked, "item_id")
+    return both.withColumns({"dt": T.tokenize(F.col("text")), "qt": T.tokenize(F.col("_asked"))}).drop("text", "_asked")
+
+
 def _reranked(spark, d) -> DataFrame:
-    docs = table(spark, d, "documents").select("doc_id", "source", T.tokenize(F.col("text")).alias("dt"))
-    asked = table(spark, d, "benchmark").select("item_id", T.tokenize(F.col("text")).alias("qt"))
-    both = _ranked(spark, d).join(docs, "doc_id").join(R.small(asked), "item_id")
+    both = _beside_texts(spark, d, _ranked(spark, d), TOP_M, "source")
     same = F.col("source") == F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string"))
     return R.rule_rerank(both, "item_id", "scaled", "doc_id", same, F.col("doc_id") % 3 == F.col("item_id") % 3, T.token_jaccard(F.col("dt"), F.col("qt")))
 
@@ -175,9 +183,7 @@ def normalized_hash_dedup(spark, d):
 def project_overlap_pairs(spark, d):
     """Shared words of the query set's texts and their best match."""
     best = R.top_k(_scores(spark, d), "item_id", "score", "doc_id", 1)
-    docs = table(spark, d, "documents").select("doc_id", T.tokenize(F.col("text")).alias("dt"))
-    asked = table(spark, d, "benchmark").select("item_id", T.tokenize(F.col("text")).alias("qt"))
-    both = best.join(docs, "doc_id").join(R.small(asked), "item_id")
+    both = _beside_texts(spark, d, best, 1)
     return both.select("item_id", "doc_id", F.round(T.token_jaccard(F.col("dt"), F.col("qt")), 6).alias("jaccard"))
 
 

@@ -271,3 +271,19 @@ def test_similarity_ratio_compares_whole_turns(spark, tmp_path):
     got = {r.turn: r.ratio for r in similarity_ratio(spark, str(tmp_path)).collect()}
     want = {k: round(SequenceMatcher(None, texts[k - 1], texts[k]).ratio(), 6) for k in (1, 2, 3)}
     assert got == {**want, 4: -1.0}
+
+
+@pytest.mark.parametrize("name", ["bm25_topk", "bm25_minmax", "bm25_rule_rerank", "retrieval_margin", "best_match_overlap"])
+def test_no_scored_pair_is_shuffled_before_the_cut(spark, name):
+    from quarrywork.plans import catalogue
+
+    plan = catalogue.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"hashpartitioning\((query#\d+L?, doc#|doc#\d+L?, (dl|tok)#)", plan) and "WindowGroupLimit" in plan
+    assert not re.search(r"hashpartitioning\(doc_id#", plan) and "SortMergeJoin" not in plan  # the texts stay where they are
+
+
+def test_repeated_documents_are_scored_as_one(spark):
+    corpus = spark.createDataFrame([(1, "a b"), (1, "a c"), (2, "a"), (3, "d e"), (4, None)], "doc long, text string")
+    asked = spark.createDataFrame([(7, "d a"), (8, "zzz"), (9, None)], "q long, text string")
+    got = sorted((r.q, r.doc) for r in R.bm25_scores(corpus, asked, "doc", "q").collect())
+    assert got == [(7, 1), (7, 2), (7, 3)]
