@@ -93,7 +93,7 @@ def _run(spark, d, status: str) -> tuple[DataFrame, DataFrame]:
     items = lines.groupBy("l_orderkey").agg(
         F.when(late | (F.min("l_partkey") % 2 == 0), F.concat(F.lit("f"), F.min("l_partkey").cast("string"))).alias("function_name"),
         F.count("*").alias("llm_calls_total"), F.sum("l_linenumber").cast("double").alias("elapsed_seconds"), F.max("l_linenumber").alias("target_candidates"), F.max("l_quantity").cast("int").alias("gen_n"),
-        F.bool_or(F.col("l_returnflag") == "R").alias("plan_fill_used"), F.array(F.min("l_suppkey"), F.max("l_suppkey")).alias("temperature_used"), F.array_sort(F.collect_set("l_returnflag")).alias("profiles_tried"),
+        F.bool_or(F.col("l_returnflag") == "R").alias("plan_fill_used"), F.array(F.min("l_suppkey"), F.max("l_suppkey")).alias("temperature_used"), F.sort_array(F.collect_set("l_returnflag")).alias("profiles_tried"),
         F.when(F.min("l_partkey") % 3 == 0, "").when(F.min("l_partkey") % 3 == 1, tag).alias("scheduler"), F.when(late, F.array(tag)).otherwise(F.array().cast("array<string>")).alias("allowed_edit_types"),
         counts(("duplicate", F.count_if(F.col("l_returnflag") == "R")), ("syntax_fail", F.count_if(F.col("l_returnflag") == "A")), ("unheard_of", F.count("*"))).alias("drop_counts"),
         counts(("wrap", F.count_if(F.col("l_linenumber") > 2)), ("none", F.count("*"))).alias("java_decl_recovery_mode_counts"), counts(("stage1", F.count("*")), ("stage2", F.count_if(F.col("l_linenumber") > 3))).alias("unique_after_stage"),
@@ -115,9 +115,9 @@ def merged_runs(spark, d):
     """Two runs of each order as one: every policy, and candidates judged again."""
     runs = [_run(spark, d, s) for s in STATUSES]
     rows, _ = pooling.merge_runs([i for i, _ in runs], [c for _, c in runs], "l_orderkey", "place", _judge, 3)
-    shown = lambda c: F.array_join(F.transform(F.array_sort(F.map_entries(c)), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ";")
+    shown = lambda c: F.array_join(F.transform(F.sort_array(F.map_entries(c)), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ";")
     joined = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
-    kept = F.array_join(F.transform(F.array_sort(F.map_entries(F.map_filter("drop_counts", lambda _, v: v > 0))), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ";")
+    kept = F.array_join(F.transform(F.sort_array(F.map_entries(F.map_filter("drop_counts", lambda _, v: v > 0))), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ";")
     return rows.select(
         "l_orderkey", "n_runs", "function_name", "llm_calls_total", "elapsed_seconds", "target_candidates", "gen_n", "plan_fill_used", joined("temperature_used").alias("temperature_used"), joined("profiles_tried").alias("profiles_tried"), "scheduler",
         joined("allowed_edit_types").alias("allowed_edit_types"), kept.alias("drop_counts"), F.size("drop_counts").alias("n_reasons"), shown("java_decl_recovery_mode_counts").alias("recovery"), shown("unique_after_stage").alias("unique_after_stage"), "valid_candidates", "fill_rate",

@@ -136,3 +136,16 @@ def test_merged_candidates_are_judged_and_scored_again(spark):
     merged, kept = P.merge_runs(items, [first, second], "id", "place", P.java_judge(filtering=True), 3)
     r = merged.first()
     assert (r.valid_candidates, r.fill_rate, r.drop_counts["java_compile_invalid"], r.drop_counts["other"]) == (3, 0.3333, 1, 2) and kept.count() == 3
+
+
+def test_runs_are_dealt_by_item_once_to_as_many_tasks_as_their_rows_need(spark, monkeypatch):
+    import re
+
+    from quarrywork.operators import pooling
+    from quarrywork.plans import catalogue
+
+    monkeypatch.setattr(pooling, "TASK_ROWS", 500)
+    plan = catalogue.queries()["dataset_metrics"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"hashpartitioning\(l_orderkey#\d+L?, \w+#", plan)
+    # About 6,000 candidates at 500 a task, where the session's shuffles have 4.
+    assert all(int(n) > 4 for n in re.findall(r"hashpartitioning\(l_orderkey#\d+L?, (\d+)\), REPARTITION", plan)) and "REPARTITION_BY_NUM" in plan
